@@ -13,7 +13,31 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op10_ngram_jaccard,)}
+def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loregraph.llm.importance import resampled
+
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loregraph.llm.decontam import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loregraph.llm.mixing import mix_plan
+
+    return mix_plan(table(spark, sf_dir, "documents"))
+
+
+def op6_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loregraph.llm.langid import languages
+
+    return languages(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_importance_resampling, op3_string_tiling, op4_pivotal_mixing, op6_string_kernel_language, op10_ngram_jaccard)}
 SQL: dict[str, str] = {}
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
