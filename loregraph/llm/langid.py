@@ -164,7 +164,7 @@ def languages(docs: DataFrame) -> DataFrame:
     return predict(slim, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def identified(docs: DataFrame, least: float = 0.25) -> DataFrame:
     """The rows of docs whose language is told with a score of `least` or more, in all their columns."""
     names = docs.columns
     out = predict(docs, train(docs))
