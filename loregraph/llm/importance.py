@@ -23,7 +23,7 @@ from loregraph.llm.wordhash import chunks, grams, words
 
 WIDTH, TARGET = 1 << 18, 20_000
 #: The target model starts from so many n-grams of each cell as the raw model expects: rare n-grams say little.
-PRIOR = 2.0
+PRIOR = 8.0
 #: Bins a pass, and keys that the driver sees at most, when the k-th largest key is looked for.
 BINS, SEEN = 1024, 1000
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loregraph.llm.common import table
 
@@ -37,7 +38,59 @@ def op6_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_importance_resampling, op3_string_tiling, op4_pivotal_mixing, op6_string_kernel_language, op10_ngram_jaccard)}
+def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loregraph.llm.lines import line_counts
+
+    return line_counts(table(spark, sf_dir, "documents"))
+
+
+def op7_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loregraph.llm.chat import rendered
+
+    return rendered(table(spark, sf_dir, "conversations"))
+
+
+def _part(column: str, salt: str):
+    """A number from 0 to 65535 that depends on the column alone, the same in Spark and in SQL."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(salt), F.col(column))), 1, 4), 16, 10).cast("int")
+
+
+def dated_list(pages: DataFrame) -> DataFrame:
+    """A list with history from the hosts of pages: (pattern, action, day). Sites are listed, some leave, some come back;
+    so do the first steps of their paths."""
+    host = F.regexp_extract("url", "://([^/:?#]+)", 1)
+    site = F.array_join(F.slice(F.split(host, "[.]"), F.greatest(F.size(F.split(host, "[.]")) - 2, F.lit(1)), 3), ".")
+    path = F.concat(site, F.lit("/"), F.regexp_extract("url", "://[^/]+/([^/?#]+)", 1))
+    names = pages.select(F.explode(F.array(site, path)).alias("pattern")).where("pattern not like '%/'").distinct()
+    start = F.date_add(F.lit("2024-01-01").cast("date"), _part("pattern", "b") % 300)
+    listed = names.where(_part("pattern", "a") % 3 == 0).select("pattern", start.alias("d"), (1 + _part("pattern", "c") % 90).alias("n"), (_part("pattern", "d") % 4).alias("k"))
+    left = F.date_add("d", F.col("n"))
+    return (
+        listed.select("pattern", F.lit("add").alias("action"), F.col("d").alias("day"))
+        .union(listed.where("k < 3").select("pattern", F.lit("remove"), left))
+        .union(listed.where("k < 1").select("pattern", F.lit("add"), F.date_add(left, 30)))
+    )
+
+
+def op9_dated_url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loregraph.llm.urllist import evaluated
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), _part("url", "t") % 366)
+    return evaluated(pages.select(F.col("page_id").alias("id"), "url", day.alias("day")), dated_list(pages)).withColumnRenamed("id", "page_id").withColumn("day", F.col("day").cast("string"))
+
+
+_OPERATORS = (
+    op1_importance_resampling,
+    op3_string_tiling,
+    op4_pivotal_mixing,
+    op5_fuzzy_lines,
+    op6_string_kernel_language,
+    op7_chat_snapshots,
+    op9_dated_url_list,
+    op10_ngram_jaccard,
+)
+QUERIES = {f.__name__: f for f in _OPERATORS}
 SQL: dict[str, str] = {}
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
@@ -55,3 +108,33 @@ m AS (SELECT x, min(y) AS m FROM r GROUP BY 1)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.m, d.doc_id)::BIGINT AS component_id
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.x = d.doc_id
 """
+
+SQL["op9_dated_url_list"] = r"""
+WITH h AS (SELECT page_id, url, lower(regexp_extract(url, '://([^/:?#]+)', 1)) AS host, regexp_extract(url, '://[^/]+/([^/?#]+)', 1) AS step,
+      regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path,
+      DATE '2024-01-01' + (('0x' || substr(md5('t' || url), 1, 4))::INT % 366) AS day FROM pages),
+s AS (SELECT *, string_split(host, '.') AS l FROM h),
+site AS (SELECT *, array_to_string(l[greatest(len(l) - 2, 1):], '.') AS site FROM s),
+names AS (SELECT DISTINCT site AS pattern FROM site UNION SELECT DISTINCT site || '/' || step FROM site WHERE step <> ''),
+n AS (SELECT pattern, ('0x' || substr(md5('a' || pattern), 1, 4))::INT AS a, ('0x' || substr(md5('b' || pattern), 1, 4))::INT AS b,
+      ('0x' || substr(md5('c' || pattern), 1, 4))::INT AS c, ('0x' || substr(md5('d' || pattern), 1, 4))::INT AS d FROM names),
+e AS (SELECT pattern, DATE '2024-01-01' + b % 300 AS since, 1 + c % 90 AS len, d % 4 AS k FROM n WHERE a % 3 = 0),
+i AS (SELECT lower(pattern) AS pattern, since, CASE WHEN k < 3 THEN since + len END AS until FROM e
+      UNION ALL SELECT lower(pattern), since + len + 30, NULL FROM e WHERE k < 1),
+k AS (SELECT page_id, day, unnest(list_concat(list_transform(range(1, greatest(len(l), 2)), lambda j: array_to_string(l[j:], '.')),
+      list_transform(range(1, len(list_filter(string_split(path, '/'), lambda x: x <> '')) + 1),
+      lambda j: host || '/' || lower(array_to_string(list_filter(string_split(path, '/'), lambda x: x <> '')[1:j], '/'))))) AS pattern FROM s),
+m AS (SELECT k.page_id, arg_max(k.pattern, (length(k.pattern), k.pattern)) AS entry FROM k JOIN i ON i.pattern = k.pattern AND k.day >= i.since AND (i.until IS NULL OR k.day < i.until) GROUP BY 1)
+SELECT s.page_id, CAST(s.day AS VARCHAR) AS day, m.entry IS NOT NULL AS blocked, m.entry FROM s LEFT JOIN m USING (page_id)
+"""
+
+SQL["op7_chat_snapshots"] = """
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place FROM t),
+c AS (SELECT conv_id, count(*) AS n, list(role || chr(1) || text ORDER BY place) AS turns FROM o GROUP BY 1),
+u AS (SELECT turns, n, min(conv_id) AS conv_id FROM c GROUP BY 1, 2),
+k AS (SELECT * FROM u WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.n > u.n AND c.turns[1] = u.turns[1] AND c.turns[1:u.n] = u.turns))
+SELECT o.conv_id, CAST((o.place - 1) // 64 AS BIGINT) AS segment, count(*) AS n_turns,
+       string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY place) AS text
+FROM o JOIN k USING (conv_id) GROUP BY 1, 2
+"""
