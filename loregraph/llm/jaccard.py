@@ -6,6 +6,10 @@ inverted lists of the rarest shingles. The boundary between the two is where the
 ranked by the count, over all documents, of a bucket of a fixed-width table; any ranking gives the same links, this one
 keeps passages that many documents share out of the lists. Exact copies are one set from the start.
 
+Most documents have no partner, and that is cheap to prove: a set more than a fifth of which is in no other document
+cannot link. Two rounds of counting, first of the shingles in a third of the hash space, then of all shingles of the sets
+that are left, take such sets out before any list is made. A share of the shingles only weakens the proof, never a link.
+
 Null or empty text and text without words: an empty set, linked with nothing. One to k-1 words: the sequence is one shingle.
 Repeated rows are copies of one another. A null doc_id joins groups but never names one, unless it is alone: then null.
 Columns other than doc_id and text are not read.
@@ -27,6 +31,8 @@ from loregraph.llm.wordhash import chunks, mix, numbers, shingle_sets, words
 
 #: Cells of the table of shingle counts (4 MB when it is sent out), of the filter of wanted sets, of a set's profile.
 WIDTH, WANTED, CELLS = 1 << 19, 1 << 21, 64
+#: The share of the hash space that the first round counts.
+SHARE = 0.35
 #: Sets above this size are never enumerated, whatever the costs say.
 MOST_SMALL = 12
 
@@ -64,6 +70,51 @@ def _overview(docs: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, set_id long, profile binary, segment long, cells binary")
 
 
+def _marked(docs: DataFrame, ids: DataFrame):
+    """The sets in ids(id), as bits of a filter of fixed size on all executors. It may pass other sets too."""
+
+    def mark(tables):
+        cells = np.zeros(WANTED, np.int64)
+        for batch in tables:
+            cells[(batch.column("id").to_numpy().view(np.uint64) & np.uint64(WANTED - 1)).astype(np.int64)] = 1
+        yield from (pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([c], pa.binary())], names=["segment", "cells"]) for s, c in segments_of(cells))
+
+    return docs.sparkSession.sparkContext.broadcast(np.packbits(summed(ids.mapInArrow(mark, "segment long, cells binary"), WANTED) > 0))
+
+
+def _tokens(docs: DataFrame, k: int, share: float, marked=None) -> DataFrame:
+    """(token, id) of the shingles in the first `share` of the hash space, of the marked sets."""
+    schema = pa.schema([("token", pa.int64()), ("id", pa.int64())])
+    edge = np.uint64(min(2**64 - 1, int(share * 2**64)))
+
+    def run(tables):
+        wanted, seen = np.unpackbits(marked.value).astype(bool) if marked else None, set()
+        for batch in tables:
+            for _, found, ends, size, ids in _sets(batch.column("text"), k):
+                use = size > 0
+                if marked:  # copies within a task count once, as long as they are remembered
+                    use &= wanted[(ids & np.uint64(WANTED - 1)).astype(np.int64)]
+                    for i in np.flatnonzero(use):
+                        if ids[i] in seen:
+                            use[i] = False
+                        elif len(seen) < 1_000_000:
+                            seen.add(ids[i])
+                keep = np.repeat(use, size) & (found <= edge)
+                yield batches(schema, [found[keep].view(np.int64), np.repeat(ids, size)[keep].view(np.int64)])
+
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "token long, id long")
+
+
+def _linkable(docs: DataFrame, sets: DataFrame, k: int, over: int, under: int) -> DataFrame:
+    """The rows of sets(set_id, n, ...) that may have a partner, with alone: how many shingles are in no other set."""
+    most = F.col("n") - F.ceil(F.col("n") * over / under)
+    once = _tokens(docs, k, SHARE).groupBy("token").agg(F.count("*").alias("c"), F.max("id").alias("id")).where("c = 1").groupBy("id").agg(F.count("*").alias("alone"))
+    left = saved(sets.join(once, sets["set_id"] == once["id"], "left").where(F.coalesce("alone", F.lit(0)) <= most).select(*sets.columns))
+    marked = _marked(docs, left.select(F.col("set_id").alias("id")))
+    own = _tokens(docs, k, 1.0, marked).groupBy("token").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last").groupBy("id").agg(F.count("*").alias("alone"))
+    return saved(left.join(own, left["set_id"] == own["id"], "left").withColumn("alone", F.coalesce("alone", F.lit(0)).cast("int")).where(F.col("alone") <= most).drop("id"))
+
+
 def least_overlap(a: int, b: int, over: int, under: int) -> int:
     """The intersection that sets of sizes a and b need."""
     return -(-over * (a + b) // (over + under))
@@ -85,8 +136,8 @@ def boundary(sizes: dict[int, int], scan: float, over: int, under: int) -> int:
     return min(range(MOST_SMALL + 1), key=lambda x: (cost(x), x))
 
 
-def _lists(docs: DataFrame, k: int, over: int, under: int, ranks, small: int) -> DataFrame:
-    """(token, id, size, kind): kind 0 for inverted lists, else the number by which subsets tell the sides of a pair."""
+def _lists(docs: DataFrame, k: int, over: int, under: int, ranks, small: int, marked) -> DataFrame:
+    """(token, id, size, kind) of the marked sets: kind 0 for inverted lists, else the number by which subsets tell the sides of a pair."""
     schema = pa.schema([("token", pa.int64()), ("id", pa.int64()), ("size", pa.int32()), ("kind", pa.int32())])
     salts = numbers(7, 4096)
 
@@ -98,15 +149,14 @@ def _lists(docs: DataFrame, k: int, over: int, under: int, ranks, small: int) ->
                     yield int(mix(np.bitwise_xor.reduce(mix(np.array(part, np.uint64))) + salts[low * 64 + high : low * 64 + high + 1])[0]), 1 if low == high else 2 if n == low else 3
 
     def run(tables):
-        rank = ranks.value
+        rank, wanted = ranks.value, np.unpackbits(marked.value).astype(bool)
         for batch in tables:
             for _, found, ends, size, ids in _sets(batch.column("text"), k):
+                use = (size > 0) & wanted[(ids & np.uint64(WANTED - 1)).astype(np.int64)]
                 order = rank[(found & np.uint64(WIDTH - 1)).astype(np.int64)]
                 tokens, owner, few = [], [], []
-                for i in range(len(size)):
+                for i in np.flatnonzero(use):
                     n = int(size[i])
-                    if n == 0:
-                        continue
                     mine = found[ends[i] : ends[i + 1]]
                     if n <= small:
                         few += [(t, ids[i], n, kind) for t, kind in subsets(mine, n)]
@@ -126,14 +176,7 @@ def _lists(docs: DataFrame, k: int, over: int, under: int, ranks, small: int) ->
 
 def _wanted_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """(id, tokens) of the sets in ids(id). A filter of fixed size keeps most others from being moved; the join is exact."""
-
-    def mark(tables):
-        cells = np.zeros(WANTED, np.int64)
-        for batch in tables:
-            cells[(batch.column("id").to_numpy().view(np.uint64) & np.uint64(WANTED - 1)).astype(np.int64)] = 1
-        yield from (pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([c], pa.binary())], names=["segment", "cells"]) for s, c in segments_of(cells))
-
-    marked = docs.sparkSession.sparkContext.broadcast(np.packbits(summed(ids.mapInArrow(mark, "segment long, cells binary"), WANTED) > 0))
+    marked = _marked(docs, ids)
     schema = pa.schema([("id", pa.int64()), ("tokens", pa.binary())])
 
     def run(tables):
@@ -189,17 +232,19 @@ def jaccard_groups(docs: DataFrame, k: int = 5, over: int = 4, under: int = 5) -
     overview = saved(_overview(docs, k))
     sets = overview.where("n is not null")
     distinct = saved(sets.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("profile").alias("profile")))
+    able = _linkable(docs, distinct, k, over, under)
     counts = summed(overview.where("segment is not null").select("segment", "cells"), WIDTH)
-    sizes = {r.n: r.m for r in distinct.where(F.col("n") <= 2 * MOST_SMALL).groupBy("n").agg(F.count("*").alias("m")).collect()}
+    sizes = {r.n: r.m for r in able.where(F.col("n") <= 2 * MOST_SMALL).groupBy("n").agg(F.count("*").alias("m")).collect()}
     total = max(1, int(counts.sum()))
     mean = total / WIDTH
     scan = 2 + float((np.maximum(counts - mean - 4 * np.sqrt(mean), 0) * counts).sum()) / total
     small = boundary(sizes, scan, over, under)
     ranks = spark.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))
-    lists = saved(_lists(docs, k, over, under, ranks, small).distinct()) if small else _lists(docs, k, over, under, ranks, small).distinct()
+    found = _lists(docs, k, over, under, ranks, small, _marked(docs, able.select(F.col("set_id").alias("id")))).distinct()
+    lists = saved(found.join(able.select(F.col("set_id").alias("id"), "alone"), "id"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        slim = distinct.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("profile").alias("pa"))
+        slim = able.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("profile").alias("pa"))
         both = pairs.join(slim, "a").join(slim.select(F.col("a").alias("b"), F.col("na").alias("nb"), F.col("pa").alias("pb")), "b")
         close = saved(_may_link(both.select("a", "b", "na", "nb", "pa", "pb"), over, under))
         ids = saved(close.select(F.col("a").alias("id")).union(close.select(F.col("b").alias("id"))).distinct())
@@ -207,7 +252,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, over: int = 4, under: int = 5) -
         joined = close.join(found.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(found.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
         return _overlap("ta", "tb", joined.select("a", "b", "ta", "tb"))
 
-    edges = link(lists.where("kind = 0").select("token", "id", "size"), verify, over, under)
+    edges = link(lists.where("kind = 0").select("token", "id", "size", "alone"), verify, over, under)
     if small:
         subsets = lists.where("kind > 0")
         whole = subsets.groupBy("token").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.min("kind").alias("low"), F.max("kind").alias("high")).where("a <> z and (low = 1 or low < high)").select("token", "a")

@@ -42,41 +42,42 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return roots.union(roots.select(F.col("root").alias("id"), "root").distinct())
 
 
-def fits(a, b, over: int, under: int):
-    """Whether sizes a and b allow a Jaccard similarity of over/under: the smaller is at least so much of the larger."""
-    return F.least(a, b) * under >= F.greatest(a, b) * over
-
-
 def link(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], over: int = 4, under: int = 5) -> DataFrame:
     """The links that make the components: edges(a, b).
 
-    postings(token, id, size): the lists. verify gets pairs(a, b), a < b, without repeats, and returns (a, b, inter, total)
-    with the exact sizes of intersection and union, or leaves out pairs that surely do not link. Similarity is at least
-    over/under.
+    postings(token, id, size, alone): the lists. `alone` of an item's elements are in no other item (0 if not known): they
+    bound what it can share with any other, and the item of a list that has the fewest is its pivot. verify gets
+    pairs(a, b) without repeats, and returns (a, b, inter, total) with the exact sizes of intersection and union, or leaves
+    out pairs that surely do not link. Similarity is at least over/under.
     """
-    heads = postings.groupBy("token").agg(F.min(F.struct("id", "size")).alias("p"), F.max("id").alias("last")).where("p.id <> last").select("token", F.col("p.id").alias("pivot"), F.col("p.size").alias("pivot_size"))
+    item = F.struct("alone", "id", "size")
+    heads = postings.groupBy("token").agg(F.min(item).alias("p"), F.max(item).alias("last")).where("p <> last").select("token", F.col("p.id").alias("pivot"), F.col("p.size").alias("pivot_size"), F.col("p.alone").alias("pivot_alone"))
     shared = saved(postings.join(heads, "token").distinct())
-    star = shared.where(F.col("id") != F.col("pivot")).where(fits(F.col("size"), F.col("pivot_size"), over, under)).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+
+    def may(a, b, alone_a, alone_b):
+        most = F.least(a - alone_a, b - alone_b)
+        return (F.least(a, b) * under >= F.greatest(a, b) * over) & (most * (over + under) >= (a + b) * over)
+
+    star = shared.where(F.col("id") != F.col("pivot")).where(may(F.col("size"), F.col("pivot_size"), F.col("alone"), F.col("pivot_alone"))).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     first = saved(verify(star))
     linked = F.col("inter") * under >= F.col("total") * over
     edges = first.where(linked).select("a", "b")
-    roots = components(edges)
-    roots = saved(roots)
+    roots = saved(components(edges))
     far = first.select(F.col("a").alias("pivot"), F.col("b").alias("id"), (1 - F.col("inter") / F.col("total")).alias("far"))
     placed = (
         shared.join(roots.select("id", F.col("root").alias("r")), "id", "left")
         .join(roots.select(F.col("id").alias("pivot"), F.col("root").alias("pr")), "pivot", "left")
-        .select("token", "id", "size", "pivot", F.coalesce("r", "id").alias("root"), (F.coalesce("r", "id") != F.coalesce("pr", "pivot")).alias("stray"))
+        .select("token", "id", "size", "alone", "pivot", F.coalesce("r", "id").alias("root"), (F.coalesce("r", "id") != F.coalesce("pr", "pivot")).alias("stray"))
     )
     # A list of two needs no second look: the pair has been compared or cannot fit.
-    more = placed.groupBy("token").agg(F.max("stray").alias("any"), F.count("*").alias("n")).where("any and n > 2").select("token")
-    rest = saved(placed.join(more, "token", "left_semi").where(F.col("id") != F.col("pivot")).join(far, ["pivot", "id"], "left"))
+    more = placed.groupBy("token").agg(F.max("stray").alias("any"), F.count("*").alias("n")).where("any and n > 1").select("token")
+    rest = saved(placed.where(F.col("id") != F.col("pivot")).join(more, "token", "left_semi").join(far, ["pivot", "id"], "left"))
     s, o = rest.where("stray").alias("s"), rest.alias("o")
     apart = 1 - over / under + 1e-9
     pairs = (
         s.join(o, F.col("s.token") == F.col("o.token"))
         .where((F.col("s.root") != F.col("o.root")) & (~F.col("o.stray") | (F.col("s.id") < F.col("o.id"))))
-        .where(fits(F.col("s.size"), F.col("o.size"), over, under))
+        .where(may(F.col("s.size"), F.col("o.size"), F.col("s.alone"), F.col("o.alone")))
         .where(F.coalesce(F.abs(F.col("s.far") - F.col("o.far")) <= apart, F.lit(True)))
         .select(F.least("s.id", "o.id").alias("a"), F.greatest("s.id", "o.id").alias("b"))
         .distinct()
