@@ -72,6 +72,13 @@ def dated_list(pages: DataFrame) -> DataFrame:
     )
 
 
+def op8_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loregraph.llm.ngram_lm import scores
+
+    out = scores(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_score", 6).alias("mean_score"))
+
+
 def op9_dated_url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loregraph.llm.urllist import evaluated
 
@@ -87,6 +94,7 @@ _OPERATORS = (
     op5_fuzzy_lines,
     op6_string_kernel_language,
     op7_chat_snapshots,
+    op8_stupid_backoff,
     op9_dated_url_list,
     op10_ngram_jaccard,
 )
@@ -138,3 +146,14 @@ SELECT o.conv_id, CAST((o.place - 1) // 64 AS BIGINT) AS segment, count(*) AS n_
        string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY place) AS text
 FROM o JOIN k USING (conv_id) GROUP BY 1, 2
 """
+
+SQL["op8_stupid_backoff"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+p AS (SELECT doc_id, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS i FROM d WHERE len(w) > 0),
+x AS (SELECT doc_id, w, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS v FROM p),
+n AS (SELECT count(*) AS n FROM p), u AS (SELECT w, count(*) AS c FROM p GROUP BY 1),
+b AS (SELECT v, w, count(*) AS c FROM x WHERE v IS NOT NULL GROUP BY 1, 2),
+s AS (SELECT x.doc_id, sum(CASE WHEN x.v IS NULL THEN ln(u.c) - ln(n.n) WHEN b.c >= 2 THEN ln(b.c) - ln(c.c) ELSE ln(0.4) + ln(u.c) - ln(n.n) END) AS s, count(*) AS k
+      FROM x CROSS JOIN n JOIN u ON u.w = x.w LEFT JOIN u c ON c.w = x.v LEFT JOIN b ON b.v = x.v AND b.w = x.w GROUP BY 1)
+SELECT d.doc_id, coalesce(s.k, 0)::BIGINT AS n_words, round(s.s, 4) AS log_score, round(s.s / s.k, 6) AS mean_score FROM d LEFT JOIN s USING (doc_id)
+"""
