@@ -45,20 +45,27 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 def link(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], over: int = 4, under: int = 5) -> DataFrame:
     """The links that make the components: edges(a, b).
 
-    postings(token, id, size, alone): the lists. `alone` of an item's elements are in no other item (0 if not known): they
+    postings(token, id, size[, alone]): the lists. `alone` of an item's elements are in no other item (0 if not given): they
     bound what it can share with any other, and the item of a list that has the fewest is its pivot. verify gets
     pairs(a, b) without repeats, and returns (a, b, inter, total) with the exact sizes of intersection and union, or leaves
     out pairs that surely do not link. Similarity is at least over/under.
     """
-    item = F.struct("alone", "id", "size")
-    heads = postings.groupBy("token").agg(F.min(item).alias("p"), F.max(item).alias("last")).where("p <> last").select("token", F.col("p.id").alias("pivot"), F.col("p.size").alias("pivot_size"), F.col("p.alone").alias("pivot_alone"))
+    if "alone" in postings.columns:
+        item = F.struct("alone", "id", "size")
+        ends, pivot = postings.groupBy("token").agg(F.min(item).alias("p"), F.max(item).alias("last")), "p.id"
+    else:
+        ends, pivot = postings.groupBy("token").agg(F.min("id").alias("p"), F.max("id").alias("last")), "p"
+        postings = postings.withColumn("alone", F.lit(0))
+    heads = ends.where("p <> last").select("token", F.col(pivot).alias("pivot"))
     shared = saved(postings.join(heads, "token").distinct())
+    sizes = shared.where("id = pivot").select("pivot", F.col("size").alias("pivot_size"), F.col("alone").alias("pivot_alone")).distinct()
 
     def may(a, b, alone_a, alone_b):
         most = F.least(a - alone_a, b - alone_b)
         return (F.least(a, b) * under >= F.greatest(a, b) * over) & (most * (over + under) >= (a + b) * over)
 
-    star = shared.where(F.col("id") != F.col("pivot")).where(may(F.col("size"), F.col("pivot_size"), F.col("alone"), F.col("pivot_alone"))).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    star = shared.where("id <> pivot").select("pivot", "id", "size", "alone").distinct().join(sizes, "pivot")
+    star = star.where(may(F.col("size"), F.col("pivot_size"), F.col("alone"), F.col("pivot_alone"))).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
     first = saved(verify(star))
     linked = F.col("inter") * under >= F.col("total") * over
     edges = first.where(linked).select("a", "b")
