@@ -20,6 +20,12 @@ def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loregraph.llm.media import copy_groups, rendered_vectors
+
+    return copy_groups(rendered_vectors(table(spark, sf_dir, "embeddings"))).withColumnRenamed("id", "image_id")
+
+
 def op3_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loregraph.llm.decontam import contamination
 
@@ -89,6 +95,7 @@ def op9_dated_url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _OPERATORS = (
     op1_importance_resampling,
+    op2_image_copies,
     op3_string_tiling,
     op4_pivotal_mixing,
     op5_fuzzy_lines,
