@@ -2,6 +2,502 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loregraph.functions import text as T
+from loregraph.functions.tables import saved, table
+from loregraph.operators import evaluate, evidence, gate, graph, names, rank, retrieve, sections
+from loregraph.plans import inputs as I
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 FLAGSHIP = "retrieve"
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---- graph build
+
+
+def kept_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.validate_triples(I.triples(spark, sf_dir), I.types(spark, sf_dir), I.rel_spec(spark))[0]
+
+
+def built(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) with hubs flagged by degree."""
+    edges = saved(graph.build_edges(graph.fold_evidence(kept_triples(spark, sf_dir))))
+    nodes = saved(graph.build_nodes(edges, I.types(spark, sf_dir)).withColumn("is_hub", F.col("degree") >= I.HUB_DEGREE))
+    return nodes, edges
+
+
+@query(f"WITH {I.TRIPLES_SQL} SELECT reason, count(*) AS n FROM judged GROUP BY 1")
+def validate_triples(spark, sf_dir):
+    return graph.validate_triples(I.triples(spark, sf_dir), I.types(spark, sf_dir), I.rel_spec(spark))[1]
+
+
+@query(f"WITH {I.EVIDENCE_SQL} SELECT corpus_id, subject, relation, object, global_index, doc_id, quote, disputed, n_passes, n_distinct_passes FROM evidence")
+def fold_evidence(spark, sf_dir):
+    return graph.fold_evidence(kept_triples(spark, sf_dir)).drop("ord", "label")
+
+
+@query(
+    f"""WITH {I.EVIDENCE_SQL}
+SELECT e.corpus_id, e.subject AS src, e.relation, e.object AS dst, min(global_index) AS first_revealed_index, count(*) AS n_support,
+       string_agg(global_index || ':' || quote || ':' || n_passes, ',' ORDER BY global_index) AS evidence FROM evidence e GROUP BY 1, 2, 3, 4"""
+)
+def build_edges(spark, sf_dir):
+    edges = graph.build_edges(graph.fold_evidence(kept_triples(spark, sf_dir)))
+    line = lambda e: F.concat(e["global_index"], F.lit(":"), e["quote"], F.lit(":"), e["n_passes"])
+    return edges.select("corpus_id", "src", "relation", "dst", "first_revealed_index", "n_support", F.array_join(F.transform("evidence", line), ",").alias("evidence"))
+
+
+@query(f"WITH {I.EVIDENCE_SQL} SELECT * FROM nodes")
+def build_nodes(spark, sf_dir):
+    edges = graph.build_edges(graph.fold_evidence(kept_triples(spark, sf_dir)))
+    return graph.build_nodes(edges, I.types(spark, sf_dir))
+
+
+@query(
+    f"""WITH {I.EVIDENCE_SQL},
+m AS (SELECT 'triples raw' AS measure, count(*) AS value FROM judged UNION ALL SELECT 'triples ' || reason, count(*) FROM judged GROUP BY 1
+ UNION ALL SELECT 'aliases accepted', 0 UNION ALL SELECT 'aliases rejected', 0
+ UNION ALL SELECT 'nodes', count(*) FROM nodes UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'nodes ' || type, count(*) FROM nodes GROUP BY 1)
+SELECT measure, CAST(value AS BIGINT) AS value FROM m"""
+)
+def build_report(spark, sf_dir):
+    kept, audit = graph.validate_triples(I.triples(spark, sf_dir), I.types(spark, sf_dir), I.rel_spec(spark))
+    edges = saved(graph.build_edges(graph.fold_evidence(kept)))
+    nodes = graph.build_nodes(edges, I.types(spark, sf_dir))
+    return graph.build_report(audit, nodes.where("false"), nodes.where("false"), nodes, edges)
+
+
+# ---- gate
+
+
+@query(
+    f"""WITH {I.EVIDENCE_SQL},
+f AS (SELECT corpus_id, first_revealed_index AS read_point, count(*) AS n, 0 AS e FROM nodes GROUP BY 1, 2 UNION ALL SELECT corpus_id, first_revealed_index, 0, count(*) FROM edges GROUP BY 1, 2),
+g AS (SELECT corpus_id, read_point, sum(n) AS n, sum(e) AS e FROM f GROUP BY 1, 2)
+SELECT corpus_id, read_point, CAST(sum(n) OVER w AS BIGINT) AS nodes, CAST(sum(e) OVER w AS BIGINT) AS edges, CAST(sum(n) OVER (PARTITION BY corpus_id) AS BIGINT) AS all_nodes, CAST(sum(e) OVER (PARTITION BY corpus_id) AS BIGINT) AS all_edges
+FROM g WINDOW w AS (PARTITION BY corpus_id ORDER BY read_point)"""
+)
+def visibility_curve(spark, sf_dir):
+    nodes, edges = built(spark, sf_dir)
+    return gate.visibility_curve(nodes, edges)
+
+
+@query(
+    f"""WITH {I.EVIDENCE_SQL}, {I.QUESTIONS_SQL}, p AS (SELECT DISTINCT corpus_id, read_point FROM questions)
+SELECT corpus_id, read_point, (SELECT count(*) FROM nodes x WHERE x.corpus_id = p.corpus_id AND first_revealed_index <= read_point) AS nodes, (SELECT count(*) FROM nodes x WHERE x.corpus_id = p.corpus_id) AS all_nodes,
+ (SELECT count(*) FROM edges x WHERE x.corpus_id = p.corpus_id AND first_revealed_index <= read_point) AS edges, (SELECT count(*) FROM edges x WHERE x.corpus_id = p.corpus_id) AS all_edges FROM p"""
+)
+def visibility_counts(spark, sf_dir):
+    nodes, edges = built(spark, sf_dir)
+    return gate.visibility_counts(nodes, edges, I.questions(spark, sf_dir).select("corpus_id", "read_point"))
+
+
+@query(
+    f"""WITH {I.EVIDENCE_SQL}
+SELECT v.corpus_id, v.subject AS src, v.relation, v.object AS dst, count(*) AS n_visible, coalesce(bool_and(disputed IS NOT DISTINCT FROM true), true) AS disputed, bool_and(disputed IS NULL) AS unjudged, max(n_passes) AS n_hits
+FROM evidence v WHERE global_index <= 100 GROUP BY 1, 2, 3, 4"""
+)
+def visible_evidence(spark, sf_dir):
+    _, edges = built(spark, sf_dir)
+    seen = gate.visible_evidence(edges.withColumn("read_point", F.lit(100)))
+    return retrieve.score_evidence(seen).select("corpus_id", "src", "relation", "dst", F.size("evidence").cast("long").alias("n_visible"), "disputed", "unjudged", "n_hits")
+
+
+# ---- retrieval
+
+
+def _starts(spark, sf_dir, nodes):
+    return saved(retrieve.link_starts(I.questions(spark, sf_dir), I.surfaces(spark, sf_dir), nodes))
+
+
+_STARTS_SQL = """
+starts AS (
+  SELECT q.corpus_id, q.question_id, q.read_point, n.id AS start, CAST(row_number() OVER (PARTITION BY q.corpus_id, q.question_id ORDER BY left(n.id, 1) = 'P') AS INTEGER) AS start_ord
+  FROM questions q JOIN nodes n ON n.corpus_id = q.corpus_id AND n.id IN (q.s1, q.s2) AND n.first_revealed_index <= q.read_point)"""
+
+_EXPAND_SQL = f"""WITH {I.EVIDENCE_SQL}, {I.QUESTIONS_SQL}, {_STARTS_SQL},
+near AS (SELECT corpus_id, src AS node, dst AS other, src, relation, dst, first_revealed_index FROM edges UNION ALL SELECT corpus_id, dst, src, src, relation, dst, first_revealed_index FROM edges),
+h1 AS (SELECT s.*, n.other, n.src, n.relation, n.dst FROM starts s JOIN near n ON n.corpus_id = s.corpus_id AND n.node = s.start AND n.first_revealed_index <= s.read_point),
+f2 AS (SELECT DISTINCT h1.corpus_id, question_id, read_point, start, start_ord, other FROM h1 JOIN nodes n ON n.corpus_id = h1.corpus_id AND n.id = h1.other WHERE other <> start AND degree < {I.HUB_DEGREE}),
+h2 AS (SELECT f.corpus_id, question_id, read_point, start_ord, n.src, n.relation, n.dst FROM f2 f JOIN near n ON n.corpus_id = f.corpus_id AND n.node = f.other AND n.first_revealed_index <= f.read_point),
+a AS (SELECT corpus_id, question_id, read_point, src, relation, dst, start_ord, 1 AS hop FROM h1 UNION ALL SELECT corpus_id, question_id, read_point, src, relation, dst, start_ord, 2 FROM h2),
+t AS (SELECT corpus_id, question_id, read_point, src, relation, dst, CAST(arg_min(hop, (start_ord, hop)) AS INTEGER) AS hop FROM a GROUP BY ALL),
+x AS (SELECT t.corpus_id, t.question_id, t.src, t.relation, t.dst, t.hop, max(v.n_passes) AS n_hits, count(*) AS n_evidence, bool_and(v.disputed IS NOT DISTINCT FROM true) AS disputed, bool_and(v.disputed IS NULL) AS unjudged
+  FROM t JOIN evidence v ON v.corpus_id = t.corpus_id AND v.subject = t.src AND v.relation = t.relation AND v.object = t.dst AND v.global_index <= t.read_point GROUP BY ALL)"""
+
+
+@query(f"WITH {I.EVIDENCE_SQL}, {I.QUESTIONS_SQL}, {_STARTS_SQL} SELECT * FROM starts")
+def link_starts(spark, sf_dir):
+    nodes, _ = built(spark, sf_dir)
+    return retrieve.link_starts(I.questions(spark, sf_dir), I.surfaces(spark, sf_dir), nodes)
+
+
+@query(_EXPAND_SQL + " SELECT * FROM x")
+def expand(spark, sf_dir):
+    nodes, edges = built(spark, sf_dir)
+    triples, _ = retrieve.expand(_starts(spark, sf_dir, nodes), nodes, edges)
+    return triples.select("corpus_id", "question_id", "src", "relation", "dst", "hop", "n_hits", F.size("evidence").cast("long").alias("n_evidence"), "disputed", "unjudged")
+
+
+@query(
+    _EXPAND_SQL
+    + """, r AS (SELECT *, row_number() OVER (PARTITION BY corpus_id, question_id ORDER BY hop, n_hits DESC, n_evidence DESC, src, relation, dst) AS place FROM x)
+SELECT corpus_id, question_id, src, relation, dst, CAST(place AS INTEGER) AS place, CASE WHEN disputed THEN 'hearsay' WHEN unjudged AND n_hits <= 1 THEN 'weak' ELSE 'confirmed' END AS certainty FROM r WHERE place <= 40"""
+)
+def rank_triples(spark, sf_dir):
+    nodes, edges = built(spark, sf_dir)
+    triples, _ = retrieve.expand(_starts(spark, sf_dir, nodes), nodes, edges)
+    ranked = retrieve.mark_certainty(retrieve.rank_triples(triples, ties=("src", "relation", "dst")))
+    return ranked.select("corpus_id", "question_id", "src", "relation", "dst", "place", "certainty")
+
+
+@query()
+def expand_paths(spark, sf_dir):
+    nodes, edges = built(spark, sf_dir)
+    triples, paths = retrieve.expand(_starts(spark, sf_dir, nodes), nodes, edges)
+    picked = retrieve.select_paths(paths, retrieve.rank_triples(triples))
+    return picked.select("corpus_id", "question_id", "target", "hops", F.array_join("steps", " | ").alias("steps"), "path_place")
+
+
+def _retrieved(spark, sf_dir):
+    nodes, edges = built(spark, sf_dir)
+    starts = _starts(spark, sf_dir, nodes)
+    triples, paths, used = retrieve.retrieve(I.questions(spark, sf_dir), starts, nodes, edges)
+    return nodes, edges, starts, saved(triples), paths, saved(used)
+
+
+@query()
+def retrieve_(spark, sf_dir):
+    _, _, _, triples, _, _ = _retrieved(spark, sf_dir)
+    return retrieve.evidence_block(triples, I.questions(spark, sf_dir))
+
+
+QUERIES["retrieve"] = QUERIES.pop("retrieve_")
+
+
+@query()
+def retrieval_summary(spark, sf_dir):
+    nodes, edges, starts, triples, _, used = _retrieved(spark, sf_dir)
+    asked = I.questions(spark, sf_dir)
+    counts = gate.visibility_counts(nodes, edges, asked.select("corpus_id", "read_point"))
+    out = retrieve.retrieval_summary(asked, starts, triples, used, counts)
+    return out.select("corpus_id", "question_id", F.array_join("starts", ",").alias("starts"), "hops", "allow_hub", "n_triples", F.array_join("trace", " | ").alias("trace"))
+
+
+@query()
+def retrieval_sources(spark, sf_dir):
+    _, _, _, triples, _, _ = _retrieved(spark, sf_dir)
+    return retrieve.sources(triples).select("corpus_id", "question_id", F.array_join("labels", ",").alias("labels"))
+
+
+# ---- sections, chunks, quotes
+
+_FLAT = r"regexp_replace(text, '\s+', ' ', 'g')"
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, trim({_FLAT}) AS t FROM documents), c AS (SELECT doc_id, t, unnest(CASE WHEN length(t) <= 3000 THEN [0] ELSE range(0, length(t), 2500) END) AS start FROM d)
+SELECT doc_id, CAST(start // 2500 AS INTEGER) AS chunk_no, CAST(start AS INTEGER) AS start, md5(substr(t, start + 1, 3000)) AS text_md5 FROM c"""
+)
+def chunk_overlap(spark, sf_dir):
+    out = sections.chunk_overlap(table(spark, sf_dir, "documents").select("doc_id", "text"), 3000, 500)
+    return out.select("doc_id", "chunk_no", "start", F.md5("text").alias("text_md5"))
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, {_FLAT} AS t FROM documents), c AS (SELECT doc_id, t, unnest(range(0, length(t), 2000)) AS start FROM d)
+SELECT doc_id, CAST(start // 2000 AS INTEGER) AS chunk_no, CAST(start AS INTEGER) AS start, md5(substr(t, start + 1, 2000)) AS text_md5 FROM c WHERE length(substr(t, start + 1, 2000)) >= 200"""
+)
+def chunk_fixed(spark, sf_dir):
+    out = sections.chunk_fixed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "chunk_no", "start", F.md5("text").alias("text_md5"))
+
+
+@query()
+def assign_sections(spark, sf_dir):
+    """Lines of documents as raw text, short ones being chapter headings; a corpus each document."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("corpus_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    rules = sections.Headings(part=None, book=None, epilogue=None, chapter=r"^()[A-ZÀ-Þ][^ ]*( [^ ]*)?$", roman=True)
+    # every line before the first heading belongs to no section: without books the first chapter opens the text
+    out = sections.assign_sections(d, rules)
+    return out.select("corpus_id", "doc_id", "global_index", "n_chars", F.md5("text").alias("text_md5"), F.md5("chapter_title").alias("title_md5"))
+
+
+@query(
+    """WITH t AS (SELECT conv_id AS book_no, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS due, length(text) AS n FROM conversations)
+SELECT 'chapters out of order' AS what, count(DISTINCT book_no) AS n FROM t WHERE turn + 1 <> due HAVING count(*) > 0 UNION ALL SELECT 'short section', count(*) FROM t WHERE n < 500 HAVING count(*) > 0"""
+)
+def check_sections(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    rows = c.select(F.lit("log").alias("corpus_id"), F.concat_ws("-", "conv_id", "turn").alias("doc_id"), F.col("turn").alias("global_index"), F.col("conv_id").alias("book_no"), (F.col("turn") + 1).alias("chapter_no"), F.length("text").alias("n_chars"))
+    return sections.check_sections(rows)[0].groupBy("what").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 3 <> 0")
+def todo_sections(spark, sf_dir):
+    s = table(spark, sf_dir, "documents").select(F.col("source").alias("corpus_id"), "doc_id")
+    done = s.where("doc_id % 3 = 0").withColumn("pass", F.lit("extract_cache"))
+    return sections.todo_sections(s, done, "extract_cache").select("doc_id")
+
+
+def quotes(spark, sf_dir) -> DataFrame:
+    """A quote from the middle of each document, every third one put to the document after it."""
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.lit("all").alias("corpus_id"), F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") + 1).otherwise(F.col("doc_id")).alias("doc_id"), F.col("doc_id").alias("tri_pos"), F.expr("substring(text, cast(greatest(floor(length(text) / 2) - 30, 0) as int) + 1, 60)").alias("quote"))
+
+
+_NORM_QUOTE = lambda c: f"translate(lower(trim(regexp_replace({c}, '\\s+', ' ', 'g'))), '“”‘’—–', '\"\"''''--')"
+
+
+@query(
+    f"""WITH q AS (SELECT CASE WHEN doc_id % 3 = 0 THEN doc_id + 1 ELSE doc_id END AS doc_id, doc_id AS tri_pos, substr(text, CAST(greatest(length(text) // 2 - 30, 0) AS INT) + 1, 60) AS quote FROM documents)
+SELECT q.tri_pos, q.doc_id FROM q JOIN documents d ON d.doc_id = q.doc_id WHERE contains({_NORM_QUOTE("d.text")}, {_NORM_QUOTE("q.quote")})"""
+)
+def verify_quotes(spark, sf_dir):
+    s = table(spark, sf_dir, "documents").select(F.lit("all").alias("corpus_id"), "doc_id", F.col("doc_id").alias("global_index"), F.lit("x").alias("label"), "text")
+    return evidence.verify_quotes(quotes(spark, sf_dir), s)[0].select("tri_pos", "doc_id")
+
+
+@query(
+    f"""WITH q AS (SELECT CASE WHEN doc_id % 3 = 0 THEN doc_id + 1 ELSE doc_id END AS doc_id, doc_id AS tri_pos, substr(text, CAST(greatest(length(text) // 2 - 30, 0) AS INT) + 1, 60) AS quote FROM documents),
+k AS (SELECT q.*, coalesce(contains({_NORM_QUOTE("d.text")}, {_NORM_QUOTE("q.quote")}), false) AS ok FROM q LEFT JOIN documents d ON d.doc_id = q.doc_id),
+s AS (SELECT d.doc_id, count(k.doc_id) FILTER (ok) AS t, count(k.doc_id) FILTER (NOT ok) AS x FROM documents d LEFT JOIN k USING (doc_id) GROUP BY 1)
+SELECT 'p1' AS pass, count(*) AS n_sections, CAST(sum(t) AS BIGINT) AS n_triples, 0::BIGINT AS n_entities, CAST(sum(x) AS BIGINT) AS n_dropped, round(sum(x) * 100.0 / greatest(1, sum(t) + sum(x)), 6) AS dropped_pct FROM s"""
+)
+def extraction_report(spark, sf_dir):
+    s = table(spark, sf_dir, "documents").select(F.lit("all").alias("corpus_id"), "doc_id", F.col("doc_id").alias("global_index"), F.lit("x").alias("label"), "text")
+    kept, dropped = evidence.verify_quotes(quotes(spark, sf_dir), s)
+    tri = kept.select("corpus_id", "doc_id", "tri_pos", F.lit("a").alias("subject"), F.lit("R").alias("relation"), F.lit("b").alias("object"), "quote", F.lit(None).cast("boolean").alias("disputed"))
+    none = spark.createDataFrame([], "corpus_id string, doc_id bigint, ent_pos int, name string, type string, aliases array<string>")
+    rows = evidence.collect_extraction(s.drop("text"), none, tri, dropped, "p1")
+    out = evidence.extraction_report(rows)
+    return out.withColumn("n_entities", F.col("n_entities").cast("long")).withColumn("n_triples", F.col("n_triples").cast("long")).withColumn("n_dropped", F.col("n_dropped").cast("long")).withColumn("dropped_pct", F.round("dropped_pct", 6))
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, {_FLAT} AS t, regexp_extract({_FLAT}, '^ ?[^ ]+ ([\\p{{L}}]{{2,}})', 1) AS w FROM documents),
+m AS (SELECT doc_id, t, w, strpos(lower(t), lower(w)) AS pos FROM d WHERE w <> '')
+SELECT doc_id, regexp_replace(substr(t, greatest(pos - 1 - 10, 0) + 1, least(length(t), pos - 1 + length(w) + 170) - greatest(pos - 1 - 10, 0)), '^\\s+|\\s+$', '', 'g') AS quote FROM m"""
+)
+def mine_quotes(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.lit("all").alias("corpus_id"), F.col("doc_id").alias("global_index"), "doc_id", F.lit("x").alias("label"), "text")
+    word = F.regexp_extract(T.collapse(F.col("text")), r"^ ?[^ ]+ ([\p{L}]{2,})", 1)
+    rules = d.select("corpus_id", "global_index", F.concat(F.lit("(?u)"), word).alias("pattern")).where(F.length("pattern") > 4)
+    return evidence.mine_quotes(rules, d, before=10).select("doc_id", "quote")
+
+
+# ---- names
+
+
+@query(
+    """WITH n AS (SELECT doc_id, regexp_replace(split_part(text, chr(10), 1), '[\\x00-\\x1f\\x7f]', ' ', 'g') AS c FROM documents)
+SELECT doc_id, trim(regexp_replace(c, '\\s+', ' ', 'g')) AS clean,
+ lower(trim(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(c, '\\s+', ' ', 'g')), '^(?i:the|a|an)\\s+', ''), '[^\\p{L}\\p{N}_\\sÀ-ɏ-]', ' ', 'g'), '\\s+', ' ', 'g'))) AS norm,
+ regexp_matches(c, '\\p{Lu}') AS has_upper FROM n"""
+)
+def normalised_names(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n")[0].alias("name"))
+    return d.select("doc_id", T.clean(F.col("name")).alias("clean"), T.norm(F.col("name")).alias("norm"), T.has_upper(F.col("name")).alias("has_upper"))
+
+
+@query(
+    """WITH e AS (SELECT p_name AS name, p_type AS type, p_partkey AS ord FROM part),
+v AS (SELECT name, type, count(*) AS n, min(ord) AS first FROM e GROUP BY 1, 2)
+SELECT 'all' AS corpus_id, name, arg_min(type, (-n, first)) AS type FROM v GROUP BY 2"""
+)
+def vote_types(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return names.vote_types(p.select(F.lit("all").alias("corpus_id"), F.lit("p1").alias("pass"), F.lit("x").alias("doc_id"), F.col("p_partkey").alias("ent_pos"), F.col("p_name").alias("name"), F.col("p_type").alias("type")))
+
+
+def rule_tables(spark, sf_dir) -> names.Dicts:
+    """Rule tables from part: brands are canons of names, some colours are stop words or surnames."""
+    p = table(spark, sf_dir, "part")
+    groups = p.select(F.initcap("p_name").alias("canon"), F.concat("p_name", F.lit(" "), "p_brand").alias("variant"), F.col("p_partkey").alias("ord")).where("ord % 4 = 0")
+    word = lambda n: F.split("p_name", " ")[n]
+    return names.Dicts(
+        names.alias_dict(groups),
+        p.where("p_partkey % 50 = 1").select(F.lower("p_name").alias("name")).distinct(),
+        p.where("p_partkey % 50 = 2").select(F.lower("p_name").alias("name"), F.upper("p_name").alias("canon")).distinct(),
+        p.where("p_partkey % 60 = 3").groupBy(word(1).alias("token")).agg(F.min_by(F.initcap("p_name"), "p_partkey").alias("canon"), F.min("p_partkey").alias("ord")),
+        p.where("p_partkey % 60 = 5").select(word(0).alias("token")).distinct(),
+    )
+
+
+_RULES_SQL = """
+g AS (SELECT array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS canon, p_name || ' ' || p_brand AS variant, p_partkey AS ord FROM part WHERE p_partkey % 4 = 0),
+k AS (SELECT lower(canon) AS key, canon, ord, 0 AS b FROM g UNION ALL SELECT lower(replace(variant, '#', ' ')), canon, ord, 1 FROM g),
+a AS (SELECT key, arg_max(canon, (ord, b)) AS canon FROM k GROUP BY 1),
+stop AS (SELECT DISTINCT lower(p_name) AS name FROM part WHERE p_partkey % 50 = 1),
+place AS (SELECT DISTINCT lower(p_name) AS name, upper(p_name) AS canon FROM part WHERE p_partkey % 50 = 2),
+sur AS (SELECT split_part(p_name, ' ', 2) AS token, arg_min(array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' '), p_partkey) AS canon, min(p_partkey) AS ord FROM part WHERE p_partkey % 60 = 3 GROUP BY 1),
+shared AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS token FROM part WHERE p_partkey % 60 = 5)"""
+
+
+@query(f"WITH {_RULES_SQL} SELECT key, canon FROM a")
+def alias_dict(spark, sf_dir):
+    return rule_tables(spark, sf_dir).aliases
+
+
+@query(
+    f"""WITH {_RULES_SQL},
+n AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN 'The ' || p_name ELSE p_name || ' ' || p_brand END AS name FROM part),
+m AS (SELECT p_partkey, name, lower(trim(regexp_replace(regexp_replace(name, '^The ', ''), '#', ' '))) AS norm FROM n),
+s AS (SELECT m.p_partkey, arg_min(sur.canon, sur.ord) AS canon FROM m JOIN sur ON list_contains(string_split(m.norm, ' '), sur.token) WHERE NOT EXISTS (SELECT 1 FROM shared WHERE list_contains(string_split(m.norm, ' '), shared.token)) GROUP BY 1)
+SELECT m.p_partkey, CASE WHEN m.norm IN (FROM stop) OR lower(m.name) IN (FROM stop) THEN NULL WHEN place.canon IS NOT NULL THEN place.canon WHEN a.canon IS NOT NULL THEN a.canon WHEN s.canon IS NOT NULL THEN s.canon
+ WHEN regexp_matches(m.name, '\\p{{Lu}}') THEN m.name END AS resolved
+FROM m LEFT JOIN place ON place.name = m.norm LEFT JOIN a ON a.key = m.norm LEFT JOIN s ON s.p_partkey = m.p_partkey"""
+)
+def resolve_names(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    name = F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("The "), "p_name")).otherwise(F.concat("p_name", F.lit(" "), "p_brand"))
+    return names.resolve(p.select("p_partkey", name.alias("name")), "name", rule_tables(spark, sf_dir)).select("p_partkey", "resolved")
+
+
+@query()
+def learn_aliases(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    mentions = p.select(F.lit("p1").alias("pass"), F.lit("x").alias("doc_id"), F.col("p_partkey").alias("ent_pos"), F.initcap("p_name").alias("name"), F.array(F.concat(F.initcap("p_name"), F.lit(" "), "p_type"), F.initcap("p_type"), F.concat(F.initcap(F.split("p_name", " ")[0]), F.lit(" Esq"))).alias("aliases"))
+    return names.learn_aliases(mentions, rule_tables(spark, sf_dir))[0].select("key", "canon")
+
+
+#: A name that stands in many documents is a frequent capitalised first word.
+_FORMS_SQL = """
+w AS (SELECT lower(regexp_extract(text, '^([\\p{L}]{4,})', 1)) AS form FROM documents), forms AS (SELECT DISTINCT form FROM w WHERE form <> '')"""
+
+
+def _forms(spark, sf_dir) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.lower(F.regexp_extract("text", r"^([\p{L}]{4,})", 1)).alias("form")).where("form <> ''").distinct()
+    return d.join(I.sections(spark, sf_dir).select("corpus_id").distinct()).select("corpus_id", F.col("form").alias("key"), "form")
+
+
+@query(
+    f"""WITH {I.SECTIONS_SQL}, {_FORMS_SQL},
+t AS (SELECT DISTINCT corpus_id, doc_id, global_index, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS form FROM sections)
+SELECT corpus_id, form, min(global_index) AS first_index, count(DISTINCT doc_id) AS n_text_chapters FROM t JOIN forms USING (form) GROUP BY 1, 2"""
+)
+def text_search(spark, sf_dir):
+    found = graph.find_forms(_forms(spark, sf_dir), I.sections(spark, sf_dir))
+    return found.groupBy("corpus_id", "form").agg(F.min("global_index").alias("first_index"), F.count_distinct("doc_id").alias("n_text_chapters"))
+
+
+# ---- control retriever
+
+
+def _bm25_inputs(spark, sf_dir):
+    d = I.sections(spark, sf_dir)
+    chunks = d.select(F.lit("all").alias("corpus_id"), F.col("number").alias("chunk_id"), F.col("number").alias("global_index"), "label", "text")
+    n = 500
+    q = table(spark, sf_dir, "benchmark").select(F.lit("all").alias("corpus_id"), F.col("item_id").alias("query_id"), (F.lit(n) + F.col("item_id")).alias("read_point"), F.substring("text", 1, 60).alias("text"))
+    return chunks, q
+
+
+_BM25_SQL = """
+c AS (SELECT doc_id AS chunk_id, regexp_extract_all(lower(text), '[a-z0-9À-ɏ가-힣]+') AS t FROM documents),
+n AS (SELECT count(*) AS n, avg(len(t)) AS avg_len FROM c),
+q AS (SELECT item_id AS query_id, 500 + item_id AS read_point, unnest(regexp_extract_all(lower(substr(text, 1, 60)), '[a-z0-9À-ɏ가-힣]+')) AS term FROM benchmark),
+a AS (SELECT query_id, term, count(*) AS times FROM q GROUP BY 1, 2),
+p AS (SELECT chunk_id, len(t) AS n_tokens, unnest(t) AS term FROM c),
+tf AS (SELECT chunk_id, n_tokens, term, count(*) AS tf FROM p WHERE term IN (SELECT term FROM a) GROUP BY ALL),
+df AS (SELECT term, ln(1 + (any_value(n.n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, n GROUP BY 1),
+s AS (SELECT query_id, chunk_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n_tokens / avg_len))) AS score FROM tf JOIN df USING (term) JOIN a USING (term), n GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_BM25_SQL} SELECT query_id, chunk_id, round(score, 6) AS score FROM s")
+def bm25_score(spark, sf_dir):
+    chunks, q = _bm25_inputs(spark, sf_dir)
+    return rank.bm25_score(chunks, q).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
+@query(
+    f"""WITH {_BM25_SQL}, v AS (SELECT DISTINCT q.query_id, d.doc_id AS chunk_id, coalesce(s.score, 0) AS score FROM (SELECT DISTINCT query_id, read_point FROM q) q JOIN documents d ON d.doc_id <= q.read_point LEFT JOIN s ON s.query_id = q.query_id AND s.chunk_id = d.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place FROM v) SELECT query_id, chunk_id, CAST(place AS INTEGER) AS place FROM r WHERE place <= 6"""
+)
+def bm25_topk(spark, sf_dir):
+    chunks, q = _bm25_inputs(spark, sf_dir)
+    scores = saved(rank.bm25_score(chunks, q))
+    return rank.topk(scores, chunks, q).select("query_id", "chunk_id", "place")
+
+
+@query()
+def bm25_context(spark, sf_dir):
+    chunks, q = _bm25_inputs(spark, sf_dir)
+    top = rank.topk(saved(rank.bm25_score(chunks, q)), chunks, q)
+    return rank.context_block(top, chunks, q).select("query_id", F.md5("block").alias("block_md5"), F.array_join("labels", ",").alias("labels"))
+
+
+@query(
+    """WITH q AS (SELECT vec_id AS query_id, vec_id + 200 AS read_point, embedding AS q FROM embeddings WHERE vec_id % 100 = 0),
+s AS (SELECT query_id, vec_id, list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]) AS score FROM q JOIN embeddings ON vec_id <= read_point),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s) SELECT query_id, vec_id, round(score, 6) AS score, CAST(place AS INTEGER) AS place FROM r WHERE place <= 6"""
+)
+def cosine_topk(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), (F.col("vec_id") + 200).alias("read_point"), F.col("embedding").alias("vector"))
+    return rank.cosine_topk(e.select("vec_id", F.col("vec_id").alias("global_index"), F.col("embedding").alias("vector")), q).select("query_id", "vec_id", F.round("score", 6).alias("score"), "place")
+
+
+# ---- evaluation
+
+
+def _golden(spark, sf_dir) -> DataFrame:
+    """The questions with paths to expect: two steps from the supplier, every fourth one without a path."""
+    q = I.questions(spark, sf_dir)
+    step = lambda s, o: F.struct(s.alias("s"), F.lit("R").alias("rel"), o.alias("o"))
+    sup, part = F.concat(F.lit("S"), "number"), lambda k: F.concat(F.lit("P"), (F.col("number") * 7 + k) % 2000)
+    path = F.when(F.col("number") % 40 == 0, F.array().cast("array<struct<s:string,rel:string,o:string>>")).otherwise(F.array(step(sup, part(3)), step(part(3), sup)))
+    kind = F.when(F.col("number") % 40 == 0, "spoiler_gate").when(F.col("number") % 30 == 0, "control_singlehop").otherwise("multihop")
+    return q.select("question_id", kind.alias("kind"), (1 + F.col("number") / 10 % 3).cast("int").alias("hops"), "question", "read_point", F.lit("x").alias("expected_answer"), path.alias("expected_path"), "number")
+
+
+@query()
+def path_recall(spark, sf_dir):
+    nodes, edges = built(spark, sf_dir)
+    triples, _ = retrieve.expand(_starts(spark, sf_dir, nodes), nodes, edges)
+    return evaluate.path_recall(_golden(spark, sf_dir), triples).withColumn("path_recall", F.round("path_recall", 6))
+
+
+def _rows(spark, sf_dir) -> DataFrame:
+    nodes, edges, starts, triples, _, used = _retrieved(spark, sf_dir)
+    golden = saved(_golden(spark, sf_dir))
+    labels = table(spark, sf_dir, "labels").groupBy(F.pmod("doc_id", F.lit(10)).alias("k")).agg((F.avg("quality") > 0.8).alias("correct"), (F.avg("toxic") > 0.15).alias("leaked"))
+    judged = golden.join(labels, F.pmod(F.col("number") / 10, F.lit(10)).cast("long") == F.col("k"), "left").select("question_id", "correct", "leaked")
+    n = triples.groupBy("question_id").agg(F.count("*").cast("int").alias("n_triples"))
+    g = judged.join(n, "question_id", "left").join(used.select("question_id", F.col("hops").alias("hops_used"), F.col("allow_hub").alias("hub_opened")), "question_id", "left")
+    g = g.select("question_id", F.lit("a").alias("answer"), "correct", "leaked", F.lit("r").alias("reason"), "n_triples", "hops_used", "hub_opened", F.array().cast("array<string>").alias("starts"), F.array().cast("array<string>").alias("trace"))
+    b = judged.select("question_id", F.lit("a").alias("answer"), (~F.col("correct")).alias("correct"), "leaked", F.lit("r").alias("reason"), F.array().cast("array<string>").alias("chapters"))
+    recall = evaluate.path_recall(golden, triples)
+    layer = evaluate.failure_layer(golden, triples, edges, judged.select("question_id", "correct"))
+    return saved(evaluate.eval_rows(golden, g, b, recall, layer))
+
+
+@query()
+def evaluation_report(spark, sf_dir):
+    return evaluate.report(_rows(spark, sf_dir))
+
+
+@query()
+def evaluation_failures(spark, sf_dir):
+    return evaluate.failures(_rows(spark, sf_dir))[0].select("failure_layer", "n", F.array_join("ids", ",").alias("ids"))
+
+
+@query()
+def evaluation_leaks(spark, sf_dir):
+    return evaluate.leaks(_rows(spark, sf_dir)).select("system", "n", F.array_join("ids", ",").alias("ids"))

@@ -1,0 +1 @@
+"""Streaming: nothing here. The work is batch; incremental runs use `sections.todo_sections` and the append log."""
