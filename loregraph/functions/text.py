@@ -86,4 +86,4 @@ def roman_to_int(c: Column) -> Column:
 def word_pattern(form: Column) -> Column:
     """A regular expression that finds a normalised form as whole words, in any case, with any whitespace between."""
     escaped = F.regexp_replace(form, r"([\\\[\](){}.*+?^$|-])", r"\\$1")
-    return F.concat(F.lit(r"(?is)(^|[^\p{L}\p{N}_])"), F.regexp_replace(escaped, " +", r"\\s+"), F.lit(r"($|[^\p{L}\p{N}_])"))
+    return F.concat(F.lit(r"(?isu)(^|[^\p{L}\p{N}_])"), F.regexp_replace(escaped, " +", r"\\s+"), F.lit(r"($|[^\p{L}\p{N}_])"))

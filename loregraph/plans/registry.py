@@ -427,19 +427,19 @@ def bm25_score(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_BM25_SQL}, v AS (SELECT DISTINCT q.query_id, d.doc_id AS chunk_id, coalesce(s.score, 0) AS score FROM (SELECT DISTINCT query_id, read_point FROM q) q JOIN documents d ON d.doc_id <= q.read_point LEFT JOIN s ON s.query_id = q.query_id AND s.chunk_id = d.doc_id),
+    f"""WITH {_BM25_SQL}, v AS (SELECT DISTINCT q.query_id, d.doc_id AS chunk_id, coalesce(round(s.score, 6), 0) AS score FROM (SELECT DISTINCT query_id, read_point FROM q) q JOIN documents d ON d.doc_id <= q.read_point LEFT JOIN s ON s.query_id = q.query_id AND s.chunk_id = d.doc_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place FROM v) SELECT query_id, chunk_id, CAST(place AS INTEGER) AS place FROM r WHERE place <= 6"""
 )
 def bm25_topk(spark, sf_dir):
     chunks, q = _bm25_inputs(spark, sf_dir)
-    scores = saved(rank.bm25_score(chunks, q))
+    scores = saved(rank.bm25_score(chunks, q).withColumn("score", F.round("score", 6)))
     return rank.topk(scores, chunks, q).select("query_id", "chunk_id", "place")
 
 
 @query()
 def bm25_context(spark, sf_dir):
     chunks, q = _bm25_inputs(spark, sf_dir)
-    top = rank.topk(saved(rank.bm25_score(chunks, q)), chunks, q)
+    top = rank.topk(saved(rank.bm25_score(chunks, q).withColumn("score", F.round("score", 6))), chunks, q)
     return rank.context_block(top, chunks, q).select("query_id", F.md5("block").alias("block_md5"), F.array_join("labels", ",").alias("labels"))
 
 
