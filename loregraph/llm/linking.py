@@ -42,30 +42,45 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return roots.union(roots.select(F.col("root").alias("id"), "root").distinct())
 
 
-def link(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], over: int = 4, under: int = 5) -> DataFrame:
+#: From this many items on a list counts as large: its items' unshared elements are counted.
+LARGE = 32
+
+
+def link(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], over: int = 4, under: int = 5, prepare: Callable[[DataFrame], None] | None = None, unshared: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The links that make the components: edges(a, b).
 
-    postings(token, id, size[, alone]): the lists. `alone` of an item's elements are in no other item (0 if not given): they
-    bound what it can share with any other, and the item of a list that has the fewest is its pivot. verify gets
-    pairs(a, b) without repeats, and returns (a, b, inter, total) with the exact sizes of intersection and union, or leaves
-    out pairs that surely do not link. Similarity is at least over/under.
+    postings(token, id, size[, alone]): the lists. `alone` of an item's elements are in no other item: they bound what it
+    can share with any other, and the item of a list that has the fewest is its pivot. If postings do not have it,
+    unshared(ids) gives (id, alone) for the items of large lists, counted among these items; it is 0 elsewhere.
+    prepare(ids) is called once with all items of lists of two or more. verify gets pairs(a, b) without repeats, and returns
+    (a, b, inter, total) with the exact sizes of intersection and union, or leaves out pairs that surely do not link.
+    Similarity is at least over/under.
     """
     if "alone" in postings.columns:
         item = F.struct("alone", "id", "size")
-        ends, pivot = postings.groupBy("token").agg(F.min(item).alias("p"), F.max(item).alias("last")), "p.id"
+        ends, pivot = postings.groupBy("token").agg(F.min(item).alias("p"), F.max(item).alias("last"), F.lit(0).alias("n")), "p.id"
     else:
-        ends, pivot = postings.groupBy("token").agg(F.min("id").alias("p"), F.max("id").alias("last")), "p"
+        ends, pivot = postings.groupBy("token").agg(F.min("id").alias("p"), F.max("id").alias("last"), F.count("*").alias("n")), "p"
         postings = postings.withColumn("alone", F.lit(0))
-    heads = ends.where("p <> last").select("token", F.col(pivot).alias("pivot"))
+    heads = ends.where("p <> last").select("token", "n", F.col(pivot).alias("pivot"))
     shared = saved(postings.join(heads, "token").distinct())
-    sizes = shared.where("id = pivot").select("pivot", F.col("size").alias("pivot_size"), F.col("alone").alias("pivot_alone")).distinct()
+    if prepare:
+        prepare(saved(shared.select("id").distinct()))
+    large = shared.where(F.col("n") > LARGE)
+    if unshared and not large.isEmpty():
+        few = saved(unshared(saved(large.select("id").distinct())).withColumnRenamed("alone", "_alone"))
+        known = saved(large.join(few, "id", "left").withColumn("alone", F.coalesce("_alone", F.lit(0)).cast("int")).drop("_alone", "pivot"))
+        heads = known.groupBy("token").agg(F.min(F.struct("alone", "id")).alias("p")).select("token", F.col("p.id").alias("pivot"))
+        shared = saved(shared.where(F.col("n") <= LARGE).unionByName(known.join(heads, "token")))
+    shared = shared.drop("n")
+    sizes = shared.where("id = pivot").select("token", F.col("size").alias("pivot_size"), F.col("alone").alias("pivot_alone"))
 
     def may(a, b, alone_a, alone_b):
         most = F.least(a - alone_a, b - alone_b)
         return (F.least(a, b) * under >= F.greatest(a, b) * over) & (most * (over + under) >= (a + b) * over)
 
-    star = shared.where("id <> pivot").select("pivot", "id", "size", "alone").distinct().join(sizes, "pivot")
-    star = star.where(may(F.col("size"), F.col("pivot_size"), F.col("alone"), F.col("pivot_alone"))).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+    star = shared.where("id <> pivot").join(sizes, "token")
+    star = star.where(may(F.col("size"), F.col("pivot_size"), F.col("alone"), F.col("pivot_alone"))).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     first = saved(verify(star))
     linked = F.col("inter") * under >= F.col("total") * over
     edges = first.where(linked).select("a", "b")
