@@ -112,8 +112,11 @@ def train(docs: DataFrame, rows: DataFrame | None = None) -> Model | None:
     """The model of docs(doc_id, text, lang). rows: which of them may be learned from, by default `learned_rows`."""
     rows = learned_rows(docs) if rows is None else rows
     ids = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).distinct()
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = ids.withColumn("place", place).where(F.col("place") <= PER_LANGUAGE).orderBy("place", "lang", "doc_id").limit(SAMPLE)
+    order = (F.xxhash64("doc_id"), "doc_id")
+    # first within slices of a language, so that the rows of a frequent one do not meet in one task
+    slices = Window.partitionBy("lang", F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(64))).orderBy(*order)
+    ids = ids.withColumn("place", F.row_number().over(slices)).where(F.col("place") <= PER_LANGUAGE)
+    picked = ids.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("place") <= PER_LANGUAGE).orderBy("place", "lang", "doc_id").limit(SAMPLE)
     picked = saved(picked)
     schema = pa.schema([("place", pa.int32()), ("lang", pa.string()), ("cells", pa.binary())])
 

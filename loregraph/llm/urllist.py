@@ -46,7 +46,7 @@ def patterns_of(url: Column) -> Column:
 
 def evaluated(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """Per row of captures(id, url, day): id, day, blocked, entry."""
-    spans = intervals(entries)
+    captures, spans = captures.select("id", "url", "day"), intervals(entries)
     # Months make the join an equality, so that a pattern with many intervals meets a few of them at a time.
     last = F.coalesce(F.date_sub("until", 1), F.lit("9999-12-01").cast("date"))
     seen = captures.select(F.min("day").alias("lo"), F.max("day").alias("hi")).first()
