@@ -27,11 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df as a table written to the shared folder: cuts the lineage, survives the loss of executors."""
+def saved(df: DataFrame, few: bool = False) -> DataFrame:
+    """df as a table written to the shared folder: cuts the lineage, survives the loss of executors. few: rows of a step
+    that is small against the input; they go to a few files for each core of the cluster, however many partitions they
+    come from."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loregraph/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(max(8, 4 * spark.sparkContext.defaultParallelism)) if few else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

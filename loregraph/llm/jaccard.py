@@ -109,10 +109,10 @@ def _linkable(docs: DataFrame, sets: DataFrame, k: int, over: int, under: int) -
     """The rows of sets(set_id, n, ...) that may have a partner, with alone: how many shingles are in no other set."""
     most = F.col("n") - F.ceil(F.col("n") * over / under)
     once = _tokens(docs, k, SHARE).groupBy("token").agg(F.count("*").alias("c"), F.max("id").alias("id")).where("c = 1").groupBy("id").agg(F.count("*").alias("alone"))
-    left = saved(sets.join(once, sets["set_id"] == once["id"], "left").where(F.coalesce("alone", F.lit(0)) <= most).select(*sets.columns))
+    left = saved(sets.join(once, sets["set_id"] == once["id"], "left").where(F.coalesce("alone", F.lit(0)) <= most).select(*sets.columns), few=True)
     marked = _marked(docs, left.select(F.col("set_id").alias("id")))
     own = _tokens(docs, k, 1.0, marked).groupBy("token").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last").groupBy("id").agg(F.count("*").alias("alone"))
-    return saved(left.join(own, left["set_id"] == own["id"], "left").withColumn("alone", F.coalesce("alone", F.lit(0)).cast("int")).where(F.col("alone") <= most).drop("id"))
+    return saved(left.join(own, left["set_id"] == own["id"], "left").withColumn("alone", F.coalesce("alone", F.lit(0)).cast("int")).where(F.col("alone") <= most).drop("id"), few=True)
 
 
 def least_overlap(a: int, b: int, over: int, under: int) -> int:
@@ -231,7 +231,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, over: int = 4, under: int = 5) -
     spark = docs.sparkSession
     overview = saved(_overview(docs, k))
     sets = overview.where("n is not null")
-    distinct = saved(sets.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("profile").alias("profile")))
+    distinct = saved(sets.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("profile").alias("profile")), few=True)
     able = _linkable(docs, distinct, k, over, under)
     counts = summed(overview.where("segment is not null").select("segment", "cells"), WIDTH)
     sizes = {r.n: r.m for r in able.where(F.col("n") <= 2 * MOST_SMALL).groupBy("n").agg(F.count("*").alias("m")).collect()}
@@ -246,8 +246,8 @@ def jaccard_groups(docs: DataFrame, k: int = 5, over: int = 4, under: int = 5) -
     def verify(pairs: DataFrame) -> DataFrame:
         slim = able.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("profile").alias("pa"))
         both = pairs.join(slim, "a").join(slim.select(F.col("a").alias("b"), F.col("na").alias("nb"), F.col("pa").alias("pb")), "b")
-        close = saved(_may_link(both.select("a", "b", "na", "nb", "pa", "pb"), over, under))
-        ids = saved(close.select(F.col("a").alias("id")).union(close.select(F.col("b").alias("id"))).distinct())
+        close = saved(_may_link(both.select("a", "b", "na", "nb", "pa", "pb"), over, under), few=True)
+        ids = saved(close.select(F.col("a").alias("id")).union(close.select(F.col("b").alias("id"))).distinct(), few=True)
         found = saved(_wanted_sets(docs, ids, k))
         joined = close.join(found.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(found.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
         return _overlap("ta", "tb", joined.select("a", "b", "ta", "tb"))
@@ -260,7 +260,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, over: int = 4, under: int = 5) -
     roots = components(edges)
     placed = distinct.join(roots.select(F.col("id").alias("set_id"), "root"), "set_id", "left").select("set_id", "least", F.coalesce("root", "set_id").alias("root"))
     names = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("set_id", "component_id")
-    return sets.join(saved(names), "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "set_id")
+    return sets.join(saved(names, few=True), "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "set_id")
 
 
 def one_of_each_group(docs: DataFrame, k: int = 5, over: int = 4, under: int = 5) -> DataFrame:

@@ -23,19 +23,18 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     and the node go to the smallest one) until nothing changes. Null ends and loops are left out.
     """
     both = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    now = saved(both.distinct())
-    state = None
+    now = saved(both.distinct(), few=True)
     for _ in range(most_rounds):
         out = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = out.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = out.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = saved(small.union(down.select("a", F.col("m").alias("b"))).distinct())
-        seen = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-        if (seen.n, seen.x) == state:
+        now = saved(small.union(down.select("a", F.col("m").alias("b"))).distinct(), few=True)
+        # Done when each node has one edge and no root is a node: then all edges are stars around roots.
+        ends = now.select("a", F.lit(1).alias("n")).union(now.select("b", F.lit(0)).distinct())
+        if ends.groupBy("a").agg(F.sum("n").alias("n"), F.count("*").alias("c")).where("n > 1 or c > 1").isEmpty():
             break
-        state = (seen.n, seen.x)
     else:
         raise RuntimeError("the components did not settle")
     roots = now.select(F.col("a").alias("id"), F.col("b").alias("root"))
@@ -47,7 +46,7 @@ LARGE = 32
 
 
 def link(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], over: int = 4, under: int = 5, prepare: Callable[[DataFrame], None] | None = None, unshared: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """The links that make the components: edges(a, b).
+    """Links that make the components: edges(a, b), those to the roots of a first round among them.
 
     postings(token, id, size[, alone]): the lists. `alone` of an item's elements are in no other item: they bound what it
     can share with any other, and the item of a list that has the fewest is its pivot. If postings do not have it,
@@ -65,10 +64,10 @@ def link(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], over: in
     heads = ends.where("p <> last").select("token", "n", F.col(pivot).alias("pivot"))
     shared = saved(postings.join(heads, "token").distinct())
     if prepare:
-        prepare(saved(shared.select("id").distinct()))
+        prepare(saved(shared.select("id").distinct(), few=True))
     large = shared.where(F.col("n") > LARGE)
     if unshared and not large.isEmpty():
-        few = saved(unshared(saved(large.select("id").distinct())).withColumnRenamed("alone", "_alone"))
+        few = saved(unshared(saved(large.select("id").distinct(), few=True)).withColumnRenamed("alone", "_alone"), few=True)
         known = saved(large.join(few, "id", "left").withColumn("alone", F.coalesce("_alone", F.lit(0)).cast("int")).drop("_alone", "pivot"))
         heads = known.groupBy("token").agg(F.min(F.struct("alone", "id")).alias("p")).select("token", F.col("p.id").alias("pivot"))
         shared = saved(shared.where(F.col("n") <= LARGE).unionByName(known.join(heads, "token")))
@@ -84,7 +83,7 @@ def link(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], over: in
     first = saved(verify(star))
     linked = F.col("inter") * under >= F.col("total") * over
     edges = first.where(linked).select("a", "b")
-    roots = saved(components(edges))
+    roots = saved(components(edges), few=True)
     far = first.select(F.col("a").alias("pivot"), F.col("b").alias("id"), (1 - F.col("inter") / F.col("total")).alias("far"))
     placed = (
         shared.join(roots.select("id", F.col("root").alias("r")), "id", "left")
@@ -104,7 +103,6 @@ def link(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], over: in
         .select(F.least("s.id", "o.id").alias("a"), F.greatest("s.id", "o.id").alias("b"))
         .distinct()
     )
-    pairs = saved(pairs)
-    if pairs.isEmpty():
-        return edges
-    return edges.union(verify(pairs).where(linked).select("a", "b"))
+    pairs = saved(pairs, few=True)
+    known = roots.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b"))
+    return known if pairs.isEmpty() else known.union(verify(pairs).where(linked).select("a", "b"))

@@ -188,6 +188,6 @@ def scores(docs: DataFrame, alpha: float = ALPHA, cutoff: int = CUTOFF) -> DataF
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     rows = slim.select("key", "doc_id", size.alias("n_words"))
     alike = rows.groupBy("key").agg(F.count("*").alias("alike"))
-    per = saved(total.join(alike, "key").select("key", (F.col("score") / F.col("alike")).alias("log_score")))
+    per = saved(total.join(alike, "key").select("key", (F.col("score") / F.col("alike")).alias("log_score")), few=True)
     return rows.join(per, "key", "left").select("doc_id", "n_words", "log_score", (F.col("log_score") / F.col("n_words")).alias("mean_score"))
 
