@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loregraph.llm.common import batches, saved, segments_of, summed
+from loregraph.llm.common import batches, saved, segments_of, small_batches, summed
 from loregraph.llm.linking import components, link
 from loregraph.llm.wordhash import chunks, mix, numbers, shingle_sets, words
 
@@ -229,6 +229,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, over: int = 4, under: int = 5) -
     """Per row of docs(doc_id, text): doc_id, n_shingles, component_id, set_id. Documents link when
     under * |intersection| >= over * |union| of their shingle sets; component_id is the smallest doc_id reachable."""
     spark = docs.sparkSession
+    small_batches(spark)
     overview = saved(_overview(docs, k))
     sets = overview.where("n is not null")
     distinct = saved(sets.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("profile").alias("profile")), few=True)

@@ -84,7 +84,7 @@ def link(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], over: in
     linked = F.col("inter") * under >= F.col("total") * over
     edges = first.where(linked).select("a", "b")
     roots = saved(components(edges), few=True)
-    far = first.select(F.col("a").alias("pivot"), F.col("b").alias("id"), (1 - F.col("inter") / F.col("total")).alias("far"))
+    far = first.select(F.col("a").alias("pivot"), F.col("b").alias("id"), (1 - F.col("inter") / F.col("total")).alias("far"), "inter")
     placed = (
         shared.join(roots.select("id", F.col("root").alias("r")), "id", "left")
         .join(roots.select(F.col("id").alias("pivot"), F.col("root").alias("pr")), "pivot", "left")
@@ -95,11 +95,14 @@ def link(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], over: in
     rest = saved(placed.where(F.col("id") != F.col("pivot")).join(more, "token", "left_semi").join(far, ["pivot", "id"], "left"))
     s, o = rest.where("stray").alias("s"), rest.alias("o")
     apart = 1 - over / under + 1e-9
+    # What two items share is in the pivot, or in neither's unshared elements.
+    beyond = lambda x: F.col(f"{x}.size") - F.col(f"{x}.alone") - F.col(f"{x}.inter")
+    most = F.least("s.inter", "o.inter") + F.least(beyond("s"), beyond("o"))
     pairs = (
         s.join(o, F.col("s.token") == F.col("o.token"))
         .where((F.col("s.root") != F.col("o.root")) & (~F.col("o.stray") | (F.col("s.id") < F.col("o.id"))))
         .where(may(F.col("s.size"), F.col("o.size"), F.col("s.alone"), F.col("o.alone")))
-        .where(F.coalesce(F.abs(F.col("s.far") - F.col("o.far")) <= apart, F.lit(True)))
+        .where(F.coalesce((F.abs(F.col("s.far") - F.col("o.far")) <= apart) & (most * (over + under) >= (F.col("s.size") + F.col("o.size")) * over), F.lit(True)))
         .select(F.least("s.id", "o.id").alias("a"), F.greatest("s.id", "o.id").alias("b"))
         .distinct()
     )
