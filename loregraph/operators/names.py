@@ -74,30 +74,32 @@ def _judged(rows: DataFrame, dicts: Dicts) -> DataFrame:
     return met.withColumn("reason", reason).drop("_shared")
 
 
-def learn_aliases(entities: DataFrame, dicts: Dicts, rounds: int = 5) -> tuple[DataFrame, DataFrame]:
+def learn_aliases(entities: DataFrame, dicts: Dicts, rounds: int = 20) -> tuple[DataFrame, DataFrame]:
     """(accepted(key, canon, ord), rejected(alias, canon, reason, ord)) from mentions (pass, doc_id, ent_pos, name, aliases).
 
-    In rounds: names are resolved with the dictionary so far, and of each alias the first good mention in run order is
-    accepted. A name that only a learned alias resolves is learned from in the next round, so that chains may come out in
-    another order than in a single scan (`learn_aliases_in_order` is that scan).
+    In run order the first good mention of an alias counts, and a learned alias resolves the names after it. Each round
+    resolves all mentions with what the round before has learned earlier in the order; the entries that are right grow from
+    the front until nothing changes, which is the result of a scan (`learn_aliases_in_order` is that scan).
     """
-    found = saved(_candidates(entities, dicts))
-    known, accepted = dicts.aliases, None
+    found = resolve(_candidates(entities, dicts).join(dicts.aliases.select("key"), "key", "left_anti"), "name", dicts, "canon0").withColumn("own", norm(F.col("name")))
+    fixed = dicts.aliases.select(F.col("key").alias("own")).union(dicts.places.select("name")).union(dicts.stop.select("name")).distinct().withColumn("fixed", F.lit(True))
+    found = saved(found.join(fixed, "own", "left"))
+
+    def judged(known: DataFrame) -> DataFrame:
+        earlier = known.select(F.col("key").alias("own"), F.col("canon").alias("learned"), F.col("ord").alias("since"))
+        met = found.join(earlier, "own", "left")
+        canon = F.when(F.col("fixed") | F.col("since").isNull() | (F.col("since") >= F.col("ord")), F.col("canon0")).otherwise(F.col("learned"))
+        return _judged(met.withColumn("canon", canon).where("canon is not null"), dicts)
+
+    accepted, state = found.select("key", F.col("canon0").alias("canon"), "ord").where("false"), None
     for _ in range(rounds):
-        open_rows = found.join(known.select("key"), "key", "left_anti")
-        now = Dicts(known, dicts.stop, dicts.places, dicts.surnames, dicts.shared)
-        judged = _judged(resolve(open_rows, "name", now, "canon").where("canon is not null"), dicts)
-        fresh = saved(judged.where("reason is null").groupBy("key").agg(F.min_by("canon", "ord").alias("canon"), F.min("ord").alias("ord")))
-        if fresh.isEmpty():
+        accepted = saved(judged(accepted).where("reason is null").groupBy("key").agg(F.min_by("canon", "ord").alias("canon"), F.min("ord").alias("ord")))
+        seen = accepted.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("key", "canon", "ord")).alias("x")).first()
+        if (seen.n, seen.x) == state:
             break
-        accepted = fresh if accepted is None else accepted.union(fresh)
-        known = known.select("key", "canon").union(fresh.select("key", "canon"))
-    accepted = accepted if accepted is not None else fresh
-    first = accepted.select("key", F.col("ord").alias("_since"))
-    late = found.join(dicts.aliases.select("key"), "key", "left_anti").join(first, "key", "left").where("_since is null or ord < _since").drop("_since")
-    final = Dicts(known, dicts.stop, dicts.places, dicts.surnames, dicts.shared)
-    rejected = _judged(resolve(late, "name", final, "canon").where("canon is not null"), dicts).where("reason is not null")
-    return accepted, rejected.select("alias", "canon", "reason", "ord")
+        state = (seen.n, seen.x)
+    late = judged(accepted).where("reason is not null").join(accepted.select("key", F.col("ord").alias("since_")), "key", "left").where("since_ is null or ord < since_")
+    return accepted, late.select("alias", "canon", "reason", "ord")
 
 
 def learn_aliases_in_order(entities: DataFrame, dicts: Dicts) -> DataFrame:
