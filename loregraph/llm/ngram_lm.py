@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 from loregraph.llm.common import batches, saved, segments_of, summed
 from loregraph.llm.wordhash import chunks, mix, words
 
-ALPHA, CUTOFF, HEAVY, CELLS = 0.4, 2, 10_000, 1 << 18
+ALPHA, CUTOFF, HEAVY, CELLS = 0.4, 2, 100_000, 1 << 20
 #: Words a partition; characters of text worked on at once.
 PART_WORDS, CHUNK = 1_000_000, 1 << 21
 _END, _START = np.uint64(0), np.uint64(1)
-_SCHEMA = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("key", pa.int64()), ("score", pa.float64()), ("first", pa.binary()), ("second", pa.binary()), ("doc", pa.binary()), ("times", pa.binary()), ("docs", pa.binary())])
-_SQL = "part int, kind int, key long, score double, first binary, second binary, doc binary, times binary, docs binary"
+_SCHEMA = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("key", pa.int64()), ("score", pa.float64()), ("first", pa.binary()), ("runs", pa.binary()), ("second", pa.binary()), ("doc", pa.binary()), ("times", pa.binary()), ("docs", pa.binary())])
+_SQL = "part int, kind int, key long, score double, first binary, runs binary, second binary, doc binary, times binary, docs binary"
 #: Kinds of row: pairs of words, words to score by themselves, counts of words, a document's part of its score.
 PAIRS, WORDS, COUNTS, SCORE = range(4)
 
@@ -76,8 +76,8 @@ def _look(table: np.ndarray, values: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _packed(kind: int, part: np.ndarray, first: np.ndarray, second: np.ndarray | None, doc: np.ndarray, times: np.ndarray, keys: np.ndarray):
-    """Rows of a kind, one for each partition; doc is a place in keys."""
-    order = np.argsort(part, kind="stable")
+    """Rows of a kind, one for each partition; doc is a place in keys. Equal first words stand together, each once."""
+    order = np.argsort((part.astype(np.uint64) << np.uint64(40)) | (first >> np.uint64(24)), kind="stable")
     part, first, doc, times = part[order], first[order], doc[order], times[order]
     second = second[order] if second is not None else None
     cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else np.zeros(1, np.int64)
@@ -85,7 +85,9 @@ def _packed(kind: int, part: np.ndarray, first: np.ndarray, second: np.ndarray |
     for a, b in zip(cut[:-1], cut[1:]):
         used, own = np.unique(doc[a:b], return_inverse=True)
         own = own.astype(np.uint16 if len(used) < 1 << 16 else np.uint32)
-        row = (int(part[a]), kind, None, None, first[a:b].tobytes(), None if second is None else second[a:b].tobytes(), own.tobytes(), np.minimum(times[a:b], 2**32 - 1).astype(np.uint32).tobytes(), keys[used].tobytes())
+        turn = np.flatnonzero(np.append(True, first[a + 1 : b] != first[a : b - 1]))
+        runs = np.diff(np.append(turn, b - a)).astype(np.uint32)
+        row = (int(part[a]), kind, None, None, first[a:b][turn].tobytes(), runs.tobytes(), None if second is None else second[a:b].tobytes(), own.tobytes(), np.minimum(times[a:b], 2**32 - 1).astype(np.uint32).tobytes(), keys[used].tobytes())
         for c, v in zip(out, row):
             c.append(v)
     return batches(_SCHEMA, out)
@@ -95,13 +97,13 @@ def _unpacked(rows: list, kind: int):
     """first, second, doc keys, times of the rows of a kind."""
     mine = [r for r in rows if r[1] == kind]
     join = lambda xs, t: np.concatenate(xs) if xs else np.zeros(0, t)
-    first = [np.frombuffer(r[4], np.uint64) for r in mine]
-    second = [np.frombuffer(r[5], np.uint64) for r in mine if r[5] is not None]
-    times = [np.frombuffer(r[7], np.uint32).astype(np.int64) for r in mine]
+    first = [np.repeat(np.frombuffer(r[4], np.uint64), np.frombuffer(r[5], np.uint32)) for r in mine]
+    second = [np.frombuffer(r[6], np.uint64) for r in mine if r[6] is not None]
+    times = [np.frombuffer(r[8], np.uint32).astype(np.int64) for r in mine]
     keys = []
     for r, f in zip(mine, first):
-        width = np.uint16 if len(r[6]) == 2 * len(f) else np.uint32
-        keys.append(np.frombuffer(r[8], np.int64)[np.frombuffer(r[6], width)])
+        width = np.uint16 if len(r[7]) == 2 * len(f) else np.uint32
+        keys.append(np.frombuffer(r[9], np.int64)[np.frombuffer(r[7], width)])
     return join(first, np.uint64), join(second, np.uint64), join(keys, np.int64), join(times, np.int64)
 
 
@@ -109,7 +111,7 @@ def _sums(keys: np.ndarray, score: np.ndarray):
     keys, at = np.unique(keys, return_inverse=True)
     total = np.bincount(at, weights=score, minlength=len(keys))
     none = [None] * len(keys)
-    return batches(_SCHEMA, [[0] * len(keys), [SCORE] * len(keys), keys, total, none, none, none, none, none])
+    return batches(_SCHEMA, [[0] * len(keys), [SCORE] * len(keys), keys, total, none, none, none, none, none, none])
 
 
 def scores(docs: DataFrame, alpha: float = ALPHA, cutoff: int = CUTOFF) -> DataFrame:
