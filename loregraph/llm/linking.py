@@ -45,12 +45,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 LARGE = 32
 
 
-def link(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], over: int = 4, under: int = 5, prepare: Callable[[DataFrame], None] | None = None, unshared: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def link(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], over: int = 4, under: int = 5, prepare: Callable[[DataFrame], None] | None = None, elements: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Links that make the components: edges(a, b), those to the roots of a first round among them.
 
     postings(token, id, size[, alone]): the lists. `alone` of an item's elements are in no other item: they bound what it
     can share with any other, and the item of a list that has the fewest is its pivot. If postings do not have it,
-    unshared(ids) gives (id, alone) for the items of large lists, counted among these items; it is 0 elsewhere.
+    elements(ids) gives (id, element) for the items of large lists, and `alone` is counted among these; it is 0 elsewhere.
     prepare(ids) is called once with all items of lists of two or more. verify gets pairs(a, b) without repeats, and returns
     (a, b, inter, total) with the exact sizes of intersection and union, or leaves out pairs that surely do not link.
     Similarity is at least over/under.
@@ -65,13 +65,15 @@ def link(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], over: in
     shared = saved(postings.join(heads, "token").distinct())
     if prepare:
         prepare(saved(shared.select("id").distinct(), few=True))
-    large = shared.where(F.col("n") > LARGE)
-    if unshared and not large.isEmpty():
-        few = saved(unshared(saved(large.select("id").distinct(), few=True)).withColumnRenamed("alone", "_alone"), few=True)
+    large, parts = shared.where(F.col("n") > LARGE), None
+    if elements and not large.isEmpty():
+        parts = saved(elements(saved(large.select("id").distinct(), few=True)))
+        once = parts.groupBy("element").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last")
+        few = saved(once.groupBy("id").agg(F.count("*").alias("_alone")), few=True)
         known = saved(large.join(few, "id", "left").withColumn("alone", F.coalesce("_alone", F.lit(0)).cast("int")).drop("_alone", "pivot"))
         heads = known.groupBy("token").agg(F.min(F.struct("alone", "id")).alias("p")).select("token", F.col("p.id").alias("pivot"))
         shared = saved(shared.where(F.col("n") <= LARGE).unionByName(known.join(heads, "token")))
-    shared = shared.drop("n")
+    shared = shared.withColumn("large", F.lit(parts is not None) & (F.col("n") > LARGE)).drop("n")
     sizes = shared.where("id = pivot").select("token", F.col("size").alias("pivot_size"), F.col("alone").alias("pivot_alone"))
 
     def may(a, b, alone_a, alone_b):
@@ -88,24 +90,33 @@ def link(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], over: in
     placed = (
         shared.join(roots.select("id", F.col("root").alias("r")), "id", "left")
         .join(roots.select(F.col("id").alias("pivot"), F.col("root").alias("pr")), "pivot", "left")
-        .select("token", "id", "size", "alone", "pivot", F.coalesce("r", "id").alias("root"), (F.coalesce("r", "id") != F.coalesce("pr", "pivot")).alias("stray"))
+        .select("token", "id", "size", "alone", "large", "pivot", F.coalesce("r", "id").alias("root"), (F.coalesce("r", "id") != F.coalesce("pr", "pivot")).alias("stray"))
     )
     # A list of two needs no second look: the pair has been compared or cannot fit.
     more = placed.groupBy("token").agg(F.max("stray").alias("any"), F.count("*").alias("n")).where("any and n > 1").select("token")
     rest = saved(placed.where(F.col("id") != F.col("pivot")).join(more, "token", "left_semi").join(far, ["pivot", "id"], "left"))
-    s, o = rest.where("stray").alias("s"), rest.alias("o")
     apart = 1 - over / under + 1e-9
+    need = (F.col("s.size") + F.col("o.size")) * over
     # What two items share is in the pivot, or in neither's unshared elements.
+    within = F.least("s.inter", "o.inter") * (over + under)
     beyond = lambda x: F.col(f"{x}.size") - F.col(f"{x}.alone") - F.col(f"{x}.inter")
-    most = F.least("s.inter", "o.inter") + F.least(beyond("s"), beyond("o"))
-    pairs = (
-        s.join(o, F.col("s.token") == F.col("o.token"))
-        .where((F.col("s.root") != F.col("o.root")) & (~F.col("o.stray") | (F.col("s.id") < F.col("o.id"))))
-        .where(may(F.col("s.size"), F.col("o.size"), F.col("s.alone"), F.col("o.alone")))
-        .where(F.coalesce((F.abs(F.col("s.far") - F.col("o.far")) <= apart) & (most * (over + under) >= (F.col("s.size") + F.col("o.size")) * over), F.lit(True)))
-        .select(F.least("s.id", "o.id").alias("a"), F.greatest("s.id", "o.id").alias("b"))
-        .distinct()
-    )
-    pairs = saved(pairs, few=True)
+
+    def met(left: DataFrame, right: DataFrame, on: list[str], also) -> DataFrame:
+        s, o = left.where("stray").alias("s"), right.alias("o")
+        same = [F.col(f"s.{c}") == F.col(f"o.{c}") for c in on]
+        pairs = s.join(o, same).where((F.col("s.root") != F.col("o.root")) & (~F.col("o.stray") | (F.col("s.id") < F.col("o.id"))))
+        pairs = pairs.where(may(F.col("s.size"), F.col("o.size"), F.col("s.alone"), F.col("o.alone")))
+        close = (F.abs(F.col("s.far") - F.col("o.far")) <= apart) & (within + F.least(beyond("s"), beyond("o")) * (over + under) >= need) & also
+        compared = F.col("s.inter").isNotNull() & F.col("o.inter").isNotNull()
+        return pairs.where(F.when(compared, close).otherwise(F.lit(True))).select(F.least("s.id", "o.id").alias("a"), F.greatest("s.id", "o.id").alias("b"))
+
+    # On a large list a pair that does not share enough within the pivot shares an element outside: there it is found.
+    pairs = met(rest, rest, ["token"], ~F.col("s.large") | (within >= need))
+    if parts is not None:
+        items = rest.where("large and inter is not null").drop("token").distinct()
+        of_pivot = items.select("pivot").distinct().join(parts.withColumnRenamed("id", "pivot"), "pivot")
+        outside = saved(items.join(parts, "id").join(of_pivot, ["pivot", "element"], "left_anti"))
+        pairs = pairs.union(met(outside, outside, ["pivot", "element"], F.lit(True)))
+    pairs = saved(pairs.distinct(), few=True)
     known = roots.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b"))
     return known if pairs.isEmpty() else known.union(verify(pairs).where(linked).select("a", "b"))

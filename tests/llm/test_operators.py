@@ -279,6 +279,24 @@ def test_line_dedup(spark, empty):
     assert deduplicated(df).columns == df.columns and deduplicated(empty).count() == 0 and line_counts(empty).count() == 0
 
 
+def test_lines_of_a_large_group(spark):
+    """Many edits of one line, with the same few words put in and ends cut off: no link may be lost."""
+    from loregraph.llm.lines import line_counts
+
+    r = random.Random(1)
+    base = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(45)]
+    texts = []
+    for i in range(150):
+        w = list(base)
+        for at in r.sample(range(45), r.choice([0, 1, 2, 3, 4, 5]) if i else 3):
+            w[at] = r.choice(["the", "of", "and", "zz", "qq"])
+        texts.append(" ".join(w[: len(w) - r.choice([0, 0, 0, 2, 6, 10])]))
+    sets = [line_set(x) for x in texts]
+    root = groups(len(sets), [(a, b) for a in range(len(sets)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])])
+    got = {x.doc_id: x.n_removed for x in line_counts(spark.createDataFrame([(i, x, "", "", 0, "", "", "") for i, x in enumerate(texts)], DOC)).collect()}
+    assert got == {i: int(root[i] != i) for i in range(len(texts))}
+
+
 # 6
 
 
