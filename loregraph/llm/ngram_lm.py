@@ -26,11 +26,11 @@ from loregraph.llm.common import batches, saved, segments_of, summed
 from loregraph.llm.wordhash import chunks, mix, words
 
 ALPHA, CUTOFF, HEAVY, CELLS = 0.4, 2, 100_000, 1 << 20
-#: Words a partition; characters of text worked on at once.
-PART_WORDS, CHUNK = 1_000_000, 1 << 21
+#: Words a partition; characters of text and words worked on at once.
+PART_WORDS, CHUNK, BLOCK = 2_500_000, 1 << 21, 1 << 21
 _END, _START = np.uint64(0), np.uint64(1)
-_SCHEMA = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("key", pa.int64()), ("score", pa.float64()), ("first", pa.binary()), ("runs", pa.binary()), ("second", pa.binary()), ("doc", pa.binary()), ("times", pa.binary()), ("docs", pa.binary())])
-_SQL = "part int, kind int, key long, score double, first binary, runs binary, second binary, doc binary, times binary, docs binary"
+_SCHEMA = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("key", pa.int64()), ("score", pa.float64()), ("first", pa.binary()), ("runs", pa.binary()), ("second", pa.binary()), ("per", pa.binary()), ("doc", pa.binary()), ("times", pa.binary()), ("docs", pa.binary())])
+_SQL = "part int, kind int, key long, score double, first binary, runs binary, second binary, per binary, doc binary, times binary, docs binary"
 #: Kinds of row: pairs of words, words to score by themselves, counts of words, a document's part of its score.
 PAIRS, WORDS, COUNTS, SCORE = range(4)
 
@@ -75,19 +75,40 @@ def _look(table: np.ndarray, values: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(table[at] == x, values[at], 0)
 
 
+def _small(x: np.ndarray) -> bytes:
+    """Numbers in as few bytes each as the largest needs."""
+    top = int(x.max()) if len(x) else 0
+    return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32).tobytes()
+
+
+def _numbers(b: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(b, {1: np.uint8, 2: np.uint16, 4: np.uint32}[max(1, len(b) // max(1, n))])
+
+
 def _packed(kind: int, part: np.ndarray, first: np.ndarray, second: np.ndarray | None, doc: np.ndarray, times: np.ndarray, keys: np.ndarray):
-    """Rows of a kind, one for each partition; doc is a place in keys. Equal first words stand together, each once."""
-    order = np.argsort((part.astype(np.uint64) << np.uint64(40)) | (first >> np.uint64(24)), kind="stable")
-    part, first, doc, times = part[order], first[order], doc[order], times[order]
+    """Rows of a kind, one for each partition; doc is a place in keys. Each first word stands once with its second words, each
+    pair once with its documents, each document once with its count."""
+    pair = mix(first + np.uint64(3) * mix(second)) if second is not None else first
+    # stable: the documents of a pair stay in their order
+    order = np.argsort((part.astype(np.uint64) << np.uint64(52)) | ((first >> np.uint64(38)) << np.uint64(26)) | (pair >> np.uint64(38)), kind="stable")
+    part, first, pair, doc, times = part[order], first[order], pair[order], doc[order], times[order]
     second = second[order] if second is not None else None
-    cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else np.zeros(1, np.int64)
+    changed = lambda x: np.append(True, x[1:] != x[:-1]) if len(x) else np.zeros(0, bool)
+    new_part = changed(part)
+    new_first = new_part | changed(first)
+    new_pair = new_first | changed(pair)
+    entry = np.flatnonzero(new_pair | changed(doc))
+    times = np.add.reduceat(times, entry) if len(entry) else times
+    new_part, new_first, new_pair, doc, part, first = (x[entry] for x in (new_part, new_first, new_pair, doc, part, first))
+    second = second[entry] if second is not None else None
+    cut = np.append(np.flatnonzero(new_part), len(entry))
     out = [[] for _ in _SCHEMA]
     for a, b in zip(cut[:-1], cut[1:]):
         used, own = np.unique(doc[a:b], return_inverse=True)
-        own = own.astype(np.uint16 if len(used) < 1 << 16 else np.uint32)
-        turn = np.flatnonzero(np.append(True, first[a + 1 : b] != first[a : b - 1]))
-        runs = np.diff(np.append(turn, b - a)).astype(np.uint32)
-        row = (int(part[a]), kind, None, None, first[a:b][turn].tobytes(), runs.tobytes(), None if second is None else second[a:b].tobytes(), own.tobytes(), np.minimum(times[a:b], 2**32 - 1).astype(np.uint32).tobytes(), keys[used].tobytes())
+        at_pair, at_first = np.flatnonzero(new_pair[a:b]), np.flatnonzero(new_first[a:b])
+        per = np.diff(np.append(at_pair, b - a))
+        runs = np.diff(np.append(np.searchsorted(at_pair, at_first), len(at_pair)))
+        row = (int(part[a]), kind, None, None, first[a:b][at_first].tobytes(), _small(runs), None if second is None else second[a:b][at_pair].tobytes(), _small(per), _small(own), _small(times[a:b]), keys[used].tobytes())
         for c, v in zip(out, row):
             c.append(v)
     return batches(_SCHEMA, out)
@@ -95,23 +116,28 @@ def _packed(kind: int, part: np.ndarray, first: np.ndarray, second: np.ndarray |
 
 def _unpacked(rows: list, kind: int):
     """first, second, doc keys, times of the rows of a kind."""
-    mine = [r for r in rows if r[1] == kind]
-    join = lambda xs, t: np.concatenate(xs) if xs else np.zeros(0, t)
-    first = [np.repeat(np.frombuffer(r[4], np.uint64), np.frombuffer(r[5], np.uint32)) for r in mine]
-    second = [np.frombuffer(r[6], np.uint64) for r in mine if r[6] is not None]
-    times = [np.frombuffer(r[8], np.uint32).astype(np.int64) for r in mine]
-    keys = []
-    for r, f in zip(mine, first):
-        width = np.uint16 if len(r[7]) == 2 * len(f) else np.uint32
-        keys.append(np.frombuffer(r[9], np.int64)[np.frombuffer(r[7], width)])
-    return join(first, np.uint64), join(second, np.uint64), join(keys, np.int64), join(times, np.int64)
+    out = [], [], [], []
+    for _, k, _, _, first, runs, second, per, doc, times, docs in rows:
+        if k != kind:
+            continue
+        first, docs = np.frombuffer(first, np.uint64), np.frombuffer(docs, np.int64)
+        first = np.repeat(first, _numbers(runs, len(first)))
+        per = _numbers(per, len(first)).astype(np.int64)
+        n = int(per.sum())
+        out[0].append(np.repeat(first, per))
+        if second is not None:
+            out[1].append(np.repeat(np.frombuffer(second, np.uint64), per))
+        out[2].append(docs[_numbers(doc, n)])
+        out[3].append(_numbers(times, n).astype(np.int64))
+    kinds = np.uint64, np.uint64, np.int64, np.int64
+    return tuple(np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, kinds))
 
 
 def _sums(keys: np.ndarray, score: np.ndarray):
     keys, at = np.unique(keys, return_inverse=True)
     total = np.bincount(at, weights=score, minlength=len(keys))
     none = [None] * len(keys)
-    return batches(_SCHEMA, [[0] * len(keys), [SCORE] * len(keys), keys, total, none, none, none, none, none, none])
+    return batches(_SCHEMA, [[0] * len(keys), [SCORE] * len(keys), keys, total, none, none, none, none, none, none, none])
 
 
 def scores(docs: DataFrame, alpha: float = ALPHA, cutoff: int = CUTOFF) -> DataFrame:
@@ -124,24 +150,31 @@ def scores(docs: DataFrame, alpha: float = ALPHA, cutoff: int = CUTOFF) -> DataF
 
     def exploded(tables):
         heavy, many = sent.value
+        held: list[tuple] = []
+
+        def rows():
+            first, second, doc = (np.concatenate(x) for x in list(zip(*held))[:3])
+            keys, at = np.unique(doc, return_inverse=True)
+            by_both = (first == _START) | (_look(heavy, many, first) > 0)
+            part = _part(np.where(by_both, first ^ mix(second), first), parts)
+            return _packed(PAIRS, part, first, second, at, np.ones(len(at), np.int64), keys)
+
         for batch in tables:
             ids = batch.column("key").to_numpy().astype(np.int64)
             for at, data, bounds in chunks(batch.column("text"), CHUNK):
                 w, text, _, _ = words(data, bounds)
                 if not len(w):
                     continue
-                keys = ids[at : at + len(bounds) - 1]
                 last = np.append(text[1:] != text[:-1], True)
                 nxt = np.append(w[1:], _END)
                 nxt[last] = _END
                 begin = np.flatnonzero(np.append(True, last[:-1]))
-                v, u, text = np.append(w, np.full(len(begin), _START)), np.append(nxt, w[begin]), np.append(text, text[begin])
-                # each pair of a document once, with its count
-                code = mix(v + np.uint64(3) * mix(u)) ^ mix(text.astype(np.uint64))
-                _, place, times = np.unique(code, return_index=True, return_counts=True)
-                v, u, text = v[place], u[place], text[place]
-                by_both = (v == _START) | (_look(heavy, many, v) > 0)
-                yield _packed(PAIRS, _part(np.where(by_both, v ^ mix(u), v), parts), v, u, text, times, keys)
+                held.append((np.append(w, np.full(len(begin), _START)), np.append(nxt, w[begin]), ids[at + np.append(text, text[begin])]))
+                if sum(len(x[0]) for x in held) >= BLOCK:
+                    yield rows()
+                    held.clear()
+        if held:
+            yield rows()
 
     def joined(key: tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in tables for r in zip(*(c.to_pylist() for c in b.columns))]
