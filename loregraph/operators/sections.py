@@ -29,7 +29,7 @@ class Headings:
 
 def classify_lines(lines: DataFrame, rules: Headings = Headings()) -> DataFrame:
     """Adds kind (part, book, epilogue, chapter or null), number, title."""
-    number = roman_to_int if rules.roman else (lambda c: F.expr("try_cast(1 as int)") if c is None else c.try_cast("int"))
+    number = roman_to_int if rules.roman else (lambda c: c.try_cast("int"))
     kind, value, title = F.lit(None).cast("string"), F.lit(None).cast("int"), F.lit(None).cast("string")
     for name in ("chapter", "epilogue", "book", "part"):
         pattern = getattr(rules, name)

@@ -67,7 +67,7 @@ def test_retrieve(world):
     nodes, edges, questions, starts = world
     triples, paths, used = retrieve.retrieve(questions, starts, nodes, edges, max_triples=4)
     assert {r.question_id: (r.stage, r.hops, r.allow_hub) for r in used.collect()} == {"q1": (1, 2, False), "q2": (1, 2, False), "q3": (3, 3, True), "q4": (3, 3, True), "q5": (3, 3, True)}
-    assert {r.question_id: r["count"] for r in triples.groupBy("question_id").count().collect()} == {"q1": 3, "q2": 4, "q4": 1} or True
+    assert {r.question_id: r["count"] for r in triples.groupBy("question_id").count().collect()} == {"q1": 3, "q2": 4, "q4": 1}
     marks = {(r.src, r.dst): r.certainty for r in retrieve.mark_certainty(triples.where("question_id = 'q1'")).collect()}
     assert marks["D", "E"] == "hearsay" and marks["A", "D"] == "weak"
     blocks = {r.question_id: r.block for r in retrieve.evidence_block(triples, questions).collect()}
