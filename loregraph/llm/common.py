@@ -75,6 +75,11 @@ def summed(rows: DataFrame, width: int) -> np.ndarray:
     return out[:width]
 
 
+def row_key():
+    """A hash of a row's own doc_id and text: rows that share an id, or have none, are told apart by their texts."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def uniform(*columns, seed: int = 0):
     """A number in (0, 1) that depends on the columns and the seed alone: reruns and lost executors give the same."""
     return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11).cast("double") + 0.5) / F.lit(float(1 << 53))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loregraph.llm.common import batches, saved
+from loregraph.llm.common import batches, row_key, saved
 from loregraph.llm.wordhash import chunks, grams, words
 
 #: A benchmark of up to so many words (16 MB of hashes) is sent to every executor; a larger one is joined by a shuffle.
@@ -138,13 +138,13 @@ def contamination(docs: DataFrame, bench: DataFrame, min_tile: int = MIN_TILE, c
             if rows:
                 yield batches(_PAIR, list(zip(*rows)))
 
-    found = slim.mapInArrow(here, _PAIR_SQL) if sent else _joined(slim, items, k)
+    found = slim.mapInArrow(here, _PAIR_SQL) if sent else _joined(slim, items, k).drop("key")
     return found.where(F.col("covered") >= coverage * F.col("item_words"))
 
 
 def _joined(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    """As `contamination` for a benchmark of any size: a shuffle joins the seeds, then texts meet their items."""
-    schema = pa.schema([("seed", pa.int64()), ("key", pa.int64())])
+    """As `contamination` for a benchmark of any size: a shuffle joins the seeds, then texts meet their items. Also key (row_key)."""
+    schema, pair = pa.schema([("seed", pa.int64()), ("key", pa.int64())]), _PAIR.append(pa.field("key", pa.int64()))
 
     def seeds(tables):
         for batch in tables:
@@ -163,22 +163,22 @@ def _joined(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
     def tile(tables):
         for batch in tables:
             rows = []
-            for doc, item, text, w in zip(*(batch.column(c) for c in ("doc_id", "item_id", "text", "words"))):
+            for doc, item, text, w, key in zip(*(batch.column(c) for c in ("doc_id", "item_id", "text", "words", "key"))):
                 w = np.frombuffer(w.as_buffer(), np.uint64)
                 data = np.frombuffer((text.as_py() or "").encode(), np.uint8)
                 found = tiles(words(data, np.array([0, len(data)]))[0], w, k)
                 if found:
-                    rows.append(_row(doc.as_py(), item.as_py(), w, found))
+                    rows.append((*_row(doc.as_py(), item.as_py(), w, found), key.as_py()))
             if rows:
-                yield batches(_PAIR, list(zip(*rows)))
+                yield batches(pair, list(zip(*rows)))
 
-    keyed = docs.withColumn("key", F.xxhash64("doc_id", "text"))
+    keyed = docs.withColumn("key", row_key())
     numbered = items.withColumn("key", F.xxhash64("item_id", "words"))
     of_docs = keyed.select("key", "text").mapInArrow(seeds, "seed long, key long").distinct()
     of_items = numbered.select("key", "words").mapInArrow(item_seeds, "seed long, key long").withColumnRenamed("key", "item").distinct()
     pairs = saved(of_docs.join(of_items, "seed").select("key", "item").distinct())
     met = keyed.join(pairs, "key").join(numbered.withColumnRenamed("key", "item"), "item")
-    return met.select("doc_id", "item_id", "text", "words").mapInArrow(tile, _PAIR_SQL)
+    return met.select("doc_id", "item_id", "text", "words", "key").mapInArrow(tile, f"{_PAIR_SQL}, key long")
 
 
 def decontaminated(docs: DataFrame, bench: DataFrame, min_tile: int = MIN_TILE, coverage: float = COVERAGE) -> DataFrame:
@@ -187,8 +187,9 @@ def decontaminated(docs: DataFrame, bench: DataFrame, min_tile: int = MIN_TILE,
     items = saved(item_words(bench))
     sent = _sent(docs, items, k)
     if sent is None:
-        bad = contamination(docs, bench, min_tile, coverage).select(F.col("doc_id").alias("_bad")).distinct()
-        return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+        slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        bad = _joined(slim, items, k).where(F.col("covered") >= coverage * F.col("item_words")).select(F.col("key").alias("_bad")).distinct()
+        return docs.withColumn("_key", row_key()).join(bad, F.col("_key") == F.col("_bad"), "left_anti").drop("_key")
 
     def keep(tables):
         for batch in tables:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loregraph.llm.common import batches, saved, segments_of, small_batches, summed
+from loregraph.llm.common import batches, row_key, saved, segments_of, small_batches, summed
 from loregraph.llm.linking import components, link
 from loregraph.llm.wordhash import chunks, mix, numbers, shingle_sets, words
 
@@ -49,8 +49,8 @@ def _sets(column: pa.Array, k: int):
 
 
 def _overview(docs: DataFrame, k: int) -> DataFrame:
-    """One row (doc_id, n, set_id, profile) a document, and rows (segment, cells) of shingle counts."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_id", pa.int64()), ("profile", pa.binary()), ("segment", pa.int64()), ("cells", pa.binary())])
+    """One row (doc_id, key, n, set_id, profile) a document, and rows (segment, cells) of shingle counts."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("set_id", pa.int64()), ("profile", pa.binary()), ("segment", pa.int64()), ("cells", pa.binary())])
 
     def run(tables):
         counts = np.zeros(WIDTH, np.int64)
@@ -61,11 +61,11 @@ def _overview(docs: DataFrame, k: int) -> DataFrame:
                 profile = np.bincount(owner * CELLS + (found >> np.uint64(58)).astype(np.int64), minlength=len(size) * CELLS).reshape(-1, CELLS)
                 profile = np.minimum(profile, 255).astype(np.uint8)
                 none = [None] * len(size)
-                yield batches(schema, [batch.column("doc_id").slice(at, len(size)), size, ids.view(np.int64), [p.tobytes() for p in profile], none, none])
+                yield batches(schema, [batch.column("doc_id").slice(at, len(size)), batch.column("key").slice(at, len(size)), size, ids.view(np.int64), [p.tobytes() for p in profile], none, none])
         for segment, cells in segments_of(counts):
-            yield batches(schema, [[None], [None], [None], [None], [segment], [cells]])
+            yield batches(schema, [[None], [None], [None], [None], [None], [segment], [cells]])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, set_id long, profile binary, segment long, cells binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, key long, n long, set_id long, profile binary, segment long, cells binary")
 
 
 def _marked(docs: DataFrame, ids: DataFrame):
@@ -224,7 +224,7 @@ def _may_link(pairs: DataFrame, over: int, under: int) -> DataFrame:
 
 
 def jaccard_groups(docs: DataFrame, k: int = 5, over: int = 4, under: int = 5) -> DataFrame:
-    """Per row of docs(doc_id, text): doc_id, n_shingles, component_id, set_id. Documents link when
+    """Per row of docs(doc_id, text): doc_id, n_shingles, component_id, set_id, key (row_key). Documents link when
     under * |intersection| >= over * |union| of their shingle sets; component_id is the smallest doc_id reachable."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -259,12 +259,13 @@ def jaccard_groups(docs: DataFrame, k: int = 5, over: int = 4, under: int = 5) -
     roots = components(edges)
     placed = distinct.join(roots.select(F.col("id").alias("set_id"), "root"), "set_id", "left").select("set_id", "least", F.coalesce("root", "set_id").alias("root"))
     names = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("set_id", "component_id")
-    return sets.join(saved(names, few=True), "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "set_id")
+    return sets.join(saved(names, few=True), "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "set_id", "key")
 
 
 def one_of_each_group(docs: DataFrame, k: int = 5, over: int = 4, under: int = 5) -> DataFrame:
     """The rows of docs whose doc_id is their group's component_id, in all their columns. Repeated rows stay repeated only
-    if they cannot be told apart by doc_id; rows with a null doc_id stay if their group has no other id."""
+    if they cannot be told apart by doc_id; rows with a null doc_id stay if their group has no other id. Each row goes or
+    stays for its own text's group, whatever other rows have its doc_id."""
     groups = saved(jaccard_groups(docs, k, over, under))
-    gone = groups.where("doc_id is not null and doc_id <> component_id or doc_id is null and component_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    gone = groups.where("doc_id is not null and doc_id <> component_id or doc_id is null and component_id is not null").select(F.col("key").alias("_gone")).distinct()
+    return docs.withColumn("_key", row_key()).join(gone, F.col("_key") == F.col("_gone"), "left_anti").drop("_key")

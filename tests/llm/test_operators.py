@@ -117,6 +117,15 @@ def test_jaccard_one_of_each_group(docs, empty):
     assert jaccard_groups(empty).count() == 0 and one_of_each_group(empty).count() == 0
 
 
+def test_jaccard_rows_with_null_or_shared_ids(spark):
+    from loregraph.llm.jaccard import one_of_each_group
+
+    text = lambda a: " ".join(f"{a}{i}" for i in range(60))
+    rows = [(3, text("a")), (None, text("a") + " end"), (None, text("b")), (None, None), (None, ""), (5, text("a") + " other"), (5, text("c")), (6, text("d"))]
+    left = one_of_each_group(spark.createDataFrame([(i, x, "", "", 0, "", "", "") for i, x in rows], DOC))
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([rows[i] for i in (0, 2, 3, 4, 6, 7)], key=str)
+
+
 def test_jaccard_boundary():
     from loregraph.llm.jaccard import boundary, least_overlap, partners
 
@@ -232,6 +241,17 @@ def test_contamination(spark, docs, empty, monkeypatch):
     assert sorted(r.doc_id for r in decontam.decontaminated(df, bench).collect()) == [2, 3, 4, 5]
 
 
+@pytest.mark.parametrize("sent", [2_000_000, 0])
+def test_decontaminated_rows_with_null_or_shared_ids(spark, monkeypatch, sent):
+    from loregraph.llm import decontam
+
+    monkeypatch.setattr(decontam, "SENT_WORDS", sent)
+    item = " ".join(f"b{i}" for i in range(30))
+    rows = [(None, f"x {item}"), (None, "clean text of other words here"), (None, None), (4, item), (4, "another clean text of more words"), (5, "clean text of other words here")]
+    left = decontam.decontaminated(spark.createDataFrame([(i, x, "", "", 0, "", "", "") for i, x in rows], DOC), spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([rows[i] for i in (1, 2, 4, 5)], key=str)
+
+
 # 5
 
 
