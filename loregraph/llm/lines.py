@@ -1,10 +1,10 @@
 """Line dedup: fuzzy lines by MinHash, with DataFrame functions only.
 
-A line's set: the windows of WINDOW characters that begin at its words (lower-cased and trimmed; at every character if its
-words are longer than LONG_WORD on average, as in scripts without spaces). Its signature is a bottom-k MinHash sketch: the
-smallest hashes of the windows in order. Bands are pairs of neighbours in that order: one differing window breaks only the
-pairs around it. Lines that share a band are candidates; the exact Jaccard similarity of their sets (at least 0.8) decides;
-union-find over the links gives components; of each the first line stays, by doc_id and place.
+A line's set: all its windows of WINDOW characters (lower-cased and trimmed; a shorter line is its own window). Its sketch
+is the smallest hashes of the windows in order. Bands are runs of neighbours in that order: a window that differs breaks only
+the runs around it. Lines that share a band are candidates; the exact Jaccard similarity of their sets (at least 0.8) decides;
+union-find over the links gives components; of each the first line stays, by doc_id and place. Bands are found by chance: at
+a similarity of 0.8 about 98.5% of pairs share one or more, and above it a larger part.
 
 Blank lines stay as they are. Null text stays null. A document that had lines and lost all of them is dropped from
 `deduplicated` (its lines stand elsewhere), but `line_counts` reports it. Repeated rows of a document count once: all of them
@@ -19,9 +19,14 @@ from pyspark.sql import functions as F
 from loregraph.llm.common import saved
 from loregraph.llm.linking import components, link
 
-WINDOW, LONG_WORD = 12, 20
-#: Smallest hashes kept; each two neighbours of them are a band. At a similarity of 0.8 over 98% of pairs share one.
-SKETCH = 7
+WINDOW = 5
+#: Smallest hashes kept, and the neighbours of a band: unlike lines of prose share many of their windows, so few would not do.
+SKETCH, RUN = 64, 6
+#: Sets of up to SHORT windows have bands of SHORT_RUN neighbours; those from 4/5 of SHORT on have bands of RUN, so that sets
+#: that can link have one kind in common.
+SHORT, SHORT_RUN = 30, 3
+#: In a set of more than EVERY windows bands begin only at hashes that ANCHOR divides.
+EVERY, ANCHOR = 60, 3
 #: log2 of the cells of the filter that keeps most rows that are not wanted from being moved (2 MB).
 FILTER_BITS = 23
 
@@ -31,17 +36,22 @@ def normal(line: Column) -> Column:
 
 
 def windows(line: Column) -> Column:
-    """The distinct hashes of the windows of a normalised line, ascending."""
-    dense = F.length(line) > LONG_WORD * (F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
-    at_words = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{1,{WINDOW}}}))[^ ]+ *"), F.lit(1))
-    everywhere = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{WINDOW}}}))"), F.lit(1))
-    found = F.when(dense & (F.length(line) > WINDOW), everywhere).otherwise(at_words)
-    return F.sort_array(F.array_distinct(F.transform(found, lambda w: F.xxhash64(w))))
+    """The distinct hashes of the windows of a normalised line."""
+    # In blocks, as finding a character in a string takes time in proportion to its place.
+    blocks = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{WINDOW},{63 + WINDOW}}})).{{1,64}}"), F.lit(1))
+    of_block = lambda b: F.transform(F.sequence(F.lit(1), F.length(b) - (WINDOW - 1)), lambda i: F.xxhash64(F.substring(b, i, F.lit(WINDOW))))
+    return F.when(F.length(line) <= WINDOW, F.array(F.xxhash64(line))).otherwise(F.array_distinct(F.flatten(F.transform(blocks, of_block))))
 
 
-def bands(sketch: Column) -> Column:
-    """Tokens of the smallest window hashes of a line in ascending order; one token if there is one window."""
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(sketch) - 1, F.lit(1))), lambda i: F.xxhash64(F.slice(sketch, i, 2)))
+def bands(sketch: Column, size: Column) -> Column:
+    """Tokens of the smallest window hashes, in ascending order, of a set of that size; one token if they make no run."""
+
+    def runs(n: int, starts=None) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.size(sketch) - (n - 1), F.lit(1)))
+        return F.transform(at if starts is None else F.filter(at, starts), lambda i: F.xxhash64(F.lit(n), F.slice(sketch, i, F.lit(n))))
+
+    long = runs(RUN, lambda i: (size <= EVERY) | (F.element_at(sketch, i) % ANCHOR == 0))
+    return F.when(size * 5 < SHORT * 4, runs(SHORT_RUN)).when(size <= SHORT, F.concat(runs(SHORT_RUN), long)).otherwise(long)
 
 
 def doc_lines(docs: DataFrame) -> DataFrame:
@@ -66,20 +76,22 @@ def only_cells(rows: DataFrame, column: str, wanted: DataFrame, bits: int = FILT
 def line_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(lines, roots): lines(doc_key, doc_id, line_no, id) that are not blank, roots(id, root) of lines with near copies."""
     found = doc_lines(docs).withColumn("set", windows(F.col("line")))
-    lines = saved(found.select("doc_key", "doc_id", "line_no", "id", F.size("set").alias("size"), bands(F.slice("set", 1, SKETCH)).alias("bands")))
+    found = found.select("doc_key", "doc_id", "line_no", "id", F.size("set").alias("size"), F.slice(F.sort_array("set"), 1, SKETCH).alias("sketch"))
+    lines = saved(found.select("doc_key", "doc_id", "line_no", "id", "size", bands(F.col("sketch"), F.col("size")).alias("bands")))
     postings = lines.select("id", "size", F.explode("bands").alias("token")).select("token", "id", "size")
 
     sets: list[DataFrame] = []
 
     def prepare(ids: DataFrame) -> None:
         near = only_cells(doc_lines(docs).select("id", "line"), "id", ids.withColumnRenamed("id", "v")).where("_hit").select("id", "line")
-        sets.append(saved(near.groupBy("id").agg(F.min("line").alias("line")).select("id", windows(F.col("line")).alias("set"))))
+        sets.append(saved(near.groupBy("id").agg(F.min("line").alias("line"))))
 
     def elements(ids: DataFrame) -> DataFrame:
-        return sets[0].join(ids, "id", "left_semi").select("id", F.explode("set").alias("element"))
+        return sets[0].join(ids, "id", "left_semi").select("id", F.explode(windows(F.col("line"))).alias("element"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        met = pairs.join(sets[0].select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets[0].select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+        of = lambda x: sets[0].select(F.col("id").alias(x), F.col("line").alias(f"l{x}"))
+        met = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", windows(F.col("la")).alias("sa"), windows(F.col("lb")).alias("sb"))
         met = met.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("inter"))
         return met.select("a", "b", "inter", (F.col("na") + F.col("nb") - F.col("inter")).alias("total"))
 

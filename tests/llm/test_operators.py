@@ -317,6 +317,29 @@ def test_lines_of_a_large_group(spark):
     assert got == {i: int(root[i] != i) for i in range(len(texts))}
 
 
+def test_lines_with_one_character_edited(spark):
+    """Edits of one character, and words that agree only at their beginnings, against sets of all windows of five characters."""
+    from loregraph.llm.lines import line_counts
+
+    r = random.Random(8)
+    word = lambda a, b: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(a, b)))
+    lines = []
+    for n in [1, 2, 3, 5, 7, 9, 11, 14, 17, 20, 24, 30, 60] * 6:
+        x = " ".join(word(3, 9) for _ in range(n))
+        at = r.randrange(len(x))
+        lines += [x, x[:at] + "z" + x[at + 1 :]]
+    for _ in range(6):  # the same twelve first characters, other tails
+        heads = [word(12, 12) for _ in range(8)]
+        lines += [" ".join(h + word(7, 7) for h in heads) for _ in range(2)]
+    lines += ["漢字" * 40 + word(60, 60), "é" * 3 + word(200, 200), "abc", "abcd", "abcde"]
+    sets = [{x[i : i + 5] for i in range(max(1, len(x) - 4))} for x in lines]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    root = groups(len(sets), links)
+    assert 40 < len(links) < 78
+    got = {x.doc_id: x.n_removed for x in line_counts(spark.createDataFrame([(i, x, "", "", 0, "", "", "") for i, x in enumerate(lines)], DOC)).collect()}
+    assert got == {i: int(root[i] != i) for i in range(len(sets))}
+
+
 # 6
 
 
