@@ -13,13 +13,28 @@ from pyspark.sql.window import Window
 from loregraph.functions.tables import saved
 from loregraph.operators.gate import trimmed
 
+#: Characters of the piece of a surface by which it meets the questions.
+PIECE = 8
 MAX_HOPS, FALLBACK_HOPS, MAX_TRIPLES, ENOUGH = 2, 3, 40, 3
 
 
+def _met(questions: DataFrame, surface_dict: DataFrame) -> DataFrame:
+    """Questions with the surfaces they contain, inside longer words too: a question that contains a surface contains each of
+    its pieces, so an equi-join of pieces of up to PIECE characters loses none."""
+    q, s = F.col("question"), F.col("surface")
+    at = lambda i: F.transform(F.sequence(F.lit(1), F.lit(PIECE)), lambda n: F.substring(q, i, n))
+    pieces = F.array_union(F.array(F.lit("")), F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(q), F.lit(1))), at)))
+    piece = lambda i: F.substring(s, i, F.lit(PIECE))
+    # Of a long surface the piece of the least hash, as many surfaces may begin alike.
+    least = F.array_min(F.transform(F.sequence(F.lit(1), F.length(s) - (PIECE - 1)), lambda i: F.struct(F.xxhash64(piece(i)).alias("h"), piece(i).alias("p"))))["p"]
+    asked = surface_dict.withColumn("_piece", F.when(F.length(s) <= PIECE, s).otherwise(least))
+    return questions.withColumn("_piece", F.explode(pieces)).join(asked, "_piece").where(F.contains("question", "surface"))
+
+
 def link_starts(questions: DataFrame, surface_dict: DataFrame, nodes: DataFrame) -> DataFrame:
     """(corpus_id, question_id, read_point, start, start_ord): nodes whose surface(surface, canon, ord) is in the question and
     that are visible, each once, in the order of the dictionary."""
-    hit = questions.join(F.broadcast(surface_dict), F.contains("question", "surface"))
+    hit = _met(questions, surface_dict)
     per = hit.groupBy("corpus_id", "question_id", "read_point", F.col("canon").alias("start")).agg(F.min("ord").alias("o"))
     seen = nodes.select("corpus_id", F.col("id").alias("start"), "first_revealed_index")
     per = per.join(seen, ["corpus_id", "start"]).where("first_revealed_index <= read_point")

@@ -88,7 +88,7 @@ questions AS (SELECT 'c' || (s_suppkey % 3) AS corpus_id, 'q' || s_suppkey AS qu
 def surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(surface, canon, ord): the bracketed keys of suppliers and parts."""
     s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("canon"), F.col("s_suppkey").alias("ord"))
-    p = table(spark, sf_dir, "part").where("p_partkey < 200").select(F.concat(F.lit("P"), "p_partkey").alias("canon"), (F.lit(1_000_000) + F.col("p_partkey")).alias("ord"))
+    p = table(spark, sf_dir, "part").select(F.concat(F.lit("P"), "p_partkey").alias("canon"), (F.lit(1_000_000) + F.col("p_partkey")).alias("ord"))
     return s.union(p).select(F.concat(F.lit("<"), "canon", F.lit(">")).alias("surface"), "canon", "ord")
 
 

@@ -43,6 +43,26 @@ def test_starts(world):
     assert {(r.question_id, r.start, r.start_ord) for r in world[3].collect()} == {("q1", "A", 1), ("q2", "H", 1), ("q2", "A", 2), ("q4", "X", 1)}
 
 
+def test_starts_of_any_surface(spark):
+    """Surfaces inside words, longer than the pieces, shorter ones, repeated ones and an empty one, against `in`."""
+    texts = ["알료샤는 어디로 갔는가", "what links <S12> and <P123456>?", "Hannah and the Great Old House", "the Great Old Houses, the Great Old House", "", None, "a"]
+    names = ["알료샤", "<S1", "<S12>", "<P123456>", "<P12345>", "anna", "the Great Old House", "the Great Old Houses", "a", ""]
+    nodes = spark.createDataFrame([("c", n, 1) for n in names], "corpus_id string, id string, first_revealed_index int")
+    questions = spark.createDataFrame([("c", f"q{i}", x, 5) for i, x in enumerate(texts)], "corpus_id string, question_id string, question string, read_point int")
+    surfaces = spark.createDataFrame([(n, n, i) for i, n in enumerate(names)], "surface string, canon string, ord int")
+    found = retrieve.link_starts(questions, surfaces, nodes)
+    assert sorted((r.question_id, r.start) for r in found.collect()) == sorted((f"q{i}", n) for i, x in enumerate(texts) if x is not None for n in names if n in x)
+    assert "NestedLoop" not in found._jdf.queryExecution().toString()
+
+
+def test_surfaces_are_all_suppliers_and_parts(spark, tmp_path):
+    from loregraph.plans import inputs
+
+    spark.range(1, 30).selectExpr("id s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(1, 500).selectExpr("id p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    assert {r.canon for r in inputs.surfaces(spark, str(tmp_path)).collect()} == {f"S{i}" for i in range(1, 30)} | {f"P{i}" for i in range(1, 500)}
+
+
 @pytest.mark.parametrize("hops, hub", [(1, False), (2, False), (2, True), (3, True)])
 def test_expand(world, hops, hub):
     nodes, edges, _, starts = world
