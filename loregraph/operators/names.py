@@ -74,12 +74,12 @@ def _judged(rows: DataFrame, dicts: Dicts) -> DataFrame:
     return met.withColumn("reason", reason).drop("_shared")
 
 
-def learn_aliases(entities: DataFrame, dicts: Dicts, rounds: int = 20) -> tuple[DataFrame, DataFrame]:
+def learn_aliases(entities: DataFrame, dicts: Dicts) -> tuple[DataFrame, DataFrame]:
     """(accepted(key, canon, ord), rejected(alias, canon, reason, ord)) from mentions (pass, doc_id, ent_pos, name, aliases).
 
     In run order the first good mention of an alias counts, and a learned alias resolves the names after it. Each round
     resolves all mentions with what the round before has learned earlier in the order; the entries that are right grow from
-    the front until nothing changes, which is the result of a scan (`learn_aliases_in_order` is that scan).
+    the front, by one at least, until nothing changes, which is the result of a scan (`learn_aliases_in_order` is that scan).
     """
     found = resolve(_candidates(entities, dicts).join(dicts.aliases.select("key"), "key", "left_anti"), "name", dicts, "canon0").withColumn("own", norm(F.col("name")))
     fixed = dicts.aliases.select(F.col("key").alias("own")).union(dicts.places.select("name")).union(dicts.stop.select("name")).distinct().withColumn("fixed", F.lit(True))
@@ -92,7 +92,7 @@ def learn_aliases(entities: DataFrame, dicts: Dicts, rounds: int = 20) -> tuple[
         return _judged(met.withColumn("canon", canon).where("canon is not null"), dicts)
 
     accepted, state = found.select("key", F.col("canon0").alias("canon"), "ord").where("false"), None
-    for _ in range(rounds):
+    while True:
         accepted = saved(judged(accepted).where("reason is null").groupBy("key").agg(F.min_by("canon", "ord").alias("canon"), F.min("ord").alias("ord")))
         seen = accepted.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("key", "canon", "ord")).alias("x")).first()
         if (seen.n, seen.x) == state:

@@ -46,6 +46,14 @@ def test_learned_aliases(spark):
     assert {r.key: r.canon for r in N.learn_aliases_in_order(df, dicts(spark)).collect()} == want
 
 
+def test_aliases_learned_through_a_long_chain(spark):
+    rows = [("c", "p1", "d1", i, f"Root X{i}", [f"Root X{i + 1}"]) for i in range(26)]
+    df = spark.createDataFrame(rows, "corpus_id string, pass string, doc_id string, ent_pos int, name string, aliases array<string>")
+    want = {r.key: r.canon for r in N.learn_aliases_in_order(df, dicts(spark)).collect()}
+    assert want == {f"root x{i + 1}": "Root X0" for i in range(26)}
+    assert {r.key: r.canon for r in N.learn_aliases(df, dicts(spark))[0].collect()} == want
+
+
 def test_votes(spark):
     rows = [("c", "p1", "d", 0, "A", "X"), ("c", "p1", "d", 1, "A", "Y"), ("c", "p1", "d", 2, "B", "X"), ("c", "p1", "d", 3, "B", "Y"), ("c", "p2", "d", 0, "B", "Y"), ("c", "p2", "d", 1, None, "Y")]
     got = N.vote_types(spark.createDataFrame(rows, "corpus_id string, pass string, doc_id string, ent_pos int, name string, type string"))
