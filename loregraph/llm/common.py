@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -19,28 +20,67 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. A session without one (tests) gets one under /tmp."""
+    """The folder all executors share. A local session without one (tests) gets one under /tmp; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"/tmp/loregraph-{uuid.uuid4().hex[:12]}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str):
+    """A setting of the session that holds inside the block."""
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+#: Lists of tables that are being written, the innermost last.
+_open: list[list[DataFrame]] = []
+
+
+@contextmanager
+def recorded():
+    """Yields a list that gets each table that `saved` writes inside the block, so that the caller can drop them."""
+    mine: list[DataFrame] = []
+    _open.append(mine)
+    try:
+        yield mine
+    finally:
+        _open.remove(mine)
+        if _open:
+            _open[-1].extend(mine)
+
+
 def saved(df: DataFrame, few: bool = False) -> DataFrame:
     """df as a table written to the shared folder: cuts the lineage, survives the loss of executors. few: rows of a step
     that is small against the input; they go to a few files for each core of the cluster, however many partitions they
-    come from."""
+    come from. The shuffle files of the step go when it has ended."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loregraph/{uuid.uuid4().hex}"
-    (df.coalesce(max(8, 4 * spark.sparkContext.defaultParallelism)) if few else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Rows that go to Python at once, for tables with long texts: a bound on the memory of a worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        (df.coalesce(max(8, 4 * spark.sparkContext.defaultParallelism)) if few else df).write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    if _open:
+        _open[-1].append(out)
+    return out
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Deletes tables that `saved` wrote, others are left alone. No frame that reads them may be used any more."""
+    for t in tables:
+        path = getattr(t, "saved_at", None)
+        if path:
+            at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+            t.saved_at = None
 
 
 def batches(schema: pa.Schema, columns: list) -> pa.RecordBatch:

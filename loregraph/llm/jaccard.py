@@ -2,16 +2,16 @@
 
 A document's set is its distinct k-word shingles (`wordhash`: 64-bit hashes of words with A-Z lower-cased). Small sets
 enumerate the fixed-size subsets that a partner must share, so that a common subset alone proves the link. Large sets scan
-inverted lists of the rarest shingles. The boundary between the two is where the expected cost is least. Shingles are
-ranked by the count, over all documents, of a bucket of a fixed-width table; any ranking gives the same links, this one
-keeps passages that many documents share out of the lists. Exact copies are one set from the start.
+inverted lists of their rarest shingles, ranked by exact counts (`linking`). The boundary between the two is where the
+expected number of rows is least. Exact copies are one set from the start.
 
 Most documents have no partner, and that is cheap to prove: a set more than a fifth of which is in no other document
-cannot link. Two rounds of counting, first of the shingles in a third of the hash space, then of all shingles of the sets
-that are left, take such sets out before any list is made. A share of the shingles only weakens the proof, never a link.
+cannot link. A round of counting of the shingles in a third of the hash space takes such sets out before any list is made. A
+share of the shingles only weakens the proof, never a link.
 
 Null or empty text and text without words: an empty set, linked with nothing. One to k-1 words: the sequence is one shingle.
 Repeated rows are copies of one another. A null doc_id joins groups but never names one, unless it is alone: then null.
+Ties: lists break equal counts by the shingle's hash, components are named by the smallest doc_id. An empty table gives no row.
 Columns other than doc_id and text are not read.
 """
 
@@ -25,16 +25,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loregraph.llm.common import batches, row_key, saved, segments_of, small_batches, summed
-from loregraph.llm.linking import components, link
+from loregraph.llm.common import batches, dropped, recorded, row_key, saved, segments_of, setting, summed
+from loregraph.llm.linking import components, link, prefix_lists
 from loregraph.llm.wordhash import chunks, mix, numbers, shingle_sets, words
 
-#: Cells of the table of shingle counts (4 MB when it is sent out), of the filter of wanted sets, of a set's profile.
-WIDTH, WANTED, CELLS = 1 << 19, 1 << 21, 64
+#: Cells of the filter of wanted sets.
+WANTED = 1 << 21
 #: The share of the hash space that the first round counts.
 SHARE = 0.35
 #: Sets above this size are never enumerated, whatever the costs say.
 MOST_SMALL = 12
+#: Rows that a shingle of a listed set costs (counted, joined with its count, put in order), and an entry of a list.
+MOVES, SCAN = 3, 2
+#: Rows that go to Python at once: a bound on the memory of a worker.
+ROWS = "1000"
 
 
 def _sets(column: pa.Array, k: int):
@@ -49,23 +53,29 @@ def _sets(column: pa.Array, k: int):
 
 
 def _overview(docs: DataFrame, k: int) -> DataFrame:
-    """One row (doc_id, key, n, set_id, profile) a document, and rows (segment, cells) of shingle counts."""
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("set_id", pa.int64()), ("profile", pa.binary()), ("segment", pa.int64()), ("cells", pa.binary())])
+    """One row (doc_id, key, n, set_id) a document."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("set_id", pa.int64())])
 
     def run(tables):
-        counts = np.zeros(WIDTH, np.int64)
         for batch in tables:
-            for at, found, ends, size, ids in _sets(batch.column("text"), k):
-                np.add.at(counts, (found & np.uint64(WIDTH - 1)).astype(np.int64), 1)
-                owner = np.repeat(np.arange(len(size)), size)
-                profile = np.bincount(owner * CELLS + (found >> np.uint64(58)).astype(np.int64), minlength=len(size) * CELLS).reshape(-1, CELLS)
-                profile = np.minimum(profile, 255).astype(np.uint8)
-                none = [None] * len(size)
-                yield batches(schema, [batch.column("doc_id").slice(at, len(size)), batch.column("key").slice(at, len(size)), size, ids.view(np.int64), [p.tobytes() for p in profile], none, none])
-        for segment, cells in segments_of(counts):
-            yield batches(schema, [[None], [None], [None], [None], [None], [segment], [cells]])
+            for at, _, _, size, ids in _sets(batch.column("text"), k):
+                yield batches(schema, [batch.column("doc_id").slice(at, len(size)), batch.column("key").slice(at, len(size)), size, ids.view(np.int64)])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, key long, n long, set_id long, profile binary, segment long, cells binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, key long, n long, set_id long")
+
+
+def _first_tokens(docs: DataFrame, k: int, share: float) -> DataFrame:
+    """(token, id) of the shingles in the first `share` of the hash space."""
+    schema = pa.schema([("token", pa.int64()), ("id", pa.int64())])
+    edge = np.uint64(min(2**64 - 1, int(share * 2**64)))
+
+    def run(tables):
+        for batch in tables:
+            for _, found, _, size, ids in _sets(batch.column("text"), k):
+                keep = found <= edge
+                yield batches(schema, [found[keep].view(np.int64), np.repeat(ids, size)[keep].view(np.int64)])
+
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "token long, id long")
 
 
 def _marked(docs: DataFrame, ids: DataFrame):
@@ -80,37 +90,27 @@ def _marked(docs: DataFrame, ids: DataFrame):
     return docs.sparkSession.sparkContext.broadcast(np.packbits(summed(ids.mapInArrow(mark, "segment long, cells binary"), WANTED) > 0))
 
 
-def _tokens(docs: DataFrame, k: int, share: float, marked=None) -> DataFrame:
-    """(token, id) of the shingles in the first `share` of the hash space, of the marked sets."""
-    schema = pa.schema([("token", pa.int64()), ("id", pa.int64())])
-    edge = np.uint64(min(2**64 - 1, int(share * 2**64)))
+def _wanted_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(id, n, tokens) of the sets in ids(id). A filter of fixed size keeps most others from being moved; the join is exact."""
+    marked = _marked(docs, ids)
+    schema = pa.schema([("id", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
     def run(tables):
-        wanted, seen = np.unpackbits(marked.value).astype(bool) if marked else None, set()
+        wanted, seen = np.unpackbits(marked.value).astype(bool), set()
         for batch in tables:
-            for _, found, ends, size, ids in _sets(batch.column("text"), k):
-                use = size > 0
-                if marked:  # copies within a task count once, as long as they are remembered
-                    use &= wanted[(ids & np.uint64(WANTED - 1)).astype(np.int64)]
-                    for i in np.flatnonzero(use):
-                        if ids[i] in seen:
-                            use[i] = False
-                        elif len(seen) < 1_000_000:
-                            seen.add(ids[i])
-                keep = np.repeat(use, size) & (found <= edge)
-                yield batches(schema, [found[keep].view(np.int64), np.repeat(ids, size)[keep].view(np.int64)])
-
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "token long, id long")
-
+            for _, found, ends, size, mine in _sets(batch.column("text"), k):
+                # copies within a task count once, as long as they are remembered
+                hit = [i for i in np.flatnonzero(wanted[(mine & np.uint64(WANTED - 1)).astype(np.int64)] & (size > 0)) if mine[i] not in seen]
+                if len(seen) < 1_000_000:
+                    seen.update(mine[hit])
+                if hit:
+                    own = np.concatenate([found[ends[i] : ends[i + 1]] for i in hit]).view(np.int64)
+                    tokens = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size[hit])), pa.int32()), pa.array(own))
+                    yield batches(schema, [mine[hit].view(np.int64), tokens])
 
-def _linkable(docs: DataFrame, sets: DataFrame, k: int, over: int, under: int) -> DataFrame:
-    """The rows of sets(set_id, n, ...) that may have a partner, with alone: how many shingles are in no other set."""
-    most = F.col("n") - F.ceil(F.col("n") * over / under)
-    once = _tokens(docs, k, SHARE).groupBy("token").agg(F.count("*").alias("c"), F.max("id").alias("id")).where("c = 1").groupBy("id").agg(F.count("*").alias("alone"))
-    left = saved(sets.join(once, sets["set_id"] == once["id"], "left").where(F.coalesce("alone", F.lit(0)) <= most).select(*sets.columns), few=True)
-    marked = _marked(docs, left.select(F.col("set_id").alias("id")))
-    own = _tokens(docs, k, 1.0, marked).groupBy("token").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last").groupBy("id").agg(F.count("*").alias("alone"))
-    return saved(left.join(own, left["set_id"] == own["id"], "left").withColumn("alone", F.coalesce("alone", F.lit(0)).cast("int")).where(F.col("alone") <= most).drop("id"), few=True)
+    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "id long, tokens array<long>")
+    once = found.join(ids, "id", "left_semi").groupBy("id").agg(F.first("tokens").alias("tokens"))
+    return once.select("id", F.size("tokens").cast("long").alias("n"), "tokens")
 
 
 def least_overlap(a: int, b: int, over: int, under: int) -> int:
@@ -123,149 +123,108 @@ def partners(n: int, over: int, under: int) -> range:
     return range(-(-over * n // under), under * n // over + 1)
 
 
-def boundary(sizes: dict[int, int], scan: float, over: int, under: int) -> int:
-    """The largest size that is enumerated. sizes: how many sets of each size; scan: rows that one entry of an inverted
-    list costs, itself and what it is compared with."""
+def boundary(sizes: dict[int, int], over: int, under: int) -> int:
+    """The largest size that is enumerated. sizes: how many sets of each size."""
 
     def cost(x: int) -> float:
         rows = sum(m * sum(comb(n, least_overlap(n, b, over, under)) for b in partners(n, over, under) if b <= x) for n, m in sizes.items() if n <= x)
-        return rows + scan * sum(m * (n - -(-over * n // under) + 1) for n, m in sizes.items() if n <= MOST_SMALL and under * n > over * x)
+        return rows + sum(m * (MOVES * n + SCAN * (n - -(-over * n // under) + 1)) for n, m in sizes.items() if n <= MOST_SMALL and under * n > over * x)
 
     return min(range(MOST_SMALL + 1), key=lambda x: (cost(x), x))
 
 
-def _lists(docs: DataFrame, k: int, over: int, under: int, ranks, small: int, marked) -> DataFrame:
-    """(token, id, size, kind) of the marked sets: kind 0 for inverted lists, else the number by which subsets tell the sides of a pair."""
-    schema = pa.schema([("token", pa.int64()), ("id", pa.int64()), ("size", pa.int32()), ("kind", pa.int32())])
+def _subsets(held: DataFrame, over: int, under: int, small: int) -> DataFrame:
+    """(token, id, kind) of the subsets of the sets of up to `small` elements. kind tells the sides of a pair: 1 if both have
+    one size, else 2 for the smaller and 3 for the larger set."""
+    schema = pa.schema([("token", pa.int64()), ("id", pa.int64()), ("kind", pa.int32())])
     salts = numbers(7, 4096)
 
-    def subsets(tokens: np.ndarray, n: int):
+    def of(tokens: np.ndarray, n: int):
         for b in partners(n, over, under):
-            if b <= small and least_overlap(n, b, over, under) <= n:
+            need = least_overlap(n, b, over, under)
+            if b <= small and need <= n:
                 low, high = min(n, b), max(n, b)
-                for part in combinations(tokens, least_overlap(n, b, over, under)):
+                for part in combinations(tokens, need):
                     yield int(mix(np.bitwise_xor.reduce(mix(np.array(part, np.uint64))) + salts[low * 64 + high : low * 64 + high + 1])[0]), 1 if low == high else 2 if n == low else 3
 
     def run(tables):
-        rank, wanted = ranks.value, np.unpackbits(marked.value).astype(bool)
         for batch in tables:
-            for _, found, ends, size, ids in _sets(batch.column("text"), k):
-                use = (size > 0) & wanted[(ids & np.uint64(WANTED - 1)).astype(np.int64)]
-                order = rank[(found & np.uint64(WIDTH - 1)).astype(np.int64)]
-                tokens, owner, few = [], [], []
-                for i in np.flatnonzero(use):
-                    n = int(size[i])
-                    mine = found[ends[i] : ends[i + 1]]
-                    if n <= small:
-                        few += [(t, ids[i], n, kind) for t, kind in subsets(mine, n)]
-                    if under * n > over * small:
-                        # stable: equal ranks stay in the order of the hashes, which is the same in every set
-                        part = np.argsort(order[ends[i] : ends[i + 1]], kind="stable")[: n - -(-over * n // under) + 1]
-                        tokens.append(mine[part])
-                        owner.append(np.full(len(part), i))
-                if tokens:
-                    who = np.concatenate(owner)
-                    yield batches(schema, [np.concatenate(tokens).view(np.int64), ids[who].view(np.int64), size[who].astype(np.int32), np.zeros(len(who), np.int32)])
-                if few:
-                    yield batches(schema, [np.array([x[0] for x in few], np.uint64).view(np.int64), np.array([x[1] for x in few], np.uint64).view(np.int64), [x[2] for x in few], [x[3] for x in few]])
-
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "token long, id long, size int, kind int")
-
+            rows = [(t, i, kind) for i, tokens in zip(batch.column("id").to_pylist(), batch.column("tokens")) for t, kind in of(tokens.values.to_numpy().view(np.uint64), len(tokens))]
+            if rows:
+                yield batches(schema, [np.array([r[0] for r in rows], np.uint64).view(np.int64), [r[1] for r in rows], [r[2] for r in rows]])
 
-def _wanted_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, tokens) of the sets in ids(id). A filter of fixed size keeps most others from being moved; the join is exact."""
-    marked = _marked(docs, ids)
-    schema = pa.schema([("id", pa.int64()), ("tokens", pa.binary())])
-
-    def run(tables):
-        wanted, seen = np.unpackbits(marked.value).astype(bool), set()
-        for batch in tables:
-            for _, found, ends, size, mine in _sets(batch.column("text"), k):
-                hit = [i for i in np.flatnonzero(wanted[(mine & np.uint64(WANTED - 1)).astype(np.int64)] & (size > 0)) if mine[i] not in seen]
-                if len(seen) < 1_000_000:
-                    seen.update(mine[hit])
-                if hit:
-                    yield batches(schema, [mine[hit].view(np.int64), [found[ends[i] : ends[i + 1]].tobytes() for i in hit]])
+    return held.where(F.col("n") <= small).select("id", "tokens").mapInArrow(run, "token long, id long, kind int")
 
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "id long, tokens binary")
-    return found.join(ids, "id", "left_semi").groupBy("id").agg(F.first("tokens").alias("tokens"))
 
-
-def _overlap(column_a: str, column_b: str, pairs: DataFrame) -> DataFrame:
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("inter", pa.int64()), ("total", pa.int64())])
+def _linked(pairs: DataFrame, over: int, under: int) -> DataFrame:
+    """The pairs(a, b, ta, tb) whose token sets, each in the order of unsigned numbers, are similar enough."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(tables):
         for batch in tables:
-            inter, total = [], []
-            for x, y in zip(batch.column(column_a), batch.column(column_b)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            keep = []
+            for x, y in zip(batch.column("ta"), batch.column("tb")):
+                x, y = x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64)
                 if len(x) > len(y):
                     x, y = y, x
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                inter.append(int((y[at] == x).sum()))
-                total.append(len(x) + len(y) - inter[-1])
-            yield batches(schema, [batch.column("a"), batch.column("b"), inter, total])
+                inter = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                keep.append(inter * under >= (len(x) + len(y) - inter) * over)
+            yield batches(schema, [batch.column("a"), batch.column("b")]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.mapInArrow(run, "a long, b long, inter long, total long")
+    return pairs.mapInArrow(run, "a long, b long")
 
 
-def _may_link(pairs: DataFrame, over: int, under: int) -> DataFrame:
-    """pairs(a, b, na, nb, pa, pb) without those whose profiles differ by more than the sets may."""
+def _linkable(docs: DataFrame, sets: DataFrame, k: int, over: int, under: int) -> DataFrame:
+    """The rows of sets(set_id, n) that may have a partner, by the shingles of the first round that are in no other set."""
+    alone = _first_tokens(docs, k, SHARE).groupBy("token").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last").groupBy("id").agg(F.count("*").alias("alone"))
+    most = F.col("n") - F.ceil(F.col("n") * over / under)
+    return sets.join(saved(alone, few=True), sets["set_id"] == F.col("id"), "left").where(F.coalesce("alone", F.lit(0)) <= most).select(*sets.columns)
 
-    def run(tables):
-        for batch in tables:
-            x = np.frombuffer(b"".join(v.as_py() for v in batch.column("pa")), np.uint8).reshape(-1, CELLS).astype(np.int64)
-            y = np.frombuffer(b"".join(v.as_py() for v in batch.column("pb")), np.uint8).reshape(-1, CELLS).astype(np.int64)
-            most = (batch.column("na").to_numpy() + batch.column("nb").to_numpy()) * (under - over) // (under + over)
-            keep = pa.array(np.abs(x - y).sum(1) <= most)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
-    return pairs.mapInArrow(run, "a long, b long")
+def _groups(docs: DataFrame, distinct: DataFrame, k: int, over: int, under: int) -> DataFrame:
+    """(id, root), saved, for the sets of distinct(set_id, n) that have a partner."""
+    sizes = {r.n: r.m for r in distinct.where(F.col("n") <= 2 * MOST_SMALL).groupBy("n").agg(F.count("*").alias("m")).collect()}
+    small = boundary(sizes, over, under)
+    able = distinct.where(F.col("n") <= small).unionByName(_linkable(docs, distinct.where(F.col("n") > small), k, over, under))
+    held = saved(_wanted_sets(docs, saved(able.select(F.col("set_id").alias("id")), few=True), k))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        a, b = (held.select(F.col("id").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab")
+        return _linked(pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb"), over, under)
+
+    listed = held.where(F.col("n") * under > small * over)
+    lists = prefix_lists(listed.select("id", F.explode("tokens").alias("element")), listed.select("id", F.col("n").alias("size")), over, under)
+    roots = link(saved(lists), verify, over, under)
+    if not small:
+        return roots
+    subsets = saved(_subsets(held, over, under, small).distinct())
+    whole = subsets.groupBy("token").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.min("kind").alias("low"), F.max("kind").alias("high")).where("a <> z and (low = 1 or low < high)").select("token", "a")
+    edges = subsets.join(whole, "token").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    return components(edges.union(roots.where("id <> root").select("root", "id")))
 
 
 def jaccard_groups(docs: DataFrame, k: int = 5, over: int = 4, under: int = 5) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, n_shingles, component_id, set_id, key (row_key). Documents link when
     under * |intersection| >= over * |union| of their shingle sets; component_id is the smallest doc_id reachable."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    overview = saved(_overview(docs, k))
-    sets = overview.where("n is not null")
-    distinct = saved(sets.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("profile").alias("profile")), few=True)
-    able = _linkable(docs, distinct, k, over, under)
-    counts = summed(overview.where("segment is not null").select("segment", "cells"), WIDTH)
-    sizes = {r.n: r.m for r in able.where(F.col("n") <= 2 * MOST_SMALL).groupBy("n").agg(F.count("*").alias("m")).collect()}
-    total = max(1, int(counts.sum()))
-    mean = total / WIDTH
-    scan = 2 + float((np.maximum(counts - mean - 4 * np.sqrt(mean), 0) * counts).sum()) / total
-    small = boundary(sizes, scan, over, under)
-    ranks = spark.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))
-    found = _lists(docs, k, over, under, ranks, small, _marked(docs, able.select(F.col("set_id").alias("id")))).distinct()
-    lists = saved(found.join(able.select(F.col("set_id").alias("id"), "alone"), "id"))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        slim = able.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("profile").alias("pa"))
-        both = pairs.join(slim, "a").join(slim.select(F.col("a").alias("b"), F.col("na").alias("nb"), F.col("pa").alias("pb")), "b")
-        close = saved(_may_link(both.select("a", "b", "na", "nb", "pa", "pb"), over, under), few=True)
-        ids = saved(close.select(F.col("a").alias("id")).union(close.select(F.col("b").alias("id"))).distinct(), few=True)
-        found = saved(_wanted_sets(docs, ids, k))
-        joined = close.join(found.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(found.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
-        return _overlap("ta", "tb", joined.select("a", "b", "ta", "tb"))
-
-    edges = link(lists.where("kind = 0").select("token", "id", "size", "alone"), verify, over, under)
-    if small:
-        subsets = lists.where("kind > 0")
-        whole = subsets.groupBy("token").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.min("kind").alias("low"), F.max("kind").alias("high")).where("a <> z and (low = 1 or low < high)").select("token", "a")
-        edges = edges.union(subsets.join(whole, "token").where("id <> a").select("a", F.col("id").alias("b")).distinct())
-    roots = components(edges)
-    placed = distinct.join(roots.select(F.col("id").alias("set_id"), "root"), "set_id", "left").select("set_id", "least", F.coalesce("root", "set_id").alias("root"))
-    names = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("set_id", "component_id")
-    return sets.join(saved(names, few=True), "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "set_id", "key")
+    with setting(docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", ROWS):
+        with recorded() as tables:
+            sets = saved(_overview(docs, k))
+            distinct = saved(sets.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.first("n").alias("n")), few=True)
+            roots = _groups(docs, distinct.select("set_id", "n"), k, over, under)
+            least = roots.join(distinct.select(F.col("set_id").alias("id"), "least"), "id").groupBy("root").agg(F.min("least").alias("component_id"))
+            comp = roots.join(least, "root").select(F.col("id").alias("set_id"), "component_id")
+            names = saved(distinct.join(comp, "set_id", "left").select("set_id", F.coalesce("component_id", "least").alias("component_id")), few=True)
+        dropped(*[t for t in tables if t is not sets and t is not names])
+    met = sets.join(names, "set_id", "left")
+    return met.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "set_id", "key")
 
 
 def one_of_each_group(docs: DataFrame, k: int = 5, over: int = 4, under: int = 5) -> DataFrame:
     """The rows of docs whose doc_id is their group's component_id, in all their columns. Repeated rows stay repeated only
     if they cannot be told apart by doc_id; rows with a null doc_id stay if their group has no other id. Each row goes or
     stays for its own text's group, whatever other rows have its doc_id."""
-    groups = saved(jaccard_groups(docs, k, over, under))
+    with recorded() as tables:
+        groups = saved(jaccard_groups(docs, k, over, under))
+    dropped(*[t for t in tables if t is not groups])
     gone = groups.where("doc_id is not null and doc_id <> component_id or doc_id is null and component_id is not null").select(F.col("key").alias("_gone")).distinct()
     return docs.withColumn("_key", row_key()).join(gone, F.col("_key") == F.col("_gone"), "left_anti").drop("_key")

@@ -1,23 +1,32 @@
-"""Components of similar items, from lists of items that share a token, without writing all pairs of a list.
+"""Components of similar sets, from lists of sets that share a token, without writing all pairs of a list.
 
-Every item of a list is compared with the list's pivot. Items that link with it are one component, whatever their number.
-The others ("strays") are compared with the items of the list that are not yet in their component; the triangle inequality
-of the distance to the pivot leaves out pairs that cannot link. So each pair of a list that could join two components is
-compared, and a large group of near copies costs one comparison for each of its members.
+Each list has a pivot, its smallest id. A set is compared with the smallest pivot of its lists first, then with those of its
+other pivots that are not yet in its component, so a large group of near copies costs a comparison or two for each of its
+members. The sets of a list that are still not in the component of its pivot ("strays") are compared with the list's other
+sets that they are apart from, as far as sizes and places allow a link: a join by token and class of size. So each pair of a
+list that could join two components is compared.
+
+What keeps strays few is the order of the tokens. `prefix_lists` ranks elements by their exact counts, rarest first; a set's
+`rem` is how many of its elements stand from the token on. Two sets whose first common token this is share no more than the
+smaller rem. A passage that many otherwise unlike sets share stands last in all of them, so that rem decides about it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from loregraph.llm.common import dropped, recorded, saved
 
-from loregraph.llm.common import saved
+#: From this many sets on a list with strays is crowded. Sizes within this factor are one class.
+CROWDED, CLASS = 16, 1.05
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(id, root) for each end of edges(a, b); root is the component's smallest id.
+    """(id, root) for each end of edges(a, b), saved; root is the component's smallest id.
 
     Alternates the large star (larger neighbours go to the smallest neighbour) and the small star (smaller neighbours
     and the node go to the smallest one) until nothing changes. Null ends and loops are left out.
@@ -25,98 +34,110 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     both = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     now = saved(both.distinct(), few=True)
     for _ in range(most_rounds):
-        out = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = out.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = out.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = saved(small.union(down.select("a", F.col("m").alias("b"))).distinct(), few=True)
         # Done when each node has one edge and no root is a node: then all edges are stars around roots.
         ends = now.select("a", F.lit(1).alias("n")).union(now.select("b", F.lit(0)).distinct())
         if ends.groupBy("a").agg(F.sum("n").alias("n"), F.count("*").alias("c")).where("n > 1 or c > 1").isEmpty():
             break
+        out = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = out.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = saved(out.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), few=True)
+        down = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(down, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        after = saved(small.union(down.select("a", F.col("m").alias("b"))).distinct(), few=True)
+        dropped(now, large)
+        now = after
     else:
         raise RuntimeError("the components did not settle")
     roots = now.select(F.col("a").alias("id"), F.col("b").alias("root"))
-    return roots.union(roots.select(F.col("root").alias("id"), "root").distinct())
+    out = saved(roots.union(roots.select(F.col("root").alias("id"), "root").distinct()), few=True)
+    dropped(now)
+    return out
 
 
-#: From this many items on a list counts as large: its items' unshared elements are counted.
-LARGE = 32
+def may_link(size_a: Column, size_b: Column, rem_a: Column, rem_b: Column, over: int, under: int) -> Column:
+    """Whether sets of these sizes that share at most the smaller rem can have a similarity of over/under."""
+    fits = F.least(size_a, size_b) * under >= F.greatest(size_a, size_b) * over
+    return fits & (F.least(rem_a, rem_b) * (over + under) >= (size_a + size_b) * over)
 
 
-def link(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], over: int = 4, under: int = 5, prepare: Callable[[DataFrame], None] | None = None, elements: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Links that make the components: edges(a, b), those to the roots of a first round among them.
+def prefix_lists(parts: DataFrame, sizes: DataFrame, over: int, under: int) -> DataFrame:
+    """(token, id, size, rem): each set's rarest elements, as many as a partner must share one of.
 
-    postings(token, id, size[, alone]): the lists. `alone` of an item's elements are in no other item: they bound what it
-    can share with any other, and the item of a list that has the fewest is its pivot. If postings do not have it,
-    elements(ids) gives (id, element) for the items of large lists, and `alone` is counted among these; it is 0 elsewhere.
-    prepare(ids) is called once with all items of lists of two or more. verify gets pairs(a, b) without repeats, and returns
-    (a, b, inter, total) with the exact sizes of intersection and union, or leaves out pairs that surely do not link.
-    Similarity is at least over/under.
+    parts(id, element) without repeats, sizes(id, size) of all sets in parts. Elements of one set alone come first in its
+    order and stand in no list: a set that has too many of them has no partner.
     """
-    if "alone" in postings.columns:
-        item = F.struct("alone", "id", "size")
-        ends, pivot = postings.groupBy("token").agg(F.min(item).alias("p"), F.max(item).alias("last"), F.lit(0).alias("n")), "p.id"
-    else:
-        ends, pivot = postings.groupBy("token").agg(F.min("id").alias("p"), F.max("id").alias("last"), F.count("*").alias("n")), "p"
-        postings = postings.withColumn("alone", F.lit(0))
-    heads = ends.where("p <> last").select("token", "n", F.col(pivot).alias("pivot"))
+    counts = saved(parts.groupBy("element").agg(F.count("*").alias("c")).where("c > 1"), few=True)
+    shared = parts.join(counts, "element")
+    order = Window.partitionBy("id")
+    placed = shared.select("id", "element", F.row_number().over(order.orderBy("c", "element")).alias("at"), F.count("*").over(order).alias("met"))
+    placed = placed.join(sizes, "id").withColumn("rem", F.col("met") - F.col("at") + 1)
+    return placed.where(F.col("rem") * under >= F.col("size") * over).select(F.col("element").alias("token"), "id", "size", "rem")
+
+
+def _apart(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The pairs(a, b) that are not in one component of roots(id, root)."""
+    if roots is None:
+        return pairs
+    a, b = (roots.select(F.col("id").alias(x), F.col("root").alias(f"_{x}")) for x in "ab")
+    return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+
+
+def _stray_pairs(rest: DataFrame, over: int, under: int) -> DataFrame:
+    """(a, b) of the sets of a list, one of them a stray, that may link. rest(token, id, size, rem, root, stray)."""
+    kind = lambda x: F.floor(F.log(x) / F.log(F.lit(CLASS)))
+    smallest = F.col("size") * over / under
+    largest = F.least(F.col("size") * under / over, F.col("rem") * (over + under) / over - F.col("size"))
+    strays = rest.where("stray").select("token", *[F.col(c).alias(f"_{c}") for c in ("id", "size", "rem", "root")], F.explode(F.when(largest + 0.02 >= smallest, F.sequence(kind(smallest - 0.01), kind(largest + 0.01)))).alias("kind"))
+    others = rest.withColumn("kind", kind(F.col("size")))
+    met = strays.join(others, ["token", "kind"]).where((F.col("root") != F.col("_root")) & (~F.col("stray") | (F.col("_id") < F.col("id"))))
+    met = met.where(may_link(F.col("size"), F.col("_size"), F.col("rem"), F.col("_rem"), over, under))
+    return met.select(F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b")).distinct()
+
+
+Verify = Callable[[DataFrame], DataFrame]
+
+
+def link(postings: DataFrame, verify: Verify, over: int = 4, under: int = 5, prepare: Callable[[DataFrame], None] | None = None, crowded: Callable[[DataFrame], DataFrame] | None = None, known: DataFrame | None = None) -> DataFrame:
+    """The components of the sets, (id, root) for those that have a partner, saved.
+
+    postings(token, id, size, rem): the lists; rows may repeat. verify gets pairs(a, b) without repeats and returns those of
+    them that link, by exact similarity of at least over/under. prepare(ids) is called before that with all sets that have
+    company. crowded(ids) gives other, finer lists (`prefix_lists`) in which sets of crowded lists meet their partners.
+    known(id, root): components from before.
+    """
+    heads = postings.groupBy("token").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot <> last").select("token", "pivot")
     shared = saved(postings.join(heads, "token").distinct())
     if prepare:
         prepare(saved(shared.select("id").distinct(), few=True))
-    large, parts = shared.where(F.col("n") > LARGE), None
-    if elements and not large.isEmpty():
-        parts = saved(elements(saved(large.select("id").distinct(), few=True)))
-        once = parts.groupBy("element").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last")
-        few = saved(once.groupBy("id").agg(F.count("*").alias("_alone")), few=True)
-        known = saved(large.join(few, "id", "left").withColumn("alone", F.coalesce("_alone", F.lit(0)).cast("int")).drop("_alone", "pivot"))
-        heads = known.groupBy("token").agg(F.min(F.struct("alone", "id")).alias("p")).select("token", F.col("p.id").alias("pivot"))
-        shared = saved(shared.where(F.col("n") <= LARGE).unionByName(known.join(heads, "token")))
-    shared = shared.withColumn("large", F.lit(parts is not None) & (F.col("n") > LARGE)).drop("n")
-    sizes = shared.where("id = pivot").select("token", F.col("size").alias("pivot_size"), F.col("alone").alias("pivot_alone"))
-
-    def may(a, b, alone_a, alone_b):
-        most = F.least(a - alone_a, b - alone_b)
-        return (F.least(a, b) * under >= F.greatest(a, b) * over) & (most * (over + under) >= (a + b) * over)
-
-    star = shared.where("id <> pivot").join(sizes, "token")
-    star = star.where(may(F.col("size"), F.col("pivot_size"), F.col("alone"), F.col("pivot_alone"))).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    first = saved(verify(star))
-    linked = F.col("inter") * under >= F.col("total") * over
-    edges = first.where(linked).select("a", "b")
-    roots = saved(components(edges), few=True)
-    far = first.select(F.col("a").alias("pivot"), F.col("b").alias("id"), (1 - F.col("inter") / F.col("total")).alias("far"), "inter")
-    placed = (
-        shared.join(roots.select("id", F.col("root").alias("r")), "id", "left")
-        .join(roots.select(F.col("id").alias("pivot"), F.col("root").alias("pr")), "pivot", "left")
-        .select("token", "id", "size", "alone", "large", "pivot", F.coalesce("r", "id").alias("root"), (F.coalesce("r", "id") != F.coalesce("pr", "pivot")).alias("stray"))
-    )
+    own = shared.where("id = pivot").select("token", F.col("size").alias("_size"), F.col("rem").alias("_rem"))
+    star = shared.where("id <> pivot").join(own, "token").where(may_link(F.col("size"), F.col("_size"), F.col("rem"), F.col("_rem"), over, under))
+    star = saved(_apart(star.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), known), few=True)
+
+    def joined(roots: DataFrame | None, pairs: DataFrame) -> DataFrame | None:
+        pairs = saved(pairs, few=True)
+        if pairs.isEmpty():
+            return roots
+        found = saved(verify(pairs), few=True)
+        old = [] if roots is None else [roots.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b"))]
+        out = components(found.unionByName(old[0]) if old else found)
+        dropped(pairs, found)
+        return out
+
+    first = star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    roots = joined(known, first)
+    roots = joined(roots, _apart(star.join(first, ["a", "b"], "left_anti"), roots))
+    if roots is None:
+        roots = saved(shared.select("id", F.col("id").alias("root")).where("false"), few=True)
+    placed = shared.join(roots.select("id", F.col("root").alias("_r")), "id", "left").join(roots.select(F.col("id").alias("pivot"), F.col("root").alias("_p")), "pivot", "left")
+    placed = placed.select("token", "id", "size", "rem", "pivot", F.coalesce("_r", "id").alias("root"), (F.coalesce("_r", "id") != F.coalesce("_p", "pivot")).alias("stray"))
     # A list of two needs no second look: the pair has been compared or cannot fit.
-    more = placed.groupBy("token").agg(F.max("stray").alias("any"), F.count("*").alias("n")).where("any and n > 1").select("token")
-    rest = saved(placed.where(F.col("id") != F.col("pivot")).join(more, "token", "left_semi").join(far, ["pivot", "id"], "left"))
-    apart = 1 - over / under + 1e-9
-    need = (F.col("s.size") + F.col("o.size")) * over
-    # What two items share is in the pivot, or in neither's unshared elements.
-    within = F.least("s.inter", "o.inter") * (over + under)
-    beyond = lambda x: F.col(f"{x}.size") - F.col(f"{x}.alone") - F.col(f"{x}.inter")
-
-    def met(left: DataFrame, right: DataFrame, on: list[str], also) -> DataFrame:
-        s, o = left.where("stray").alias("s"), right.alias("o")
-        same = [F.col(f"s.{c}") == F.col(f"o.{c}") for c in on]
-        pairs = s.join(o, same).where((F.col("s.root") != F.col("o.root")) & (~F.col("o.stray") | (F.col("s.id") < F.col("o.id"))))
-        pairs = pairs.where(may(F.col("s.size"), F.col("o.size"), F.col("s.alone"), F.col("o.alone")))
-        close = (F.abs(F.col("s.far") - F.col("o.far")) <= apart) & (within + F.least(beyond("s"), beyond("o")) * (over + under) >= need) & also
-        compared = F.col("s.inter").isNotNull() & F.col("o.inter").isNotNull()
-        return pairs.where(F.when(compared, close).otherwise(F.lit(True))).select(F.least("s.id", "o.id").alias("a"), F.greatest("s.id", "o.id").alias("b"))
-
-    # On a large list a pair that does not share enough within the pivot shares an element outside: there it is found.
-    pairs = met(rest, rest, ["token"], ~F.col("s.large") | (within >= need))
-    if parts is not None:
-        items = rest.where("large and inter is not null").drop("token").distinct()
-        of_pivot = items.select("pivot").distinct().join(parts.withColumnRenamed("id", "pivot"), "pivot")
-        outside = saved(items.join(parts, "id").join(of_pivot, ["pivot", "element"], "left_anti"))
-        pairs = pairs.union(met(outside, outside, ["pivot", "element"], F.lit(True)))
-    pairs = saved(pairs.distinct(), few=True)
-    known = roots.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b"))
-    return known if pairs.isEmpty() else known.union(verify(pairs).where(linked).select("a", "b"))
+    more = placed.where("id <> pivot").groupBy("token").agg(F.max("stray").alias("any"), F.count("*").alias("n")).where("any and n > 1").select("token", "n")
+    rest = saved(placed.where("id <> pivot").join(more, "token").drop("pivot"))
+    small = rest.where(F.col("n") < CROWDED) if crowded else rest
+    roots = joined(roots, _apart(_stray_pairs(small, over, under), roots))
+    if crowded:
+        ids = saved(rest.where(F.col("n") >= CROWDED).select("id", "size").distinct(), few=True)
+        if not ids.isEmpty():
+            roots = link(crowded(ids), verify, over, under, known=roots)
+    dropped(shared, rest, star)
+    return roots
