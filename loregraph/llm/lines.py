@@ -1,14 +1,18 @@
 """Line dedup: fuzzy lines by MinHash, with DataFrame functions only.
 
-A line's set: all its windows of WINDOW characters (lower-cased and trimmed; a shorter line is its own window). Its sketch
-is the smallest hashes of the windows in order. Bands are runs of neighbours in that order: a window that differs breaks only
-the runs around it. Lines that share a band are candidates; the exact Jaccard similarity of their sets (at least 0.8) decides;
-union-find over the links gives components; of each the first line stays, by doc_id and place. Bands are found by chance: at
-a similarity of 0.8 about 98.5% of pairs share one or more, and above it a larger part.
+A line's set: all its windows of WINDOW characters (lower-cased and trimmed; a shorter line is its own window). Lines whose
+sets have a Jaccard similarity of 0.8 or more are linked; union-find over the links gives components; of each the first line
+stays, by doc_id and place. All similarities are exact, over all windows; only the candidates are found by chance.
+
+Candidates: a line's sketch is the smallest hashes of its windows in order; bands are runs of neighbours in that order, so
+that a window that differs breaks only the runs around it. Long lines have many windows, so theirs are chosen by content:
+LONG_WINDOW characters that begin with one of a few letters. Lines with few of these have bands of all windows, those in
+between have both kinds. At a similarity of 0.80 to 0.85 more than 99% of pairs share a band, above it 99.8%.
 
 Blank lines stay as they are. Null text stays null. A document that had lines and lost all of them is dropped from
 `deduplicated` (its lines stand elsewhere), but `line_counts` reports it. Repeated rows of a document count once: all of them
-lose the same lines. A null doc_id comes first in the order. Columns other than doc_id and text are carried along.
+lose the same lines. A null doc_id comes first in the order. Very long lines are lines like others. An empty table gives no
+row. Columns other than doc_id and text are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,17 +20,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loregraph.llm.common import saved
-from loregraph.llm.linking import components, link
-
-WINDOW = 5
-#: Smallest hashes kept, and the neighbours of a band: unlike lines of prose share many of their windows, so few would not do.
-SKETCH, RUN = 64, 6
-#: Sets of up to SHORT windows have bands of SHORT_RUN neighbours; those from 4/5 of SHORT on have bands of RUN, so that sets
-#: that can link have one kind in common.
-SHORT, SHORT_RUN = 30, 3
-#: In a set of more than EVERY windows bands begin only at hashes that ANCHOR divides.
-EVERY, ANCHOR = 60, 3
+from loregraph.llm.common import dropped, recorded, saved
+from loregraph.llm.linking import link, prefix_lists
+
+WINDOW, LONG_WINDOW = 5, 10
+#: What chosen windows begin with.
+BEGIN = "[aeo]"
+#: Bands: (least and most windows of a set + 1, hashes of the sketch, neighbours, anchor: runs begin at hashes that it divides).
+CHOSEN_BANDS = ((24, 60, 60, 3, 2), (48, None, 60, 3, 5))
+ALL_BANDS = ((0, 30, 30, 3, 1), (24, 60, 60, 4, 2), (48, None, 60, 4, 4))
+#: Sets with fewer chosen windows than this have bands of all windows.
+FEW = 30
 #: log2 of the cells of the filter that keeps most rows that are not wanted from being moved (2 MB).
 FILTER_BITS = 23
 
@@ -43,79 +47,107 @@ def windows(line: Column) -> Column:
     return F.when(F.length(line) <= WINDOW, F.array(F.xxhash64(line))).otherwise(F.array_distinct(F.flatten(F.transform(blocks, of_block))))
 
 
-def bands(sketch: Column, size: Column) -> Column:
-    """Tokens of the smallest window hashes, in ascending order, of a set of that size; one token if they make no run."""
+def chosen_windows(line: Column) -> Column:
+    """The distinct hashes of the long windows of a normalised line that begin with a letter of BEGIN."""
+    found = F.regexp_extract_all(line, F.lit(rf"(?s)(?=({BEGIN}.{{{LONG_WINDOW - 1}}}))"), F.lit(1))
+    return F.array_distinct(F.transform(found, lambda w: F.xxhash64(w)))
 
-    def runs(n: int, starts=None) -> Column:
-        at = F.sequence(F.lit(1), F.greatest(F.size(sketch) - (n - 1), F.lit(1)))
-        return F.transform(at if starts is None else F.filter(at, starts), lambda i: F.xxhash64(F.lit(n), F.slice(sketch, i, F.lit(n))))
 
-    long = runs(RUN, lambda i: (size <= EVERY) | (F.element_at(sketch, i) % ANCHOR == 0))
-    return F.when(size * 5 < SHORT * 4, runs(SHORT_RUN)).when(size <= SHORT, F.concat(runs(SHORT_RUN), long)).otherwise(long)
+def _bands(hashes: Column, kinds: tuple, salt: int) -> Column:
+    """Tokens of the smallest hashes in ascending order, of a set of distinct hashes, for the kinds that fit its size."""
+    none, out = F.array().cast("array<bigint>"), []
+    for k, (low, high, most, run, anchor) in enumerate(kinds):
+        sketch = F.slice(F.sort_array(hashes), 1, most)
+        starts = F.sequence(F.lit(1), F.greatest(F.size(sketch) - (run - 1), F.lit(1)))
+        if anchor > 1:
+            starts = F.filter(starts, lambda i: F.element_at(sketch, i) % anchor == 0)
+        fits = (F.size(hashes) >= low) & (F.lit(True) if high is None else F.size(hashes) < high)
+        out.append(F.when(fits, F.transform(starts, lambda i: F.xxhash64(F.lit(salt + k), F.slice(sketch, i, F.lit(run))))).otherwise(none))
+    return F.concat(*out)
 
 
 def doc_lines(docs: DataFrame) -> DataFrame:
-    """(doc_key, doc_id, line_no, line, id) for each line of docs that is not blank; id is a hash of the normalised line."""
+    """(doc_id, doc_key, line_no, line, id, id2) for each line of docs that is not blank; doc_key is a hash of the document's
+    id and text, id and id2 are hashes of the normalised line."""
     key = F.xxhash64("doc_id", "text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    rows = rows.select(key.alias("doc_key"), "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    rows = rows.select("doc_key", "doc_id", "line_no", normal(F.col("raw")).alias("line")).where("line <> ''")
-    return rows.withColumn("id", F.xxhash64("line"))
-
-
-def only_cells(rows: DataFrame, column: str, wanted: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """rows with _hit, false where the column's value is surely not in wanted(v): by a table of fixed size that is broadcast."""
+    rows = rows.select("doc_id", key.alias("doc_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
+    rows = rows.select("doc_id", "doc_key", "line_no", normal(F.col("raw")).alias("line")).where("line <> ''")
+    return rows.withColumn("id", F.xxhash64("line")).withColumn("id2", F.xxhash64(F.lit(2), "line"))
+
+
+def free_names(names: list[str], *wanted: str) -> list[str]:
+    """The wanted names, longer where a column has them already."""
+    have, out = {n.lower() for n in names}, []
+    for w in wanted:
+        while w.lower() in have:
+            w += "_"
+        out.append(w)
+        have.add(w.lower())
+    return out
+
+
+def only_cells(rows: DataFrame, column: str, wanted: DataFrame, hit: str, bits: int = FILTER_BITS) -> DataFrame:
+    """rows with the column `hit`, false where the column's value is surely not in wanted(v): by a table of fixed size that
+    is broadcast."""
+    at, found = free_names([*rows.columns, hit], "_cell", "_bits")
     cell = F.col("v").bitwiseAND(F.lit((1 << bits) - 1))
-    mask = wanted.select(F.shiftright(cell, 6).alias("_cell"), F.expr("shiftleft(1L, cast(v & 63 as int))").alias("bit")).groupBy("_cell").agg(F.bit_or("bit").alias("_bits"))
-    own = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
-    met = rows.withColumn("_cell", F.shiftright(own, 6)).join(F.broadcast(saved(mask, few=True)), "_cell", "left")
-    hit = F.expr(f"coalesce((_bits & shiftleft(1L, cast({column} & 63 as int))) <> 0, false)")
-    return met.withColumn("_hit", hit).drop("_cell", "_bits")
+    mask = wanted.select(F.shiftright(cell, 6).alias(at), F.expr("shiftleft(1L, cast(v & 63 as int))").alias("bit")).groupBy(at).agg(F.bit_or("bit").alias(found))
+    met = rows.withColumn(at, F.shiftright(F.col(column).bitwiseAND(F.lit((1 << bits) - 1)), 6)).join(F.broadcast(saved(mask, few=True)), at, "left")
+    return met.withColumn(hit, F.expr(f"coalesce(({found} & shiftleft(1L, cast(`{column}` & 63 as int))) <> 0, false)")).drop(at, found)
 
 
-def line_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lines, roots): lines(doc_key, doc_id, line_no, id) that are not blank, roots(id, root) of lines with near copies."""
-    found = doc_lines(docs).withColumn("set", windows(F.col("line")))
-    found = found.select("doc_key", "doc_id", "line_no", "id", F.size("set").alias("size"), F.slice(F.sort_array("set"), 1, SKETCH).alias("sketch"))
-    lines = saved(found.select("doc_key", "doc_id", "line_no", "id", "size", bands(F.col("sketch"), F.col("size")).alias("bands")))
-    postings = lines.select("id", "size", F.explode("bands").alias("token")).select("token", "id", "size")
-
-    sets: list[DataFrame] = []
+def line_groups(docs: DataFrame) -> DataFrame:
+    """(id, id2, root), saved, of the lines that have near copies."""
+    found = doc_lines(docs).select("id", "line", chosen_windows(F.col("line")).alias("chosen"))
+    found = found.withColumn("all", F.when(F.size("chosen") < FEW, windows(F.col("line"))))
+    sketch = saved(found.select("id", _bands(F.col("chosen"), CHOSEN_BANDS, 10).alias("long"), F.when(F.col("all").isNotNull(), _bands(F.col("all"), ALL_BANDS, 20)).alias("short")))
+    lists = sketch.select("id", F.explode(F.concat("long", F.coalesce("short", F.array().cast("array<bigint>")))).alias("token"))
+    # bands say nothing of sizes: which pairs can link is left to the exact comparison
+    lists = lists.select("token", "id", F.lit(1).alias("size"), F.lit(1).alias("rem"))
+    texts: list[DataFrame] = []
 
     def prepare(ids: DataFrame) -> None:
-        near = only_cells(doc_lines(docs).select("id", "line"), "id", ids.withColumnRenamed("id", "v")).where("_hit").select("id", "line")
-        sets.append(saved(near.groupBy("id").agg(F.min("line").alias("line"))))
+        near = only_cells(doc_lines(docs).select("id", "line"), "id", ids.withColumnRenamed("id", "v"), "hit").where("hit").join(ids, "id", "left_semi")
+        texts.append(saved(near.groupBy("id").agg(F.min("line").alias("line"))))
 
-    def elements(ids: DataFrame) -> DataFrame:
-        return sets[0].join(ids, "id", "left_semi").select("id", F.explode(windows(F.col("line"))).alias("element"))
+    def crowded(ids: DataFrame) -> DataFrame:
+        sets = saved(texts[0].join(ids.select("id"), "id", "left_semi").select("id", windows(F.col("line")).alias("set")))
+        return saved(prefix_lists(sets.select("id", F.explode("set").alias("element")), sets.select("id", F.size("set").alias("size")), 4, 5))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        of = lambda x: sets[0].select(F.col("id").alias(x), F.col("line").alias(f"l{x}"))
-        met = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", windows(F.col("la")).alias("sa"), windows(F.col("lb")).alias("sb"))
+        a, b = (texts[0].select(F.col("id").alias(x), F.col("line").alias(f"l{x}")) for x in "ab")
+        met = pairs.join(a, "a").join(b, "b").select("a", "b", windows(F.col("la")).alias("sa"), windows(F.col("lb")).alias("sb"))
         met = met.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("inter"))
-        return met.select("a", "b", "inter", (F.col("na") + F.col("nb") - F.col("inter")).alias("total"))
+        return met.where("inter * 5 >= (na + nb - inter) * 4").select("a", "b")
 
-    return lines.select("doc_key", "doc_id", "line_no", "id"), components(link(postings, verify, prepare=prepare, elements=elements))
+    roots = link(lists, verify, prepare=prepare, crowded=crowded)
+    return saved(roots.join(texts[0], "id").select("id", F.xxhash64(F.lit(2), "line").alias("id2"), "root"), few=True)
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_key, gone): the places of the lines that leave each document."""
-    lines, roots = line_groups(docs)
-    lines = lines.distinct()
-    placed = lines.join(saved(roots, few=True), "id", "left").select(F.coalesce("root", "id").alias("root"), F.struct("doc_id", "line_no", "doc_key").alias("at"))
-    placed = saved(placed)
-    first = placed.groupBy("root").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first <> last").select("root", "first")
-    gone = placed.join(first, "root").where("at <> first").select("at.doc_key", "at.line_no")
-    return gone.groupBy("doc_key").agg(F.collect_list("line_no").alias("gone"))
-
-
-def _with_gone(docs: DataFrame) -> DataFrame:
-    """docs with _gone, the places of the lines that leave, null for none."""
-    gone = saved(removed_lines(docs).withColumnRenamed("doc_key", "_key").withColumnRenamed("gone", "_gone"))
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    keyed = only_cells(keyed, "_key", gone.select(F.col("_key").alias("v")))
-    safe = keyed.where("not _hit").drop("_hit", "_key").withColumn("_gone", F.lit(None).cast("array<int>"))
-    return safe.unionByName(keyed.where("_hit").drop("_hit").join(gone, "_key", "left").drop("_key"))
+    """(doc_id, doc_key, gone), saved: the places of the lines that leave each document."""
+    with recorded() as tables:
+        roots = line_groups(docs)
+        lines = doc_lines(docs).select("id", "id2", F.struct("doc_id", "line_no", "doc_key").alias("at"))
+        # equal lines without a near copy are one group too; own tells different lines of one hash apart
+        placed = saved(lines.join(roots, ["id", "id2"], "left").select(F.coalesce("root", "id").alias("root"), F.when(F.col("root").isNull(), F.col("id2")).alias("own"), "at"))
+        first = saved(placed.groupBy("root", "own").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first <> last").select("root", "own", "first"))
+        met = placed.join(first.withColumnRenamed("own", "_own"), "root").where("own <=> _own and at <> first").select("at.doc_id", "at.doc_key", "at.line_no").distinct()
+        gone = saved(met.groupBy("doc_id", "doc_key").agg(F.collect_list("line_no").alias("gone")))
+    dropped(*[t for t in tables if t is not gone])
+    return gone
+
+
+def _with_gone(docs: DataFrame, gone: str) -> DataFrame:
+    """docs with the column `gone`, the places of the lines that leave, null for none."""
+    key, hit, doc = free_names([*docs.columns, gone], "_key", "_hit", "_doc")
+    table = removed_lines(docs.select("doc_id", "text")).toDF(doc, f"{key}_", gone)
+    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    keyed = only_cells(keyed, key, table.select(F.col(f"{key}_").alias("v")), hit)
+    safe = keyed.where(~F.col(hit)).select(*docs.columns, F.lit(None).cast("array<int>").alias(gone))
+    met = keyed.where(F.col(hit)).join(table, (F.col(key) == F.col(f"{key}_")) & F.col("doc_id").cast("long").eqNullSafe(F.col(doc)), "left")
+    return safe.unionByName(met.select(*docs.columns, gone))
 
 
 def _cleaned(text: Column, gone: Column) -> Column:
@@ -129,12 +161,13 @@ def _solid(text: Column) -> Column:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs in all their columns, with text less the repeated lines, without the documents that lost all their lines."""
-    out = _with_gone(docs)
-    emptied = F.col("_gone").isNotNull() & (F.size("_gone") >= _solid(F.col("text")))
-    return out.where(~emptied).withColumn("text", _cleaned(F.col("text").cast("string"), F.col("_gone"))).select(*docs.columns)
+    (gone,) = free_names(docs.columns, "_gone")
+    out = _with_gone(docs, gone)
+    emptied = F.col(gone).isNotNull() & (F.size(gone) >= _solid(F.col("text")))
+    return out.where(~emptied).withColumn("text", _cleaned(F.col("text").cast("string"), F.col(gone))).select(*docs.columns)
 
 
 def line_counts(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_lines (not blank), n_removed, kept_chars, kept_md5 of the text that stays."""
-    out = _with_gone(docs.select("doc_id", "text")).withColumn("_kept", _cleaned(F.col("text").cast("string"), F.col("_gone")))
-    return out.select("doc_id", _solid(F.col("text")).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"), F.length("_kept").cast("long").alias("kept_chars"), F.md5("_kept").alias("kept_md5"))
+    out = _with_gone(docs.select("doc_id", "text"), "gone").withColumn("kept", _cleaned(F.col("text").cast("string"), F.col("gone")))
+    return out.select("doc_id", _solid(F.col("text")).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.length("kept").cast("long").alias("kept_chars"), F.md5("kept").alias("kept_md5"))
