@@ -1,228 +1,227 @@
-"""LM scoring: stupid backoff with bigrams, computed relationally over all documents.
+"""LM scoring: stupid backoff, computed relationally over all documents.
 
-S(w | v) = c(v w) / c(v) if the pair is in the table (counts of CUTOFF or more), else ALPHA * c(w) / N; the first word has
-c(w) / N. A document's score is the sum of the logarithms. Counts are over all documents.
+S(w | u v) = c(u v w) / c(u v) if the n-gram is in the count table (counts of CUTOFF or more), else ALPHA * S(w | v), down to
+c(w) / N. A word near the beginning has as much context as there is. A document's score is the sum of the logarithms, for
+n-grams of ORDER words and fewer. Counts are over all documents.
 
-Exploded pairs are partitioned by the hash of their first word, so that a partition holds the counts of its pairs and
-words and joins them to the documents' pairs in one shuffle; backed-off words go to the partition of their own count in a
-second one. A word that is more than 1 in HEAVY is too many rows for one partition: its count (there are at most HEAVY such
-words) is sent to all executors, and its pairs are partitioned by both words. Rows hold many pairs: in each chunk of
-documents, those of one partition.
+The sum is taken apart: each word adds the logarithm of its backoff to the lowest order, and each n-gram of the tables that a
+document holds adds a correction, its own score less what its suffix would have got. So the tables (hash, count), joined with
+themselves by prefix and suffix, become tables of corrections, and these are joined with the documents' exploded n-grams and
+summed per document. All is done in ROUNDS, each over one range of the n-grams' hashes, so that no step moves or stores all
+exploded n-grams at once. N-grams that are more than 1 in HEAVY are too many rows for one key: their corrections (at most
+HEAVY an order) are sent to all executors. A filter of fixed width keeps most n-grams that are in no table from being moved.
 
 Null or empty text: no words, a null score. Repeated rows count as often as they occur and have the same score. A null doc_id
-is scored like others. Columns other than doc_id and text are not read.
+is scored like others. Texts of any length are taken whole. An empty table gives no row. Columns other than doc_id and text
+are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loregraph.llm.common import batches, saved, segments_of, summed
+from loregraph.llm.common import batches, dropped, recorded, saved, setting
 from loregraph.llm.wordhash import chunks, mix, words
 
-ALPHA, CUTOFF, HEAVY, CELLS = 0.4, 2, 100_000, 1 << 20
-#: Words a partition; characters of text and words worked on at once.
-PART_WORDS, CHUNK, BLOCK = 2_500_000, 1 << 21, 1 << 21
-_END, _START = np.uint64(0), np.uint64(1)
-_SCHEMA = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("key", pa.int64()), ("score", pa.float64()), ("first", pa.binary()), ("runs", pa.binary()), ("second", pa.binary()), ("per", pa.binary()), ("doc", pa.binary()), ("times", pa.binary()), ("docs", pa.binary())])
-_SQL = "part int, kind int, key long, score double, first binary, runs binary, second binary, per binary, doc binary, times binary, docs binary"
-#: Kinds of row: pairs of words, words to score by themselves, counts of words, a document's part of its score.
-PAIRS, WORDS, COUNTS, SCORE = range(4)
-
+ALPHA, CUTOFF, ORDER, HEAVY, ROUNDS = 0.4, 2, 3, 100_000, 5
+#: Characters of text and words worked on at once; log2 of the cells of 64 bits of the filter (8 MB).
+CHUNK, BLOCK, CELL_BITS = 1 << 20, 1 << 20, 20
+#: Rows that go to Python at once: a bound on the memory of a worker.
+ROWS = "2000"
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = [np.uint64(pow(k, -1, 1 << 64)) for k in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
-def _part(x: np.ndarray, parts: int) -> np.ndarray:
-    return (mix(x ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(parts)).astype(np.int32)
 
+def unmixed(x: np.ndarray) -> np.ndarray:
+    """The number of which `wordhash.mix` makes x."""
+    x = x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(62))
+    x = x * _INVERSE[1]
+    x = x ^ (x >> np.uint64(27)) ^ (x >> np.uint64(54))
+    x = x * _INVERSE[0]
+    return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
 
-def heavy_words(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """Words that are 1 in HEAVY or more, ascending by hash, with their counts, and the number of all words."""
 
-    def cells(tables):
-        counts = np.zeros(CELLS, np.int64)
-        for batch in tables:
-            for _, data, bounds in chunks(batch.column("text")):
-                counts += np.bincount((words(data, bounds)[0] & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-        yield from (pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([c], pa.binary())], names=["segment", "cells"]) for s, c in segments_of(counts))
+def ngrams(hashes: np.ndarray, text: np.ndarray, order: int):
+    """For n = 1 to order: n, each n-gram's hash, that of its suffix of n-1 words (0 for words), its text.
 
-    total = summed(docs.select("text").mapInArrow(cells, "segment long, cells binary"), CELLS)
-    n = int(total.sum())
-    many = docs.sparkSession.sparkContext.broadcast(total * HEAVY >= max(n, 1))
-    schema = pa.schema([("word", pa.int64()), ("n", pa.int64())])
-
-    def counted(tables):
+    The hash is made of those of prefix and suffix so that `prefixes` gets the prefix back from hash and suffix."""
+    g, ok = mix(hashes + np.uint64(1)), np.ones(len(hashes), bool)
+    yield 1, g, np.zeros(len(g), np.uint64), text
+    for n in range(2, order + 1):
+        if len(g) < 2:
+            return
+        prefix, suffix = g[:-1], g[1:]
+        g = mix(prefix + suffix * _STEP + np.uint64(n))
+        ok = text[: len(g)] == text[n - 1 :]
+        yield n, g[ok], suffix[ok], text[: len(g)][ok]
+
+
+def prefixes(h: np.ndarray, suffix: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return unmixed(h) - suffix * _STEP - n.astype(np.uint64)
+
+
+def _within(h: np.ndarray, k: int, rounds: int) -> np.ndarray:
+    """Which hashes are in the k-th range."""
+    return (h >> np.uint64(32)) * np.uint64(rounds) >> np.uint64(32) == np.uint64(k)
+
+
+def counts(docs: DataFrame, order: int, cutoff: int, rounds: int = ROUNDS) -> DataFrame:
+    """(n, h, suffix, prefix, c): the n-grams with c >= cutoff, words with c > 1, and a row with n = 0, c the number of words."""
+    schema = pa.schema([("h", pa.int64()), ("suffix", pa.int64()), ("n", pa.int32()), ("c", pa.int64())])
+
+    def seen(k: int):
+        def run(tables):
+            held: list[list[tuple]] = [[] for _ in range(order)]
+            total = 0
+
+            def rows(n: int):
+                h, s = (np.concatenate(x) for x in zip(*held[n - 1]))
+                held[n - 1].clear()
+                h, first, c = np.unique(h, return_index=True, return_counts=True)
+                return batches(schema, [h.view(np.int64), s[first].view(np.int64), np.full(len(h), n, np.int32), c])
+
+            for batch in tables:
+                for _, data, bounds in chunks(batch.column("text"), CHUNK):
+                    w, text, _, _ = words(data, bounds)
+                    total += len(w)
+                    for n, h, s, _ in ngrams(w, text, order):
+                        own = _within(h, k, rounds)
+                        held[n - 1].append((h[own], s[own]))
+                        if sum(len(x[0]) for x in held[n - 1]) >= BLOCK // 2:
+                            yield rows(n)
+            for n in range(1, order + 1):
+                if held[n - 1]:
+                    yield rows(n)
+            if k == 0:
+                yield batches(schema, [[0], [0], [0], [total]])
+
+        return run
+
+    def with_prefix(tables):
+        out = schema.append(pa.field("prefix", pa.int64()))
         for batch in tables:
-            for _, data, bounds in chunks(batch.column("text"), CHUNK):
-                w = words(data, bounds)[0]
-                w, c = np.unique(w[many.value[(w & np.uint64(CELLS - 1)).astype(np.int64)]], return_counts=True)
-                yield batches(schema, [w.view(np.int64), c])
-
-    rows = docs.select("text").mapInArrow(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") * HEAVY >= max(n, 1)).collect()
-    word, count = np.array([r.word for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.int64)
-    order = np.argsort(word)
-    return word[order], count[order], n
-
-
-def _look(table: np.ndarray, values: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """The value of each x in a sorted table, 0 if it is not there."""
-    if not len(table):
-        return np.zeros(len(x), values.dtype)
-    at = np.minimum(np.searchsorted(table, x), len(table) - 1)
-    return np.where(table[at] == x, values[at], 0)
-
-
-def _small(x: np.ndarray) -> bytes:
-    """Numbers in as few bytes each as the largest needs."""
-    top = int(x.max()) if len(x) else 0
-    return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32).tobytes()
-
-
-def _numbers(b: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(b, {1: np.uint8, 2: np.uint16, 4: np.uint32}[max(1, len(b) // max(1, n))])
-
-
-def _packed(kind: int, part: np.ndarray, first: np.ndarray, second: np.ndarray | None, doc: np.ndarray, times: np.ndarray, keys: np.ndarray):
-    """Rows of a kind, one for each partition; doc is a place in keys. Each first word stands once with its second words, each
-    pair once with its documents, each document once with its count."""
-    pair = mix(first + np.uint64(3) * mix(second)) if second is not None else first
-    # stable: the documents of a pair stay in their order
-    order = np.argsort((part.astype(np.uint64) << np.uint64(52)) | ((first >> np.uint64(38)) << np.uint64(26)) | (pair >> np.uint64(38)), kind="stable")
-    part, first, pair, doc, times = part[order], first[order], pair[order], doc[order], times[order]
-    second = second[order] if second is not None else None
-    changed = lambda x: np.append(True, x[1:] != x[:-1]) if len(x) else np.zeros(0, bool)
-    new_part = changed(part)
-    new_first = new_part | changed(first)
-    new_pair = new_first | changed(pair)
-    entry = np.flatnonzero(new_pair | changed(doc))
-    times = np.add.reduceat(times, entry) if len(entry) else times
-    new_part, new_first, new_pair, doc, part, first = (x[entry] for x in (new_part, new_first, new_pair, doc, part, first))
-    second = second[entry] if second is not None else None
-    cut = np.append(np.flatnonzero(new_part), len(entry))
-    out = [[] for _ in _SCHEMA]
-    for a, b in zip(cut[:-1], cut[1:]):
-        used, own = np.unique(doc[a:b], return_inverse=True)
-        at_pair, at_first = np.flatnonzero(new_pair[a:b]), np.flatnonzero(new_first[a:b])
-        per = np.diff(np.append(at_pair, b - a))
-        runs = np.diff(np.append(np.searchsorted(at_pair, at_first), len(at_pair)))
-        row = (int(part[a]), kind, None, None, first[a:b][at_first].tobytes(), _small(runs), None if second is None else second[a:b][at_pair].tobytes(), _small(per), _small(own), _small(times[a:b]), keys[used].tobytes())
-        for c, v in zip(out, row):
-            c.append(v)
-    return batches(_SCHEMA, out)
-
-
-def _unpacked(rows: list, kind: int):
-    """first, second, doc keys, times of the rows of a kind."""
-    out = [], [], [], []
-    for _, k, _, _, first, runs, second, per, doc, times, docs in rows:
-        if k != kind:
-            continue
-        first, docs = np.frombuffer(first, np.uint64), np.frombuffer(docs, np.int64)
-        first = np.repeat(first, _numbers(runs, len(first)))
-        per = _numbers(per, len(first)).astype(np.int64)
-        n = int(per.sum())
-        out[0].append(np.repeat(first, per))
-        if second is not None:
-            out[1].append(np.repeat(np.frombuffer(second, np.uint64), per))
-        out[2].append(docs[_numbers(doc, n)])
-        out[3].append(_numbers(times, n).astype(np.int64))
-    kinds = np.uint64, np.uint64, np.int64, np.int64
-    return tuple(np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, kinds))
-
-
-def _sums(keys: np.ndarray, score: np.ndarray):
-    keys, at = np.unique(keys, return_inverse=True)
-    total = np.bincount(at, weights=score, minlength=len(keys))
-    none = [None] * len(keys)
-    return batches(_SCHEMA, [[0] * len(keys), [SCORE] * len(keys), keys, total, none, none, none, none, none, none, none])
-
-
-def scores(docs: DataFrame, alpha: float = ALPHA, cutoff: int = CUTOFF) -> DataFrame:
+            h, s, n = (batch.column(c).to_numpy() for c in ("h", "suffix", "n"))
+            yield batches(out, [*batch.columns, prefixes(h.view(np.uint64), s.view(np.uint64), n).view(np.int64)])
+
+    text = docs.select(F.col("text").cast("string").alias("text"))
+    parts = []
+    for k in range(rounds):
+        found = text.mapInArrow(seen(k), "h long, suffix long, n int, c long").repartition("h")
+        kept = found.groupBy("h").agg(F.first("suffix").alias("suffix"), F.first("n").alias("n"), F.sum("c").alias("c"))
+        kept = kept.where((F.col("c") >= cutoff) | (F.col("n") < 2) & (F.col("c") > 1) | (F.col("n") == 0))
+        parts.append(saved(kept.mapInArrow(with_prefix, "h long, suffix long, n int, c long, prefix long")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def corrections(found: DataFrame, order: int, alpha: float, total: int) -> DataFrame:
+    """(h, n, c, delta), of the n-grams of `counts`: what one occurrence adds to the score of its document."""
+    base = -float(np.log(max(total, 1)))
+    own = lambda n: found.where(F.col("n") == n)
+    level = own(1).select("h", "n", "c", F.log("c").alias("delta"), (F.log("c") + base).alias("score"))
+    out = [saved(level)]
+    for n in range(2, order + 1):
+        less = out[-1]
+        met = own(n).join(less.select(F.col("h").alias("prefix"), F.col("c").alias("before")), "prefix", "left").join(less.select(F.col("h").alias("suffix"), F.col("score").alias("lower")), "suffix", "left")
+        score = F.log("c") - F.log(F.coalesce("before", F.lit(1)))
+        out.append(saved(met.select("h", "n", "c", (score - float(np.log(alpha)) - F.coalesce("lower", F.lit(base))).alias("delta"), score.alias("score"))))
+    level = out[0]
+    for x in out[1:]:
+        level = level.unionByName(x)
+    return level.select("h", "n", "c", "delta")
+
+
+def _filter_of(hashes: DataFrame) -> np.ndarray:
+    """Of hashes(h) a filter of fixed width: words of 64 bits."""
+    cell = F.shiftright("h", 6).bitwiseAND(F.lit((1 << CELL_BITS) - 1))
+    rows = hashes.groupBy(cell.alias("cell")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("bits")).toArrow()
+    out = np.zeros(1 << CELL_BITS, np.int64)
+    out[rows.column("cell").to_numpy()] = rows.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return bits[((h >> np.uint64(6)) & np.uint64((1 << CELL_BITS) - 1)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1) > 0
+
+
+def scores(docs: DataFrame, alpha: float = ALPHA, cutoff: int = CUTOFF, order: int = ORDER, heavy: int = HEAVY, rounds: int = ROUNDS) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, n_words, log_score, mean_score (log_score / n_words)."""
     slim = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    word, count, n = heavy_words(slim)
-    sent = docs.sparkSession.sparkContext.broadcast((word, count))
-    parts = max(64, -(-n // PART_WORDS))
-    log_alpha, log_n = np.log(alpha), np.log(max(n, 1))
-
-    def exploded(tables):
-        heavy, many = sent.value
-        held: list[tuple] = []
-
-        def rows():
-            first, second, doc = (np.concatenate(x) for x in list(zip(*held))[:3])
-            keys, at = np.unique(doc, return_inverse=True)
-            by_both = (first == _START) | (_look(heavy, many, first) > 0)
-            part = _part(np.where(by_both, first ^ mix(second), first), parts)
-            return _packed(PAIRS, part, first, second, at, np.ones(len(at), np.int64), keys)
-
-        for batch in tables:
-            ids = batch.column("key").to_numpy().astype(np.int64)
-            for at, data, bounds in chunks(batch.column("text"), CHUNK):
-                w, text, _, _ = words(data, bounds)
-                if not len(w):
-                    continue
-                last = np.append(text[1:] != text[:-1], True)
-                nxt = np.append(w[1:], _END)
-                nxt[last] = _END
-                begin = np.flatnonzero(np.append(True, last[:-1]))
-                held.append((np.append(w, np.full(len(begin), _START)), np.append(nxt, w[begin]), ids[at + np.append(text, text[begin])]))
-                if sum(len(x[0]) for x in held) >= BLOCK:
-                    yield rows()
-                    held.clear()
-        if held:
-            yield rows()
-
-    def joined(key: tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in tables for r in zip(*(c.to_pylist() for c in b.columns))]
-        v, u, keys, times = _unpacked(rows, PAIRS)
-        del rows
-        if not len(v):
-            return
-        _, at = np.unique(mix(v + np.uint64(3) * mix(u)), return_inverse=True)
-        pair = np.bincount(at, weights=times).astype(np.int64)[at]
-        own, own_at = np.unique(v, return_inverse=True)
-        total = np.bincount(own_at, weights=times).astype(np.int64)
-        known = _look(*sent.value, own)
-        context = np.where(known > 0, known, total)[own_at]
-        light = own[(known == 0) & (own != _START)]
-        if len(light):
-            none = np.zeros(len(light), np.int64)
-            yield _packed(COUNTS, np.full(len(light), key[0].as_py(), np.int32), light, None, none, total[(known == 0) & (own != _START)], none[:1])
-        seen = (u != _END) & (v != _START) & (pair >= cutoff)
-        if seen.any():
-            yield _sums(keys[seen], times[seen] * (np.log(pair[seen]) - np.log(context[seen])))
-        back = (u != _END) & ~seen
-        if back.any():
-            w, docs_of, t = u[back], keys[back], times[back]
-            known = _look(*sent.value, w)
-            extra = np.where(v[back] == _START, 0.0, log_alpha)
-            # a heavy word has its count here; for others what is known so far is added, the rest comes with the count
-            yield _sums(docs_of, t * (extra + np.where(known > 0, np.log(np.maximum(known, 1)) - log_n, 0.0)))
-            far = known == 0
-            if far.any():
-                held, doc = np.unique(docs_of[far], return_inverse=True)
-                yield _packed(WORDS, _part(w[far], parts), w[far], None, doc, t[far], held)
-
-    def backed_off(key: tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in tables for r in zip(*(c.to_pylist() for c in b.columns))]
-        w, _, _, c = _unpacked(rows, COUNTS)
-        order = np.argsort(w)
-        x, _, keys, times = _unpacked(rows, WORDS)
-        del rows
-        if len(x):
-            yield _sums(keys, times * (np.log(_look(w[order], c[order], x)) - log_n))
-
-    requests = slim.select("key", "text").mapInArrow(exploded, _SQL)
-    one = saved(requests.groupBy("part").applyInArrow(joined, _SQL))
-    two = one.where(F.col("kind").isin(WORDS, COUNTS)).groupBy("part").applyInArrow(backed_off, _SQL)
-    total = one.where(F.col("kind") == SCORE).select("key", "score").union(two.select("key", "score")).groupBy("key").agg(F.sum("score").alias("score"))
+    with setting(docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", ROWS), recorded() as tables:
+        per = _per_document(slim, alpha, cutoff, order, heavy, rounds)
+    dropped(*[t for t in tables if t is not per])
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     rows = slim.select("key", "doc_id", size.alias("n_words"))
-    alike = rows.groupBy("key").agg(F.count("*").alias("alike"))
-    per = saved(total.join(alike, "key").select("key", (F.col("score") / F.col("alike")).alias("log_score")), few=True)
     return rows.join(per, "key", "left").select("doc_id", "n_words", "log_score", (F.col("log_score") / F.col("n_words")).alias("mean_score"))
 
+
+def _per_document(slim: DataFrame, alpha: float, cutoff: int, order: int, heavy: int, rounds: int) -> DataFrame:
+    """(key, log_score), saved."""
+    spark = slim.sparkSession
+    found = counts(slim, order, cutoff, rounds)
+    total = int(found.where("n = 0").agg(F.sum("c")).first()[0] or 0)
+    with recorded() as levels:
+        weights = saved(corrections(found, order, alpha, total).withColumn("range", F.expr(f"cast(shiftrightunsigned(shiftrightunsigned(h, 32) * {rounds}, 32) as int)")))
+    dropped(*[t for t in levels if t is not weights])
+    many = weights.where(F.col("c") * heavy >= max(total, 1)).select("h", "delta").toArrow()
+    sent_h = many.column("h").to_numpy().view(np.uint64)
+    at = np.argsort(sent_h)
+    sent = spark.sparkContext.broadcast((sent_h[at], many.column("delta").to_numpy()[at]))
+    light = weights.where(F.col("c") * heavy < max(total, 1))
+    log_alpha, log_n = float(np.log(alpha)), float(np.log(max(total, 1)))
+    schema = pa.schema([("h", pa.int64()), ("key", pa.int64()), ("x", pa.float64()), ("own", pa.bool_())])
+
+    def exploded(k: int, bits):
+        def run(tables):
+            known, delta = sent.value
+            for batch in tables:
+                ids = batch.column("key").to_numpy()
+                for at, data, bounds in chunks(batch.column("text"), CHUNK):
+                    w, text, _, _ = words(data, bounds)
+                    if not len(w):
+                        continue
+                    docs = len(bounds) - 1
+                    score = np.zeros(docs)
+                    size = np.bincount(text, minlength=docs)
+                    if k == 0:
+                        score -= size * log_n
+                    rows_h, rows_doc = [], []
+                    for n, h, _, doc in ngrams(w, text, order):
+                        if k == 0 and n > 1:
+                            score += log_alpha * np.maximum(size - (n - 1), 0)
+                        own = _within(h, k, rounds)
+                        h, doc = h[own], doc[own]
+                        if len(known):
+                            place = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                            hit = known[place] == h
+                            score += np.bincount(doc[hit], weights=delta[place[hit]], minlength=docs)
+                            h, doc = h[~hit], doc[~hit]
+                        wanted = _passes(bits.value, h)
+                        rows_h.append(h[wanted])
+                        rows_doc.append(doc[wanted])
+                    h, doc = np.concatenate(rows_h), np.concatenate(rows_doc)
+                    _, first, times = np.unique(mix(h + doc.astype(np.uint64) * _STEP), return_index=True, return_counts=True)
+                    yield batches(schema, [h[first].view(np.int64), ids[at + doc[first]], times.astype(np.float64), np.zeros(len(first), bool)])
+                    full = np.flatnonzero(size)
+                    yield batches(schema, [ids[at + full], ids[at + full], score[full], np.ones(len(full), bool)])
+
+        return run
+
+    sums = []
+    for k in range(rounds):
+        table = light.where(F.col("range") == k).select("h", "delta")
+        bits = spark.sparkContext.broadcast(_filter_of(table.select("h")))
+        rows = slim.select("key", "text").mapInArrow(exploded(k, bits), "h long, key long, x double, own boolean")
+        value = F.when(F.col("own"), F.col("x")).otherwise(F.col("x") * F.coalesce("delta", F.lit(0.0)))
+        sums.append(saved(rows.join(table, "h", "left").groupBy("key").agg(F.sum(value).alias("score")), few=True))
+        bits.unpersist()
+    parts = sums[0]
+    for s in sums[1:]:
+        parts = parts.unionByName(s)
+    alike = slim.groupBy("key").agg(F.count("*").alias("alike"))
+    return saved(parts.groupBy("key").agg(F.sum("score").alias("score")).join(alike, "key").select("key", (F.col("score") / F.col("alike")).alias("log_score")), few=True)

@@ -157,10 +157,14 @@ FROM o JOIN k USING (conv_id) GROUP BY 1, 2
 SQL["op8_stupid_backoff"] = f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 p AS (SELECT doc_id, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS i FROM d WHERE len(w) > 0),
-x AS (SELECT doc_id, w, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS v FROM p),
-n AS (SELECT count(*) AS n FROM p), u AS (SELECT w, count(*) AS c FROM p GROUP BY 1),
-b AS (SELECT v, w, count(*) AS c FROM x WHERE v IS NOT NULL GROUP BY 1, 2),
-s AS (SELECT x.doc_id, sum(CASE WHEN x.v IS NULL THEN ln(u.c) - ln(n.n) WHEN b.c >= 2 THEN ln(b.c) - ln(c.c) ELSE ln(0.4) + ln(u.c) - ln(n.n) END) AS s, count(*) AS k
-      FROM x CROSS JOIN n JOIN u ON u.w = x.w LEFT JOIN u c ON c.w = x.v LEFT JOIN b ON b.v = x.v AND b.w = x.w GROUP BY 1)
+x AS (SELECT doc_id, w, lag(w) OVER o AS v, lag(w, 2) OVER o AS u FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+n AS (SELECT count(*) AS n FROM p), c1 AS (SELECT w, count(*) AS c FROM p GROUP BY 1),
+c2 AS (SELECT v, w, count(*) AS c FROM x WHERE v IS NOT NULL GROUP BY 1, 2),
+c3 AS (SELECT u, v, w, count(*) AS c FROM x WHERE u IS NOT NULL GROUP BY 1, 2, 3),
+l AS (SELECT x.doc_id, x.u, x.v, t.c AS t, b.c AS b, h.c AS h, a.c AS a, g.c AS g, ln(a.c) - ln(n.n) AS low
+      FROM x CROSS JOIN n JOIN c1 a ON a.w = x.w LEFT JOIN c1 g ON g.w = x.v LEFT JOIN c2 b ON b.v = x.v AND b.w = x.w
+      LEFT JOIN c2 h ON h.v = x.u AND h.w = x.v LEFT JOIN c3 t ON t.u = x.u AND t.v = x.v AND t.w = x.w),
+m AS (SELECT *, CASE WHEN v IS NULL THEN low WHEN b >= 2 THEN ln(b) - ln(g) ELSE ln(0.4) + low END AS mid FROM l),
+s AS (SELECT doc_id, sum(CASE WHEN u IS NULL THEN mid WHEN t >= 2 THEN ln(t) - ln(h) ELSE ln(0.4) + mid END) AS s, count(*) AS k FROM m GROUP BY 1)
 SELECT d.doc_id, coalesce(s.k, 0)::BIGINT AS n_words, round(s.s, 4) AS log_score, round(s.s / s.k, 6) AS mean_score FROM d LEFT JOIN s USING (doc_id)
 """

@@ -398,25 +398,46 @@ def test_resampling(spark, empty):
 # 8
 
 
-def test_stupid_backoff(spark, docs, empty):
+@pytest.mark.parametrize(("order", "heavy", "rounds"), [(3, 100_000, 2), (3, 20, 3), (2, 20, 1), (1, 100_000, 2), (4, 50, 2)])
+def test_stupid_backoff(spark, docs, empty, order, heavy, rounds):
     from loregraph.llm.ngram_lm import scores
 
-    rows = corpus()
-    toks = [words_of(t) for _, t, *_ in rows]
-    uni, bi = Counter(w for t in toks for w in t), Counter(p for t in toks for p in zip(t, t[1:]))
-    n = sum(uni.values())
+    toks = [words_of(t) for _, t, *_ in corpus()]
+    c = Counter(tuple(t[i : i + n]) for t in toks for n in range(1, order + 1) for i in range(len(t) - n + 1))
+    total = sum(map(len, toks))
 
-    def score(t):
-        total = math.log(uni[t[0]] / n)
-        for v, w in zip(t, t[1:]):
-            total += math.log(bi[v, w] / uni[v]) if bi[v, w] >= 2 else math.log(0.4 * uni[w] / n)
-        return total
+    def one(g):
+        if len(g) == 1:
+            return math.log(c[g] / total)
+        return math.log(c[g] / c[g[:-1]]) if c[g] >= 2 else math.log(0.4) + one(g[1:])
 
-    got = {r.doc_id: r for r in scores(docs).collect()}
+    got = {r.doc_id: r for r in scores(docs, order=order, heavy=heavy, rounds=rounds).collect()}
     for i, t in enumerate(toks):
+        want = sum(one(tuple(t[max(0, j - order + 1) : j + 1])) for j in range(len(t)))
         assert got[i].n_words == len(t)
-        assert got[i].log_score is None if not t else abs(got[i].log_score - score(t)) < 1e-6 * max(1, len(t))
-    assert scores(empty).count() == 0
+        assert got[i].log_score is None if not t else abs(got[i].log_score - want) < 1e-6 * max(1, len(t))
+    assert scores(empty, order=order).count() == 0
+
+
+def test_stupid_backoff_of_nulls_and_repeats(spark):
+    from loregraph.llm.ngram_lm import scores
+
+    rows = [(None, "a b c a b c"), (1, "a b c a b c"), (1, "a b c a b c"), (None, None), (2, ""), (3, "a b")]
+    got = {(r.doc_id, r.n_words, None if r.log_score is None else round(r.log_score, 6)) for r in scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {g[:2] for g in got} == {(None, 6), (1, 6), (None, 0), (2, 0), (3, 2)} and len(got) == 5
+    assert len({g[2] for g in got if g[1] == 6}) == 1
+
+
+def test_hashes_give_their_prefix_back():
+    from loregraph.llm.ngram_lm import ngrams, prefixes
+    from loregraph.llm.wordhash import numbers
+
+    w, text = numbers(5, 50), np.repeat(np.arange(5), 10)
+    levels = {n: (h, s, t) for n, h, s, t in ngrams(w, text, 3)}
+    for n in (2, 3):
+        h, s, _ = levels[n]
+        assert set(prefixes(h, s, np.full(len(h), n))) <= set(levels[n - 1][0]) and set(s) <= set(levels[n - 1][0])
+        assert len(h) == 50 - 5 * (n - 1)
 
 
 # 7
