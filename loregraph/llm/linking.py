@@ -1,7 +1,7 @@
 """Components of similar sets, from lists of sets that share a token, without writing all pairs of a list.
 
-Each list has a pivot, its smallest id. A set is compared with the smallest pivot of its lists first, then with those of its
-other pivots that are not yet in its component, so a large group of near copies costs a comparison or two for each of its
+Each list has a pivot, its smallest id. A set is compared with the smallest pivot of its lists first, then, in a few rounds,
+with those of its other pivots that are not yet in its component, so a large group of near copies costs a comparison or two for each of its
 members. The sets of a list that are still not in the component of its pivot ("strays") are compared with the list's other
 sets that they are apart from, as far as sizes and places allow a link: a join by token and class of size. So each pair of a
 list that could join two components is compared.
@@ -97,12 +97,13 @@ def _stray_pairs(rest: DataFrame, over: int, under: int) -> DataFrame:
 Verify = Callable[[DataFrame], DataFrame]
 
 
-def link(postings: DataFrame, verify: Verify, over: int = 4, under: int = 5, prepare: Callable[[DataFrame], None] | None = None, crowded: Callable[[DataFrame], DataFrame] | None = None, known: DataFrame | None = None) -> DataFrame:
+def link(postings: DataFrame, verify: Verify, over: int = 4, under: int = 5, prepare: Callable[[DataFrame], None] | None = None, crowded: list[Callable[[DataFrame], DataFrame]] | None = None, known: DataFrame | None = None) -> DataFrame:
     """The components of the sets, (id, root) for those that have a partner, saved.
 
     postings(token, id, size, rem): the lists; rows may repeat. verify gets pairs(a, b) without repeats and returns those of
     them that link, by exact similarity of at least over/under. prepare(ids) is called before that with all sets that have
-    company. crowded(ids) gives other, finer lists (`prefix_lists`) in which sets of crowded lists meet their partners.
+    company. crowded[0](ids) gives other, finer lists (`prefix_lists`) in which sets of crowded lists meet their partners,
+    crowded[1] those for what is crowded there, and so on; in the last ones all strays are compared.
     known(id, root): components from before.
     """
     heads = postings.groupBy("token").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot <> last").select("token", "pivot")
@@ -114,18 +115,25 @@ def link(postings: DataFrame, verify: Verify, over: int = 4, under: int = 5, pre
     star = saved(_apart(star.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), known), few=True)
 
     def joined(roots: DataFrame | None, pairs: DataFrame) -> DataFrame | None:
-        pairs = saved(pairs, few=True)
-        if pairs.isEmpty():
-            return roots
+        """The components after the links among the pairs(a, b), which are apart."""
         found = saved(verify(pairs), few=True)
-        old = [] if roots is None else [roots.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b"))]
-        out = components(found.unionByName(old[0]) if old else found)
-        dropped(pairs, found)
-        return out
-
-    first = star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    roots = joined(known, first)
-    roots = joined(roots, _apart(star.join(first, ["a", "b"], "left_anti"), roots))
+        if roots is None:
+            return components(found)
+        a, b = (roots.select(F.col("id").alias(x), F.col("root").alias(f"_{x}")) for x in "ab")
+        # links between components, not between their members
+        met = found.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).distinct()
+        tops = components(met)
+        moved = roots.join(tops.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left").select("id", F.coalesce("top", "root").alias("root"))
+        return saved(moved.union(tops.join(roots, "id", "left_anti").select("id", "root")), few=True)
+
+    roots, width = known, 1
+    while not star.isEmpty():
+        order = Window.partitionBy("b").orderBy("a")
+        ranked = saved(star.withColumn("at", F.row_number().over(order)), few=True)
+        roots = joined(roots, saved(ranked.where(F.col("at") <= width).select("a", "b"), few=True))
+        dropped(star)
+        star = saved(_apart(ranked.where(F.col("at") > width).select("a", "b"), roots), few=True)
+        width *= 4
     if roots is None:
         roots = saved(shared.select("id", F.col("id").alias("root")).where("false"), few=True)
     placed = shared.join(roots.select("id", F.col("root").alias("_r")), "id", "left").join(roots.select(F.col("id").alias("pivot"), F.col("root").alias("_p")), "pivot", "left")
@@ -134,10 +142,12 @@ def link(postings: DataFrame, verify: Verify, over: int = 4, under: int = 5, pre
     more = placed.where("id <> pivot").groupBy("token").agg(F.max("stray").alias("any"), F.count("*").alias("n")).where("any and n > 1").select("token", "n")
     rest = saved(placed.where("id <> pivot").join(more, "token").drop("pivot"))
     small = rest.where(F.col("n") < CROWDED) if crowded else rest
-    roots = joined(roots, _apart(_stray_pairs(small, over, under), roots))
+    pairs = saved(_apart(_stray_pairs(small, over, under), roots), few=True)
+    if not pairs.isEmpty():
+        roots = joined(roots, pairs)
     if crowded:
         ids = saved(rest.where(F.col("n") >= CROWDED).select("id", "size").distinct(), few=True)
         if not ids.isEmpty():
-            roots = link(crowded(ids), verify, over, under, known=roots)
+            roots = link(crowded[0](ids), verify, over, under, crowded=crowded[1:], known=roots)
     dropped(shared, rest, star)
     return roots
