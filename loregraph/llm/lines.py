@@ -121,7 +121,7 @@ def line_groups(docs: DataFrame) -> DataFrame:
         met = met.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("inter"))
         return met.where("inter * 5 >= (na + nb - inter) * 4").select("a", "b")
 
-    roots = link(lists, verify, prepare=prepare, crowded=crowded)
+    roots = link(lists, verify, prepare=prepare, crowded=[crowded])
     return saved(roots.join(texts[0], "id").select("id", F.xxhash64(F.lit(2), "line").alias("id2"), "root"), few=True)
 
 

@@ -540,6 +540,48 @@ def test_images(spark):
     assert copy_groups(spark.createDataFrame([], "id long, height int, width int, pixels binary")).count() == 0
 
 
+def test_images_against_brute_force(spark):
+    """Every kind of edit is found, and the groups are those of all pairs compared."""
+    from loregraph.llm.media import AGREE, EDITS, agreement, copy_groups, descriptors, drawn, edited
+
+    r = np.random.default_rng(3)
+    images = [drawn(r.normal(size=64), 128).astype(np.uint8) for _ in range(30)]
+    rows, kinds = [], {}
+    for i, x in enumerate(images):
+        rows.append((10 * i, x))
+        for j in range(2 if i < 14 else 0):
+            kinds[10 * i + 1 + j] = EDITS[(i + 3 * j) % len(EDITS)]
+            rows.append((10 * i + 1 + j, np.ascontiguousarray(edited(x.astype(float), EDITS[(i + 3 * j) % len(EDITS)])).astype(np.uint8)))
+    rows += [(900, np.full((60, 60), 77, np.uint8)), (901, np.full((50, 60), 77, np.uint8)), (902, np.zeros((1, 50), np.uint8)), (903, np.zeros((16, 16), np.uint8))]
+    found = [descriptors(x) for _, x in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if agreement(found[i], found[j]) >= AGREE]
+    want = {rows[i][0]: rows[k][0] for i, k in enumerate(groups(len(rows), links))}
+    made = spark.createDataFrame([(i, *x.shape, x.tobytes()) for i, x in rows], "id long, height int, width int, pixels binary")
+    got = {x.id: x.component_id for x in copy_groups(made.repartition(3)).collect()}
+    assert sum(got[i] == want[i] for i in want) >= 0.95 * len(want)
+    right = Counter(k for i, k in kinds.items() if got[i] == i // 10 * 10)
+    assert all(right[k] >= 0.75 * n for k, n in Counter(kinds.values()).items()) and sum(right.values()) >= 0.9 * len(kinds)
+    assert all(got[i] == i for i in got if i < 900 and i not in kinds) and all(got[i] == i for i in (900, 901, 902, 903))
+
+
+def test_images_in_one_slot(spark, monkeypatch):
+    """A corner that all images share: finer tables and strays must still give the groups."""
+    from loregraph.llm import linking, media
+
+    r = np.random.default_rng(4)
+    rows = []
+    for i in range(24):
+        x = media.drawn(r.normal(size=64), 96).astype(np.uint8)
+        x[2:38, 2:38] = media.drawn(np.arange(8.0), 96).astype(np.uint8)[2:38, 2:38]  # a mark, too small to be a copy
+        rows += [(2 * i, x), (2 * i + 1, np.ascontiguousarray(media.edited(x.astype(float), "bright")).astype(np.uint8))]
+    found = [media.descriptors(x) for _, x in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if media.agreement(found[i], found[j]) >= 14]
+    want = dict(enumerate(groups(len(rows), links)))
+    monkeypatch.setattr(linking, "CROWDED", 6)
+    made = spark.createDataFrame([(i, *x.shape, x.tobytes()) for i, x in rows], "id long, height int, width int, pixels binary")
+    assert {x.id: x.component_id for x in media.copy_groups(made, agree=14).collect()} == want
+
+
 # shared parts
 
 
