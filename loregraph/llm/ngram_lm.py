@@ -18,6 +18,8 @@ are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,9 +28,11 @@ from pyspark.sql import functions as F
 from loregraph.llm.common import batches, dropped, recorded, saved, setting
 from loregraph.llm.wordhash import chunks, mix, words
 
-ALPHA, CUTOFF, ORDER, HEAVY, ROUNDS = 0.4, 2, 3, 100_000, 5
+ALPHA, CUTOFF, ORDER, HEAVY, ROUNDS = 0.4, 2, 3, 1_000_000, 5
 #: Characters of text and words worked on at once; log2 of the cells of 64 bits of the filter (8 MB).
 CHUNK, BLOCK, CELL_BITS = 1 << 20, 1 << 20, 20
+#: Characters of text, times the order, that a partition of the count tables gets in a round: about 2 million n-grams.
+PART_CHARS = 12_000_000
 #: Rows that go to Python at once: a bound on the memory of a worker.
 ROWS = "2000"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -69,8 +73,14 @@ def _within(h: np.ndarray, k: int, rounds: int) -> np.ndarray:
 
 
 def counts(docs: DataFrame, order: int, cutoff: int, rounds: int = ROUNDS) -> DataFrame:
-    """(n, h, suffix, prefix, c): the n-grams with c >= cutoff, words with c > 1, and a row with n = 0, c the number of words."""
-    schema = pa.schema([("h", pa.int64()), ("suffix", pa.int64()), ("n", pa.int32()), ("c", pa.int64())])
+    """(n, h, suffix, prefix, c): the n-grams with c >= cutoff, words with c > 1, and a row with n = 0, c the number of words.
+
+    Tasks send sorted runs of hashes with their counts to the partition of the hashes, which merges them."""
+    packed = pa.schema([("part", pa.int32()), ("n", pa.int32()), ("h", pa.binary()), ("suffix", pa.binary()), ("c", pa.binary())])
+    out = pa.schema([("h", pa.int64()), ("suffix", pa.int64()), ("prefix", pa.int64()), ("n", pa.int32()), ("c", pa.int64())])
+    text = docs.select(F.col("text").cast("string").alias("text"))
+    chars = text.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = max(32, -(-chars * order // (rounds * PART_CHARS)))
 
     def seen(k: int):
         def run(tables):
@@ -81,7 +91,13 @@ def counts(docs: DataFrame, order: int, cutoff: int, rounds: int = ROUNDS) -> Da
                 h, s = (np.concatenate(x) for x in zip(*held[n - 1]))
                 held[n - 1].clear()
                 h, first, c = np.unique(h, return_index=True, return_counts=True)
-                return batches(schema, [h.view(np.int64), s[first].view(np.int64), np.full(len(h), n, np.int32), c])
+                s, c = s[first], c.astype(np.uint32)
+                part = ((mix(h) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+                by = np.argsort(part, kind="stable")
+                cut = np.append(np.flatnonzero(np.append(True, np.diff(part[by]) != 0)), len(by)) if len(by) else np.zeros(1, int)
+                h, s, c, part = h[by], s[by], c[by], part[by]
+                ranges = list(zip(cut[:-1], cut[1:]))
+                return batches(packed, [[int(part[a]) for a, _ in ranges], [n] * len(ranges), *([x[a:b].tobytes() for a, b in ranges] for x in (h, s, c))])
 
             for batch in tables:
                 for _, data, bounds in chunks(batch.column("text"), CHUNK):
@@ -90,33 +106,36 @@ def counts(docs: DataFrame, order: int, cutoff: int, rounds: int = ROUNDS) -> Da
                     for n, h, s, _ in ngrams(w, text, order):
                         own = _within(h, k, rounds)
                         held[n - 1].append((h[own], s[own]))
-                        if sum(len(x[0]) for x in held[n - 1]) >= BLOCK // 2:
+                        if sum(len(x[0]) for x in held[n - 1]) >= BLOCK:
                             yield rows(n)
             for n in range(1, order + 1):
                 if held[n - 1]:
                     yield rows(n)
             if k == 0:
-                yield batches(schema, [[0], [0], [0], [total]])
+                yield batches(packed, [[0], [0], [np.zeros(1, np.uint64).tobytes()], [np.zeros(1, np.uint64).tobytes()], [np.array([total], np.uint32).tobytes()]])
 
         return run
 
-    def with_prefix(tables):
-        out = schema.append(pa.field("prefix", pa.int64()))
-        for batch in tables:
-            h, s, n = (batch.column(c).to_numpy() for c in ("h", "suffix", "n"))
-            yield batches(out, [*batch.columns, prefixes(h.view(np.uint64), s.view(np.uint64), n).view(np.int64)])
-
-    text = docs.select(F.col("text").cast("string").alias("text"))
-    parts = []
+    def merged(key: tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = key[1].as_py()
+        held = [tuple(np.frombuffer(b"".join(v.as_buffer() for v in batch.column(c)), t) for c, t in (("h", np.uint64), ("suffix", np.uint64), ("c", np.uint32))) for batch in tables]
+        h, s, c = (np.concatenate(x) for x in zip(*held))
+        by = np.argsort(h, kind="stable")
+        h, s, c = h[by], s[by], c[by].astype(np.int64)
+        at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        h, s, c = h[at], s[at], np.add.reduceat(c, at)
+        ok = c >= (cutoff if n > 1 else 2 if n else 0)
+        h, s, c = h[ok], s[ok], c[ok]
+        yield batches(out, [h.view(np.int64), s.view(np.int64), prefixes(h, s, np.full(len(h), n)).view(np.int64), np.full(len(h), n, np.int32), c])
+
+    found = []
     for k in range(rounds):
-        found = text.mapInArrow(seen(k), "h long, suffix long, n int, c long").repartition("h")
-        kept = found.groupBy("h").agg(F.first("suffix").alias("suffix"), F.first("n").alias("n"), F.sum("c").alias("c"))
-        kept = kept.where((F.col("c") >= cutoff) | (F.col("n") < 2) & (F.col("c") > 1) | (F.col("n") == 0))
-        parts.append(saved(kept.mapInArrow(with_prefix, "h long, suffix long, n int, c long, prefix long")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        runs = text.mapInArrow(seen(k), "part int, n int, h binary, suffix binary, c binary")
+        found.append(saved(runs.groupBy("part", "n").applyInArrow(merged, "h long, suffix long, prefix long, n int, c long")))
+    union = found[0]
+    for x in found[1:]:
+        union = union.unionByName(x)
+    return union
 
 
 def corrections(found: DataFrame, order: int, alpha: float, total: int) -> DataFrame:
@@ -127,7 +146,9 @@ def corrections(found: DataFrame, order: int, alpha: float, total: int) -> DataF
     out = [saved(level)]
     for n in range(2, order + 1):
         less = out[-1]
-        met = own(n).join(less.select(F.col("h").alias("prefix"), F.col("c").alias("before")), "prefix", "left").join(less.select(F.col("h").alias("suffix"), F.col("score").alias("lower")), "suffix", "left")
+        before = less.select(F.col("h").alias("prefix"), F.col("c").alias("before")).hint("shuffle_hash")
+        lower = less.select(F.col("h").alias("suffix"), F.col("score").alias("lower")).hint("shuffle_hash")
+        met = own(n).select("h", "n", "c", "prefix", "suffix").join(before, "prefix", "left").drop("prefix").join(lower, "suffix", "left")
         score = F.log("c") - F.log(F.coalesce("before", F.lit(1)))
         out.append(saved(met.select("h", "n", "c", (score - float(np.log(alpha)) - F.coalesce("lower", F.lit(base))).alias("delta"), score.alias("score"))))
     level = out[0]
@@ -218,7 +239,7 @@ def _per_document(slim: DataFrame, alpha: float, cutoff: int, order: int, heavy:
         bits = spark.sparkContext.broadcast(_filter_of(table.select("h")))
         rows = slim.select("key", "text").mapInArrow(exploded(k, bits), "h long, key long, x double, own boolean")
         value = F.when(F.col("own"), F.col("x")).otherwise(F.col("x") * F.coalesce("delta", F.lit(0.0)))
-        sums.append(saved(rows.join(table, "h", "left").groupBy("key").agg(F.sum(value).alias("score")), few=True))
+        sums.append(saved(rows.join(table.hint("shuffle_hash"), "h", "left").groupBy("key").agg(F.sum(value).alias("score")), few=True))
         bits.unpersist()
     parts = sums[0]
     for s in sums[1:]:
