@@ -11,13 +11,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df as a table written under spark.checkpoint.dir (under /tmp where that is unset, as in tests)."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession) -> str:
+    """A new path under spark.checkpoint.dir. A local session without that setting (tests) gets a folder under /tmp; a
+    cluster must name one."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         top = f"/tmp/loregraph-{uuid.uuid4().hex[:12]}"
         spark.conf.set("spark.checkpoint.dir", top)
-    path = f"{top}/loregraph/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{top}/loregraph/{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df as a table written to the shared folder: cuts the lineage, survives the loss of executors."""
+    path = shared_path(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

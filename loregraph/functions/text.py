@@ -8,16 +8,6 @@ from pyspark.sql import functions as F
 #: What counts as whitespace, in a form that Java and RE2 read alike.
 SPACE = r"[ \t\n\x0B\f\r\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
-# Words too common to tell a person by.
-WEAK_WORDS = (
-    "alexandrovna and brother captain daughter elder father fyodorovitch her his ivanovna karamazov karamazovs lady little "
-    "madame monk mother old pavlovitch sister son the their young"
-).split()
-# Words that make an alias a description rather than a name.
-DESCRIPTIVE_WORDS = (
-    "boy brother called captain daughter elder father girl half her herself himself his lady little madame mamma man monk "
-    "mother my named old our papa same servant sister son that the their this woman young younger"
-).split()
 # The letters of roman numerals.
 ROMAN = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100}
 
@@ -67,8 +57,9 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9\x{C0}-\x{24F}\x{AC00}-\x{D7A3}]+"), F.lit(0))
 
 
-def key_tokens(c: Column, weak: list[str] = WEAK_WORDS) -> Column:
-    """Words of more than two letters, without the weak ones unless only those are there."""
+def key_tokens(c: Column, weak: list[str] | tuple[str, ...] = ()) -> Column:
+    """Words of more than two letters, without the weak ones (too common in the corpus to tell a name by) unless only those are
+    there."""
     every = F.array_distinct(F.filter(F.transform(F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), F.lower), lambda t: F.length(t) > 2))
     strong = F.array_except(every, F.array(*map(F.lit, weak)) if weak else F.array().cast("array<string>"))
     return F.when(F.size(strong) > 0, strong).otherwise(every)

@@ -12,47 +12,49 @@ from pyspark.sql import functions as F
 from loregraph.functions.text import key_tokens
 
 GATE = "spoiler_gate"
+#: Words that are too common in a corpus to match names by.
+Weak = list[str] | tuple[str, ...]
 
 
-def expected_steps(questions: DataFrame) -> DataFrame:
+def expected_steps(questions: DataFrame, weak: Weak = ()) -> DataFrame:
     """(question_id, step, s, o): key tokens of the ends of each expected step."""
     rows = questions.select("question_id", F.posexplode("expected_path").alias("step", "x"))
-    return rows.select("question_id", "step", key_tokens(F.col("x.s")).alias("s"), key_tokens(F.col("x.o")).alias("o"))
+    return rows.select("question_id", "step", key_tokens(F.col("x.s"), weak).alias("s"), key_tokens(F.col("x.o"), weak).alias("o"))
 
 
-def _ends(triples: DataFrame, *key: str) -> DataFrame:
-    return triples.select(*key, key_tokens(F.col("src")).alias("a"), key_tokens(F.col("dst")).alias("b")).distinct()
+def _ends(triples: DataFrame, weak: Weak, *key: str) -> DataFrame:
+    return triples.select(*key, key_tokens(F.col("src"), weak).alias("a"), key_tokens(F.col("dst"), weak).alias("b")).distinct()
 
 
 _EITHER = "(arrays_overlap(s, a) and arrays_overlap(o, b)) or (arrays_overlap(s, b) and arrays_overlap(o, a))"
 
 
-def match_steps(questions: DataFrame, triples: DataFrame) -> DataFrame:
+def match_steps(questions: DataFrame, triples: DataFrame, weak: Weak = ()) -> DataFrame:
     """(question_id, step, matched): whether a triple of the question joins the two ends, in either direction."""
-    met = expected_steps(questions).join(_ends(triples, "question_id"), "question_id", "left")
+    met = expected_steps(questions, weak).join(_ends(triples, weak, "question_id"), "question_id", "left")
     return met.groupBy("question_id", "step").agg(F.coalesce(F.bool_or(F.expr(_EITHER)), F.lit(False)).alias("matched"))
 
 
-def match_graph(questions: DataFrame, edges: DataFrame) -> DataFrame:
+def match_graph(questions: DataFrame, edges: DataFrame, weak: Weak = ()) -> DataFrame:
     """The same against all edges: steps and edges meet on a token of an end, then the other end is compared."""
-    steps = expected_steps(questions)
-    ends = _ends(edges)
+    steps = expected_steps(questions, weak)
+    ends = _ends(edges, weak)
     sides = ends.select(F.col("a").alias("x"), F.col("b").alias("y")).union(ends.select("b", "a")).select(F.explode("x").alias("t"), "y")
     hit = steps.select("question_id", "step", "o", F.explode("s").alias("t")).join(sides, "t").where(F.arrays_overlap("o", "y")).select("question_id", "step").distinct()
     return steps.select("question_id", "step").join(hit.withColumn("matched", F.lit(True)), ["question_id", "step"], "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
 
 
-def path_recall(questions: DataFrame, triples: DataFrame) -> DataFrame:
+def path_recall(questions: DataFrame, triples: DataFrame, weak: Weak = ()) -> DataFrame:
     """(question_id, path_recall): matched steps of all; null without an expected path."""
-    per = match_steps(questions, triples).groupBy("question_id").agg(F.avg(F.col("matched").cast("double")).alias("path_recall"))
+    per = match_steps(questions, triples, weak).groupBy("question_id").agg(F.avg(F.col("matched").cast("double")).alias("path_recall"))
     return questions.select("question_id").join(per, "question_id", "left")
 
 
-def failure_layer(questions: DataFrame, triples: DataFrame, edges: DataFrame, correct: DataFrame) -> DataFrame:
+def failure_layer(questions: DataFrame, triples: DataFrame, edges: DataFrame, correct: DataFrame, weak: Weak = ()) -> DataFrame:
     """(question_id, failure_layer) by correct(question_id, correct): null if right; generate without a path; index if a
     step is in no edge; retrieve if one is in no triple; else generate."""
-    full = match_graph(questions, edges).groupBy("question_id").agg(F.bool_and("matched").alias("in_graph"))
-    got = match_steps(questions, triples).groupBy("question_id").agg(F.bool_and("matched").alias("retrieved"))
+    full = match_graph(questions, edges, weak).groupBy("question_id").agg(F.bool_and("matched").alias("in_graph"))
+    got = match_steps(questions, triples, weak).groupBy("question_id").agg(F.bool_and("matched").alias("retrieved"))
     met = questions.select("question_id").join(correct, "question_id", "left").join(full, "question_id", "left").join(got, "question_id", "left")
     layer = F.when(F.col("correct"), F.lit(None)).when(F.col("in_graph").isNull(), "generate").when(~F.col("in_graph"), "index").when(~F.col("retrieved"), "retrieve").otherwise("generate")
     return met.select("question_id", layer.alias("failure_layer"))

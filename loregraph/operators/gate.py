@@ -11,7 +11,7 @@ from loregraph.operators.graph import incidence
 
 def visible(nodes: DataFrame, edges: DataFrame, read_points: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges for each row of read_points(corpus_id, read_point). An edge's ends are never later than the edge."""
-    gate = lambda df: df.join(F.broadcast(read_points), "corpus_id").where("first_revealed_index <= read_point")
+    gate = lambda df: df.join(read_points, "corpus_id").where("first_revealed_index <= read_point")
     return gate(nodes), gate(edges)
 
 
@@ -37,7 +37,7 @@ def visibility_curve(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def visibility_counts(nodes: DataFrame, edges: DataFrame, read_points: DataFrame) -> DataFrame:
     """The same at given read_points(corpus_id, read_point)."""
-    points = F.broadcast(read_points.distinct())
+    points = read_points.distinct()
 
     def count(df: DataFrame, name: str) -> DataFrame:
         own = df.groupBy("corpus_id", "first_revealed_index").agg(F.count("*").alias("n"))
@@ -56,13 +56,13 @@ def mask_titles(sections: DataFrame, read_points: DataFrame, epilogue_no: int =
     """(corpus_id, read_point, global_index, shown): the label, and the title only up to the read point."""
     head = F.when(F.col("book_no") == epilogue_no, F.concat(F.lit(f"{epilogue} "), "chapter_no")).otherwise(F.concat("book_no", F.lit(" "), "chapter_no"))
     shown = F.when(F.col("global_index") <= F.col("read_point"), F.concat(head, F.lit(" — "), "chapter_title")).otherwise(head)
-    return sections.join(F.broadcast(read_points), "corpus_id").select("corpus_id", "read_point", "global_index", shown.alias("shown"))
+    return sections.join(read_points, "corpus_id").select("corpus_id", "read_point", "global_index", shown.alias("shown"))
 
 
 def alias_panel(aliases: DataFrame, read_points: DataFrame, labels: DataFrame, most: int = 6) -> DataFrame:
     """(corpus_id, read_point, canon, label, shown, place): names with two or more displayable aliases seen so far, of which
     one is another name than a shorter or longer form; the shortest first; labelled names first, then those with more."""
-    seen = aliases.where("display").join(F.broadcast(read_points), "corpus_id").where("first_index <= read_point")
+    seen = aliases.where("display").join(read_points, "corpus_id").where("first_index <= read_point")
     per = seen.groupBy("corpus_id", "read_point", "canon").agg(F.count("*").alias("n"), F.collect_set("alias").alias("all"))
     base = F.lower("canon")
     other = F.exists("all", lambda a: ~F.contains(base, a) & ~F.contains(a, base))

@@ -28,7 +28,7 @@ def validate_triples(triples: DataFrame, types: DataFrame, rel_spec: DataFrame)
     """(kept, audit). Drop reasons in order: generic (an end is null), selfloop, type (the object's known type is not the
     relation's). types(corpus_id, name, type), rel_spec(relation, to_type). audit: (reason, n), reason kept among them."""
     t = types.select("corpus_id", F.col("name").alias("object"), F.col("type").alias("_type"))
-    met = triples.join(t, ["corpus_id", "object"], "left").join(F.broadcast(rel_spec.select("relation", "to_type")), "relation", "left")
+    met = triples.join(t, ["corpus_id", "object"], "left").join(rel_spec.select("relation", "to_type"), "relation", "left")
     reason = (
         F.when(F.col("subject").isNull() | F.col("object").isNull(), "generic")
         .when(F.col("subject") == F.col("object"), "selfloop")
@@ -81,9 +81,12 @@ def find_forms(forms: DataFrame, sections: DataFrame, collapsed: bool = True) ->
     own = F.regexp_extract_all("form", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
     longest = F.array_max(F.transform(own, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     asked = forms.select("corpus_id", "key", "form").distinct().withColumn("_word", longest).withColumn("_rule", word_pattern(F.col("form"))).where("_word is not null")
-    at = held.select("corpus_id", "doc_id", "global_index", F.explode(tokens).alias("_word")).join(asked, ["corpus_id", "_word"])
-    at = at.select("corpus_id", "doc_id", "global_index", "key", "form", "_rule")
-    return at.join(held, ["corpus_id", "doc_id", "global_index"]).where(F.expr("regexp_like(_text, _rule)")).select("corpus_id", "key", "form", "doc_id", "global_index")
+    place = ["corpus_id", "doc_id", "global_index"]
+    at = held.select(*place, F.explode(tokens).alias("_word")).join(asked, ["corpus_id", "_word"])
+    # a section's forms stand beside its text once
+    per = at.groupBy(*place).agg(F.collect_list(F.struct("key", "form", "_rule")).alias("_asked"))
+    met = held.join(per, place).select(*place, F.explode(F.filter("_asked", lambda f: F.regexp_like(F.col("_text"), f["_rule"]))).alias("f"))
+    return met.select("corpus_id", "f.key", "f.form", "doc_id", "global_index")
 
 
 def text_spread(nodes: DataFrame, alias_groups: DataFrame, sections: DataFrame, shared: list[str], kind: str = "Character") -> DataFrame:

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loregraph.functions.tables import saved
-from loregraph.functions.text import DESCRIPTIVE_WORDS, clean, has_upper, norm, strip, words
+from loregraph.functions.text import clean, has_upper, norm, strip, words
 from loregraph.operators.graph import find_forms
 
 
@@ -58,70 +57,49 @@ def resolve(df: DataFrame, column: str, dicts: Dicts, out: str = "resolved") ->
 
 
 def _candidates(entities: DataFrame, dicts: Dicts) -> DataFrame:
-    """(ord, name, alias, key) for each alias of a mention that could be learned."""
-    rows = entities.select("pass", "doc_id", "ent_pos", "name", F.posexplode("aliases").alias("pos", "alias"))
-    rows = rows.select(F.struct("pass", "doc_id", "ent_pos", "pos").alias("ord"), "name", "alias", norm(F.col("alias")).alias("key"))
+    """(corpus_id, ord, name, alias, key) for each alias of a mention that could be learned."""
+    rows = entities.select("corpus_id", "pass", "doc_id", "ent_pos", "name", F.posexplode("aliases").alias("pos", "alias"))
+    rows = rows.select("corpus_id", F.struct("pass", "doc_id", "ent_pos", "pos").alias("ord"), "name", "alias", norm(F.col("alias")).alias("key"))
     rows = rows.where((F.col("key") != "") & has_upper(F.col("alias")))
     return rows.join(dicts.stop.select(F.col("name").alias("key")), "key", "left_anti")
 
 
 def _judged(rows: DataFrame, dicts: Dicts) -> DataFrame:
     """rows with resolved names and a reason of rejection, or none."""
-    shared = dicts.shared.agg(F.collect_set("token").alias("_shared"))
-    met = rows.join(F.broadcast(shared))
-    own, canon = words(F.col("key")), F.filter(words(norm(F.col("canon"))), lambda w: F.length(w) > 2)
-    reason = F.when(F.size(F.array_except(own, F.col("_shared"))) == 0, "surname only").when(~F.arrays_overlap(own, canon), "no overlap")
-    return met.withColumn("reason", reason).drop("_shared")
+    tokens = rows.select("key", F.explode(words(F.col("key"))).alias("token")).distinct()
+    named = tokens.join(dicts.shared.select("token").distinct(), "token", "left_anti").select("key").distinct().withColumn("_named", F.lit(True))
+    canon = F.filter(words(norm(F.col("canon"))), lambda w: F.length(w) > 2)
+    reason = F.when(F.col("_named").isNull(), "surname only").when(~F.arrays_overlap(words(F.col("key")), canon), "no overlap")
+    return rows.join(named, "key", "left").withColumn("reason", reason).drop("_named")
 
 
 def learn_aliases(entities: DataFrame, dicts: Dicts) -> tuple[DataFrame, DataFrame]:
-    """(accepted(key, canon, ord), rejected(alias, canon, reason, ord)) from mentions (pass, doc_id, ent_pos, name, aliases).
+    """(accepted(corpus_id, key, canon, ord), rejected(corpus_id, alias, canon, reason, ord)) from mentions (corpus_id, pass,
+    doc_id, ent_pos, name, aliases), each corpus by itself.
 
     In run order the first good mention of an alias counts, and a learned alias resolves the names after it. Each round
     resolves all mentions with what the round before has learned earlier in the order; the entries that are right grow from
-    the front, by one at least, until nothing changes, which is the result of a scan (`learn_aliases_in_order` is that scan).
+    the front, by one at least, until nothing changes, which is the result of a scan in run order.
     """
     found = resolve(_candidates(entities, dicts).join(dicts.aliases.select("key"), "key", "left_anti"), "name", dicts, "canon0").withColumn("own", norm(F.col("name")))
     fixed = dicts.aliases.select(F.col("key").alias("own")).union(dicts.places.select("name")).union(dicts.stop.select("name")).distinct().withColumn("fixed", F.lit(True))
     found = saved(found.join(fixed, "own", "left"))
 
     def judged(known: DataFrame) -> DataFrame:
-        earlier = known.select(F.col("key").alias("own"), F.col("canon").alias("learned"), F.col("ord").alias("since"))
-        met = found.join(earlier, "own", "left")
+        earlier = known.select("corpus_id", F.col("key").alias("own"), F.col("canon").alias("learned"), F.col("ord").alias("since"))
+        met = found.join(earlier, ["corpus_id", "own"], "left")
         canon = F.when(F.col("fixed") | F.col("since").isNull() | (F.col("since") >= F.col("ord")), F.col("canon0")).otherwise(F.col("learned"))
         return _judged(met.withColumn("canon", canon).where("canon is not null"), dicts)
 
-    accepted, state = found.select("key", F.col("canon0").alias("canon"), "ord").where("false"), None
+    accepted, state = found.select("corpus_id", "key", F.col("canon0").alias("canon"), "ord").where("false"), None
     while True:
-        accepted = saved(judged(accepted).where("reason is null").groupBy("key").agg(F.min_by("canon", "ord").alias("canon"), F.min("ord").alias("ord")))
-        seen = accepted.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("key", "canon", "ord")).alias("x")).first()
+        accepted = saved(judged(accepted).where("reason is null").groupBy("corpus_id", "key").agg(F.min_by("canon", "ord").alias("canon"), F.min("ord").alias("ord")))
+        seen = accepted.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("corpus_id", "key", "canon", "ord")).alias("x")).first()
         if (seen.n, seen.x) == state:
             break
         state = (seen.n, seen.x)
-    late = judged(accepted).where("reason is not null").join(accepted.select("key", F.col("ord").alias("since_")), "key", "left").where("since_ is null or ord < since_")
-    return accepted, late.select("alias", "canon", "reason", "ord")
-
-
-def learn_aliases_in_order(entities: DataFrame, dicts: Dicts) -> DataFrame:
-    """(corpus_id, key, canon): the exact scan in run order, each corpus by itself. A learned alias counts at once for the
-    mentions after it. A corpus is one task; it gets its mentions' candidates alone, not texts."""
-    names = resolve(entities.select("corpus_id", "pass", "doc_id", "ent_pos", "name", "aliases"), "name", dicts, "canon")
-    rows = names.select("corpus_id", "pass", "doc_id", "ent_pos", "canon", norm(F.col("name")).alias("own"), F.posexplode("aliases").alias("pos", "alias"))
-    rows = rows.withColumn("key", norm(F.col("alias"))).where((F.col("key") != "") & has_upper(F.col("alias"))).join(dicts.stop.select(F.col("name").alias("key")), "key", "left_anti")
-    rows = rows.join(dicts.aliases.select("key"), "key", "left_anti").withColumn("canon_words", F.filter(words(norm(F.col("canon"))), lambda w: F.length(w) > 2))
-    shared = {r.token for r in dicts.shared.collect()}
-
-    def scan(mentions: pd.DataFrame) -> pd.DataFrame:
-        learned: dict[str, tuple[str, frozenset]] = {}
-        for r in mentions.sort_values(["pass", "doc_id", "ent_pos", "pos"]).itertuples():
-            canon, parts = learned.get(r.own, (r.canon, frozenset(() if r.canon_words is None else r.canon_words)))
-            own = set(r.key.split())
-            if canon is not None and r.key not in learned and not own <= shared and own & parts:
-                learned[r.key] = (canon, parts)
-        corpus = mentions["corpus_id"].iloc[0]
-        return pd.DataFrame({"corpus_id": corpus, "key": list(learned), "canon": [c for c, _ in learned.values()]})
-
-    return rows.groupBy("corpus_id").applyInPandas(scan, "corpus_id string, key string, canon string")
+    late = judged(accepted).where("reason is not null").join(accepted.select("corpus_id", "key", F.col("ord").alias("since_")), ["corpus_id", "key"], "left").where("since_ is null or ord < since_")
+    return accepted, late.select("corpus_id", "alias", "canon", "reason", "ord")
 
 
 def vote_types(mentions: DataFrame) -> DataFrame:
@@ -131,16 +109,17 @@ def vote_types(mentions: DataFrame) -> DataFrame:
     return votes.groupBy("corpus_id", "name").agg(F.min_by("type", F.struct(-F.col("n"), F.col("first"))).alias("type"))
 
 
-def alias_first_seen(aliases: DataFrame, nodes: DataFrame, sections: DataFrame, kind: str = "Character") -> DataFrame:
+def alias_first_seen(aliases: DataFrame, nodes: DataFrame, sections: DataFrame, descriptive: list[str], kind: str = "Character") -> DataFrame:
     """(corpus_id, canon, alias, first_index, display): the first section whose raw text holds the alias of a node of the
     kind. display: no descriptive word and three words at most."""
     people = nodes.where(F.col("type") == kind).select("corpus_id", F.col("id").alias("canon"))
     forms = people.join(aliases.select("canon", "key"), "canon").select("corpus_id", F.col("canon").alias("key"), F.col("key").alias("form"))
     seen = find_forms(forms, sections, collapsed=False).groupBy("corpus_id", F.col("key").alias("canon"), F.col("form").alias("alias")).agg(F.min("global_index").alias("first_index"))
-    return seen.withColumn("display", is_display(F.col("alias")))
+    return seen.withColumn("display", is_display(F.col("alias"), descriptive))
 
 
-def is_display(alias: Column, descriptive: list[str] = DESCRIPTIVE_WORDS) -> Column:
+def is_display(alias: Column, descriptive: list[str]) -> Column:
+    """descriptive: words that make an alias a description rather than a name."""
     pattern = rf"(?i)(^|[^\p{{L}}\p{{N}}_])({'|'.join(descriptive)})($|[^\p{{L}}\p{{N}}_])"
     return ~alias.rlike(pattern) & (F.size(words(alias)) <= 3)
 

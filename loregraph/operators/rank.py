@@ -6,6 +6,7 @@ chunks: chunk_id, corpus_id, global_index, label, text (or a vector). queries: c
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ def bm25_index(chunks: DataFrame, vocabulary: DataFrame | None = None) -> tuple[
     if vocabulary is not None:
         rows = rows.join(vocabulary.select("term").distinct(), "term", "left_semi")
     postings = rows.groupBy("corpus_id", "chunk_id", "n_tokens", "term").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("corpus_id", "term").agg(F.count("*").alias("df")).join(F.broadcast(totals), "corpus_id")
+    df = postings.groupBy("corpus_id", "term").agg(F.count("*").alias("df")).join(totals, "corpus_id")
     return postings, df.select("corpus_id", "term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avg_len")
 
 
@@ -48,13 +49,16 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
+def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = TOP, part: bool = False) -> DataFrame:
     """(query_id, vec_id, score, place): the k nearest of vectors(vec_id, global_index, vector) to each of
-    queries(query_id, read_point, vector), up to its read point, by block products; ties by vec_id."""
-    rows = queries.select("query_id", "read_point", "vector").collect() if queries.agg(F.sum(F.size("vector"))).first()[0] or 0 else []
-    if sum(len(r.vector) for r in rows) > SENT_NUMBERS:
-        half = F.pmod(F.xxhash64("query_id"), F.lit(2))
-        return cosine_topk(vectors, queries.where(half == 0), k).union(cosine_topk(vectors, queries.where(half == 1), k))
+    queries(query_id, read_point, vector), up to its read point, by block products; ties by vec_id. part: the queries are one of the blocks that are sent out at once."""
+    queries = queries.where("vector is not null").select("query_id", "read_point", "vector").distinct()
+    numbers = queries.agg(F.sum(F.size("vector"))).first()[0] or 0
+    if numbers > SENT_NUMBERS and not part:
+        parts = -(-2 * numbers // SENT_NUMBERS)
+        own = F.pmod(F.xxhash64("query_id", "read_point", "vector"), F.lit(parts))
+        return reduce(DataFrame.union, [cosine_topk(vectors, queries.where(own == i), k, True) for i in range(parts)])
+    rows = queries.collect()
     names = [r.query_id for r in rows]
     q = np.array([r.vector for r in rows], np.float64).reshape(len(rows), -1)
     q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300) if len(rows) else 1
@@ -86,13 +90,15 @@ def topk(scores: DataFrame, chunks: DataFrame, queries: DataFrame, k: int = TOP)
     """(corpus_id, query_id, chunk_id, score, place): the best k visible chunks of each query. Visible chunks without a hit
     have score 0 and fill up; of these only the first k by chunk_id can be needed."""
     key = ["corpus_id", "query_id"]
-    points = F.broadcast(queries.select(*key, "read_point"))
+    points = queries.select(*key, "read_point")
     seen = scores.join(chunks.select("corpus_id", "chunk_id", "global_index"), ["corpus_id", "chunk_id"]).join(points, key).where("global_index <= read_point")
     hit = seen.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("score"), "chunk_id"))).where(F.col("n") <= k)
-    # A query needs k chunks that are visible and not among its k hits: the first 2k visible ones hold them.
-    ids = chunks.select("corpus_id", "chunk_id", "global_index").join(queries.select("corpus_id", "read_point").distinct(), "corpus_id").where("global_index <= read_point")
+    # Only queries with fewer than k hits need others: visible chunks that are none of their hits. The first 2k visible ones
+    # hold them.
+    few = points.join(hit.groupBy(*key).agg(F.count("*").alias("hits")), key, "left").where(F.coalesce("hits", F.lit(0)) < k).select(*key, "read_point")
+    ids = chunks.select("corpus_id", "chunk_id", "global_index").join(few.select("corpus_id", "read_point").distinct(), "corpus_id").where("global_index <= read_point")
     early = ids.withColumn("n", F.row_number().over(Window.partitionBy("corpus_id", "read_point").orderBy("chunk_id"))).where(F.col("n") <= 2 * k)
-    fill = queries.select(*key, "read_point").join(early.select("corpus_id", "read_point", "chunk_id"), ["corpus_id", "read_point"])
+    fill = few.join(early.select("corpus_id", "read_point", "chunk_id"), ["corpus_id", "read_point"])
     fill = fill.join(scores.select(*key, "chunk_id"), [*key, "chunk_id"], "left_anti").select(*key, "chunk_id", F.lit(0.0).alias("score"))
     both = hit.select(*key, "chunk_id", "score").union(fill)
     return both.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("score"), "chunk_id"))).where(F.col("place") <= k)

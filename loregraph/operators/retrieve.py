@@ -43,43 +43,45 @@ def link_starts(questions: DataFrame, surface_dict: DataFrame, nodes: DataFrame)
 
 
 def adjacency(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Each edge from both of its ends: node, other, side (0 incoming, 1 outgoing), and whether the node is a hub."""
-    cols = ["src", "relation", "dst", "first_revealed_index", "ord", "evidence"]
+    """Each edge from both of its ends, without its evidence: node, other, side (0 incoming, 1 outgoing), is_hub of the node."""
+    cols = ["src", "relation", "dst", "first_revealed_index", "ord"]
     side = lambda node, other, n: edges.select("corpus_id", F.col(node).alias("node"), F.col(other).alias("other"), F.lit(n).alias("side"), *cols)
     both = side("dst", "src", 0).union(side("src", "dst", 1))
     return both.join(nodes.select("corpus_id", F.col("id").alias("node"), "is_hub"), ["corpus_id", "node"], "left").withColumn("is_hub", F.coalesce("is_hub", F.lit(False)))
 
 
-def expand(starts: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int = MAX_HOPS, allow_hub: bool = False) -> tuple[DataFrame, DataFrame]:
+def expand(starts: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int = MAX_HOPS, allow_hub: bool = False, near: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(triples, paths) by breadth-first search from each start over the visible edges, taken as undirected.
 
     A hub is expanded only as the start, unless allow_hub. triples: every edge at an expanded node, once a question, with
     the hop of its first sight (starts in their order), its visible evidence and strength. paths: the chain of first
     discovery from the start to each reached node. Of several edges that discover a node the one from the parent found
-    first counts, incoming before outgoing, then in the edges' run order.
+    first counts, incoming before outgoing, then in the edges' run order. near: `adjacency`, if it is there already.
     """
-    near = saved(adjacency(edges, nodes))
+    near = saved(adjacency(edges, nodes)) if near is None else near
     key = ["corpus_id", "question_id", "start"]
     step_type = "array<struct<side:int,ord:struct<pass:string,doc_id:string,tri_pos:bigint>>>"
-    front = starts.select(*key, "read_point", "start_ord", F.col("start").alias("node"), F.array().cast(step_type).alias("rank"), F.array().cast("array<string>").alias("steps"))
-    front = saved(front)
+    front = saved(starts.select(*key, "read_point", "start_ord", F.col("start").alias("node"), F.array().cast(step_type).alias("rank"), F.array().cast("array<string>").alias("steps")))
     reached, met_all = front, None
+    edge = ["corpus_id", "question_id", "read_point", "src", "relation", "dst"]
     for hop in range(1, max_hops + 1):
         met = front.join(near, ["corpus_id", "node"]).where("first_revealed_index <= read_point")
         if hop > 1 and not allow_hub:
             met = met.where("not is_hub")
         at = F.struct(F.col("side").cast("int").alias("side"), F.struct(F.col("ord.pass").alias("pass"), F.col("ord.doc_id").alias("doc_id"), F.col("ord.tri_pos").cast("bigint").alias("tri_pos")).alias("ord"))
-        met = saved(met.withColumn("rank", F.concat("rank", F.array(at))).withColumn("hop", F.lit(hop)))
-        met_all = met if met_all is None else met_all.union(met)
+        met = met.withColumn("rank", F.concat("rank", F.array(at)))
+        found = met.groupBy(*edge).agg(F.min(F.struct("start_ord", F.lit(hop).alias("hop"), "rank")).alias("x"), F.min("first_revealed_index").alias("first_revealed_index"))
+        met_all = found if met_all is None else met_all.union(found)
         step = F.concat("src", F.lit(" -["), "relation", F.lit("]-> "), "dst")
         fresh = met.select(*key, "read_point", "start_ord", F.col("other").alias("node"), "rank", F.concat("steps", F.array(step)).alias("steps"))
         fresh = fresh.join(reached.select(*key, "node"), [*key, "node"], "left_anti")
-        front = fresh.groupBy(*key, "node").agg(F.min(F.struct("rank", "steps", "read_point", "start_ord")).alias("x"))
-        front = saved(front.select(*key, "x.read_point", "x.start_ord", "node", "x.rank", "x.steps"))
+        after = fresh.groupBy(*key, "node").agg(F.min(F.struct("rank", "steps", "read_point", "start_ord")).alias("x"))
+        front = saved(after.select(*key, "x.read_point", "x.start_ord", "node", "x.rank", "x.steps"))
         reached = reached.union(front)
-    edge = ["corpus_id", "question_id", "read_point", "src", "relation", "dst"]
-    first = met_all.groupBy(*edge).agg(F.min(F.struct("start_ord", "hop", "rank")).alias("x"), F.min_by("evidence", F.struct("start_ord", "hop", "rank")).alias("evidence"), F.min("first_revealed_index").alias("first_revealed_index"))
-    triples = first.select(*edge, "x.hop", "first_revealed_index", F.struct("x.start_ord", "x.rank").alias("found"), trimmed(F.col("evidence"), F.col("read_point")).alias("evidence")).where(F.size("evidence") > 0)
+    first = met_all.groupBy(*edge).agg(F.min("x").alias("x"), F.min("first_revealed_index").alias("first_revealed_index"))
+    # the evidence joins the edges that were found, once
+    told = first.join(edges.select("corpus_id", "src", "relation", "dst", "evidence"), ["corpus_id", "src", "relation", "dst"])
+    triples = told.select(*edge, "x.hop", "first_revealed_index", F.struct("x.start_ord", "x.rank").alias("found"), trimmed(F.col("evidence"), F.col("read_point")).alias("evidence")).where(F.size("evidence") > 0)
     paths = reached.where(F.size("steps") > 0).select("corpus_id", "question_id", "start", F.col("node").alias("target"), F.size("steps").alias("hops"), "steps")
     return score_evidence(triples), paths
 
@@ -103,10 +105,10 @@ def retrieve(questions: DataFrame, starts: DataFrame, nodes: DataFrame, edges: D
     """(triples, paths, used) by stages: as asked; with fewer than `enough` triples with hubs open; then with more hops.
     used(corpus_id, question_id, stage, hops, allow_hub) tells the last stage of each question."""
     key = ["corpus_id", "question_id"]
-    left, out = starts, []
+    left, out, near = starts, [], saved(adjacency(edges, nodes))
     stages = [(max_hops, False), (max_hops, True)] + ([(fallback_hops, True)] if fallback_hops > max_hops else [])
     for n, (hops, hub) in enumerate(stages):
-        triples, paths = expand(left, nodes, edges, hops, hub)
+        triples, paths = expand(left, nodes, edges, hops, hub, near)
         triples = saved(rank_triples(triples, max_triples))
         asked = (questions if n == 0 else left).select(*key).distinct()
         full = triples.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") >= enough).select(*key)

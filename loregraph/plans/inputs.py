@@ -7,8 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from loregraph.functions.tables import table
+from loregraph.functions.tables import saved, table
 
 TRIPLES_SQL = """
 raw AS (
@@ -72,17 +73,21 @@ def rel_spec(spark: SparkSession) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A question for every supplier of a key that 10 divides: its name, a part's name and a read point."""
-    s = table(spark, sf_dir, "supplier").where("s_suppkey % 10 = 0")
+    """A question for every nation of a supplier: its last supplier's name, a part's name and a read point."""
+    s = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.max("s_suppkey").alias("number"))
+    parts = table(spark, sf_dir, "part").agg(F.count("*").alias("parts"))
+    s = s.join(parts).withColumn("part", 1 + (F.col("number") * 7 + 3) % F.col("parts"))
     return s.select(
-        F.concat(F.lit("c"), F.col("s_suppkey") % 3).alias("corpus_id"), F.concat(F.lit("q"), "s_suppkey").alias("question_id"),
-        F.concat(F.lit("what links <S"), "s_suppkey", F.lit("> and <P"), (F.col("s_suppkey") * 7 + 3) % 200, F.lit(">?")).alias("question"), (60 + F.col("s_suppkey") % 40).cast("int").alias("read_point"), F.col("s_suppkey").alias("number"),
+        F.concat(F.lit("c"), F.col("number") % 3).alias("corpus_id"), F.concat(F.lit("q"), "nation").alias("question_id"),
+        F.concat(F.lit("what links <S"), "number", F.lit("> and <P"), "part", F.lit(">?")).alias("question"), (60 + F.col("number") % 40).cast("int").alias("read_point"),
+        "number", "part", F.col("nation").cast("int").alias("nation"),
     )
 
 
 QUESTIONS_SQL = """
-questions AS (SELECT 'c' || (s_suppkey % 3) AS corpus_id, 'q' || s_suppkey AS question_id, CAST(60 + s_suppkey % 40 AS INTEGER) AS read_point, 'S' || s_suppkey AS s1, 'P' || ((s_suppkey * 7 + 3) % 200) AS s2, s_suppkey AS number
-  FROM supplier WHERE s_suppkey % 10 = 0)"""
+last AS (SELECT s_nationkey AS nation, max(s_suppkey) AS number FROM supplier GROUP BY 1),
+questions AS (SELECT 'c' || (number % 3) AS corpus_id, 'q' || nation AS question_id, CAST(60 + number % 40 AS INTEGER) AS read_point, 'S' || number AS s1,
+  'P' || (1 + (number * 7 + 3) % (SELECT count(*) FROM part)) AS s2, number, CAST(nation AS INTEGER) AS nation FROM last)"""
 
 
 def surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,12 +98,16 @@ def surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as sections, a source a corpus, in the order of doc_id."""
-    from pyspark.sql.window import Window
-
+    """Documents as sections, a source a corpus, in the order of doc_id. Keys alone are put in order, by ranges, so that no
+    source is one task."""
     d = table(spark, sf_dir, "documents")
-    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return d.select(F.col("source").alias("corpus_id"), F.col("doc_id").cast("string").alias("doc_id"), place.cast("int").alias("global_index"), F.concat(F.lit("1 "), place.cast("string")).alias("label"), "text", F.col("doc_id").alias("number"))
+    at = saved(d.select("source", "doc_id").orderBy("source", "doc_id").select("source", "doc_id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")))
+    sizes = at.groupBy("source", "part").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    skips = sizes.select(F.col("source").alias("_s"), "part", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("skip"))
+    placed = at.join(skips, (at["source"].eqNullSafe(F.col("_s"))) & (at["part"] == skips["part"])).select(F.col("source").alias("_source"), F.col("doc_id").alias("_doc"), (F.col("at") - F.col("first") + F.col("skip") + 1).alias("place"))
+    rows = d.join(placed, (d["doc_id"] == placed["_doc"]) & d["source"].eqNullSafe(placed["_source"]))
+    return rows.select(F.col("source").alias("corpus_id"), F.col("doc_id").cast("string").alias("doc_id"), F.col("place").cast("int").alias("global_index"), F.concat(F.lit("1 "), F.col("place").cast("string")).alias("label"), "text", F.col("doc_id").alias("number"))
 
 
 SECTIONS_SQL = """

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,24 +9,12 @@ from loregraph.functions import text as T
 from loregraph.functions.tables import saved, table
 from loregraph.operators import evaluate, evidence, gate, graph, names, rank, retrieve, sections
 from loregraph.plans import inputs as I
+from loregraph.plans import texts
+from loregraph.plans.catalog import QUERIES, SQL, query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 FLAGSHIP = "retrieve"
 
 
-def query(sql: str | None = None):
-    """Registers a function under its name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 # ---- graph build
 
 
@@ -70,20 +56,6 @@ def build_nodes(spark, sf_dir):
     return graph.build_nodes(edges, I.types(spark, sf_dir))
 
 
-@query(
-    f"""WITH {I.EVIDENCE_SQL},
-m AS (SELECT 'triples raw' AS measure, count(*) AS value FROM judged UNION ALL SELECT 'triples ' || reason, count(*) FROM judged GROUP BY 1
- UNION ALL SELECT 'aliases accepted', 0 UNION ALL SELECT 'aliases rejected', 0
- UNION ALL SELECT 'nodes', count(*) FROM nodes UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'nodes ' || type, count(*) FROM nodes GROUP BY 1)
-SELECT measure, CAST(value AS BIGINT) AS value FROM m"""
-)
-def build_report(spark, sf_dir):
-    kept, audit = graph.validate_triples(I.triples(spark, sf_dir), I.types(spark, sf_dir), I.rel_spec(spark))
-    edges = saved(graph.build_edges(graph.fold_evidence(kept)))
-    nodes = graph.build_nodes(edges, I.types(spark, sf_dir))
-    return graph.build_report(audit, nodes.where("false"), nodes.where("false"), nodes, edges)
-
-
 # ---- gate
 
 
@@ -132,15 +104,50 @@ starts AS (
   SELECT q.corpus_id, q.question_id, q.read_point, n.id AS start, CAST(row_number() OVER (PARTITION BY q.corpus_id, q.question_id ORDER BY left(n.id, 1) = 'P') AS INTEGER) AS start_ord
   FROM questions q JOIN nodes n ON n.corpus_id = q.corpus_id AND n.id IN (q.s1, q.s2) AND n.first_revealed_index <= q.read_point)"""
 
-_EXPAND_SQL = f"""WITH {I.EVIDENCE_SQL}, {I.QUESTIONS_SQL}, {_STARTS_SQL},
-near AS (SELECT corpus_id, src AS node, dst AS other, src, relation, dst, first_revealed_index FROM edges UNION ALL SELECT corpus_id, dst, src, src, relation, dst, first_revealed_index FROM edges),
-h1 AS (SELECT s.*, n.other, n.src, n.relation, n.dst FROM starts s JOIN near n ON n.corpus_id = s.corpus_id AND n.node = s.start AND n.first_revealed_index <= s.read_point),
-f2 AS (SELECT DISTINCT h1.corpus_id, question_id, read_point, start, start_ord, other FROM h1 JOIN nodes n ON n.corpus_id = h1.corpus_id AND n.id = h1.other WHERE other <> start AND degree < {I.HUB_DEGREE}),
-h2 AS (SELECT f.corpus_id, question_id, read_point, start_ord, n.src, n.relation, n.dst FROM f2 f JOIN near n ON n.corpus_id = f.corpus_id AND n.node = f.other AND n.first_revealed_index <= f.read_point),
-a AS (SELECT corpus_id, question_id, read_point, src, relation, dst, start_ord, 1 AS hop FROM h1 UNION ALL SELECT corpus_id, question_id, read_point, src, relation, dst, start_ord, 2 FROM h2),
-t AS (SELECT corpus_id, question_id, read_point, src, relation, dst, CAST(arg_min(hop, (start_ord, hop)) AS INTEGER) AS hop FROM a GROUP BY ALL),
-x AS (SELECT t.corpus_id, t.question_id, t.src, t.relation, t.dst, t.hop, max(v.n_passes) AS n_hits, count(*) AS n_evidence, bool_and(v.disputed IS NOT DISTINCT FROM true) AS disputed, bool_and(v.disputed IS NULL) AS unjudged
-  FROM t JOIN evidence v ON v.corpus_id = t.corpus_id AND v.subject = t.src AND v.relation = t.relation AND v.object = t.dst AND v.global_index <= t.read_point GROUP BY ALL)"""
+_NEAR_SQL = """
+near AS (SELECT corpus_id, dst AS node, src AS other, 0 AS side, src, relation, dst, first_revealed_index, ord FROM edges
+ UNION ALL SELECT corpus_id, src, dst, 1, src, relation, dst, first_revealed_index, ord FROM edges)"""
+
+
+def _search_sql(name: str, starts: str, hops: int, hubs: bool) -> str:
+    """{name}(the edges found, with their strength) and {name}_p (the nodes reached, with the steps to them), breadth first."""
+    key = "corpus_id, question_id, read_point, start, start_ord"
+    out = [f"{name}_f0 AS (SELECT {key}, start AS node, [] AS rank, []::VARCHAR[] AS steps FROM {starts})"]
+    for h in range(1, hops + 1):
+        hub = "" if hubs or h == 1 else f"JOIN nodes x ON x.corpus_id = f.corpus_id AND x.id = f.node AND x.degree < {I.HUB_DEGREE}"
+        old = " UNION ALL ".join(f"SELECT corpus_id, question_id, start, node FROM {name}_f{j}" for j in range(h))
+        out.append(
+            f"""{name}_m{h} AS (SELECT f.corpus_id, f.question_id, f.read_point, f.start, f.start_ord, n.other, n.src, n.relation, n.dst, list_append(f.rank, {{'s': side, 'o': ord}}) AS rank,
+  list_append(f.steps, n.src || ' -[' || n.relation || ']-> ' || n.dst) AS steps
+  FROM {name}_f{h - 1} f {hub} JOIN near n ON n.corpus_id = f.corpus_id AND n.node = f.node AND n.first_revealed_index <= f.read_point),
+{name}_f{h} AS (SELECT {key}, other AS node, min(rank) AS rank, arg_min(steps, rank) AS steps FROM {name}_m{h} m
+  WHERE NOT EXISTS (FROM ({old}) r WHERE r.corpus_id = m.corpus_id AND r.question_id = m.question_id AND r.start = m.start AND r.node = m.other) GROUP BY {key}, other)"""
+        )
+    met = " UNION ALL ".join(f"SELECT corpus_id, question_id, read_point, src, relation, dst, {{'a': start_ord, 'h': {h}, 'r': rank}} AS x FROM {name}_m{h}" for h in range(1, hops + 1))
+    reached = " UNION ALL ".join(f"SELECT corpus_id, question_id, start, node AS target, {h} AS hops, steps FROM {name}_f{h}" for h in range(1, hops + 1))
+    out.append(f"{name}_t AS (SELECT corpus_id, question_id, read_point, src, relation, dst, min(x) AS x FROM ({met}) GROUP BY ALL)")
+    out.append(
+        f"""{name} AS (SELECT t.corpus_id, t.question_id, t.src, t.relation, t.dst, CAST(any_value(t.x).h AS INTEGER) AS hop, any_value(t.x) AS x, max(v.n_passes) AS n_hits, count(*) AS n_evidence,
+  bool_and(v.disputed IS NOT DISTINCT FROM true) AS disputed, bool_and(v.disputed IS NULL) AS unjudged, arg_min(v.quote, v.global_index) AS quote, min(v.global_index) AS first_index, list(v.global_index) AS places
+  FROM {name}_t t JOIN evidence v ON v.corpus_id = t.corpus_id AND v.subject = t.src AND v.relation = t.relation AND v.object = t.dst AND v.global_index <= t.read_point GROUP BY 1, 2, 3, 4, 5),
+{name}_p AS ({reached}),
+{name}_r AS (SELECT *, row_number() OVER (PARTITION BY corpus_id, question_id ORDER BY hop, n_hits DESC, n_evidence DESC, x.a, x.r) AS place,
+  CASE WHEN disputed THEN 'hearsay' WHEN unjudged AND n_hits <= 1 THEN 'weak' ELSE 'confirmed' END AS certainty FROM {name} QUALIFY place <= 40)"""
+    )
+    return ",\n".join(out)
+
+
+def _left_sql(name: str, starts: str, found: str) -> str:
+    return f"{name} AS (SELECT * FROM {starts} s WHERE (SELECT count(*) FROM {found}_r t WHERE t.corpus_id = s.corpus_id AND t.question_id = s.question_id) < 3)"
+
+
+_EXPAND_SQL = f"WITH {I.EVIDENCE_SQL}, {I.QUESTIONS_SQL}, {_STARTS_SQL}, {_NEAR_SQL}, {_search_sql('x', 'starts', 2, False)}"
+
+#: What `retrieve` returns: k, its triples, and used, the stage of each question.
+_RETRIEVE_SQL = f"""{_EXPAND_SQL}, {_left_sql("s2", "starts", "x")}, {_search_sql("y", "s2", 2, True)}, {_left_sql("s3", "s2", "y")}, {_search_sql("z", "s3", 3, True)},
+k AS (SELECT r.* FROM x_r r WHERE NOT EXISTS (FROM s2 WHERE s2.corpus_id = r.corpus_id AND s2.question_id = r.question_id)
+ UNION ALL SELECT r.* FROM y_r r WHERE NOT EXISTS (FROM s3 WHERE s3.corpus_id = r.corpus_id AND s3.question_id = r.question_id) UNION ALL FROM z_r),
+used AS (SELECT corpus_id, question_id, CASE WHEN question_id IN (SELECT question_id FROM s3) OR question_id NOT IN (SELECT question_id FROM starts) THEN 3 WHEN question_id IN (SELECT question_id FROM s2) THEN 2 ELSE 1 END AS stage FROM questions)"""
 
 
 @query(f"WITH {I.EVIDENCE_SQL}, {I.QUESTIONS_SQL}, {_STARTS_SQL} SELECT * FROM starts")
@@ -149,26 +156,28 @@ def link_starts(spark, sf_dir):
     return retrieve.link_starts(I.questions(spark, sf_dir), I.surfaces(spark, sf_dir), nodes)
 
 
-@query(_EXPAND_SQL + " SELECT * FROM x")
+@query(_EXPAND_SQL + " SELECT corpus_id, question_id, src, relation, dst, hop, n_hits, n_evidence, disputed, unjudged FROM x")
 def expand(spark, sf_dir):
     nodes, edges = built(spark, sf_dir)
     triples, _ = retrieve.expand(_starts(spark, sf_dir, nodes), nodes, edges)
     return triples.select("corpus_id", "question_id", "src", "relation", "dst", "hop", "n_hits", F.size("evidence").cast("long").alias("n_evidence"), "disputed", "unjudged")
 
 
-@query(
-    _EXPAND_SQL
-    + """, r AS (SELECT *, row_number() OVER (PARTITION BY corpus_id, question_id ORDER BY hop, n_hits DESC, n_evidence DESC, src, relation, dst) AS place FROM x)
-SELECT corpus_id, question_id, src, relation, dst, CAST(place AS INTEGER) AS place, CASE WHEN disputed THEN 'hearsay' WHEN unjudged AND n_hits <= 1 THEN 'weak' ELSE 'confirmed' END AS certainty FROM r WHERE place <= 40"""
-)
+@query(_EXPAND_SQL + " SELECT corpus_id, question_id, src, relation, dst, CAST(place AS INTEGER) AS place, certainty FROM x_r")
 def rank_triples(spark, sf_dir):
     nodes, edges = built(spark, sf_dir)
     triples, _ = retrieve.expand(_starts(spark, sf_dir, nodes), nodes, edges)
-    ranked = retrieve.mark_certainty(retrieve.rank_triples(triples, ties=("src", "relation", "dst")))
-    return ranked.select("corpus_id", "question_id", "src", "relation", "dst", "place", "certainty")
+    return retrieve.mark_certainty(retrieve.rank_triples(triples)).select("corpus_id", "question_id", "src", "relation", "dst", "place", "certainty")
 
 
-@query()
+@query(
+    f"""{_EXPAND_SQL},
+e AS (SELECT corpus_id, question_id, target, min({{'p': place, 'e': e}}) AS pl FROM (SELECT *, src AS target, 0 AS e FROM x_r UNION ALL SELECT *, dst, 1 FROM x_r) GROUP BY 1, 2, 3),
+m AS (SELECT p.*, e.pl FROM x_p p LEFT JOIN e USING (corpus_id, question_id, target)),
+o AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY corpus_id, question_id, target ORDER BY pl IS NULL, pl, hops DESC, start) = 1)
+SELECT corpus_id, question_id, target, CAST(hops AS INTEGER) AS hops, array_to_string(steps, ' | ') AS steps, CAST(row_number() OVER w AS INTEGER) AS path_place FROM o
+WINDOW w AS (PARTITION BY corpus_id, question_id ORDER BY pl IS NULL, pl, hops DESC, target) QUALIFY path_place <= 4"""
+)
 def expand_paths(spark, sf_dir):
     nodes, edges = built(spark, sf_dir)
     triples, paths = retrieve.expand(_starts(spark, sf_dir, nodes), nodes, edges)
@@ -183,16 +192,26 @@ def _retrieved(spark, sf_dir):
     return nodes, edges, starts, saved(triples), paths, saved(used)
 
 
-@query()
+@query(
+    f"""{_RETRIEVE_SQL},
+b AS (SELECT corpus_id, question_id, string_agg('[' || place || '] ' || src || ' -[' || relation || ']-> ' || dst || ' <' || certainty || '>' || chr(10) || '    source: L' || first_index || chr(10) || '    text: "' || quote || '"', chr(10) ORDER BY place) AS block FROM k GROUP BY 1, 2)
+SELECT q.corpus_id, q.question_id, coalesce(b.block, 'Up to section ' || q.read_point || ' this has not been revealed yet.') AS block FROM questions q LEFT JOIN b USING (corpus_id, question_id)"""
+)
 def retrieve_(spark, sf_dir):
     _, _, _, triples, _, _ = _retrieved(spark, sf_dir)
     return retrieve.evidence_block(triples, I.questions(spark, sf_dir))
 
 
-QUERIES["retrieve"] = QUERIES.pop("retrieve_")
-
 
-@query()
+@query(
+    f"""{_RETRIEVE_SQL},
+n AS (SELECT corpus_id, question_id, count(*) AS n FROM k GROUP BY 1, 2), s AS (SELECT corpus_id, question_id, list(start ORDER BY start_ord) AS s FROM starts GROUP BY 1, 2),
+m AS (SELECT q.corpus_id, q.question_id, q.read_point, coalesce(s.s, []) AS s, coalesce(n.n, 0) AS n, CASE u.stage WHEN 3 THEN 3 ELSE 2 END AS hops, u.stage > 1 AS allow_hub FROM questions q JOIN used u USING (corpus_id, question_id) LEFT JOIN n USING (corpus_id, question_id) LEFT JOIN s USING (corpus_id, question_id))
+SELECT corpus_id, question_id, array_to_string(s, ',') AS starts, CAST(hops AS INTEGER) AS hops, allow_hub, CAST(n AS BIGINT) AS n_triples,
+ 'read point ' || read_point || ': ' || (SELECT count(*) FROM nodes x WHERE x.corpus_id = m.corpus_id AND first_revealed_index <= read_point) || ' of ' || (SELECT count(*) FROM nodes x WHERE x.corpus_id = m.corpus_id) || ' nodes, '
+ || (SELECT count(*) FROM edges x WHERE x.corpus_id = m.corpus_id AND first_revealed_index <= read_point) || ' of ' || (SELECT count(*) FROM edges x WHERE x.corpus_id = m.corpus_id) || ' edges are visible | starts: '
+ || CASE WHEN len(s) > 0 THEN array_to_string(s, ', ') ELSE 'none' END || ' | ' || hops || ' hops, hubs ' || CASE WHEN allow_hub THEN 'open' ELSE 'closed' END || ': ' || n || ' triples' AS trace FROM m"""
+)
 def retrieval_summary(spark, sf_dir):
     nodes, edges, starts, triples, _, used = _retrieved(spark, sf_dir)
     asked = I.questions(spark, sf_dir)
@@ -201,7 +220,8 @@ def retrieval_summary(spark, sf_dir):
     return out.select("corpus_id", "question_id", F.array_join("starts", ",").alias("starts"), "hops", "allow_hub", "n_triples", F.array_join("trace", " | ").alias("trace"))
 
 
-@query()
+@query(f"""{_RETRIEVE_SQL}, g AS (SELECT DISTINCT corpus_id, question_id, unnest(places) AS g FROM k)
+SELECT corpus_id, question_id, string_agg('L' || g, ',' ORDER BY g) AS labels FROM g GROUP BY 1, 2""")
 def retrieval_sources(spark, sf_dir):
     _, _, _, triples, _, _ = _retrieved(spark, sf_dir)
     return retrieve.sources(triples).select("corpus_id", "question_id", F.array_join("labels", ",").alias("labels"))
@@ -230,16 +250,6 @@ def chunk_fixed(spark, sf_dir):
     return out.select("doc_id", "chunk_no", "start", F.md5("text").alias("text_md5"))
 
 
-@query()
-def assign_sections(spark, sf_dir):
-    """Lines of documents as raw text, short ones being chapter headings; a corpus each document."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("corpus_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    rules = sections.Headings(part=None, book=None, epilogue=None, chapter=r"^()[A-ZÀ-Þ][^ ]*( [^ ]*)?$", roman=True)
-    # every line before the first heading belongs to no section: without books the first chapter opens the text
-    out = sections.assign_sections(d, rules)
-    return out.select("corpus_id", "doc_id", "global_index", "n_chars", F.md5("text").alias("text_md5"), F.md5("chapter_title").alias("title_md5"))
-
-
 @query(
     """WITH t AS (SELECT conv_id AS book_no, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS due, length(text) AS n FROM conversations)
 SELECT 'chapters out of order' AS what, count(DISTINCT book_no) AS n FROM t WHERE turn + 1 <> due HAVING count(*) > 0 UNION ALL SELECT 'short section', count(*) FROM t WHERE n < 500 HAVING count(*) > 0"""
@@ -307,14 +317,14 @@ def mine_quotes(spark, sf_dir):
 
 
 @query(
-    """WITH n AS (SELECT doc_id, regexp_replace(split_part(text, chr(10), 1), '[\\x00-\\x1f\\x7f]', ' ', 'g') AS c FROM documents)
-SELECT doc_id, trim(regexp_replace(c, '\\s+', ' ', 'g')) AS clean,
- lower(trim(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(c, '\\s+', ' ', 'g')), '^(?i:the|a|an)\\s+', ''), '[^\\p{L}\\p{N}_\\sÀ-ɏ-]', ' ', 'g'), '\\s+', ' ', 'g'))) AS norm,
+    """WITH n AS (SELECT doc_id, regexp_replace(text, '[\\x00-\\x1f\\x7f]', ' ', 'g') AS c FROM documents)
+SELECT doc_id, md5(trim(regexp_replace(c, '\\s+', ' ', 'g'))) AS clean,
+ md5(lower(trim(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(c, '\\s+', ' ', 'g')), '^(?i:the|a|an)\\s+', ''), '[^\\p{L}\\p{N}_\\sÀ-ɏ-]', ' ', 'g'), '\\s+', ' ', 'g')))) AS norm,
  regexp_matches(c, '\\p{Lu}') AS has_upper FROM n"""
 )
 def normalised_names(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n")[0].alias("name"))
-    return d.select("doc_id", T.clean(F.col("name")).alias("clean"), T.norm(F.col("name")).alias("norm"), T.has_upper(F.col("name")).alias("has_upper"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("name"))
+    return d.select("doc_id", F.md5(T.clean(F.col("name"))).alias("clean"), F.md5(T.norm(F.col("name"))).alias("norm"), T.has_upper(F.col("name")).alias("has_upper"))
 
 
 @query(
@@ -371,30 +381,60 @@ def resolve_names(spark, sf_dir):
     return names.resolve(p.select("p_partkey", name.alias("name")), "name", rule_tables(spark, sf_dir)).select("p_partkey", "resolved")
 
 
-@query()
-def learn_aliases(spark, sf_dir):
+#: Candidates for aliases from part, judged: none of them is a name that comes later, so that no alias resolves another.
+_LEARNED_SQL = f"""WITH {_RULES_SQL},
+mentions AS (SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS name, lower(p_name) AS norm, p_type, split_part(p_name, ' ', 1) AS head FROM part),
+sn AS (SELECT m.p_partkey, arg_min(sur.canon, sur.ord) AS canon FROM mentions m JOIN sur ON list_contains(string_split(m.norm, ' '), sur.token) WHERE NOT EXISTS (SELECT 1 FROM shared WHERE list_contains(string_split(m.norm, ' '), shared.token)) GROUP BY 1),
+r AS (SELECT m.*, CASE WHEN m.norm IN (FROM stop) THEN NULL WHEN place.canon IS NOT NULL THEN place.canon WHEN a.canon IS NOT NULL THEN a.canon WHEN sn.canon IS NOT NULL THEN sn.canon ELSE m.name END AS canon
+  FROM mentions m LEFT JOIN place ON place.name = m.norm LEFT JOIN a ON a.key = m.norm LEFT JOIN sn ON sn.p_partkey = m.p_partkey),
+al AS (SELECT p_partkey, canon, unnest([lower(norm || ' ' || p_type), lower(p_type), lower(head) || ' esq']) AS key, unnest([0, 1, 2]) AS pos FROM r WHERE canon IS NOT NULL),
+sh AS (SELECT list(token) AS l FROM shared),
+j AS (SELECT al.*, (p_partkey, pos) AS ord, CASE WHEN len(list_filter(string_split(key, ' '), lambda w: NOT list_contains(sh.l, w))) = 0 THEN 'surname only'
+  WHEN NOT list_has_any(string_split(key, ' '), list_filter(string_split(lower(canon), ' '), lambda w: length(w) > 2)) THEN 'no overlap' END AS reason
+  FROM al, sh WHERE key NOT IN (SELECT key FROM a) AND key NOT IN (FROM stop)),
+accepted AS (SELECT key, arg_min(canon, ord) AS canon, min(ord) AS ord FROM j WHERE reason IS NULL GROUP BY 1),
+rejected AS (SELECT j.* FROM j LEFT JOIN accepted x USING (key) WHERE reason IS NOT NULL AND (x.ord IS NULL OR j.ord < x.ord))"""
+
+
+def _mentions(spark, sf_dir) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    mentions = p.select(F.lit("p1").alias("pass"), F.lit("x").alias("doc_id"), F.col("p_partkey").alias("ent_pos"), F.initcap("p_name").alias("name"), F.array(F.concat(F.initcap("p_name"), F.lit(" "), "p_type"), F.initcap("p_type"), F.concat(F.initcap(F.split("p_name", " ")[0]), F.lit(" Esq"))).alias("aliases"))
-    return names.learn_aliases(mentions, rule_tables(spark, sf_dir))[0].select("key", "canon")
+    name = F.initcap("p_name")
+    others = F.array(F.concat(name, F.lit(" "), F.initcap("p_type")), F.initcap("p_type"), F.concat(F.initcap(F.split("p_name", " ")[0]), F.lit(" Esq")))
+    return p.select(F.lit("all").alias("corpus_id"), F.lit("p1").alias("pass"), F.lit("x").alias("doc_id"), F.col("p_partkey").alias("ent_pos"), name.alias("name"), others.alias("aliases"))
 
 
-#: A name that stands in many documents is a frequent capitalised first word.
-_FORMS_SQL = """
-w AS (SELECT lower(regexp_extract(text, '^([\\p{L}]{4,})', 1)) AS form FROM documents), forms AS (SELECT DISTINCT form FROM w WHERE form <> '')"""
+@query(f"{_LEARNED_SQL} SELECT key, canon FROM accepted")
+def learn_aliases(spark, sf_dir):
+    return names.learn_aliases(_mentions(spark, sf_dir), rule_tables(spark, sf_dir))[0].select("key", "canon")
 
 
-def _forms(spark, sf_dir) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(F.lower(F.regexp_extract("text", r"^([\p{L}]{4,})", 1)).alias("form")).where("form <> ''").distinct()
-    return d.join(I.sections(spark, sf_dir).select("corpus_id").distinct()).select("corpus_id", F.col("form").alias("key"), "form")
+@query(f"{_LEARNED_SQL} SELECT key AS alias, canon, reason FROM rejected")
+def rejected_aliases(spark, sf_dir):
+    return names.learn_aliases(_mentions(spark, sf_dir), rule_tables(spark, sf_dir))[1].select(T.norm(F.col("alias")).alias("alias"), "canon", "reason")
+
+
+@query(
+    f"""{_LEARNED_SQL}, {I.EVIDENCE_SQL},
+x AS (SELECT 'triples raw' AS measure, count(*) AS value FROM judged UNION ALL SELECT 'triples ' || reason, count(*) FROM judged GROUP BY 1
+ UNION ALL SELECT 'aliases accepted', count(*) FROM accepted UNION ALL SELECT 'aliases rejected', count(*) FROM rejected
+ UNION ALL SELECT 'nodes', count(*) FROM nodes UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'nodes ' || type, count(*) FROM nodes GROUP BY 1)
+SELECT measure, CAST(value AS BIGINT) AS value FROM x"""
+)
+def build_report(spark, sf_dir):
+    kept, audit = graph.validate_triples(I.triples(spark, sf_dir), I.types(spark, sf_dir), I.rel_spec(spark))
+    edges = saved(graph.build_edges(graph.fold_evidence(kept)))
+    nodes = graph.build_nodes(edges, I.types(spark, sf_dir))
+    accepted, rejected = names.learn_aliases(_mentions(spark, sf_dir), rule_tables(spark, sf_dir))
+    return graph.build_report(audit, rejected, accepted, nodes, edges)
 
 
 @query(
-    f"""WITH {I.SECTIONS_SQL}, {_FORMS_SQL},
+    f"""WITH {I.SECTIONS_SQL}, {texts.FORMS_SQL},
 t AS (SELECT DISTINCT corpus_id, doc_id, global_index, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS form FROM sections)
 SELECT corpus_id, form, min(global_index) AS first_index, count(DISTINCT doc_id) AS n_text_chapters FROM t JOIN forms USING (form) GROUP BY 1, 2"""
 )
 def text_search(spark, sf_dir):
-    found = graph.find_forms(_forms(spark, sf_dir), I.sections(spark, sf_dir))
+    found = graph.find_forms(texts.forms(spark, sf_dir), I.sections(spark, sf_dir))
     return found.groupBy("corpus_id", "form").agg(F.min("global_index").alias("first_index"), F.count_distinct("doc_id").alias("n_text_chapters"))
 
 
@@ -402,22 +442,25 @@ def text_search(spark, sf_dir):
 
 
 def _bm25_inputs(spark, sf_dir):
+    """Documents as chunks, benchmark items as queries, each with a read point somewhere among the documents."""
     d = I.sections(spark, sf_dir)
-    chunks = d.select(F.lit("all").alias("corpus_id"), F.col("number").alias("chunk_id"), F.col("number").alias("global_index"), "label", "text")
-    n = 500
-    q = table(spark, sf_dir, "benchmark").select(F.lit("all").alias("corpus_id"), F.col("item_id").alias("query_id"), (F.lit(n) + F.col("item_id")).alias("read_point"), F.substring("text", 1, 60).alias("text"))
-    return chunks, q
+    chunks = saved(d.select(F.lit("all").alias("corpus_id"), F.col("number").alias("chunk_id"), F.col("number").alias("global_index"), "label", "text"))
+    top = chunks.agg(F.max("chunk_id").alias("top"))
+    q = table(spark, sf_dir, "benchmark").join(top).select(F.lit("all").alias("corpus_id"), F.col("item_id").alias("query_id"), ((F.col("item_id") * 7919) % (F.col("top") + 1)).alias("read_point"), "text")
+    return chunks, saved(q)
 
 
 _BM25_SQL = """
 c AS (SELECT doc_id AS chunk_id, regexp_extract_all(lower(text), '[a-z0-9À-ɏ가-힣]+') AS t FROM documents),
 n AS (SELECT count(*) AS n, avg(len(t)) AS avg_len FROM c),
-q AS (SELECT item_id AS query_id, 500 + item_id AS read_point, unnest(regexp_extract_all(lower(substr(text, 1, 60)), '[a-z0-9À-ɏ가-힣]+')) AS term FROM benchmark),
+q AS (SELECT item_id AS query_id, (item_id * 7919) % ((SELECT max(doc_id) FROM documents) + 1) AS read_point, unnest(regexp_extract_all(lower(text), '[a-z0-9À-ɏ가-힣]+')) AS term FROM benchmark),
 a AS (SELECT query_id, term, count(*) AS times FROM q GROUP BY 1, 2),
 p AS (SELECT chunk_id, len(t) AS n_tokens, unnest(t) AS term FROM c),
 tf AS (SELECT chunk_id, n_tokens, term, count(*) AS tf FROM p WHERE term IN (SELECT term FROM a) GROUP BY ALL),
 df AS (SELECT term, ln(1 + (any_value(n.n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, n GROUP BY 1),
-s AS (SELECT query_id, chunk_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n_tokens / avg_len))) AS score FROM tf JOIN df USING (term) JOIN a USING (term), n GROUP BY 1, 2)"""
+s AS (SELECT query_id, chunk_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n_tokens / avg_len))) AS score FROM tf JOIN df USING (term) JOIN a USING (term), n GROUP BY 1, 2),
+v AS (SELECT DISTINCT q.query_id, d.doc_id AS chunk_id, coalesce(round(s.score, 6), 0) AS score FROM (SELECT DISTINCT query_id, read_point FROM q) q JOIN documents d ON d.doc_id <= q.read_point LEFT JOIN s ON s.query_id = q.query_id AND s.chunk_id = d.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place FROM v)"""
 
 
 @query(f"WITH {_BM25_SQL} SELECT query_id, chunk_id, round(score, 6) AS score FROM s")
@@ -426,17 +469,21 @@ def bm25_score(spark, sf_dir):
     return rank.bm25_score(chunks, q).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
-@query(
-    f"""WITH {_BM25_SQL}, v AS (SELECT DISTINCT q.query_id, d.doc_id AS chunk_id, coalesce(round(s.score, 6), 0) AS score FROM (SELECT DISTINCT query_id, read_point FROM q) q JOIN documents d ON d.doc_id <= q.read_point LEFT JOIN s ON s.query_id = q.query_id AND s.chunk_id = d.doc_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place FROM v) SELECT query_id, chunk_id, CAST(place AS INTEGER) AS place FROM r WHERE place <= 6"""
-)
+@query(f"WITH {_BM25_SQL} SELECT query_id, chunk_id, CAST(place AS INTEGER) AS place FROM r WHERE place <= 6")
 def bm25_topk(spark, sf_dir):
     chunks, q = _bm25_inputs(spark, sf_dir)
     scores = saved(rank.bm25_score(chunks, q).withColumn("score", F.round("score", 6)))
     return rank.topk(scores, chunks, q).select("query_id", "chunk_id", "place")
 
 
-@query()
+@query(
+    f"""WITH {I.SECTIONS_SQL}, {_BM25_SQL},
+l AS (SELECT r.query_id, r.place, '1 ' || x.global_index AS label, x.text FROM r JOIN sections x ON x.number = r.chunk_id WHERE place <= 6),
+b AS (SELECT query_id, string_agg('(' || label || ') ' || text, chr(10) || chr(10) ORDER BY place) AS block FROM l GROUP BY 1),
+k AS (SELECT query_id, string_agg(label, ',' ORDER BY label COLLATE "C") AS labels FROM (SELECT DISTINCT query_id, label FROM l) GROUP BY 1)
+SELECT i.item_id AS query_id, md5(coalesce(b.block, 'Up to section ' || ((i.item_id * 7919) % ((SELECT max(doc_id) FROM documents) + 1)) || ' this has not been revealed yet.')) AS block_md5, coalesce(k.labels, '') AS labels
+FROM benchmark i LEFT JOIN b ON b.query_id = i.item_id LEFT JOIN k ON k.query_id = i.item_id"""
+)
 def bm25_context(spark, sf_dir):
     chunks, q = _bm25_inputs(spark, sf_dir)
     top = rank.topk(saved(rank.bm25_score(chunks, q).withColumn("score", F.round("score", 6))), chunks, q)
@@ -461,24 +508,42 @@ def _golden(spark, sf_dir) -> DataFrame:
     """The questions with paths to expect: two steps from the supplier, every fourth one without a path."""
     q = I.questions(spark, sf_dir)
     step = lambda s, o: F.struct(s.alias("s"), F.lit("R").alias("rel"), o.alias("o"))
-    sup, part = F.concat(F.lit("S"), "number"), lambda k: F.concat(F.lit("P"), (F.col("number") * 7 + k) % 2000)
-    path = F.when(F.col("number") % 40 == 0, F.array().cast("array<struct<s:string,rel:string,o:string>>")).otherwise(F.array(step(sup, part(3)), step(part(3), sup)))
-    kind = F.when(F.col("number") % 40 == 0, "spoiler_gate").when(F.col("number") % 30 == 0, "control_singlehop").otherwise("multihop")
-    return q.select("question_id", kind.alias("kind"), (1 + F.col("number") / 10 % 3).cast("int").alias("hops"), "question", "read_point", F.lit("x").alias("expected_answer"), path.alias("expected_path"), "number")
+    sup, part, other = F.concat(F.lit("S"), "number"), F.concat(F.lit("P"), "part"), F.concat(F.lit("S"), F.col("number") - 1)
+    path = F.when(F.col("nation") % 4 == 0, F.array().cast("array<struct<s:string,rel:string,o:string>>")).otherwise(F.array(step(sup, part), step(part, other)))
+    kind = F.when(F.col("nation") % 4 == 0, "spoiler_gate").when(F.col("nation") % 4 == 1, "control_singlehop").otherwise("multihop")
+    return q.select("question_id", kind.alias("kind"), (1 + F.col("nation") % 3).cast("int").alias("hops"), "question", "read_point", F.lit("x").alias("expected_answer"), path.alias("expected_path"), "number", "nation")
+
+
+#: golden; its steps; whether a step is among the triples of a table (named found) and in the graph.
+_GOLDEN_SQL = """
+golden AS (SELECT question_id, CASE WHEN nation % 4 = 0 THEN 'spoiler_gate' WHEN nation % 4 = 1 THEN 'control_singlehop' ELSE 'multihop' END AS kind, 1 + nation % 3 AS hops, number, s1, s2, 'S' || (number - 1) AS s3,
+  'what links <' || s1 || '> and <' || s2 || '>?' AS question FROM questions),
+steps AS (SELECT question_id, 0 AS step, lower(s1) AS s, lower(s2) AS o FROM golden WHERE kind <> 'spoiler_gate' UNION ALL SELECT question_id, 1, lower(s2), lower(s3) FROM golden WHERE kind <> 'spoiler_gate'),
+tails AS (SELECT DISTINCT question_id, lower(src) AS a, lower(dst) AS b FROM found),
+got AS (SELECT p.question_id, p.step, length(p.s) > 2 AND length(p.o) > 2 AND EXISTS (FROM tails e WHERE e.question_id = p.question_id AND (e.a = p.s AND e.b = p.o OR e.a = p.o AND e.b = p.s)) AS ok FROM steps p),
+recall AS (SELECT question_id, avg(ok::INT) AS path_recall, bool_and(ok) AS retrieved FROM got GROUP BY 1)"""
 
 
-@query()
+@query(f"{_EXPAND_SQL}, found AS (SELECT question_id, src, dst FROM x), {_GOLDEN_SQL} SELECT g.question_id, round(path_recall, 6) AS path_recall FROM golden g LEFT JOIN recall USING (question_id)")
 def path_recall(spark, sf_dir):
     nodes, edges = built(spark, sf_dir)
     triples, _ = retrieve.expand(_starts(spark, sf_dir, nodes), nodes, edges)
     return evaluate.path_recall(_golden(spark, sf_dir), triples).withColumn("path_recall", F.round("path_recall", 6))
 
 
+_ROWS_SQL = f"""{_RETRIEVE_SQL}, found AS (SELECT question_id, src, dst FROM k), {_GOLDEN_SQL},
+verdicts AS (SELECT doc_id % 10 AS k, avg(quality) > 0.8 AS correct, avg(toxic) > 0.15 AS leaked FROM labels GROUP BY 1),
+graph AS (SELECT p.question_id, bool_and(length(p.s) > 2 AND length(p.o) > 2 AND EXISTS (FROM edges e WHERE lower(e.src) = p.s AND lower(e.dst) = p.o OR lower(e.src) = p.o AND lower(e.dst) = p.s)) AS in_graph FROM steps p GROUP BY 1),
+rows AS (SELECT g.question_id, g.kind, g.hops, g.question, j.correct, j.leaked, recall.path_recall,
+  CASE WHEN j.correct THEN NULL WHEN in_graph IS NULL THEN 'generate' WHEN NOT in_graph THEN 'index' WHEN NOT retrieved THEN 'retrieve' ELSE 'generate' END AS failure_layer
+  FROM golden g LEFT JOIN verdicts j ON j.k = g.number % 10 LEFT JOIN recall USING (question_id) LEFT JOIN graph USING (question_id))"""
+
+
 def _rows(spark, sf_dir) -> DataFrame:
     nodes, edges, starts, triples, _, used = _retrieved(spark, sf_dir)
     golden = saved(_golden(spark, sf_dir))
     labels = table(spark, sf_dir, "labels").groupBy(F.pmod("doc_id", F.lit(10)).alias("k")).agg((F.avg("quality") > 0.8).alias("correct"), (F.avg("toxic") > 0.15).alias("leaked"))
-    judged = golden.join(labels, F.pmod(F.col("number") / 10, F.lit(10)).cast("long") == F.col("k"), "left").select("question_id", "correct", "leaked")
+    judged = golden.join(labels, F.pmod("number", F.lit(10)).cast("long") == F.col("k"), "left").select("question_id", "correct", "leaked")
     n = triples.groupBy("question_id").agg(F.count("*").cast("int").alias("n_triples"))
     g = judged.join(n, "question_id", "left").join(used.select("question_id", F.col("hops").alias("hops_used"), F.col("allow_hub").alias("hub_opened")), "question_id", "left")
     g = g.select("question_id", F.lit("a").alias("answer"), "correct", "leaked", F.lit("r").alias("reason"), "n_triples", "hops_used", "hub_opened", F.array().cast("array<string>").alias("starts"), F.array().cast("array<string>").alias("trace"))
@@ -488,16 +553,27 @@ def _rows(spark, sf_dir) -> DataFrame:
     return saved(evaluate.eval_rows(golden, g, b, recall, layer))
 
 
-@query()
+@query(
+    f"""{_ROWS_SQL},
+g AS (SELECT *, unnest([CASE WHEN kind <> 'spoiler_gate' AND hops = 1 THEN '1-hop' END, CASE WHEN kind = 'multihop' AND hops = 2 THEN '2-hop' END, CASE WHEN kind = 'multihop' AND hops = 3 THEN '3-hop' END,
+  CASE WHEN kind = 'control_singlehop' THEN 'control' END, CASE WHEN kind = 'spoiler_gate' THEN 'gate' END, 'total']) AS grp FROM rows)
+SELECT grp, count(*) AS n, round(avg(correct::INT) * 100, 6) AS graph_pct, round(avg((NOT correct)::INT) * 100, 6) AS basic_pct, round(avg(path_recall) * 100, 6) AS recall_pct FROM g WHERE grp IS NOT NULL GROUP BY 1"""
+)
 def evaluation_report(spark, sf_dir):
-    return evaluate.report(_rows(spark, sf_dir))
+    out = evaluate.report(_rows(spark, sf_dir))
+    return out.select("grp", "n", *[F.round(c, 6).alias(c) for c in ("graph_pct", "basic_pct", "recall_pct")])
 
 
-@query()
+@query(f"{_ROWS_SQL} SELECT failure_layer, count(*) AS n, string_agg(question_id, ',' ORDER BY question_id) AS ids FROM rows WHERE NOT coalesce(correct, false) GROUP BY 1")
 def evaluation_failures(spark, sf_dir):
     return evaluate.failures(_rows(spark, sf_dir))[0].select("failure_layer", "n", F.array_join("ids", ",").alias("ids"))
 
 
-@query()
+@query(f"{_ROWS_SQL} SELECT question_id, question, 'x' AS expected, 'a' AS answer, 'r' AS reason FROM rows WHERE NOT coalesce(correct, false)")
+def evaluation_details(spark, sf_dir):
+    return evaluate.failures(_rows(spark, sf_dir))[1]
+
+
+@query(f"{_ROWS_SQL}, l AS (SELECT count(*) AS n, coalesce(string_agg(question_id, ',' ORDER BY question_id), '') AS ids FROM rows WHERE leaked) SELECT 'graph' AS system, n, ids FROM l UNION ALL SELECT 'basic', n, ids FROM l")
 def evaluation_leaks(spark, sf_dir):
     return evaluate.leaks(_rows(spark, sf_dir)).select("system", "n", F.array_join("ids", ",").alias("ids"))

@@ -51,9 +51,10 @@ def section_index(sections: DataFrame) -> DataFrame:
     return sections.drop("text", "label")
 
 
-def read_extractions(spark: SparkSession, root: str, corpus_id: str = "corpus") -> DataFrame:
-    """All passes under root: extract_cache*/*.json, the directory being the pass. Spark skips names that begin with _."""
-    rows = spark.read.schema(EXTRACTION).option("multiLine", True).json(f"{root}/extract_cache*/*.json")
+def read_extractions(spark: SparkSession, root: str, corpus_id: str = "corpus", multi_line: bool = True) -> DataFrame:
+    """All passes under root: extract_cache*/*.json, the directory being the pass. Spark skips names that begin with _. A file
+    holds one section over many lines, or, without multi_line, a section a line."""
+    rows = spark.read.schema(EXTRACTION).option("multiLine", multi_line).json(f"{root}/extract_cache*/*.json")
     return rows.select(F.lit(corpus_id).alias("corpus_id"), F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("pass"), *rows.columns)
 
 
@@ -68,23 +69,32 @@ def triples_of(extractions: DataFrame) -> DataFrame:
     return rows.select("corpus_id", "pass", F.coalesce("t.doc_id", "doc_id").alias("doc_id"), F.col("t.first_revealed_index").cast("int").alias("global_index"), F.col("t.label_ko").alias("label"), "tri_pos", "t.subject", "t.relation", "t.object", "t.quote", "t.disputed")
 
 
+#: The attributes of a graph's file, in the order of its keys d0, d1, ...: (on, name, type). Fixed values of the format.
+GRAPH_KEYS = [
+    ("node", "type", "string"), ("node", "first_revealed_index", "long"), ("node", "degree", "long"), ("node", "is_hub", "long"), ("node", "n_chapters", "long"),
+    ("node", "n_text_chapters", "long"), ("edge", "relation", "string"), ("edge", "first_revealed_index", "long"), ("edge", "n_support", "long"), ("edge", "evidence", "string"),
+]
+
+
 def read_graphml(spark: SparkSession, path: str, corpus_id: str = "corpus") -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of a GraphML file; attributes by the names of the file's keys, an edge's evidence parsed from JSON."""
-    keys = spark.read.format("xml").option("rowTag", "key").load(path)
-    pairs = {r["_id"]: r["_attr.name"] for r in keys.select("_id", F.col("`_attr.name`")).collect()}
+    """(nodes, edges) of a GraphML file, or of a folder of such files as `write_graph` makes it; attributes by the names of
+    the keys, an edge's evidence parsed from JSON. Attributes that the file does not have are null."""
+    xml = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).option("recursiveFileLookup", True).schema(schema).load(path)
+    keys = xml("key", "_id string, _for string, `_attr.name` string").collect()
     data = "array<struct<_VALUE:string,_key:string>>"
-    attrs = lambda: F.map_from_entries(F.transform("data", lambda d: F.struct(d["_key"], d["_VALUE"])))
-    of = lambda name: F.col("m")[next((k for k, v in pairs.items() if v == name and k in by_kind), "")]
-    kinds = {r["_id"]: r["_for"] for r in keys.select("_id", "_for").collect()}
 
-    by_kind = {k for k, v in kinds.items() if v == "node"}
-    nodes = spark.read.format("xml").option("rowTag", "node").schema(f"_id string, data {data}").load(path).withColumn("m", attrs())
+    def attributes(kind: str):
+        names = {r["_attr.name"]: r["_id"] for r in keys if r["_for"] == kind}
+        return lambda name: F.element_at(F.filter("data", lambda d: d["_key"] == names[name]), 1)["_VALUE"] if name in names else F.lit(None).cast("string")
+
+    of = attributes("node")
+    nodes = xml("node", f"_id string, data {data}").where("_id is not null")
     nodes = nodes.select(
         F.lit(corpus_id).alias("corpus_id"), F.col("_id").alias("id"), of("type").alias("type"), *[of(c).cast("int").alias(c) for c in ("first_revealed_index", "degree", "n_chapters", "n_text_chapters")],
         (of("is_hub") == "1").alias("is_hub"),
     )
-    by_kind = {k for k, v in kinds.items() if v == "edge"}
-    edges = spark.read.format("xml").option("rowTag", "edge").schema(f"_id string, _source string, _target string, data {data}").load(path).withColumn("m", attrs())
+    of = attributes("edge")
+    edges = xml("edge", f"_id string, _source string, _target string, data {data}").where("_source is not null")
     found = F.transform(F.from_json(of("evidence"), EVIDENCE), lambda e: F.struct(e["global_index"].alias("global_index"), e["doc_id"].alias("doc_id"), e["label_ko"].alias("label"), e["quote"].alias("quote"), e["disputed"].alias("disputed"), e["n_passes"].cast("long").alias("n_passes")))
     edges = edges.select(
         F.lit(corpus_id).alias("corpus_id"), F.col("_source").alias("src"), F.coalesce(of("relation"), F.col("_id")).alias("relation"), F.col("_target").alias("dst"),
@@ -95,17 +105,30 @@ def read_graphml(spark: SparkSession, path: str, corpus_id: str = "corpus") -> t
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, aliases: DataFrame, path: str) -> None:
-    """JSON, one folder a kind, and GraphML-shaped XML rows of nodes and edges."""
+    """JSON, one folder a kind, and under graphml the keys, nodes and edges of a GraphML graph, which `read_graphml` reads.
+    Attributes that a table does not have, or that are null, are left out."""
+    spark = nodes.sparkSession
     for name, df in (("nodes", nodes), ("edges", edges), ("aliases", aliases)):
         df.write.mode("overwrite").json(f"{path}/{name}")
-    item = lambda key, c: F.struct(c.cast("string").alias("_VALUE"), F.lit(key).alias("_key"))
-    n = nodes.select(F.col("id").alias("_id"), F.array(item("d0", F.col("type")), item("d1", F.col("first_revealed_index")), item("d2", F.col("degree"))).alias("data"))
-    e = edges.select(
-        F.col("relation").alias("_id"), F.col("src").alias("_source"), F.col("dst").alias("_target"),
-        F.array(item("d6", F.col("relation")), item("d7", F.col("first_revealed_index")), item("d8", F.col("n_support")), item("d9", F.to_json("evidence"))).alias("data"),
-    )
-    n.write.format("xml").mode("overwrite").option("rootTag", "graph").option("rowTag", "node").save(f"{path}/graphml/nodes")
-    e.write.format("xml").mode("overwrite").option("rootTag", "graph").option("rowTag", "edge").save(f"{path}/graphml/edges")
+
+    def rows(df: DataFrame, kind: str):
+        items = []
+        for n, (on, name, _) in enumerate(GRAPH_KEYS):
+            if on == kind and name in df.columns:
+                value = F.to_json(F.transform("evidence", _as_written)) if name == "evidence" else F.col(name).cast("int") if name == "is_hub" else F.col(name)
+                items.append(F.when(F.col(name).isNotNull(), F.struct(value.cast("string").alias("_VALUE"), F.lit(f"d{n}").alias("_key"))))
+        return F.array_compact(F.array(*items)).alias("data")
+
+    keys = spark.createDataFrame([(f"d{n}", *k) for n, k in enumerate(GRAPH_KEYS)], "_id string, _for string, `_attr.name` string, `_attr.type` string")
+    n = nodes.select(F.col("id").alias("_id"), rows(nodes, "node"))
+    e = edges.select(F.col("relation").alias("_id"), F.col("src").alias("_source"), F.col("dst").alias("_target"), rows(edges, "edge"))
+    for df, tag in ((keys.coalesce(1), "key"), (n, "node"), (e, "edge")):
+        df.write.format("xml").mode("overwrite").option("rootTag", "graph").option("rowTag", tag).save(f"{path}/graphml/{tag}s")
+
+
+def _as_written(e: Column) -> Column:
+    """A piece of evidence under the names of the file."""
+    return F.struct(e["doc_id"].alias("doc_id"), e["global_index"].alias("global_index"), e["label"].alias("label_ko"), e["quote"].alias("quote"), e["disputed"].alias("disputed"), e["n_passes"].alias("n_passes"))
 
 
 def append_runs(df: DataFrame, path: str) -> None:

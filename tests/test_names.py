@@ -1,5 +1,11 @@
 from loregraph.operators import names as N
 
+# Words that make an alias a description rather than a name.
+DESCRIPTIVE = [
+    "boy", "brother", "called", "captain", "daughter", "elder", "father", "girl", "half", "her", "herself", "himself", "his", "lady", "little", "madame", "mamma", "man", "monk", "mother", "my", "named",
+    "old", "our", "papa", "same", "servant", "sister", "son", "that", "the", "their", "this", "woman", "young", "younger",
+]
+
 GROUPS = [("Old Karl Berg", "Karl", 0), ("Old Karl Berg", "the old Berg", 1), ("Mary Stone", "Mary", 2), ("Mary Stone", "Karl", 3)]
 
 
@@ -43,13 +49,41 @@ def test_learned_aliases(spark):
     want = {"stone mary": "Mary Stone", "karl berg the elder": "Old Karl Berg", "karl senior": "Old Karl Berg"}
     assert {r.key: r.canon for r in accepted.collect()} == want
     assert {(r.alias, r.reason) for r in rejected.collect()} == {("Berg", "surname only"), ("Nobody", "no overlap")}
-    assert {r.key: r.canon for r in N.learn_aliases_in_order(df, dicts(spark)).collect()} == want
+    assert scan(df, dicts(spark)) == want
+
+
+def scan(entities, dicts):
+    """The scan in run order, by plain loops: {key: canon}."""
+    from pyspark.sql import functions as F
+
+    from loregraph.functions.text import has_upper, norm, words
+
+    rows = N.resolve(entities, "name", dicts, "canon").select("pass", "doc_id", "ent_pos", "canon", norm(F.col("name")).alias("own"), words(norm(F.col("canon"))).alias("parts"), F.posexplode("aliases").alias("pos", "alias"))
+    rows = rows.withColumn("key", norm(F.col("alias"))).withColumn("upper", has_upper(F.col("alias"))).orderBy("pass", "doc_id", "ent_pos", "pos").collect()
+    of = lambda df, c: {r[c] for r in df.collect()}
+    fixed, stop, shared = of(dicts.aliases, "key"), of(dicts.stop, "name"), of(dicts.shared, "token")
+    known = fixed | stop | of(dicts.places, "name")
+    learned = {}
+    for r in rows:
+        canon, parts = learned[r.own] if r.own in learned and r.own not in known else (r.canon, {w for w in r.parts or () if len(w) > 2})
+        words_ = set(r.key.split())
+        if canon and r.key and r.upper and r.key not in stop | fixed | set(learned) and not words_ <= shared and words_ & parts:
+            learned[r.key] = (canon, parts)
+    return {k: c for k, (c, _) in learned.items()}
+
+
+def test_aliases_of_two_corpora(spark):
+    rows = [("a", "p", "d", 0, "Mary Stone", ["Stone X"]), ("b", "p", "d", 0, "Karl Stone", ["Stone X"]), ("b", "p", "d", 1, "Stone X", ["Stone Y"])]
+    df = spark.createDataFrame(rows, "corpus_id string, pass string, doc_id string, ent_pos int, name string, aliases array<string>")
+    d = N.Dicts(*[x.where("false") for x in (dicts(spark).aliases, dicts(spark).stop, dicts(spark).places, dicts(spark).surnames, dicts(spark).shared)])
+    got = {(r.corpus_id, r.key): r.canon for r in N.learn_aliases(df, d)[0].collect()}
+    assert got == {("a", "stone x"): "Mary Stone", ("b", "stone x"): "Karl Stone", ("b", "stone y"): "Karl Stone"}
 
 
 def test_aliases_learned_through_a_long_chain(spark):
     rows = [("c", "p1", "d1", i, f"Root X{i}", [f"Root X{i + 1}"]) for i in range(26)]
     df = spark.createDataFrame(rows, "corpus_id string, pass string, doc_id string, ent_pos int, name string, aliases array<string>")
-    want = {r.key: r.canon for r in N.learn_aliases_in_order(df, dicts(spark)).collect()}
+    want = scan(df, dicts(spark))
     assert want == {f"root x{i + 1}": "Root X0" for i in range(26)}
     assert {r.key: r.canon for r in N.learn_aliases(df, dicts(spark))[0].collect()} == want
 
@@ -64,7 +98,7 @@ def test_first_seen_and_labels(spark):
     s = spark.createDataFrame([("c", "a", 1, "Karla and the old\nBerg"), ("c", "b", 2, "KARL's old Berg"), ("c", "d", 3, "karl")], "corpus_id string, doc_id string, global_index int, text string")
     nodes = spark.createDataFrame([("c", "Old Karl Berg", "Character"), ("c", "Mary Stone", "Place")], "corpus_id string, id string, type string")
     d = dicts(spark, GROUPS[:3]).aliases
-    got = {r.alias: (r.first_index, r.display) for r in N.alias_first_seen(d, nodes, s).collect()}
+    got = {r.alias: (r.first_index, r.display) for r in N.alias_first_seen(d, nodes, s, DESCRIPTIVE).collect()}
     assert got == {"karl": (2, True), "old berg": (1, False)}
     t = spark.createDataFrame([("A", "R", "B")], "subject string, relation string, object string")
     lab = lambda *x: spark.createDataFrame(x, "id string, label string")
