@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loregraph.llm.common import batches, dropped, recorded, row_key, saved, segments_of, setting, summed
+from loregraph.llm.common import batches, dropped, free_names, recorded, row_key, saved, segments_of, setting, summed
 from loregraph.llm.linking import components, link, prefix_lists
 from loregraph.llm.wordhash import chunks, mix, numbers, shingle_sets, words
 
@@ -194,7 +194,7 @@ def _groups(docs: DataFrame, distinct: DataFrame, k: int, over: int, under: int)
 
     listed = held.where(F.col("n") * under > small * over)
     lists = prefix_lists(listed.select("id", F.explode("tokens").alias("element")), listed.select("id", F.col("n").alias("size")), over, under)
-    roots = link(saved(lists), verify, over, under)
+    roots = link(saved(lists), verify, over, under, central=True)
     if not small:
         return roots
     subsets = saved(_subsets(held, over, under, small).distinct())
@@ -223,8 +223,9 @@ def one_of_each_group(docs: DataFrame, k: int = 5, over: int = 4, under: int = 5
     """The rows of docs whose doc_id is their group's component_id, in all their columns. Repeated rows stay repeated only
     if they cannot be told apart by doc_id; rows with a null doc_id stay if their group has no other id. Each row goes or
     stays for its own text's group, whatever other rows have its doc_id."""
+    own, other = free_names(docs.columns, "_key", "_gone")
     with recorded() as tables:
-        groups = saved(jaccard_groups(docs, k, over, under))
+        groups = saved(jaccard_groups(docs.select("doc_id", "text"), k, over, under))
     dropped(*[t for t in tables if t is not groups])
-    gone = groups.where("doc_id is not null and doc_id <> component_id or doc_id is null and component_id is not null").select(F.col("key").alias("_gone")).distinct()
-    return docs.withColumn("_key", row_key()).join(gone, F.col("_key") == F.col("_gone"), "left_anti").drop("_key")
+    gone = groups.where("doc_id is not null and doc_id <> component_id or doc_id is null and component_id is not null").select(F.col("key").alias(other)).distinct()
+    return docs.withColumn(own, row_key()).join(gone, F.col(own) == F.col(other), "left_anti").drop(own)

@@ -1,6 +1,6 @@
 """Components of similar sets, from lists of sets that share a token, without writing all pairs of a list.
 
-Each list has a pivot, its smallest id. A set is compared with the smallest pivot of its lists first, then, in a few rounds,
+Each list has a pivot, a set that may well be like the others. A set is compared with the smallest pivot of its lists first, then, in a few rounds,
 with those of its other pivots that are not yet in its component, so a large group of near copies costs a comparison or two for each of its
 members. The sets of a list that are still not in the component of its pivot ("strays") are compared with the list's other
 sets that they are apart from, as far as sizes and places allow a link: a join by token and class of size. So each pair of a
@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 from loregraph.llm.common import dropped, recorded, saved
 
 #: From this many sets on a list with strays is crowded. Sizes within this factor are one class.
-CROWDED, CLASS = 16, 1.05
+CROWDED, CLASS = 32, 1.05
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -97,16 +97,20 @@ def _stray_pairs(rest: DataFrame, over: int, under: int) -> DataFrame:
 Verify = Callable[[DataFrame], DataFrame]
 
 
-def link(postings: DataFrame, verify: Verify, over: int = 4, under: int = 5, prepare: Callable[[DataFrame], None] | None = None, crowded: list[Callable[[DataFrame], DataFrame]] | None = None, known: DataFrame | None = None) -> DataFrame:
+def link(postings: DataFrame, verify: Verify, over: int = 4, under: int = 5, prepare: Callable[[DataFrame], None] | None = None, crowded: list[Callable[[DataFrame], DataFrame]] | None = None, known: DataFrame | None = None, central: bool = False) -> DataFrame:
     """The components of the sets, (id, root) for those that have a partner, saved.
 
     postings(token, id, size, rem): the lists; rows may repeat. verify gets pairs(a, b) without repeats and returns those of
     them that link, by exact similarity of at least over/under. prepare(ids) is called before that with all sets that have
     company. crowded[0](ids) gives other, finer lists (`prefix_lists`) in which sets of crowded lists meet their partners,
     crowded[1] those for what is crowded there, and so on; in the last ones all strays are compared.
-    known(id, root): components from before.
+    known(id, root): components from before. central: the pivot of a list is the set that has the fewest elements before it, as
+    it can link with the most others; else the smallest id, which takes no sort.
     """
-    heads = postings.groupBy("token").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot <> last").select("token", "pivot")
+    ends = [F.min("id").alias("pivot"), F.min("id").alias("first"), F.max("id").alias("last")]
+    if central:
+        ends[0] = F.min(F.struct((F.col("size") - F.col("rem")).alias("before"), "id"))["id"].alias("pivot")
+    heads = postings.groupBy("token").agg(*ends).where("first <> last").select("token", "pivot")
     shared = saved(postings.join(heads, "token").distinct())
     if prepare:
         prepare(saved(shared.select("id").distinct(), few=True))
@@ -148,6 +152,6 @@ def link(postings: DataFrame, verify: Verify, over: int = 4, under: int = 5, pre
     if crowded:
         ids = saved(rest.where(F.col("n") >= CROWDED).select("id", "size").distinct(), few=True)
         if not ids.isEmpty():
-            roots = link(crowded[0](ids), verify, over, under, crowded=crowded[1:], known=roots)
+            roots = link(crowded[0](ids), verify, over, under, crowded=crowded[1:], known=roots, central=True)
     dropped(shared, rest, star)
     return roots
