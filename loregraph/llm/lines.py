@@ -20,14 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loregraph.llm.common import dropped, recorded, saved
+from loregraph.llm.common import dropped, free_names, recorded, saved
 from loregraph.llm.linking import link, prefix_lists
 
 WINDOW, LONG_WINDOW = 5, 10
 #: What chosen windows begin with.
 BEGIN = " "
 #: Bands: (least and most windows of a set + 1, hashes of the sketch, neighbours, anchor: runs begin at hashes that it divides).
-CHOSEN_BANDS = ((24, 60, 60, 2, 4), (48, None, 60, 2, 7))
+CHOSEN_BANDS = ((24, 60, 60, 3, 3), (48, None, 60, 3, 5))
 ALL_BANDS = ((0, 30, 30, 3, 1), (24, 60, 60, 4, 3), (48, None, 60, 4, 6))
 #: Sets with fewer chosen windows than this have bands of all windows.
 FEW = 30
@@ -75,17 +75,6 @@ def doc_lines(docs: DataFrame) -> DataFrame:
     return rows.withColumn("id", F.xxhash64("line")).withColumn("id2", F.xxhash64(F.lit(2), "line"))
 
 
-def free_names(names: list[str], *wanted: str) -> list[str]:
-    """The wanted names, longer where a column has them already."""
-    have, out = {n.lower() for n in names}, []
-    for w in wanted:
-        while w.lower() in have:
-            w += "_"
-        out.append(w)
-        have.add(w.lower())
-    return out
-
-
 def only_cells(rows: DataFrame, column: str, wanted: DataFrame, hit: str, bits: int = FILTER_BITS) -> DataFrame:
     """rows with the column `hit`, false where the column's value is surely not in wanted(v): by a table of fixed size that
     is broadcast."""
