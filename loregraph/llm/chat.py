@@ -23,7 +23,7 @@ BLOCK, SEGMENT = 64, 64
 def numbered_turns(turns: DataFrame) -> DataFrame:
     """(conv, conv_id, role, text, place, h1, h2): each turn's place from 1 and the hashes of the prefix that it ends."""
     rows = turns.select(F.col("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).distinct()
-    rows = rows.withColumn("conv", F.coalesce(F.col("conv_id").cast("string"), F.lit("null conversation"))).withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 60))))
+    rows = rows.withColumn("conv", F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("null"))).withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 60))))
     inside = Window.partitionBy("conv", "block").orderBy("turn", "role", "text")
     placed = saved(rows.withColumn("at", F.row_number().over(inside)))
     earlier = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

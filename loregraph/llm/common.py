@@ -83,6 +83,17 @@ def dropped(*tables: DataFrame | None) -> None:
             t.saved_at = None
 
 
+def free_names(names: list[str], *wanted: str) -> list[str]:
+    """The wanted names, longer where a column has them already."""
+    have, out = {n.lower() for n in names}, []
+    for w in wanted:
+        while w.lower() in have:
+            w += "_"
+        out.append(w)
+        have.add(w.lower())
+    return out
+
+
 def batches(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) if not isinstance(c, pa.Array) else c for c, t in zip(columns, schema)], schema=schema)
 

@@ -11,23 +11,28 @@ are carried along. Columns other than (doc_id, text) and (item_id, text) are not
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loregraph.llm.common import batches, row_key, saved
+from loregraph.llm.common import batches, free_names, row_key, saved, segments_of, summed
 from loregraph.llm.wordhash import chunks, grams, words
 
 #: A benchmark of up to so many words (16 MB of hashes) is sent to every executor; a larger one is joined by a shuffle.
 SENT_WORDS = 2_000_000
 MIN_TILE, COVERAGE = 5, 0.5
+#: Cells of the filter of seeds that a large benchmark is joined through.
+FILTER = 1 << 21
 
 
-def tiles(left: np.ndarray, right: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """Greedy string tiling of two sequences of word hashes: (place in left, place in right, words), longest first."""
-    if len(left) < k or len(right) < k:
-        return []
+def _runs(left: np.ndarray, right: np.ndarray, k: int, most: int) -> list[tuple[int, int, int]]:
+    """The common runs of k words or more that cannot be made longer: (-words, place in left, place in right).
+
+    From equal seeds, unless a repetitive text has more than `most` pairs of them: then word by word from the end, with the
+    lengths of the runs that begin at one word in memory."""
     a, at = grams(left, np.zeros(len(left), np.int8), k)
     b, bt = grams(right, np.zeros(len(right), np.int8), k)
     order = np.argsort(b, kind="stable")
@@ -35,6 +40,16 @@ def tiles(left: np.ndarray, right: np.ndarray, k: int) -> list[tuple[int, int, i
     n = hi - lo
     if not n.any():
         return []
+    if n.sum() > most:
+        out, later = [], np.zeros(len(right) + 1, np.int64)
+        for i in range(len(left) - 1, -1, -1):
+            now = np.append(np.where(right == left[i], later[1:] + 1, 0), 0)
+            begins = now[:-1] >= k
+            if i:
+                begins[1:] &= right[:-1] != left[i - 1]
+            out += [(-int(now[j]), i, int(j)) for j in np.flatnonzero(begins)]
+            later = now
+        return out
     x = np.repeat(at, n)
     y = bt[order][np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
     # Seeds that follow one another on a diagonal are one run.
@@ -42,18 +57,33 @@ def tiles(left: np.ndarray, right: np.ndarray, k: int) -> list[tuple[int, int, i
     x, y = x[by], y[by]
     cut = np.flatnonzero(np.concatenate([[True], (np.diff(x - y) != 0) | (np.diff(x) != 1)]))
     length = np.diff(np.append(cut, len(x))) + k - 1
-    runs = [(int(m), int(p), int(q)) for m, p, q in zip(length, x[cut], y[cut])]
+    return [(-int(m), int(p), int(q)) for m, p, q in zip(length, x[cut], y[cut])]
+
+
+def _spans(free: np.ndarray, k: int) -> list[tuple[int, int]]:
+    """Begins and ends of the runs of k or more that are free."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]]).astype(np.int8)))
+    return [(int(s), int(e)) for s, e in zip(edges[::2], edges[1::2]) if e - s >= k]
+
+
+def tiles(left: np.ndarray, right: np.ndarray, k: int, most: int = 1 << 20) -> list[tuple[int, int, int]]:
+    """Greedy string tiling of two sequences of word hashes: (place in left, place in right, words), longest first."""
+    if len(left) < k or len(right) < k:
+        return []
+    runs = _runs(left, right, k, most)
+    heapq.heapify(runs)
     free_l, free_r, out = np.ones(len(left), bool), np.ones(len(right), bool), []
     while runs:
-        runs.sort(key=lambda r: (-r[0], r[1], r[2]))
-        m, p, q = runs.pop(0)
-        free = free_l[p : p + m] & free_r[q : q + m]
+        m, p, q = heapq.heappop(runs)
+        free = free_l[p : p - m] & free_r[q : q - m]
         if free.all():
-            free_l[p : p + m] = free_r[q : q + m] = False
-            out.append((p, q, m))
+            free_l[p : p - m] = free_r[q : q - m] = False
+            out.append((p, q, -m))
+            if not _spans(free_r, k) or not _spans(free_l, k):
+                break
             continue
-        edges = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]]).astype(np.int8)))
-        runs += [(int(e - s), p + int(s), q + int(s)) for s, e in zip(edges[::2], edges[1::2]) if e - s >= k]
+        for s, e in _spans(free, k):
+            heapq.heappush(runs, (s - e, p + s, q + s))
     return out
 
 
@@ -116,6 +146,7 @@ def item_words(bench: DataFrame) -> DataFrame:
 
 def _sent(docs: DataFrame, items: DataFrame, k: int):
     """The benchmark on all executors, or None if it is too large for that."""
+    items = items.where(F.length("words") >= 8 * k)  # shorter ones match nothing
     n = items.agg(F.sum(F.length("words") / 8)).first()[0] or 0
     return docs.sparkSession.sparkContext.broadcast(Items([(r.item_id, bytes(r.words)) for r in items.collect()], k)) if n <= SENT_WORDS else None
 
@@ -147,11 +178,13 @@ def _joined(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
     schema, pair = pa.schema([("seed", pa.int64()), ("key", pa.int64())]), _PAIR.append(pa.field("key", pa.int64()))
 
     def seeds(tables):
+        wanted = np.unpackbits(marked.value).astype(bool)
         for batch in tables:
             for at, data, bounds in chunks(batch.column("text")):
                 hashes, text, _, _ = words(data, bounds)
                 found, place = grams(hashes, text, k)
-                yield batches(schema, [found.view(np.int64), batch.column("key").take(pa.array(at + text[place]))])
+                hit = wanted[(found & np.uint64(FILTER - 1)).astype(np.int64)]
+                yield batches(schema, [found[hit].view(np.int64), batch.column("key").take(pa.array(at + text[place[hit]]))])
 
     def item_seeds(tables):
         for batch in tables:
@@ -160,6 +193,12 @@ def _joined(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
                 found, _ = grams(w, np.zeros(len(w), np.int8), k)
                 yield batches(schema, [found.view(np.int64), [key.as_py()] * len(found)])
 
+    def mark(tables):
+        cells = np.zeros(FILTER, np.int64)
+        for batch in tables:
+            cells[(batch.column("seed").to_numpy().view(np.uint64) & np.uint64(FILTER - 1)).astype(np.int64)] = 1
+        yield from (pa.RecordBatch.from_arrays([pa.array([x], pa.int64()), pa.array([c], pa.binary())], names=["segment", "cells"]) for x, c in segments_of(cells))
+
     def tile(tables):
         for batch in tables:
             rows = []
@@ -174,8 +213,10 @@ def _joined(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
 
     keyed = docs.withColumn("key", row_key())
     numbered = items.withColumn("key", F.xxhash64("item_id", "words"))
+    of_items = saved(numbered.select("key", "words").mapInArrow(item_seeds, "seed long, key long").withColumnRenamed("key", "item").distinct())
+    # a filter of fixed width keeps most runs that no item has from being moved
+    marked = docs.sparkSession.sparkContext.broadcast(np.packbits(summed(of_items.mapInArrow(mark, "segment long, cells binary"), FILTER) > 0))
     of_docs = keyed.select("key", "text").mapInArrow(seeds, "seed long, key long").distinct()
-    of_items = numbered.select("key", "words").mapInArrow(item_seeds, "seed long, key long").withColumnRenamed("key", "item").distinct()
     pairs = saved(of_docs.join(of_items, "seed").select("key", "item").distinct())
     met = keyed.join(pairs, "key").join(numbered.withColumnRenamed("key", "item"), "item")
     return met.select("doc_id", "item_id", "text", "words", "key").mapInArrow(tile, f"{_PAIR_SQL}, key long")
@@ -187,9 +228,10 @@ def decontaminated(docs: DataFrame, bench: DataFrame, min_tile: int = MIN_TILE,
     items = saved(item_words(bench))
     sent = _sent(docs, items, k)
     if sent is None:
+        own, other = free_names(docs.columns, "_key", "_bad")
         slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        bad = _joined(slim, items, k).where(F.col("covered") >= coverage * F.col("item_words")).select(F.col("key").alias("_bad")).distinct()
-        return docs.withColumn("_key", row_key()).join(bad, F.col("_key") == F.col("_bad"), "left_anti").drop("_key")
+        bad = _joined(slim, items, k).where(F.col("covered") >= coverage * F.col("item_words")).select(F.col("key").alias(other)).distinct()
+        return docs.withColumn(own, row_key()).join(bad, F.col(own) == F.col(other), "left_anti").drop(own)
 
     def keep(tables):
         for batch in tables:

@@ -23,6 +23,8 @@ from loregraph.llm.wordhash import chunks
 WIDTH, LONGEST = 1 << 14, 3
 PER_LANGUAGE, SAMPLE, LANDMARKS, RIDGE = 256, 2048, 64, 1e-2
 UNKNOWN = "und"
+#: Texts that stand in memory as rows of cells at once (16 KB each, then four times that).
+ROWS = 1000
 _table: list[np.ndarray] = []
 
 
@@ -122,14 +124,15 @@ def train(docs: DataFrame, rows: DataFrame | None = None) -> Model | None:
 
     def run(tables):
         for batch in tables:
-            for at, data, bounds in chunks(batch.column("text")):
+            for at, data, bounds in chunks(batch.column("text"), rows=ROWS):
                 x, has = presence(data, bounds)
                 n = len(bounds) - 1
                 out = batches(schema, [batch.column("place").slice(at, n), batch.column("lang").slice(at, n), [r.tobytes() for r in np.packbits(x, axis=1)]])
                 yield out.filter(pa.array(has))
 
     texts = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    met = texts.join(F.broadcast(picked), ["doc_id", "lang"]).select("place", "lang", "text")
+    # one text of each key: of rows that share it the first in the order of texts
+    met = texts.join(F.broadcast(picked), ["doc_id", "lang"]).groupBy("place", "lang").agg(F.min("text").alias("text"))
     got = sorted(((r.place, r.lang, bytes(r.cells)) for r in met.mapInArrow(run, "place int, lang string, cells binary").collect()))
     return fit([g[1] for g in got], np.array([np.unpackbits(np.frombuffer(g[2], np.uint8)) for g in got]) if got else np.zeros((0, WIDTH), np.uint8))
 
@@ -146,7 +149,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         m = sent.value
         for batch in tables:
             langs, scores = [], []
-            for _, data, bounds in chunks(batch.column("_text")):
+            for _, data, bounds in chunks(batch.column("_text"), rows=ROWS):
                 x, has = presence(data, bounds)
                 if m is None:
                     has[:] = False

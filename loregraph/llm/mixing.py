@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loregraph.llm.common import saved, uniform
+from loregraph.llm.common import free_names, saved, uniform
 
 #: Documents of a chunk, on average; weights of the sources in order, repeating; most copies of a document.
 FAN_IN, WEIGHTS, MOST = 48, (1, 2, 3), 3
@@ -123,13 +123,16 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 4) -> DataFrame:
-    """The rows of docs that the mix takes, in all their columns, and mix_copies, how many times each."""
-    units = saved(mix_units(docs, weights, most, seed).where("copies > 0").select(F.col("source").alias("_s"), F.col("doc_id").alias("_d"), F.col("size").alias("_n"), "times", "copies"))
-    keys = (docs["doc_id"].cast("long").eqNullSafe(F.col("_d"))) & (docs["source"].cast("string").eqNullSafe(F.col("_s"))) & (word_count(docs["text"].cast("string")) == F.col("_n"))
-    out = [docs[c] for c in docs.columns]
-    once = docs.join(units.where("times = 1"), keys).select(*out, F.col("copies").alias("mix_copies"))
-    if units.where("times > 1").isEmpty():
+    """The rows of docs that the mix takes, in all their columns, and in a last one, mix_copies, how many times each."""
+    own = docs.columns
+    s, d, n, times, copies, place, out = free_names(own, "_source", "_doc", "_size", "_times", "_copies", "_place", "mix_copies")
+    units = mix_units(docs.select("doc_id", "source", "text"), weights, most, seed).where("copies > 0").select("source", "doc_id", "size", "times", "copies")
+    units = saved(units.toDF(s, d, n, times, copies))
+    keys = F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & F.col("source").cast("string").eqNullSafe(F.col(s)) & (word_count(F.col("text").cast("string")) == F.col(n))
+    once = docs.join(units.where(F.col(times) == 1), keys).select(*own, F.col(copies).alias(out))
+    if units.where(F.col(times) > 1).isEmpty():
         return once
-    place = F.row_number().over(Window.partitionBy("_s", "_d", "_n").orderBy("_d")) - 1
-    often = docs.join(units.where("times > 1"), keys).withColumn("_place", place).select(*[F.col(c) for c in docs.columns], _own_copies(F.col("_place")).alias("mix_copies")).where("mix_copies > 0")
-    return once.union(often)
+    by = F.row_number().over(Window.partitionBy(s, d, n).orderBy(d)) - 1
+    often = docs.join(units.where(F.col(times) > 1), keys).withColumn(place, by)
+    share = F.floor(F.col(copies) / F.col(times)) + F.when(F.col(place) < F.col(copies) % F.col(times), 1).otherwise(0)
+    return once.union(often.select(*own, share.alias(out)).where(F.col(out) > 0))

@@ -105,8 +105,8 @@ def shingle_sets(hashes: np.ndarray, text: np.ndarray, texts: int, k: int) -> tu
     return found, np.searchsorted(owner, np.arange(texts + 1))
 
 
-def chunks(column: pa.Array, size: int = CHUNK):
-    """An Arrow string column as (first row, bytes, bounds), some texts at a time; null is as empty."""
+def chunks(column: pa.Array, size: int = CHUNK, rows: int = 1 << 30):
+    """An Arrow string column as (first row, bytes, bounds), some texts at a time, `rows` at most; null is as empty."""
     column = column.fill_null("")
     if not pa.types.is_large_string(column.type):
         column = column.cast(pa.large_string())
@@ -115,6 +115,6 @@ def chunks(column: pa.Array, size: int = CHUNK):
     data = np.frombuffer(held, np.uint8) if held is not None and held.size else np.zeros(0, np.uint8)
     a = 0
     while a < len(column):
-        b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + size, "right")) - 1)
+        b = min(max(a + 1, int(np.searchsorted(bounds, bounds[a] + size, "right")) - 1), a + rows)
         yield a, data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
         a = b
