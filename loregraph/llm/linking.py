@@ -91,13 +91,18 @@ def _stray_pairs(rest: DataFrame, over: int, under: int) -> DataFrame:
     others = rest.withColumn("kind", kind(F.col("size")))
     met = strays.join(others, ["token", "kind"]).where((F.col("root") != F.col("_root")) & (~F.col("stray") | (F.col("_id") < F.col("id"))))
     met = met.where(may_link(F.col("size"), F.col("_size"), F.col("rem"), F.col("_rem"), over, under))
-    return met.select(F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b")).distinct()
+    return met.select(F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b"))
+
+
+def _met(pairs: DataFrame, meetings: int) -> DataFrame:
+    """The distinct pairs(a, b) that come so many times."""
+    return pairs.distinct() if meetings < 2 else pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= meetings).select("a", "b")
 
 
 Verify = Callable[[DataFrame], DataFrame]
 
 
-def link(postings: DataFrame, verify: Verify, over: int = 4, under: int = 5, prepare: Callable[[DataFrame], None] | None = None, crowded: list[Callable[[DataFrame], DataFrame]] | None = None, known: DataFrame | None = None, central: bool = False) -> DataFrame:
+def link(postings: DataFrame, verify: Verify, over: int = 4, under: int = 5, prepare: Callable[[DataFrame], None] | None = None, crowded: list[Callable[[DataFrame], DataFrame]] | None = None, known: DataFrame | None = None, central: bool = False, meetings: int = 1) -> DataFrame:
     """The components of the sets, (id, root) for those that have a partner, saved.
 
     postings(token, id, size, rem): the lists; rows may repeat. verify gets pairs(a, b) without repeats and returns those of
@@ -105,7 +110,7 @@ def link(postings: DataFrame, verify: Verify, over: int = 4, under: int = 5, pre
     company. crowded[0](ids) gives other, finer lists (`prefix_lists`) in which sets of crowded lists meet their partners,
     crowded[1] those for what is crowded there, and so on; in the last ones all strays are compared.
     known(id, root): components from before. central: the pivot of a list is the set that has the fewest elements before it, as
-    it can link with the most others; else the smallest id, which takes no sort.
+    it can link with the most others; else the smallest id, which takes no sort. meetings: only pairs that meet on so many lists are compared.
     """
     ends = [F.min("id").alias("pivot"), F.min("id").alias("first"), F.max("id").alias("last")]
     if central:
@@ -116,7 +121,7 @@ def link(postings: DataFrame, verify: Verify, over: int = 4, under: int = 5, pre
         prepare(saved(shared.select("id").distinct(), few=True))
     own = shared.where("id = pivot").select("token", F.col("size").alias("_size"), F.col("rem").alias("_rem"))
     star = shared.where("id <> pivot").join(own, "token").where(may_link(F.col("size"), F.col("_size"), F.col("rem"), F.col("_rem"), over, under))
-    star = saved(_apart(star.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), known), few=True)
+    star = saved(_apart(_met(star.select(F.col("pivot").alias("a"), F.col("id").alias("b")), meetings), known), few=True)
 
     def joined(roots: DataFrame | None, pairs: DataFrame) -> DataFrame | None:
         """The components after the links among the pairs(a, b), which are apart."""
@@ -146,12 +151,12 @@ def link(postings: DataFrame, verify: Verify, over: int = 4, under: int = 5, pre
     more = placed.where("id <> pivot").groupBy("token").agg(F.max("stray").alias("any"), F.count("*").alias("n")).where("any and n > 1").select("token", "n")
     rest = saved(placed.where("id <> pivot").join(more, "token").drop("pivot"))
     small = rest.where(F.col("n") < CROWDED) if crowded else rest
-    pairs = saved(_apart(_stray_pairs(small, over, under), roots), few=True)
+    pairs = saved(_apart(_met(_stray_pairs(small, over, under), meetings), roots), few=True)
     if not pairs.isEmpty():
         roots = joined(roots, pairs)
     if crowded:
         ids = saved(rest.where(F.col("n") >= CROWDED).select("id", "size").distinct(), few=True)
         if not ids.isEmpty():
-            roots = link(crowded[0](ids), verify, over, under, crowded=crowded[1:], known=roots, central=True)
+            roots = link(crowded[0](ids), verify, over, under, crowded=crowded[1:], known=roots, central=True, meetings=meetings)
     dropped(shared, rest, star)
     return roots
