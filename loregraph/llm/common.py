@@ -53,7 +53,7 @@ def recorded():
     try:
         yield mine
     finally:
-        _open.remove(mine)
+        _open.pop()
         if _open:
             _open[-1].extend(mine)
 
