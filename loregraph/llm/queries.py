@@ -93,6 +93,16 @@ def op9_dated_url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluated(pages.select(F.col("page_id").alias("id"), "url", day.alias("day")), dated_list(pages)).withColumnRenamed("id", "page_id").withColumn("day", F.col("day").cast("string"))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded bytes of every whole text of `documents`, as digests."""
+    import public_tokenizers
+
+    from loregraph.llm.tokens import decoded, digests, encoded
+
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    return digests(decoded(encoded(table(spark, sf_dir, "documents"), path, pattern), path, pattern))
+
+
 _OPERATORS = (
     op1_importance_resampling,
     op2_image_copies,
@@ -104,6 +114,7 @@ _OPERATORS = (
     op8_stupid_backoff,
     op9_dated_url_list,
     op10_ngram_jaccard,
+    op13_byte_bpe,
 )
 QUERIES = {f.__name__: f for f in _OPERATORS}
 SQL: dict[str, str] = {}
