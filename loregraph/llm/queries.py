@@ -93,6 +93,15 @@ def op9_dated_url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluated(pages.select(F.col("page_id").alias("id"), "url", day.alias("day")), dated_list(pages)).withColumnRenamed("id", "page_id").withColumn("day", F.col("day").cast("string"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document; its root recomputed with the line ends gone from every second text."""
+    from loregraph.llm.merkle import folds, leaves
+
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    altered = {"text": F.when(even, F.translate("text", "\n", "")).otherwise(F.col("text"))}
+    return folds(leaves(table(spark, sf_dir, "documents"), altered)).withColumnRenamed("id", "doc_id").drop("grp")
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded bytes of every whole text of `documents`, as digests."""
     import public_tokenizers
@@ -114,6 +123,7 @@ _OPERATORS = (
     op8_stupid_backoff,
     op9_dated_url_list,
     op10_ngram_jaccard,
+    op11_merkle_manifest,
     op13_byte_bpe,
 )
 QUERIES = {f.__name__: f for f in _OPERATORS}
@@ -179,3 +189,36 @@ m AS (SELECT *, CASE WHEN v IS NULL THEN low WHEN b >= 2 THEN ln(b) - ln(g) ELSE
 s AS (SELECT doc_id, sum(CASE WHEN u IS NULL THEN mid WHEN t >= 2 THEN ln(t) - ln(h) ELSE ln(0.4) + mid END) AS s, count(*) AS k FROM m GROUP BY 1)
 SELECT d.doc_id, coalesce(s.k, 0)::BIGINT AS n_words, round(s.s, 4) AS log_score, round(s.s / s.k, 6) AS mean_score FROM d LEFT JOIN s USING (doc_id)
 """
+
+#: Unsigned crc32 of a decimal number: its table, and the sum over the digits of a string.
+_CRC_TABLE = "crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, k: xor(c >> 1, (c & 1) * 3988292384))) AS t)"
+
+
+def _crc(digits: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({digits}, ''), lambda x: ord(x)::BIGINT)), lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"
+
+
+def _leaf(text: str) -> str:
+    one = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c} END"
+    return f"sha256({' || '.join(one(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+_SIBLINGS = "coalesce(string_agg(h, '') OVER (PARTITION BY {0}k, pos // 3 ORDER BY pos ROWS BETWEEN {1}), '')"
+
+SQL["op11_merkle_manifest"] = f"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS (SELECT doc_id, source, {_leaf('text')} AS leaf, {_leaf("CASE WHEN even THEN replace(text, chr(10), '') ELSE text END")} AS changed
+  FROM (SELECT *, coalesce({_crc('doc_id::VARCHAR')} % 2 = 0, false) AS even FROM documents, crc) x),
+n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS m FROM d),
+l AS (SELECT source, 0 AS k, pos, leaf AS h, m FROM n UNION ALL SELECT source, k + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (any_value(m) + 2) // 3 FROM l WHERE m > 1 GROUP BY source, k, pos // 3),
+s AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS m FROM l WHERE m = 1),
+r AS (SELECT 0 AS k, pos, subroot AS h, m FROM s UNION ALL SELECT k + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (any_value(m) + 2) // 3 FROM r WHERE m > 1 GROUP BY k, pos // 3),
+a AS (SELECT source, k, pos, {_SIBLINGS.format("source, ", "UNBOUNDED PRECEDING AND 1 PRECEDING")} AS before, {_SIBLINGS.format("source, ", "1 FOLLOWING AND UNBOUNDED FOLLOWING")} AS after FROM l WHERE m > 1),
+b AS (SELECT k, pos, {_SIBLINGS.format("", "UNBOUNDED PRECEDING AND 1 PRECEDING")} AS before, {_SIBLINGS.format("", "1 FOLLOWING AND UNBOUNDED FOLLOWING")} AS after FROM r WHERE m > 1),
+f AS (SELECT doc_id, source, leaf, pos AS own, 0 AS k, pos, m, changed AS now, '' AS proof FROM n
+  UNION ALL SELECT f.doc_id, f.source, f.leaf, f.own, f.k + 1, f.pos // 3, (f.m + 2) // 3, sha256(a.before || f.now || a.after), f.proof || a.before || a.after
+  FROM f JOIN a ON a.source IS NOT DISTINCT FROM f.source AND a.k = f.k AND a.pos = f.pos WHERE f.m > 1),
+g AS (SELECT f.doc_id, f.leaf, s.subroot, 0 AS k, s.pos, s.m, f.now, f.proof FROM f JOIN s ON s.source IS NOT DISTINCT FROM f.source WHERE f.m = 1
+  UNION ALL SELECT g.doc_id, g.leaf, g.subroot, g.k + 1, g.pos // 3, (g.m + 2) // 3, sha256(b.before || g.now || b.after), g.proof || b.before || b.after FROM g JOIN b ON b.k = g.k AND b.pos = g.pos WHERE g.m > 1)
+SELECT g.doc_id, g.leaf, g.subroot, r.h AS root, sha256(g.proof) AS proof_sha256, g.now AS folded_root, g.now = r.h AS verified FROM g JOIN r ON r.m = 1 WHERE g.m = 1
+"""
