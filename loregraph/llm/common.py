@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: An array is summed in segments of so many cells, so that no task holds more than one segment of it at a time.
 SEGMENT = 1 << 14
@@ -126,6 +127,20 @@ def summed(rows: DataFrame, width: int) -> np.ndarray:
     return out[:width]
 
 
+def numbered(rows: DataFrame, group: list[str], order: list[str], keep: list | None = None) -> DataFrame:
+    """rows, or what keep makes of them, with pos, their place from 0 in their group by the order, and total, the number of
+    rows of the group. Groups are cut where the ranges of a sort are, so that they may be of any size. No column of group may be
+    null."""
+    put = rows.orderBy(*group, *order).select(*(group + keep if keep else rows.columns))
+    own = put.columns
+    at = saved(put.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    sizes = at.groupBy(*group, "_part").agg(F.count("*").alias("n"), F.min("_at").alias("first"))
+    by = Window.partitionBy(*group)
+    earlier = by.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    skips = sizes.select(*group, "_part", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("skip"), F.sum("n").over(by).alias("total"))
+    return at.join(skips, [*group, "_part"]).select(*own, (F.col("_at") - F.col("first") + F.col("skip")).alias("pos"), "total")
+
+
 def row_key():
     """A hash of a row's own doc_id and text: rows that share an id, or have none, are told apart by their texts."""
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))

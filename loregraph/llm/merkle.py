@@ -23,9 +23,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from loregraph.llm.common import saved, setting
+from loregraph.llm.common import numbered, saved, setting
 
 FAN, HEIGHT = 3, 6
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -47,17 +46,6 @@ def leaves(docs: DataFrame, altered: dict[str, Column] | None = None, fields: tu
     return docs.select(group.alias("grp"), F.col("doc_id").cast("long").alias("id"), digest([F.col(f) for f in fields]).alias("leaf"), digest([altered.get(f, F.col(f)) for f in fields]).alias("changed"))
 
 
-def numbered(rows: DataFrame, *order: str) -> DataFrame:
-    """rows with pos, their place from 0 in their grp by the order, and total, the number of rows of the grp."""
-    own = rows.columns
-    at = saved(rows.orderBy("grp", *order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
-    sizes = at.groupBy("grp", "_part").agg(F.count("*").alias("n"), F.min("_at").alias("first"))
-    by = Window.partitionBy("grp")
-    earlier = by.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    skips = sizes.select("grp", "_part", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("skip"), F.sum("n").over(by).alias("total"))
-    return at.join(skips, ["grp", "_part"]).select(*own, (F.col("_at") - F.col("first") + F.col("skip")).alias("pos"), "total")
-
-
 class Block:
     """Consecutive nodes of one level, the levels above them and the states before each child: `height` levels above, or, if
     the tree has no more than a block of such nodes (total), as many as lead to one node."""
@@ -170,8 +158,8 @@ def ways(tree: Tree, tops: DataFrame) -> DataFrame:
 
 def manifest(rows: DataFrame, fan: int = FAN, height: int = HEIGHT) -> tuple[Tree, Tree, DataFrame]:
     """The trees of rows(grp, id, leaf, changed), the tree of their roots (of grp ""), and tops(grp, subroot, root, up)."""
-    trees = grown(numbered(rows.select("grp", "id", F.col("leaf").alias("hash"), "changed"), "id", "hash"), fan, height)
-    order = numbered(trees.roots.select(F.lit("").alias("grp"), F.col("grp").alias("name"), "hash"), "name")
+    trees = grown(numbered(rows.select("grp", "id", F.col("leaf").alias("hash"), "changed"), ["grp"], ["id", "hash"]), fan, height)
+    order = numbered(trees.roots.select(F.lit("").alias("grp"), F.col("grp").alias("name"), "hash"), ["grp"], ["name"])
     whole = grown(order, fan, height)
     way = ways(whole, whole.roots.select("grp", F.col("hash").alias("subroot"), F.col("hash").alias("root"), F.array().cast(_PATH).alias("up")))
 

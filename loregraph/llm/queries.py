@@ -102,6 +102,16 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds(leaves(table(spark, sf_dir, "documents"), altered)).withColumnRenamed("id", "doc_id").drop("grp")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of `conversations`, each rebuilt to begin with some turns of the one of which its number is a neighbour."""
+    from loregraph.llm.trie import placed_turns, prefix_trie, rebuilt
+
+    conv = F.col("conv")
+    head = (F.crc32(conv.cast("string").cast("binary")) % 9).cast("int")
+    turns, convs = rebuilt(placed_turns(table(spark, sf_dir, "conversations")), head, conv - conv % 5, 8)
+    return prefix_trie(turns, convs)
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded bytes of every whole text of `documents`, as digests."""
     import public_tokenizers
@@ -124,6 +134,7 @@ _OPERATORS = (
     op9_dated_url_list,
     op10_ngram_jaccard,
     op11_merkle_manifest,
+    op12_prefix_trie,
     op13_byte_bpe,
 )
 QUERIES = {f.__name__: f for f in _OPERATORS}
@@ -222,3 +233,22 @@ g AS (SELECT f.doc_id, f.leaf, s.subroot, 0 AS k, s.pos, s.m, f.now, f.proof FRO
   UNION ALL SELECT g.doc_id, g.leaf, g.subroot, g.k + 1, g.pos // 3, (g.m + 2) // 3, sha256(b.before || g.now || b.after), g.proof || b.before || b.after FROM g JOIN b ON b.k = g.k AND b.pos = g.pos WHERE g.m > 1)
 SELECT g.doc_id, g.leaf, g.subroot, r.h AS root, sha256(g.proof) AS proof_sha256, g.now AS folded_root, g.now = r.h AS verified FROM g JOIN r ON r.m = 1 WHERE g.m = 1
 """
+
+SQL["op12_prefix_trie"] = f"""
+WITH {_CRC_TABLE},
+ids AS (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, r, t, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, r, t) AS i FROM (SELECT conv_id AS c, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations) x),
+k AS (SELECT c, {_crc('c::VARCHAR')} % 9 AS h, c - c % 5 AS p FROM ids, crc),
+n AS (SELECT c, count(*) AS n FROM o GROUP BY 1),
+b AS (SELECT k.c, o.i AS d, r, t FROM k JOIN o ON o.c = k.p AND o.i <= k.h
+  UNION ALL SELECT k.c, o.i - k.h + least(k.h, coalesce(n.n, 0)), r, t FROM k JOIN o ON o.c = k.c AND o.i > k.h LEFT JOIN n ON n.c = k.p),
+x AS (SELECT c, d, md5(string_agg(strlen(r) || ':' || r || strlen(t) || ':' || t, '') OVER (PARTITION BY c ORDER BY d)) AS key, strlen(t) AS n FROM b UNION ALL SELECT c, 0, '', 0 FROM ids),
+m AS (SELECT d, key, min(c) AS conv_id, count(*) AS n_convs, any_value(n) AS n FROM x GROUP BY 1, 2),
+p AS (SELECT m.*, q.key AS up FROM m LEFT JOIN x q ON q.c = m.conv_id AND q.d = m.d - 1),
+kids AS (SELECT d - 1 AS d, up AS key, count(*) AS n_children FROM p WHERE d > 0 GROUP BY 1, 2),
+w AS (SELECT p.*, coalesce(n_children, 0) AS n_children FROM p LEFT JOIN kids USING (d, key)),
+sub AS (SELECT a.d, a.key, count(*) FILTER (w.n_children = 0) AS n_leaves, sum((w.n_convs - 1) * w.n) AS saved FROM w JOIN x a ON a.c = w.conv_id AND a.d <= w.d GROUP BY 1, 2),
+e AS (SELECT d, key, string_agg(c::VARCHAR, ',' ORDER BY c) AS e FROM x JOIN (SELECT c, max(d) AS d FROM x GROUP BY 1) l USING (c, d) GROUP BY 1, 2)
+SELECT w.conv_id, w.d AS depth, u.conv_id AS parent_conv_id, w.n_convs, w.n_children, sub.n_leaves, CAST(sub.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.e, '')) AS ends_sha256
+FROM w JOIN sub USING (d, key) LEFT JOIN e USING (d, key) LEFT JOIN m u ON u.d = w.d - 1 AND u.key = w.up
+"""
