@@ -112,7 +112,7 @@ def grown(nodes: DataFrame, fan: int = FAN, height: int = HEIGHT) -> Tree:
         row = F.struct("pos", *[c for c in other if c != "pos"])
         band = nodes.groupBy("grp", F.floor(F.col("pos") / width).alias("block")).agg(F.max("total").alias("total"), F.array_sort(F.collect_list(row)).alias("nodes"))
         with setting(nodes.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", BLOCKS):
-            band = saved(band)
+            band = saved(band, few=True)
             nodes = saved(band.select("grp", "block", "total", F.col("nodes.hash").alias("hashes")).mapInArrow(run, "grp string, pos long, total long, hash string"))
         tree.bands.append(band)
         roots.append(nodes.where("total = 1").select("grp", "hash"))
@@ -158,7 +158,8 @@ def ways(tree: Tree, tops: DataFrame) -> DataFrame:
 
 def manifest(rows: DataFrame, fan: int = FAN, height: int = HEIGHT) -> tuple[Tree, Tree, DataFrame]:
     """The trees of rows(grp, id, leaf, changed), the tree of their roots (of grp ""), and tops(grp, subroot, root, up)."""
-    trees = grown(numbered(rows.select("grp", "id", F.col("leaf").alias("hash"), "changed"), ["grp"], ["id", "hash"]), fan, height)
+    rows = saved(rows.select("grp", "id", F.col("leaf").alias("hash"), "changed"))  # a sort reads its rows twice
+    trees = grown(numbered(rows, ["grp"], ["id", "hash"]), fan, height)
     order = numbered(trees.roots.select(F.lit("").alias("grp"), F.col("grp").alias("name"), "hash"), ["grp"], ["name"])
     whole = grown(order, fan, height)
     way = ways(whole, whole.roots.select("grp", F.col("hash").alias("subroot"), F.col("hash").alias("root"), F.array().cast(_PATH).alias("up")))
@@ -200,4 +201,5 @@ def folds(rows: DataFrame, fan: int = FAN, height: int = HEIGHT) -> DataFrame:
 
     schema = "id long, grp string, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
     with setting(rows.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", BLOCKS):
-        return saved(ways(trees, tops).select("grp", "total", "nodes", "subroot", "root", "up").mapInArrow(run, schema))
+        held = saved(ways(trees, tops).select("grp", "total", "nodes", "subroot", "root", "up"), few=True)
+        return saved(held.mapInArrow(run, schema))
