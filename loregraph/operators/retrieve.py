@@ -1,17 +1,18 @@
 """Retrieval: questions are linked to nodes and expanded hop by hop over the graph as it is visible at their read points.
 
-questions: corpus_id, question_id, question, read_point. A batch of questions is one job; the gate is a condition of each
-hop's join, so that no graph is copied for a question.
+questions: corpus_id, question_id, question, read_point. A batch of questions is one job, see `search`.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loregraph.functions.tables import saved
-from loregraph.operators.gate import trimmed
+from loregraph.operators.search import Search, score_evidence
 
 #: Characters of the piece of a surface by which it meets the questions.
 PIECE = 8
@@ -42,57 +43,22 @@ def link_starts(questions: DataFrame, surface_dict: DataFrame, nodes: DataFrame)
     return per.select("corpus_id", "question_id", "read_point", "start", place.alias("start_ord"))
 
 
-def adjacency(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Each edge from both of its ends, without its evidence: node, other, side (0 incoming, 1 outgoing), is_hub of the node."""
-    cols = ["src", "relation", "dst", "first_revealed_index", "ord"]
-    side = lambda node, other, n: edges.select("corpus_id", F.col(node).alias("node"), F.col(other).alias("other"), F.lit(n).alias("side"), *cols)
-    both = side("dst", "src", 0).union(side("src", "dst", 1))
-    return both.join(nodes.select("corpus_id", F.col("id").alias("node"), "is_hub"), ["corpus_id", "node"], "left").withColumn("is_hub", F.coalesce("is_hub", F.lit(False)))
-
-
-def expand(starts: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int = MAX_HOPS, allow_hub: bool = False, near: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def expand(starts: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int = MAX_HOPS, allow_hub: bool = False) -> tuple[DataFrame, DataFrame]:
     """(triples, paths) by breadth-first search from each start over the visible edges, taken as undirected.
 
     A hub is expanded only as the start, unless allow_hub. triples: every edge at an expanded node, once a question, with
     the hop of its first sight (starts in their order), its visible evidence and strength. paths: the chain of first
-    discovery from the start to each reached node. Of several edges that discover a node the one from the parent found
-    first counts, incoming before outgoing, then in the edges' run order. near: `adjacency`, if it is there already.
+    discovery from the start to each reached node.
     """
-    near = saved(adjacency(edges, nodes)) if near is None else near
-    key = ["corpus_id", "question_id", "start"]
-    step_type = "array<struct<side:int,ord:struct<pass:string,doc_id:string,tri_pos:bigint>>>"
-    front = saved(starts.select(*key, "read_point", "start_ord", F.col("start").alias("node"), F.array().cast(step_type).alias("rank"), F.array().cast("array<string>").alias("steps")))
-    reached, met_all = front, None
-    edge = ["corpus_id", "question_id", "read_point", "src", "relation", "dst"]
-    for hop in range(1, max_hops + 1):
-        met = front.join(near, ["corpus_id", "node"]).where("first_revealed_index <= read_point")
-        if hop > 1 and not allow_hub:
-            met = met.where("not is_hub")
-        at = F.struct(F.col("side").cast("int").alias("side"), F.struct(F.col("ord.pass").alias("pass"), F.col("ord.doc_id").alias("doc_id"), F.col("ord.tri_pos").cast("bigint").alias("tri_pos")).alias("ord"))
-        met = met.withColumn("rank", F.concat("rank", F.array(at)))
-        found = met.groupBy(*edge).agg(F.min(F.struct("start_ord", F.lit(hop).alias("hop"), "rank")).alias("x"), F.min("first_revealed_index").alias("first_revealed_index"))
-        met_all = found if met_all is None else met_all.union(found)
-        step = F.concat("src", F.lit(" -["), "relation", F.lit("]-> "), "dst")
-        fresh = met.select(*key, "read_point", "start_ord", F.col("other").alias("node"), "rank", F.concat("steps", F.array(step)).alias("steps"))
-        fresh = fresh.join(reached.select(*key, "node"), [*key, "node"], "left_anti")
-        after = fresh.groupBy(*key, "node").agg(F.min(F.struct("rank", "steps", "read_point", "start_ord")).alias("x"))
-        front = saved(after.select(*key, "x.read_point", "x.start_ord", "node", "x.rank", "x.steps"))
-        reached = reached.union(front)
-    first = met_all.groupBy(*edge).agg(F.min("x").alias("x"), F.min("first_revealed_index").alias("first_revealed_index"))
-    # the evidence joins the edges that were found, once
-    told = first.join(edges.select("corpus_id", "src", "relation", "dst", "evidence"), ["corpus_id", "src", "relation", "dst"])
-    triples = told.select(*edge, "x.hop", "first_revealed_index", F.struct("x.start_ord", "x.rank").alias("found"), trimmed(F.col("evidence"), F.col("read_point")).alias("evidence")).where(F.size("evidence") > 0)
-    paths = reached.where(F.size("steps") > 0).select("corpus_id", "question_id", "start", F.col("node").alias("target"), F.size("steps").alias("hops"), "steps")
-    return score_evidence(triples), paths
-
-
-def score_evidence(df: DataFrame) -> DataFrame:
-    """disputed: all visible evidence is; unjudged: none is judged; n_hits: the most passes of one piece."""
-    return (
-        df.withColumn("disputed", F.forall("evidence", lambda e: e["disputed"].eqNullSafe(F.lit(True))))
-        .withColumn("unjudged", F.forall("evidence", lambda e: e["disputed"].isNull()))
-        .withColumn("n_hits", F.array_max(F.transform("evidence", lambda e: e["n_passes"])))
-    )
+    search = searched(starts, nodes, edges, max_hops, allow_hub)
+    return search.triples(), search.paths()
+
+
+def searched(starts: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int = MAX_HOPS, allow_hub: bool = False) -> Search:
+    """The search that `expand` makes, for the triples and paths that are wanted of it."""
+    search = Search(starts, nodes, edges)
+    search.widen(max_hops, allow_hub)
+    return search
 
 
 def rank_triples(df: DataFrame, k: int = MAX_TRIPLES, ties: tuple[str, ...] = ("found",)) -> DataFrame:
@@ -101,30 +67,31 @@ def rank_triples(df: DataFrame, k: int = MAX_TRIPLES, ties: tuple[str, ...] = ("
     return df.withColumn("place", F.row_number().over(by)).where(F.col("place") <= k)
 
 
-def retrieve(questions: DataFrame, starts: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int = MAX_HOPS, fallback_hops: int = FALLBACK_HOPS, max_triples: int = MAX_TRIPLES, enough: int = ENOUGH) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(triples, paths, used) by stages: as asked; with fewer than `enough` triples with hubs open; then with more hops.
-    used(corpus_id, question_id, stage, hops, allow_hub) tells the last stage of each question."""
+def widened(questions: DataFrame, starts: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int = MAX_HOPS, fallback_hops: int = FALLBACK_HOPS, enough: int = ENOUGH) -> tuple[Search, DataFrame]:
+    """(search, used) by stages: as asked; with fewer than `enough` triples with hubs open; then with more hops. Each stage goes on
+    from where the one before it stopped. used(corpus_id, question_id, stage, hops, allow_hub): the last stage of each question."""
     key = ["corpus_id", "question_id"]
-    left, out, near = starts, [], saved(adjacency(edges, nodes))
+    search, left, used = Search(starts, nodes, edges), None, []
     stages = [(max_hops, False), (max_hops, True)] + ([(fallback_hops, True)] if fallback_hops > max_hops else [])
-    for n, (hops, hub) in enumerate(stages):
-        triples, paths = expand(left, nodes, edges, hops, hub, near)
-        triples = saved(rank_triples(triples, max_triples))
-        asked = (questions if n == 0 else left).select(*key).distinct()
-        full = triples.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") >= enough).select(*key)
-        final = n == len(stages) - 1
-        done = asked if final else full
-        used = done.withColumn("stage", F.lit(n + 1)).withColumn("hops", F.lit(hops)).withColumn("allow_hub", F.lit(hub))
-        if n == 0 and not final:  # questions without a start find nothing at any stage
-            none = asked.join(starts.select(*key).distinct(), key, "left_anti")
-            used = used.union(none.withColumn("stage", F.lit(len(stages))).withColumn("hops", F.lit(stages[-1][0])).withColumn("allow_hub", F.lit(True)))
-        out.append((triples.join(done, key, "left_semi"), paths.join(done, key, "left_semi"), used))
-        if not final:
-            left = saved(left.join(full, key, "left_anti"))
-    a, b, c = out[0]
-    for x, y, z in out[1:]:
-        a, b, c = a.union(x), b.union(y), c.union(z)
-    return a, b, c
+    for n, (hops, hub) in enumerate(stages, 1):
+        search.widen(hops, hub, left)
+        mark = lambda df: df.select(*key, F.lit(n).alias("stage"), F.lit(hops).alias("hops"), F.lit(hub).alias("allow_hub"))  # noqa: B023, E731
+        if n == len(stages):
+            asked = questions.select(*key).distinct()
+            used.append(mark(asked.join(reduce(DataFrame.union, used).select(*key), key, "left_anti") if used else asked))
+            break
+        found = search.found() if left is None else search.found().join(left, key, "left_semi")
+        full = saved(found.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") >= enough).select(*key))
+        used.append(mark(full))
+        left = saved((search.searches.select(*key).distinct() if left is None else left).join(full, key, "left_anti"))
+    return search, saved(reduce(DataFrame.union, used))
+
+
+def retrieve(questions: DataFrame, starts: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int = MAX_HOPS, fallback_hops: int = FALLBACK_HOPS, max_triples: int = MAX_TRIPLES, enough: int = ENOUGH) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(triples, paths, used): the ranked triples and the paths of each question's last stage, see `widened`. Questions without a
+    start find nothing at any stage."""
+    search, used = widened(questions, starts, nodes, edges, max_hops, fallback_hops, enough)
+    return search.ranked(max_triples), search.paths(), used
 
 
 def certainty(disputed: Column, unjudged: Column, n_hits: Column) -> Column:
@@ -145,7 +112,8 @@ def evidence_block(triples: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def select_paths(paths: DataFrame, triples: DataFrame, k: int = 4) -> DataFrame:
-    """The first k paths of each question: to nodes that come early in the ranked triples, longer ones first, one a node."""
+    """The first k paths of each question: to nodes that come early in the ranked triples, longer ones first, one a node. paths
+    may be the rows of `Search.reached`, so that steps are worked out for those that are picked."""
     spots = triples.select("corpus_id", "question_id", F.posexplode(F.array("src", "dst")).alias("end", "target"), "place")
     rank = spots.groupBy("corpus_id", "question_id", "target").agg(F.min(F.struct("place", "end")).alias("at"))
     key = ["corpus_id", "question_id"]
