@@ -44,8 +44,9 @@ nodes AS (
   FROM ends e LEFT JOIN types t ON t.name = e.id GROUP BY 1, 2)"""
 )
 
-#: Degree from which a node counts as a hub in these inputs: they have no text to spread over.
-HUB_DEGREE = 200
+#: Sections over which a node spreads if it counts as a hub. These inputs have no text: a node spreads over the sections in
+#: which its edges appear.
+HUB_SECTIONS = 50
 
 
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,21 +74,23 @@ def rel_spec(spark: SparkSession) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A question for every nation of a supplier: its last supplier's name, a part's name and a read point."""
-    s = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.max("s_suppkey").alias("number"))
+    """A question for every supplier, by its number: about it and a part, about a part alone early in the text (hubs have to be
+    opened), about the supplier alone at the beginning (one more hop is needed, or nothing is known yet), and again about both."""
     parts = table(spark, sf_dir, "part").agg(F.count("*").alias("parts"))
-    s = s.join(parts).withColumn("part", 1 + (F.col("number") * 7 + 3) % F.col("parts"))
-    return s.select(
-        F.concat(F.lit("c"), F.col("number") % 3).alias("corpus_id"), F.concat(F.lit("q"), "nation").alias("question_id"),
-        F.concat(F.lit("what links <S"), "number", F.lit("> and <P"), "part", F.lit(">?")).alias("question"), (60 + F.col("number") % 40).cast("int").alias("read_point"),
-        "number", "part", F.col("nation").cast("int").alias("nation"),
-    )
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("number")).join(F.broadcast(parts))
+    s = s.withColumn("part", 1 + (F.col("number") * 7 + 3) % F.col("parts"))
+    of = F.col("number") % 4
+    sup, part = F.concat(F.lit("S"), "number"), F.concat(F.lit("P"), "part")
+    text = F.when(of == 1, F.concat(F.lit("who asked for <"), part, F.lit(">?"))).when(of == 2, F.concat(F.lit("what of <"), sup, F.lit(">?"))).otherwise(F.concat(F.lit("what links <"), sup, F.lit("> and <"), part, F.lit(">?")))
+    point = F.when(of == 1, 40 + F.floor(F.col("number") / 4) % 9 * 3).when(of == 2, 37 + F.floor(F.col("number") / 4) % 2).otherwise(60 + F.col("number") % 40)
+    return s.select(F.concat(F.lit("c"), F.col("number") % 3).alias("corpus_id"), F.concat(F.lit("q"), "number").alias("question_id"), text.alias("question"), point.cast("int").alias("read_point"), "number", "part")
 
 
 QUESTIONS_SQL = """
-last AS (SELECT s_nationkey AS nation, max(s_suppkey) AS number FROM supplier GROUP BY 1),
-questions AS (SELECT 'c' || (number % 3) AS corpus_id, 'q' || nation AS question_id, CAST(60 + number % 40 AS INTEGER) AS read_point, 'S' || number AS s1,
-  'P' || (1 + (number * 7 + 3) % (SELECT count(*) FROM part)) AS s2, number, CAST(nation AS INTEGER) AS nation FROM last)"""
+asked AS (SELECT s_suppkey AS number, 'S' || s_suppkey AS sup, 'P' || (1 + (s_suppkey * 7 + 3) % (SELECT count(*) FROM part)) AS par, s_suppkey % 4 AS kind FROM supplier),
+questions AS (SELECT 'c' || (number % 3) AS corpus_id, 'q' || number AS question_id, CAST(CASE kind WHEN 1 THEN 40 + number // 4 % 9 * 3 WHEN 2 THEN 37 + number // 4 % 2 ELSE 60 + number % 40 END AS INTEGER) AS read_point,
+  CASE WHEN kind <> 1 THEN sup END AS s1, CASE WHEN kind <> 2 THEN par END AS s2, sup, par, number,
+  CASE kind WHEN 1 THEN 'who asked for <' || par || '>?' WHEN 2 THEN 'what of <' || sup || '>?' ELSE 'what links <' || sup || '> and <' || par || '>?' END AS question FROM asked)"""
 
 
 def surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,10 +23,10 @@ def kept_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def built(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) with hubs flagged by degree."""
+    """(nodes, edges) with hubs flagged by their spread."""
     edges = saved(graph.build_edges(graph.fold_evidence(kept_triples(spark, sf_dir))))
-    nodes = saved(graph.build_nodes(edges, I.types(spark, sf_dir)).withColumn("is_hub", F.col("degree") >= I.HUB_DEGREE))
-    return nodes, edges
+    nodes = graph.build_nodes(edges, I.types(spark, sf_dir)).withColumn("n_text_chapters", F.col("n_chapters"))
+    return saved(graph.flag_hubs(nodes, I.HUB_SECTIONS).drop("n_text_chapters")), edges
 
 
 @query(f"WITH {I.TRIPLES_SQL} SELECT reason, count(*) AS n FROM judged GROUP BY 1")
@@ -114,7 +114,7 @@ def _search_sql(name: str, starts: str, hops: int, hubs: bool) -> str:
     key = "corpus_id, question_id, read_point, start, start_ord"
     out = [f"{name}_f0 AS (SELECT {key}, start AS node, [] AS rank, []::VARCHAR[] AS steps FROM {starts})"]
     for h in range(1, hops + 1):
-        hub = "" if hubs or h == 1 else f"JOIN nodes x ON x.corpus_id = f.corpus_id AND x.id = f.node AND x.degree < {I.HUB_DEGREE}"
+        hub = "" if hubs or h == 1 else f"JOIN nodes x ON x.corpus_id = f.corpus_id AND x.id = f.node AND x.n_chapters < {I.HUB_SECTIONS}"
         old = " UNION ALL ".join(f"SELECT corpus_id, question_id, start, node FROM {name}_f{j}" for j in range(h))
         out.append(
             f"""{name}_m{h} AS (SELECT f.corpus_id, f.question_id, f.read_point, f.start, f.start_ord, n.other, n.src, n.relation, n.dst, list_append(f.rank, {{'s': side, 'o': ord}}) AS rank,
@@ -159,15 +159,15 @@ def link_starts(spark, sf_dir):
 @query(_EXPAND_SQL + " SELECT corpus_id, question_id, src, relation, dst, hop, n_hits, n_evidence, disputed, unjudged FROM x")
 def expand(spark, sf_dir):
     nodes, edges = built(spark, sf_dir)
-    triples, _ = retrieve.expand(_starts(spark, sf_dir, nodes), nodes, edges)
+    triples = retrieve.searched(_starts(spark, sf_dir, nodes), nodes, edges).triples(ordered=False)
     return triples.select("corpus_id", "question_id", "src", "relation", "dst", "hop", "n_hits", F.size("evidence").cast("long").alias("n_evidence"), "disputed", "unjudged")
 
 
 @query(_EXPAND_SQL + " SELECT corpus_id, question_id, src, relation, dst, CAST(place AS INTEGER) AS place, certainty FROM x_r")
 def rank_triples(spark, sf_dir):
     nodes, edges = built(spark, sf_dir)
-    triples, _ = retrieve.expand(_starts(spark, sf_dir, nodes), nodes, edges)
-    return retrieve.mark_certainty(retrieve.rank_triples(triples)).select("corpus_id", "question_id", "src", "relation", "dst", "place", "certainty")
+    triples = retrieve.searched(_starts(spark, sf_dir, nodes), nodes, edges).ranked(retrieve.MAX_TRIPLES)
+    return retrieve.mark_certainty(triples).select("corpus_id", "question_id", "src", "relation", "dst", "place", "certainty")
 
 
 @query(
@@ -180,16 +180,16 @@ WINDOW w AS (PARTITION BY corpus_id, question_id ORDER BY pl IS NULL, pl, hops D
 )
 def expand_paths(spark, sf_dir):
     nodes, edges = built(spark, sf_dir)
-    triples, paths = retrieve.expand(_starts(spark, sf_dir, nodes), nodes, edges)
-    picked = retrieve.select_paths(paths, retrieve.rank_triples(triples))
-    return picked.select("corpus_id", "question_id", "target", "hops", F.array_join("steps", " | ").alias("steps"), "path_place")
+    search = retrieve.searched(_starts(spark, sf_dir, nodes), nodes, edges)
+    picked = saved(retrieve.select_paths(search.reached(), search.ranked(retrieve.MAX_TRIPLES)))
+    return search.paths(picked).select("corpus_id", "question_id", "target", "hops", F.array_join("steps", " | ").alias("steps"), "path_place")
 
 
 def _retrieved(spark, sf_dir):
     nodes, edges = built(spark, sf_dir)
     starts = _starts(spark, sf_dir, nodes)
-    triples, paths, used = retrieve.retrieve(I.questions(spark, sf_dir), starts, nodes, edges)
-    return nodes, edges, starts, saved(triples), paths, saved(used)
+    search, used = retrieve.widened(I.questions(spark, sf_dir), starts, nodes, edges)
+    return nodes, edges, starts, saved(search.ranked(retrieve.MAX_TRIPLES)), used
 
 
 @query(
@@ -198,7 +198,7 @@ b AS (SELECT corpus_id, question_id, string_agg('[' || place || '] ' || src || '
 SELECT q.corpus_id, q.question_id, coalesce(b.block, 'Up to section ' || q.read_point || ' this has not been revealed yet.') AS block FROM questions q LEFT JOIN b USING (corpus_id, question_id)"""
 )
 def retrieve_(spark, sf_dir):
-    _, _, _, triples, _, _ = _retrieved(spark, sf_dir)
+    _, _, _, triples, _ = _retrieved(spark, sf_dir)
     return retrieve.evidence_block(triples, I.questions(spark, sf_dir))
 
 
@@ -213,7 +213,7 @@ SELECT corpus_id, question_id, array_to_string(s, ',') AS starts, CAST(hops AS I
  || CASE WHEN len(s) > 0 THEN array_to_string(s, ', ') ELSE 'none' END || ' | ' || hops || ' hops, hubs ' || CASE WHEN allow_hub THEN 'open' ELSE 'closed' END || ': ' || n || ' triples' AS trace FROM m"""
 )
 def retrieval_summary(spark, sf_dir):
-    nodes, edges, starts, triples, _, used = _retrieved(spark, sf_dir)
+    nodes, edges, starts, triples, used = _retrieved(spark, sf_dir)
     asked = I.questions(spark, sf_dir)
     counts = gate.visibility_counts(nodes, edges, asked.select("corpus_id", "read_point"))
     out = retrieve.retrieval_summary(asked, starts, triples, used, counts)
@@ -223,7 +223,7 @@ def retrieval_summary(spark, sf_dir):
 @query(f"""{_RETRIEVE_SQL}, g AS (SELECT DISTINCT corpus_id, question_id, unnest(places) AS g FROM k)
 SELECT corpus_id, question_id, string_agg('L' || g, ',' ORDER BY g) AS labels FROM g GROUP BY 1, 2""")
 def retrieval_sources(spark, sf_dir):
-    _, _, _, triples, _, _ = _retrieved(spark, sf_dir)
+    _, _, _, triples, _ = _retrieved(spark, sf_dir)
     return retrieve.sources(triples).select("corpus_id", "question_id", F.array_join("labels", ",").alias("labels"))
 
 
@@ -509,16 +509,15 @@ def _golden(spark, sf_dir) -> DataFrame:
     q = I.questions(spark, sf_dir)
     step = lambda s, o: F.struct(s.alias("s"), F.lit("R").alias("rel"), o.alias("o"))
     sup, part, other = F.concat(F.lit("S"), "number"), F.concat(F.lit("P"), "part"), F.concat(F.lit("S"), F.col("number") - 1)
-    path = F.when(F.col("nation") % 4 == 0, F.array().cast("array<struct<s:string,rel:string,o:string>>")).otherwise(F.array(step(sup, part), step(part, other)))
-    kind = F.when(F.col("nation") % 4 == 0, "spoiler_gate").when(F.col("nation") % 4 == 1, "control_singlehop").otherwise("multihop")
-    return q.select("question_id", kind.alias("kind"), (1 + F.col("nation") % 3).cast("int").alias("hops"), "question", "read_point", F.lit("x").alias("expected_answer"), path.alias("expected_path"), "number", "nation")
+    kind = texts.kind_of("number")
+    path = F.when(kind == evaluate.GATE, F.array().cast("array<struct<s:string,rel:string,o:string>>")).otherwise(F.array(step(sup, part), step(part, other)))
+    return q.select("question_id", kind.alias("kind"), (1 + F.col("number") % 3).cast("int").alias("hops"), "question", "read_point", F.lit("x").alias("expected_answer"), path.alias("expected_path"), "number")
 
 
 #: golden; its steps; whether a step is among the triples of a table (named found) and in the graph.
-_GOLDEN_SQL = """
-golden AS (SELECT question_id, CASE WHEN nation % 4 = 0 THEN 'spoiler_gate' WHEN nation % 4 = 1 THEN 'control_singlehop' ELSE 'multihop' END AS kind, 1 + nation % 3 AS hops, number, s1, s2, 'S' || (number - 1) AS s3,
-  'what links <' || s1 || '> and <' || s2 || '>?' AS question FROM questions),
-steps AS (SELECT question_id, 0 AS step, lower(s1) AS s, lower(s2) AS o FROM golden WHERE kind <> 'spoiler_gate' UNION ALL SELECT question_id, 1, lower(s2), lower(s3) FROM golden WHERE kind <> 'spoiler_gate'),
+_GOLDEN_SQL = f"""
+golden AS (SELECT question_id, {texts.KIND} AS kind, 1 + number % 3 AS hops, number, sup, par, 'S' || (number - 1) AS s3, question FROM questions),
+steps AS (SELECT question_id, 0 AS step, lower(sup) AS s, lower(par) AS o FROM golden WHERE kind <> 'spoiler_gate' UNION ALL SELECT question_id, 1, lower(par), lower(s3) FROM golden WHERE kind <> 'spoiler_gate'),
 tails AS (SELECT DISTINCT question_id, lower(src) AS a, lower(dst) AS b FROM found),
 got AS (SELECT p.question_id, p.step, length(p.s) > 2 AND length(p.o) > 2 AND EXISTS (FROM tails e WHERE e.question_id = p.question_id AND (e.a = p.s AND e.b = p.o OR e.a = p.o AND e.b = p.s)) AS ok FROM steps p),
 recall AS (SELECT question_id, avg(ok::INT) AS path_recall, bool_and(ok) AS retrieved FROM got GROUP BY 1)"""
@@ -527,7 +526,7 @@ recall AS (SELECT question_id, avg(ok::INT) AS path_recall, bool_and(ok) AS retr
 @query(f"{_EXPAND_SQL}, found AS (SELECT question_id, src, dst FROM x), {_GOLDEN_SQL} SELECT g.question_id, round(path_recall, 6) AS path_recall FROM golden g LEFT JOIN recall USING (question_id)")
 def path_recall(spark, sf_dir):
     nodes, edges = built(spark, sf_dir)
-    triples, _ = retrieve.expand(_starts(spark, sf_dir, nodes), nodes, edges)
+    triples = retrieve.searched(_starts(spark, sf_dir, nodes), nodes, edges).found()
     return evaluate.path_recall(_golden(spark, sf_dir), triples).withColumn("path_recall", F.round("path_recall", 6))
 
 
@@ -540,7 +539,7 @@ rows AS (SELECT g.question_id, g.kind, g.hops, g.question, j.correct, j.leaked,
 
 
 def _rows(spark, sf_dir) -> DataFrame:
-    nodes, edges, starts, triples, _, used = _retrieved(spark, sf_dir)
+    nodes, edges, starts, triples, used = _retrieved(spark, sf_dir)
     golden = saved(_golden(spark, sf_dir))
     labels = table(spark, sf_dir, "labels").groupBy(F.pmod("doc_id", F.lit(10)).alias("k")).agg((F.avg("quality") > 0.8).alias("correct"), (F.avg("toxic") > 0.15).alias("leaked"))
     judged = golden.join(labels, F.pmod("number", F.lit(10)).cast("long") == F.col("k"), "left").select("question_id", "correct", "leaked")

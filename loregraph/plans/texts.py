@@ -113,7 +113,7 @@ def graph_files(spark, sf_dir):
     return edges.select("src", "relation", "dst", "first_revealed_index", "n_support", F.array_join(F.transform("evidence", line), ",").alias("evidence"))
 
 
-@query(f"WITH {I.EVIDENCE_SQL} SELECT corpus_id || ':' || id AS id, type, CAST(first_revealed_index AS INTEGER) AS first_revealed_index, CAST(degree AS INTEGER) AS degree, CAST(n_chapters AS INTEGER) AS n_chapters, degree >= {I.HUB_DEGREE} AS is_hub FROM nodes")
+@query(f"WITH {I.EVIDENCE_SQL} SELECT corpus_id || ':' || id AS id, type, CAST(first_revealed_index AS INTEGER) AS first_revealed_index, CAST(degree AS INTEGER) AS degree, CAST(n_chapters AS INTEGER) AS n_chapters, n_chapters >= {I.HUB_SECTIONS} AS is_hub FROM nodes")
 def graph_file_nodes(spark, sf_dir):
     return _round_trip(spark, sf_dir)[0].select("id", "type", "first_revealed_index", "degree", "n_chapters", "is_hub")
 
@@ -128,28 +128,34 @@ def _round_trip(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return files.read_graphml(spark, f"{path}/graphml")
 
 
-@query(f"WITH {I.QUESTIONS_SQL} SELECT question_id, CAST(read_point AS BIGINT) AS read_point, s1 AS start FROM questions")
+@query(f"WITH {I.QUESTIONS_SQL} SELECT question_id, CAST(read_point AS BIGINT) AS read_point, sup AS start FROM questions")
 def run_log(spark, sf_dir):
     """Run records of two batches of questions, added to one log."""
     path = shared_path(spark)
     q = I.questions(spark, sf_dir)
     for even in (True, False):
-        files.append_runs(q.where((F.col("nation") % 2 == 0) == F.lit(even)).select("question_id", "read_point", F.concat(F.lit("S"), "number").alias("start")), path)
+        files.append_runs(q.where((F.col("number") % 2 == 0) == F.lit(even)).select("question_id", "read_point", F.concat(F.lit("S"), "number").alias("start")), path)
     return spark.read.schema("question_id string, read_point long, start string").json(path)
 
 
-_KIND = "CASE WHEN nation % 4 = 0 THEN 'spoiler_gate' WHEN nation % 4 = 1 THEN 'control_singlehop' ELSE 'multihop' END"
+KIND = "CASE number // 4 % 4 WHEN 0 THEN 'spoiler_gate' WHEN 1 THEN 'control_singlehop' ELSE 'multihop' END"
 
 
-@query(f"WITH {I.QUESTIONS_SQL} SELECT question_id, {_KIND} AS kind, read_point, s1 || '-R-' || s2 AS path, CAST(3 * number AS INTEGER) AS last_index FROM questions")
+def kind_of(number: str):
+    of = F.floor(F.col(number) / 4) % 4
+    return F.when(of == 0, "spoiler_gate").when(of == 1, "control_singlehop").otherwise("multihop")
+
+
+
+@query(f"WITH {I.QUESTIONS_SQL} SELECT question_id, {KIND} AS kind, read_point, sup || '-R-' || par AS path, CAST(3 * number AS INTEGER) AS last_index FROM questions")
 def question_files(spark, sf_dir):
-    """Golden questions from a file of items."""
+    """Golden questions from files of up to a hundred items."""
     path = shared_path(spark)
     q = I.questions(spark, sf_dir)
     steps = F.array(F.array(F.concat(F.lit("S"), "number"), F.lit("R"), F.concat(F.lit("P"), "part")))
     found = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.struct(F.lit("d").alias("doc_id"), (i * F.col("number")).cast("int").alias("global_index"), F.lit("x").alias("label_ko"), F.lit("q").alias("quote")))
-    item = F.struct(F.col("question_id").alias("id"), F.expr(_KIND).alias("kind"), F.lit(1).alias("hops"), "question", "read_point", F.lit("x").alias("expected_answer"), steps.alias("expected_path"), F.lit("y").alias("why_path"), found.alias("evidence"))
-    q.agg(F.collect_list(item).alias("items")).coalesce(1).write.json(path)
+    item = F.struct(F.col("question_id").alias("id"), kind_of("number").alias("kind"), F.lit(1).alias("hops"), "question", "read_point", F.lit("x").alias("expected_answer"), steps.alias("expected_path"), F.lit("y").alias("why_path"), found.alias("evidence"))
+    q.groupBy(F.floor(F.col("number") / 100).alias("file")).agg(F.collect_list(item).alias("items")).write.partitionBy("file").json(path)
     read = files.read_questions(spark, path)
     step = F.col("expected_path")[0]
     return read.select("question_id", "kind", "read_point", F.concat_ws("-", step["s"], step["rel"], step["o"]).alias("path"), F.array_max(F.transform("evidence", lambda e: e["global_index"])).alias("last_index"))
@@ -158,7 +164,7 @@ def question_files(spark, sf_dir):
 # ---- questions
 
 
-@query(f"WITH {I.TRIPLES_SQL}, {I.QUESTIONS_SQL} SELECT DISTINCT question_id FROM questions q JOIN raw ON raw.subject = q.s1 AND raw.global_index > q.read_point")
+@query(f"WITH {I.TRIPLES_SQL}, {I.QUESTIONS_SQL} SELECT DISTINCT question_id FROM questions q JOIN raw ON raw.subject = q.sup AND raw.global_index > q.read_point")
 def check_evidence_gate(spark, sf_dir):
     """Questions with evidence, that of their supplier, after their read point."""
     seen = I.triples(spark, sf_dir).groupBy(F.col("subject").alias("_s")).agg(F.collect_set("global_index").alias("_at"))
@@ -167,10 +173,10 @@ def check_evidence_gate(spark, sf_dir):
     return evidence.check_evidence_gate(q).select("question_id")
 
 
-@query(f"""WITH {I.QUESTIONS_SQL}, g AS (SELECT {_KIND} AS kind, 1 + nation % 3 AS hops FROM questions)
+@query(f"""WITH {I.QUESTIONS_SQL}, g AS (SELECT {KIND} AS kind, 1 + number % 3 AS hops FROM questions)
 SELECT 'kind' AS what, kind AS value, count(*) AS n FROM g GROUP BY 2 UNION ALL SELECT 'hops', CAST(hops AS VARCHAR), count(*) FROM g WHERE kind <> 'spoiler_gate' GROUP BY 2""")
 def question_profile(spark, sf_dir):
-    return evidence.question_profile(I.questions(spark, sf_dir).select(F.expr(_KIND).alias("kind"), (1 + F.col("nation") % 3).alias("hops")))
+    return evidence.question_profile(I.questions(spark, sf_dir).select(kind_of("number").alias("kind"), (1 + F.col("number") % 3).alias("hops")))
 
 
 # ---- triples and labels
