@@ -72,9 +72,3 @@ def roman_to_int(c: Column) -> Column:
     step = lambda s, d: F.struct((s["total"] + F.when(value(d) < s["top"], -value(d)).otherwise(value(d))).alias("total"), F.greatest(s["top"], value(d)).alias("top"))
     start = F.struct(F.lit(0).alias("total"), F.lit(0).alias("top"))
     return F.when(F.length(c) > 0, F.aggregate(digits, start, step, lambda s: s["total"]))
-
-
-def word_pattern(form: Column) -> Column:
-    """A regular expression that finds a normalised form as whole words, in any case, with any whitespace between."""
-    escaped = F.regexp_replace(form, r"([\\\[\](){}.*+?^$|-])", r"\\$1")
-    return F.concat(F.lit(r"(?isu)(^|[^\p{L}\p{N}_])"), F.regexp_replace(escaped, " +", r"\\s+"), F.lit(r"($|[^\p{L}\p{N}_])"))

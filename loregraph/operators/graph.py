@@ -6,12 +6,14 @@ triples: corpus_id, pass, doc_id, global_index, label, tri_pos, subject, relatio
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loregraph.functions.text import collapse, norm, word_pattern, words
+from loregraph.functions import automaton
+from loregraph.functions.text import collapse, norm, words
 
 EDGE = ("corpus_id", "subject", "relation", "object")
 
@@ -70,23 +72,64 @@ def build_nodes(edges: DataFrame, types: DataFrame, default_type: str = "Charact
     return out.join(t, ["corpus_id", "id"], "left").select("corpus_id", "id", F.coalesce("type", F.lit(default_type)).alias("type"), "first_revealed_index", "degree", "n_chapters")
 
 
-def find_forms(forms: DataFrame, sections: DataFrame, collapsed: bool = True) -> DataFrame:
-    """(corpus_id, key, form, doc_id, global_index): where each normalised form stands as whole words, in any case.
+#: Words, runs of white space, and other characters one by one.
+_TOKEN = re.compile(r"\w+|[ \t-\r]+|\W")
+#: The symbol of tokens that are in no form; symbols from 2 on are those of the forms' tokens.
+_OTHER = "\x01"
 
-    A form meets only sections that hold its longest word; the pattern decides.
+
+class _Forms:
+    """An automaton over token numbers: a text is a string of one symbol a token, so forms are found at whole words."""
+
+    def __init__(self, rows: list[tuple[str, str, str]]):
+        self.symbol: dict[str, str] = {}
+        found: dict[str, tuple[int, bool, bool, dict[str, dict[str, list[str]]]]] = {}
+        for corpus, key, form in rows:
+            own = [" " if t.isspace() else t for t in _TOKEN.findall(form)]
+            word = "".join(self.symbol.setdefault(t, self._next()) for t in own)
+            value = found.setdefault(word, (len(own), _is_word(own[0]), _is_word(own[-1]), {}))
+            value[3].setdefault(corpus, {}).setdefault(form, []).append(key)
+        self.machine = automaton.of_strings(found)
+
+    def _next(self) -> str:
+        n = len(self.symbol) + 2
+        return chr(n if n < 0xD800 else n + 0x800)  # surrogates are no symbols
+
+    def hits(self, corpus: str, text: str) -> set[tuple[str, str]]:
+        """(key, form) of the corpus's forms in a lower-case text."""
+        out: set[tuple[str, str]] = set()
+        if not len(self.machine):
+            return out
+        tokens = [" " if t[0] in " \t\n\x0b\x0c\r" else t for t in _TOKEN.findall(text)]
+        for end, (n, first, last, corpora) in self.machine.iter("".join([self.symbol.get(t, _OTHER) for t in tokens])):
+            own = corpora.get(corpus)
+            # a form that begins or ends beside its words must not stand at a word there
+            if own and (first or end < n or not _is_word(tokens[end - n])) and (last or end + 1 >= len(tokens) or not _is_word(tokens[end + 1])):
+                out.update((key, form) for form, keys in own.items() for key in keys)
+        return out
+
+
+def _is_word(token: str) -> bool:
+    return token[0] == "_" or token[0].isalnum()
+
+
+def find_forms(forms: DataFrame, sections: DataFrame, collapsed: bool = True, shard: int | None = None) -> DataFrame:
+    """(corpus_id, key, form, doc_id, global_index): where each normalised form stands as whole words, in any case, with any
+    white space between its words.
+
+    One pass over the texts for each shard of forms: an automaton over tokens finds all forms of a text at once.
     """
     text = collapse(F.col("text")) if collapsed else F.col("text")
-    held = sections.select("corpus_id", "doc_id", "global_index", text.alias("_text"))
-    tokens = F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
-    own = F.regexp_extract_all("form", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    longest = F.array_max(F.transform(own, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    asked = forms.select("corpus_id", "key", "form").distinct().withColumn("_word", longest).withColumn("_rule", word_pattern(F.col("form"))).where("_word is not null")
-    place = ["corpus_id", "doc_id", "global_index"]
-    at = held.select(*place, F.explode(tokens).alias("_word")).join(asked, ["corpus_id", "_word"])
-    # a section's forms stand beside its text once
-    per = at.groupBy(*place).agg(F.collect_list(F.struct("key", "form", "_rule")).alias("_asked"))
-    met = held.join(per, place).select(*place, F.explode(F.filter("_asked", lambda f: F.regexp_like(F.col("_text"), f["_rule"]))).alias("f"))
-    return met.select("corpus_id", "f.key", "f.form", "doc_id", "global_index")
+    held = sections.where("text is not null").select("corpus_id", "doc_id", "global_index", F.lower(text).alias("_text"))
+    kinds = {c: sections.schema[c].dataType.simpleString() for c in ("corpus_id", "doc_id", "global_index")}
+    asked = forms.where(F.col("form").rlike(r"[\p{L}\p{N}_]")).select("corpus_id", "key", F.lower("form").alias("form"))
+    key = forms.schema["key"].dataType.simpleString()
+
+    def hits(machine: _Forms, row: tuple) -> list[tuple]:
+        corpus, doc, index, words = row
+        return [(corpus, k, form, doc, index) for k, form in sorted(machine.hits(corpus, words))]
+
+    return automaton.searched(held, asked, _Forms, hits, f"corpus_id {kinds['corpus_id']}, key {key}, form string, doc_id {kinds['doc_id']}, global_index {kinds['global_index']}", shard)
 
 
 def text_spread(nodes: DataFrame, alias_groups: DataFrame, sections: DataFrame, shared: list[str], kind: str = "Character") -> DataFrame:

@@ -11,32 +11,47 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loregraph.functions import automaton
 from loregraph.functions.tables import saved
 from loregraph.operators.search import Search, score_evidence
 
-#: Characters of the piece of a surface by which it meets the questions.
-PIECE = 8
 MAX_HOPS, FALLBACK_HOPS, MAX_TRIPLES, ENOUGH = 2, 3, 40, 3
 
 
-def _met(questions: DataFrame, surface_dict: DataFrame) -> DataFrame:
-    """Questions with the surfaces they contain, inside longer words too: a question that contains a surface contains each of
-    its pieces, so an equi-join of pieces of up to PIECE characters loses none."""
-    q, s = F.col("question"), F.col("surface")
-    at = lambda i: F.transform(F.sequence(F.lit(1), F.lit(PIECE)), lambda n: F.substring(q, i, n))
-    pieces = F.array_union(F.array(F.lit("")), F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(q), F.lit(1))), at)))
-    piece = lambda i: F.substring(s, i, F.lit(PIECE))
-    # Of a long surface the piece of the least hash, as many surfaces may begin alike.
-    least = F.array_min(F.transform(F.sequence(F.lit(1), F.length(s) - (PIECE - 1)), lambda i: F.struct(F.xxhash64(piece(i)).alias("h"), piece(i).alias("p"))))["p"]
-    asked = surface_dict.withColumn("_piece", F.when(F.length(s) <= PIECE, s).otherwise(least))
-    return questions.withColumn("_piece", F.explode(pieces)).join(asked, "_piece").where(F.contains("question", "surface"))
+class _Surfaces:
+    """An automaton over characters, and what stands behind each surface."""
+
+    def __init__(self, rows: list[tuple[str, str, int]]):
+        found: dict[str, list[tuple[str, int]]] = {}
+        for surface, canon, place in rows:
+            found.setdefault(surface, []).append((canon, place))
+        self.everywhere = found.pop("", [])
+        self.machine = automaton.of_strings(found)
+
+    def hits(self, question: str) -> dict[str, int]:
+        """canon: the least place of its surfaces that the question contains."""
+        out: dict[str, int] = {}
+        inside = [names for _, names in self.machine.iter(question)] if len(self.machine) else []
+        for names in (self.everywhere, *inside):
+            for canon, place in names:
+                out[canon] = min(place, out.get(canon, place))
+        return out
+
+
+def _met(questions: DataFrame, surface_dict: DataFrame, shard: int | None = None) -> DataFrame:
+    """(corpus_id, question_id, read_point, start, ord): the canons whose surfaces a question contains, inside longer words
+    too; each question is read once for each shard of the dictionary."""
+    key = ["corpus_id", "question_id", "read_point"]
+    kinds = ", ".join(f"{c} {questions.schema[c].dataType.simpleString()}" for c in key)
+    asked = surface_dict.where("surface is not null and canon is not null").select("surface", "canon", F.col("ord").cast("long").alias("ord"))
+    hits = lambda machine, row: [(*row[:3], canon, place) for canon, place in machine.hits(row[3]).items()]
+    return automaton.searched(questions.where("question is not null").select(*key, "question"), asked, _Surfaces, hits, f"{kinds}, start string, ord long", shard)
 
 
 def link_starts(questions: DataFrame, surface_dict: DataFrame, nodes: DataFrame) -> DataFrame:
     """(corpus_id, question_id, read_point, start, start_ord): nodes whose surface(surface, canon, ord) is in the question and
     that are visible, each once, in the order of the dictionary."""
-    hit = _met(questions, surface_dict)
-    per = hit.groupBy("corpus_id", "question_id", "read_point", F.col("canon").alias("start")).agg(F.min("ord").alias("o"))
+    per = _met(questions, surface_dict).groupBy("corpus_id", "question_id", "read_point", "start").agg(F.min("ord").alias("o"))
     seen = nodes.select("corpus_id", F.col("id").alias("start"), "first_revealed_index")
     per = per.join(seen, ["corpus_id", "start"]).where("first_revealed_index <= read_point")
     place = F.row_number().over(Window.partitionBy("corpus_id", "question_id").orderBy("o", "start"))

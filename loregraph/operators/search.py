@@ -68,7 +68,9 @@ class Search:
         #: By hop: (node, word, bits) that were expanded; the edges gone over, with the node they come from.
         self.opened: list[DataFrame] = []
         self.gone: list[DataFrame] = []
-        self.met: DataFrame | None = None
+        text = lambda c: self.searches["start"].alias(c)
+        self.met = self.searches.where("false").select(*_QUESTION, "read_point", text("src"), text("relation"), text("dst"), "start_ord", F.lit(0).alias("hop"), "word", "bit")
+        self.counted = 0
 
     def _adjacency(self, nodes: DataFrame, split: int) -> tuple[DataFrame, DataFrame]:
         """(near, wide). near: each edge from both of its ends, side 0 incoming, 1 outgoing. wide: hubs, and nodes whose edges are
@@ -109,7 +111,10 @@ class Search:
             if hop > 1 and not allow_hub:
                 now = now.where("not coalesce(is_hub, false)")
             now = saved(now.select(*_SPOT, "bits", F.coalesce("shards", F.lit(1)).alias("shards")))
-            self._expand(hop, now)
+            if not now.isEmpty():
+                self._expand(hop, now)
+            elif len(self.opened) < hop:
+                self.opened.append(now.select(*_SPOT, "bits"))
         self.hop = max(self.hop, hops)
 
     def _expand(self, hop: int, now: DataFrame) -> None:
@@ -130,19 +135,23 @@ class Search:
         else:
             self.opened.append(now)
 
+    def _gone(self) -> DataFrame:
+        kind = "struct<pass:string,doc_id:string,tri_pos:bigint>"
+        none = self.met.select("corpus_id", F.col("src").alias("node"), "word", F.col("src").alias("other"), F.lit(0).alias("side"), "src", "relation", "dst", F.lit(None).cast(kind).alias("ord"), "hop", F.lit(0).cast("long").alias("bits")).where("false")
+        return reduce(DataFrame.union, self.gone) if self.gone else none
+
     def found(self) -> DataFrame:
         """(corpus_id, question_id, read_point, src, relation, dst, start_ord, hop, word, bit): each edge once a question, by
         the first start in their order that meets it, with the hop of its first sight."""
-        done = getattr(self, "_counted", 0)
-        if done < len(self.gone):
-            rows = reduce(DataFrame.union, self.gone[done:]).select("corpus_id", "word", "hop", "src", "relation", "dst", F.explode(_bits()).alias("bit"))
+        if self.counted < len(self.gone):
+            rows = reduce(DataFrame.union, self.gone[self.counted :]).select("corpus_id", "word", "hop", "src", "relation", "dst", F.explode(_bits()).alias("bit"))
             who = self.searches.select(*_BIT, "question_id", "read_point", "start_ord")
             rows = rows.join(who, _BIT).select(*_QUESTION, "read_point", "src", "relation", "dst", F.struct("start_ord", "hop", "word", "bit").alias("x"))
-            if self.met is not None:
+            if self.counted:
                 rows = rows.union(self.met.select(*_QUESTION, "read_point", "src", "relation", "dst", F.struct("start_ord", "hop", "word", "bit")))
             met = rows.groupBy(*_QUESTION, "read_point", "src", "relation", "dst").agg(F.min("x").alias("x"))
             self.met = saved(met.select(*_QUESTION, "read_point", "src", "relation", "dst", "x.*"))
-            self._counted = len(self.gone)
+            self.counted = len(self.gone)
         return self.met
 
     def reached(self) -> DataFrame:
@@ -165,7 +174,7 @@ class Search:
         parents = {}
         for d in range(self.hop, 0, -1):
             own = wanted[d].where(F.col("depth") == d).select(*key)
-            gone = reduce(DataFrame.union, [g for g in self.gone]).where(F.col("hop") == d)
+            gone = self._gone().where(F.col("hop") == d)
             back = gone.select("corpus_id", "word", F.col("other").alias("node"), F.col("node").alias("parent"), "side", "ord", "src", "relation", "dst", "bits")
             step = F.concat("src", F.lit(" -["), "relation", F.lit("]-> "), "dst").alias("step")
             met = own.join(back, ["corpus_id", "word", "node"]).where(_has_bit("bits"))
@@ -184,7 +193,7 @@ class Search:
     def in_order(self, rows: DataFrame) -> DataFrame:
         """rows of `found` with `found`, their place in the order of discovery: the start's, then that of the way."""
         own = saved(rows.select(*_EDGE, "hop", "word", "bit").distinct())
-        gone = reduce(DataFrame.union, self.gone).select(*_EDGE, "hop", "word", "node", "side", "ord", "bits")
+        gone = self._gone().select(*_EDGE, "hop", "word", "node", "side", "ord", "bits")
         ends = saved(own.join(gone, [*_EDGE, "hop", "word"]).where(_has_bit("bits")).select(*_EDGE, "hop", "word", "bit", "node", "side", "ord"))
         ways = self.traced(ends.select(*_BIT, "node", (F.col("hop") - 1).alias("depth")))
         ends = ends.withColumn("depth", F.col("hop") - 1).join(ways, [*_BIT, "node", "depth"])

@@ -431,7 +431,7 @@ def build_report(spark, sf_dir):
 @query(
     f"""WITH {I.SECTIONS_SQL}, {texts.FORMS_SQL},
 t AS (SELECT DISTINCT corpus_id, doc_id, global_index, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS form FROM sections)
-SELECT corpus_id, form, min(global_index) AS first_index, count(DISTINCT doc_id) AS n_text_chapters FROM t JOIN forms USING (form) GROUP BY 1, 2"""
+SELECT corpus_id, form, min(global_index) AS first_index, count(DISTINCT doc_id) AS n_text_chapters FROM t JOIN forms USING (corpus_id, form) GROUP BY 1, 2"""
 )
 def text_search(spark, sf_dir):
     found = graph.find_forms(texts.forms(spark, sf_dir), I.sections(spark, sf_dir))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loregraph.functions.tables import saved, shared_path, table
-from loregraph.operators import evidence, gate, graph, names, sections
+from loregraph.operators import evidence, gate, graph, names, retrieve, sections
 from loregraph.plans import inputs as I
 from loregraph.plans.catalog import query
 from loregraph.sources import files
@@ -237,24 +237,23 @@ def alias_panel(spark, sf_dir):
 
 # ---- names in texts
 
-#: The names that are looked for: of each document its longest capitalised word, of equal ones the last in the alphabet.
+#: The names that are looked for in a corpus: of each of its documents the longest capitalised word, of equal ones the last in
+#: the alphabet.
 FORMS_SQL = """
-w AS (SELECT regexp_extract_all(text, '[\\p{Lu}][\\p{L}]{3,}') AS ws FROM documents),
-forms AS (SELECT DISTINCT lower(list_max(list_transform(ws, lambda x: {'n': length(x), 'w': x})).w) AS form FROM w WHERE len(ws) > 0)"""
+w AS (SELECT source AS corpus_id, regexp_extract_all(text, '[\\p{Lu}][\\p{L}]{3,}') AS ws FROM documents),
+forms AS (SELECT DISTINCT corpus_id, lower(list_max(list_transform(ws, lambda x: {'n': length(x), 'w': x})).w) AS form FROM w WHERE len(ws) > 0)"""
 
 
 def forms(spark, sf_dir) -> DataFrame:
-    """(corpus_id, key, form) of the forms, in each corpus."""
+    """(corpus_id, key, form) of the forms."""
     found = F.regexp_extract_all("text", F.lit(r"[\p{Lu}][\p{L}]{3,}"), F.lit(0))
     longest = F.array_max(F.transform(found, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    d = table(spark, sf_dir, "documents").select(F.lower(longest).alias("form")).where("form is not null").distinct()
-    return d.join(table(spark, sf_dir, "documents").select(F.col("source").alias("corpus_id")).distinct()).select("corpus_id", F.col("form").alias("key"), "form")
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("corpus_id"), F.lower(longest).alias("key"), F.lower(longest).alias("form")).where("form is not null").distinct()
 
 
 _SPREAD_SQL = f"""{I.SECTIONS_SQL}, {FORMS_SQL},
 t AS (SELECT DISTINCT corpus_id, doc_id, global_index, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS form FROM sections),
-c AS (SELECT DISTINCT corpus_id FROM sections),
-ids AS (SELECT corpus_id, form AS id, CASE WHEN length(form) % 3 = 0 THEN 'Place' ELSE 'Character' END AS type FROM c, forms),
+ids AS (SELECT corpus_id, form AS id, CASE WHEN length(form) % 3 = 0 THEN 'Place' ELSE 'Character' END AS type FROM forms),
 al AS (SELECT corpus_id, id, unnest([id, substr(id, 1, 4)]) AS alias FROM ids WHERE type = 'Character')"""
 
 
@@ -289,3 +288,59 @@ def alias_first_seen(spark, sf_dir):
     nodes = saved(_people(spark, sf_dir))
     d = nodes.select(F.col("id").alias("canon"), F.explode(F.array_distinct(F.array("id", F.substring("id", 1, 4)))).alias("key")).distinct()
     return names.alias_first_seen(d, nodes, I.sections(spark, sf_dir), ["that", "this", "they", "with"])
+
+
+#: Phrases that are looked for: of each document a capitalised word with none to three words after it, and the names of parts, dealt
+#: to the corpora.
+PHRASES_SQL = """
+phrases AS (SELECT DISTINCT source AS corpus_id, lower(CASE doc_id % 4 WHEN 0 THEN regexp_extract(text, '\\p{Lu}\\p{L}+') WHEN 1 THEN regexp_extract(text, '\\p{Lu}\\p{L}+( \\p{L}+){1}')
+  WHEN 2 THEN regexp_extract(text, '\\p{Lu}\\p{L}+( \\p{L}+){2}') ELSE regexp_extract(text, '\\p{Lu}\\p{L}+( \\p{L}+){3}') END) AS form FROM documents
+ UNION SELECT 'src' || p_partkey % 20, lower(p_name) FROM part)"""
+
+
+def phrases(spark, sf_dir) -> DataFrame:
+    """(corpus_id, key, form) of the phrases, of one to four words."""
+    found = lambda n: F.regexp_extract("text", rf"\p{{Lu}}\p{{L}}+( \p{{L}}+){{{n}}}", 0)
+    n = F.col("doc_id") % 4
+    own = F.when(n == 0, found(0)).when(n == 1, found(1)).when(n == 2, found(2)).otherwise(found(3))
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("corpus_id"), F.lower(own).alias("form"))
+    p = table(spark, sf_dir, "part").select(F.concat(F.lit("src"), F.col("p_partkey") % 20), F.lower("p_name"))
+    return d.union(p).where("form <> ''").distinct().select("corpus_id", F.col("form").alias("key"), "form")
+
+
+@query(f"""WITH {I.SECTIONS_SQL}, {PHRASES_SQL},
+x AS (SELECT corpus_id, doc_id, global_index, regexp_extract_all(regexp_replace(lower(text), '\\s+', ' ', 'g'), '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]') AS x FROM sections),
+p AS (SELECT corpus_id, global_index, unnest(x) AS w, unnest(range(1, len(x) + 1)) AS i FROM x),
+q AS (SELECT corpus_id, global_index, w AS w1, w || lead(w) OVER o || lead(w, 2) OVER o AS w2, lead(w, 3) OVER o || lead(w, 4) OVER o AS w3, lead(w, 5) OVER o || lead(w, 6) OVER o AS w4 FROM p WINDOW o AS (PARTITION BY corpus_id, global_index ORDER BY i)),
+f AS (SELECT corpus_id, global_index, unnest([w1, w2, w2 || w3, w2 || w3 || w4]) AS form FROM q),
+t AS (SELECT DISTINCT corpus_id, global_index, form FROM f JOIN phrases USING (corpus_id, form))
+SELECT corpus_id, form AS alias, len(string_split(form, ' ')) AS n_words, min(global_index) AS first_index, count(*) AS n_sections,
+  len(string_split(form, ' ')) <= 3 AND NOT list_has_any(string_split(form, ' '), ['the', 'der', 'in', 'que']) AS display FROM t WHERE form <> '' GROUP BY 1, 2""")
+def phrase_first_seen(spark, sf_dir):
+    """Aliases of one to four words: where each is first read, in how many sections it stands, and whether it is shown."""
+    asked = saved(phrases(spark, sf_dir))
+    s = saved(I.sections(spark, sf_dir).select("corpus_id", "doc_id", "global_index", "text"))
+    nodes = asked.select("corpus_id", F.col("key").alias("id"), F.lit("Character").alias("type"))
+    aliases = asked.select(F.col("key").alias("canon"), "key").distinct()
+    first = names.alias_first_seen(aliases, nodes, s, ["the", "der", "in", "que"]).select("corpus_id", "alias", F.size(F.split("alias", " ")).cast("long").alias("n_words"), "first_index", "display")
+    spread = graph.find_forms(asked, s).groupBy("corpus_id", F.col("form").alias("alias")).agg(F.count_distinct("doc_id").alias("n_sections"))
+    return first.join(spread, ["corpus_id", "alias"])
+
+
+#: Surfaces of any kind: beginnings of the words of parts' names, single letters too, which overlap and nest.
+SURFACES_SQL = """
+surfaces AS (SELECT w[1:n] AS surface, arg_min(p_brand, p_partkey) AS canon, min(p_partkey) AS ord FROM (SELECT p_brand, p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part) x, range(1, 6) r(n) GROUP BY 1),
+brands AS (SELECT p_brand AS id, min(p_size) * 40 AS first_index FROM part GROUP BY 1)"""
+
+
+@query(f"""WITH {SURFACES_SQL}, hit AS (SELECT doc_id, canon AS start, min(ord) AS o FROM documents JOIN surfaces ON contains(text, surface) GROUP BY 1, 2)
+SELECT doc_id, start, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY o, start) AS INTEGER) AS start_ord FROM hit JOIN brands ON id = start AND first_index <= doc_id""")
+def link_texts(spark, sf_dir):
+    """Whole texts as questions, read up to their number, against short surfaces that overlap and nest."""
+    p = table(spark, sf_dir, "part")
+    words = p.select("p_brand", "p_partkey", F.explode(F.split("p_name", " ")).alias("w"))
+    begun = words.select("p_brand", "p_partkey", F.explode(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda n: F.substring("w", F.lit(1), n))).alias("surface"))
+    surfaces = begun.groupBy("surface").agg(F.min_by("p_brand", "p_partkey").alias("canon"), F.min("p_partkey").alias("ord"))
+    nodes = p.groupBy(F.col("p_brand").alias("id")).agg((F.min("p_size") * 40).alias("first_revealed_index")).withColumn("corpus_id", F.lit("all"))
+    asked = table(spark, sf_dir, "documents").select(F.lit("all").alias("corpus_id"), F.col("doc_id").alias("question_id"), F.col("text").alias("question"), F.col("doc_id").alias("read_point"))
+    return retrieve.link_starts(asked, surfaces, nodes).select(F.col("question_id").alias("doc_id"), "start", "start_ord")
