@@ -99,3 +99,63 @@ def test_todo(spark):
     ids = lambda df: sorted(r.global_index for r in df.collect())
     assert ids(S.todo_sections(s, done, "p1")) == [1, 3, 4, 5]
     assert ids(S.todo_sections(s, done, "p1", ["ch002", "ch004", 5])) == [4, 5]
+
+
+def plain_sections(lines):
+    """The sections of one corpus by a scan line by line."""
+    out, inside, part, book, due, titled = [], False, None, None, False, False
+    number = lambda s: {"I": 1, "II": 2, "IV": 4}[s]
+    for x in lines:
+        if titled or due:
+            if x.strip():
+                out[-1]["title"].append(x.strip())
+                due, titled = False, True
+                continue
+            if titled:
+                titled = False
+        if m := re.match(r"PART ([IVXL]+)\s*$", x):
+            part = number(m[1])
+        elif m := re.match(r"Book ([IVXL]+)\.\s*(.*)$", x):
+            book, inside = (number(m[1]), m[2].strip()), False
+        elif re.match(r"EPILOGUE\s*$", x):
+            book, inside = (13, "Epilogue"), False
+        elif m := re.match(r"Chapter ([IVXL]+)\.\s*$", x):
+            out.append({"no": number(m[1]), "part": part, "book": book, "title": [], "text": []})
+            inside, due = True, True
+        elif inside:
+            out[-1]["text"].append(x)
+    return [(s["part"], *(s["book"] or (None, None)), s["no"], " ".join(s["title"]), re.sub(r"\n{3,}", "\n\n", "\n".join(s["text"])).strip()) for s in out]
+
+
+def test_sections_over_many_blocks(spark, monkeypatch):
+    """Headings, titles and chains of headings across the borders of blocks of any size."""
+    import random
+
+    r = random.Random(8)
+    kinds = ["", "", " ", "plain", "more  text", "Chapter I.", "Chapter IV.", "Book II. Of it", "EPILOGUE", "PART II", "PART I"]
+    corpora = {f"c{k}": [r.choice(kinds if k % 2 else kinds[:1] + kinds[5:7] + kinds[3:4]) for _ in range(r.randint(1, 120))] for k in range(8)}
+    rows = [(c, i * 3, x) for c, xs in corpora.items() for i, x in enumerate(xs)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "corpus_id string, line_no int, line string").repartition(3)
+    want = {c: plain_sections(xs) for c, xs in corpora.items()}
+    for block in (1, 4, 4096):
+        monkeypatch.setattr(S, "BLOCK", block)
+        got = {}
+        for x in S.assign_sections(df).orderBy("global_index").collect():
+            got.setdefault(x.corpus_id, []).append((x.part, x.book_no, x.book_title, x.chapter_no, x.chapter_title, x.text))
+            assert x.global_index == len(got[x.corpus_id])
+        assert got == {c: v for c, v in want.items() if v} and sum(map(len, got.values())) > 60
+
+
+def test_chunks_of_a_very_long_text(spark):
+    """Pieces are cut in one pass: a text eight times as long takes no sixty-four times the time."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    one = spark.range(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab é 漢字 "), 1_000_000).alias("text"))
+    began = time.time()
+    got = S.chunk_fixed(one).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("c"), F.max("start").alias("s")).first()
+    assert (got.n, got.c, got.s) == (4000, 8_000_000, 7_998_000)
+    got = S.chunk_overlap(one, 3000, 500).agg(F.count("*").alias("n"), F.max("start").alias("s"), F.min(F.length("text")).alias("m")).first()
+    assert (got.n, got.s, got.m) == (3200, 7_997_500, 2_499) and time.time() - began < 60
