@@ -153,8 +153,9 @@ def top_hubs(nodes: DataFrame, k: int = 12) -> DataFrame:
     return nodes.where("is_hub").orderBy(F.desc("n_text_chapters"), "corpus_id", "id").limit(k).select("corpus_id", "id", "n_text_chapters")
 
 
-def build_report(audit: DataFrame, rejected: DataFrame, accepted: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(measure, value): triples raw, kept and dropped by reason, aliases, nodes, edges, nodes by type."""
+def build_report(audit: DataFrame, rejected: DataFrame, accepted: DataFrame, nodes: DataFrame, edges: DataFrame, triples: DataFrame | None = None) -> DataFrame:
+    """(measure, value): triples raw, kept and dropped by reason, aliases, nodes, edges, nodes by type; with triples, the
+    sections and passes that they come from, and how many sections were read in how many passes."""
     row = lambda name, df: df.agg(F.count("*").alias("value")).select(F.lit(name).alias("measure"), "value")
     parts = [
         audit.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("value")).select(F.lit("triples raw").alias("measure"), "value"),
@@ -162,4 +163,7 @@ def build_report(audit: DataFrame, rejected: DataFrame, accepted: DataFrame, nod
         row("aliases accepted", accepted), row("aliases rejected", rejected), row("nodes", nodes), row("edges", edges),
         nodes.groupBy("type").agg(F.count("*").alias("value")).select(F.concat(F.lit("nodes "), "type").alias("measure"), "value"),
     ]
+    if triples is not None:
+        read = triples.select("corpus_id", "doc_id", "pass").distinct()
+        parts += [row("sections", read.select("corpus_id", "doc_id").distinct()), row("passes", read.select("pass").distinct()), row("sections x passes", read)]
     return reduce(DataFrame.union, parts)

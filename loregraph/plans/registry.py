@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loregraph.functions import text as T
-from loregraph.functions.tables import saved, table
+from loregraph.functions.tables import saved, shared_path, table
 from loregraph.operators import evaluate, evidence, gate, graph, names, rank, retrieve, sections
 from loregraph.plans import inputs as I
 from loregraph.plans import texts
 from loregraph.plans.catalog import QUERIES, SQL, query
+from loregraph.sources import files
 
 FLAGSHIP = "retrieve"
 
@@ -192,36 +193,38 @@ def _retrieved(spark, sf_dir):
     return nodes, edges, starts, saved(search.ranked(retrieve.MAX_TRIPLES)), used
 
 
-@query(
-    f"""{_RETRIEVE_SQL},
-b AS (SELECT corpus_id, question_id, string_agg('[' || place || '] ' || src || ' -[' || relation || ']-> ' || dst || ' <' || certainty || '>' || chr(10) || '    source: L' || first_index || chr(10) || '    text: "' || quote || '"', chr(10) ORDER BY place) AS block FROM k GROUP BY 1, 2)
-SELECT q.corpus_id, q.question_id, coalesce(b.block, 'Up to section ' || q.read_point || ' this has not been revealed yet.') AS block FROM questions q LEFT JOIN b USING (corpus_id, question_id)"""
-)
+#: Blocks of evidence; the starts, stages and traces of questions; the labels of their evidence.
+_TOLD_SQL = """
+b AS (SELECT corpus_id, question_id, string_agg('[' || place || '] ' || src || ' -[' || relation || ']-> ' || dst || ' <' || certainty || '>' || chr(10) || '    source: L' || first_index || chr(10) || '    text: "' || quote || '"', chr(10) ORDER BY place) AS block FROM k GROUP BY 1, 2),
+blocks AS (SELECT q.corpus_id, q.question_id, coalesce(b.block, 'Up to section ' || q.read_point || ' this has not been revealed yet.') AS block FROM questions q LEFT JOIN b USING (corpus_id, question_id)),
+n AS (SELECT corpus_id, question_id, count(*) AS n FROM k GROUP BY 1, 2), s AS (SELECT corpus_id, question_id, list(start ORDER BY start_ord) AS s FROM starts GROUP BY 1, 2),
+m AS (SELECT q.corpus_id, q.question_id, q.read_point, coalesce(s.s, []) AS s, coalesce(n.n, 0) AS n, CASE u.stage WHEN 3 THEN 3 ELSE 2 END AS hops, u.stage > 1 AS allow_hub FROM questions q JOIN used u USING (corpus_id, question_id) LEFT JOIN n USING (corpus_id, question_id) LEFT JOIN s USING (corpus_id, question_id)),
+summary AS (SELECT corpus_id, question_id, array_to_string(s, ',') AS starts, CAST(hops AS INTEGER) AS hops, allow_hub, CAST(n AS BIGINT) AS n_triples,
+ 'read point ' || read_point || ': ' || (SELECT count(*) FROM nodes x WHERE x.corpus_id = m.corpus_id AND first_revealed_index <= read_point) || ' of ' || (SELECT count(*) FROM nodes x WHERE x.corpus_id = m.corpus_id) || ' nodes, '
+ || (SELECT count(*) FROM edges x WHERE x.corpus_id = m.corpus_id AND first_revealed_index <= read_point) || ' of ' || (SELECT count(*) FROM edges x WHERE x.corpus_id = m.corpus_id) || ' edges are visible | starts: '
+ || CASE WHEN len(s) > 0 THEN array_to_string(s, ', ') ELSE 'none' END || ' | ' || hops || ' hops, hubs ' || CASE WHEN allow_hub THEN 'open' ELSE 'closed' END || ': ' || n || ' triples' AS trace FROM m),
+spots AS (SELECT DISTINCT corpus_id, question_id, unnest(places) AS g FROM k),
+sources AS (SELECT corpus_id, question_id, string_agg('L' || g, ',' ORDER BY g) AS labels FROM spots GROUP BY 1, 2)"""
+
+
+@query(f"{_RETRIEVE_SQL}, {_TOLD_SQL} SELECT * FROM blocks")
 def retrieve_(spark, sf_dir):
     _, _, _, triples, _ = _retrieved(spark, sf_dir)
     return retrieve.evidence_block(triples, I.questions(spark, sf_dir))
 
 
+def _summary(spark, sf_dir, nodes, edges, starts, triples, used) -> DataFrame:
+    asked = I.questions(spark, sf_dir)
+    return retrieve.retrieval_summary(asked, starts, triples, used, gate.visibility_counts(nodes, edges, asked.select("corpus_id", "read_point")))
 
-@query(
-    f"""{_RETRIEVE_SQL},
-n AS (SELECT corpus_id, question_id, count(*) AS n FROM k GROUP BY 1, 2), s AS (SELECT corpus_id, question_id, list(start ORDER BY start_ord) AS s FROM starts GROUP BY 1, 2),
-m AS (SELECT q.corpus_id, q.question_id, q.read_point, coalesce(s.s, []) AS s, coalesce(n.n, 0) AS n, CASE u.stage WHEN 3 THEN 3 ELSE 2 END AS hops, u.stage > 1 AS allow_hub FROM questions q JOIN used u USING (corpus_id, question_id) LEFT JOIN n USING (corpus_id, question_id) LEFT JOIN s USING (corpus_id, question_id))
-SELECT corpus_id, question_id, array_to_string(s, ',') AS starts, CAST(hops AS INTEGER) AS hops, allow_hub, CAST(n AS BIGINT) AS n_triples,
- 'read point ' || read_point || ': ' || (SELECT count(*) FROM nodes x WHERE x.corpus_id = m.corpus_id AND first_revealed_index <= read_point) || ' of ' || (SELECT count(*) FROM nodes x WHERE x.corpus_id = m.corpus_id) || ' nodes, '
- || (SELECT count(*) FROM edges x WHERE x.corpus_id = m.corpus_id AND first_revealed_index <= read_point) || ' of ' || (SELECT count(*) FROM edges x WHERE x.corpus_id = m.corpus_id) || ' edges are visible | starts: '
- || CASE WHEN len(s) > 0 THEN array_to_string(s, ', ') ELSE 'none' END || ' | ' || hops || ' hops, hubs ' || CASE WHEN allow_hub THEN 'open' ELSE 'closed' END || ': ' || n || ' triples' AS trace FROM m"""
-)
+
+@query(f"{_RETRIEVE_SQL}, {_TOLD_SQL} SELECT * FROM summary")
 def retrieval_summary(spark, sf_dir):
-    nodes, edges, starts, triples, used = _retrieved(spark, sf_dir)
-    asked = I.questions(spark, sf_dir)
-    counts = gate.visibility_counts(nodes, edges, asked.select("corpus_id", "read_point"))
-    out = retrieve.retrieval_summary(asked, starts, triples, used, counts)
+    out = _summary(spark, sf_dir, *_retrieved(spark, sf_dir))
     return out.select("corpus_id", "question_id", F.array_join("starts", ",").alias("starts"), "hops", "allow_hub", "n_triples", F.array_join("trace", " | ").alias("trace"))
 
 
-@query(f"""{_RETRIEVE_SQL}, g AS (SELECT DISTINCT corpus_id, question_id, unnest(places) AS g FROM k)
-SELECT corpus_id, question_id, string_agg('L' || g, ',' ORDER BY g) AS labels FROM g GROUP BY 1, 2""")
+@query(f"{_RETRIEVE_SQL}, {_TOLD_SQL} SELECT * FROM sources")
 def retrieval_sources(spark, sf_dir):
     _, _, _, triples, _ = _retrieved(spark, sf_dir)
     return retrieve.sources(triples).select("corpus_id", "question_id", F.array_join("labels", ",").alias("labels"))
@@ -251,13 +254,17 @@ def chunk_fixed(spark, sf_dir):
 
 
 @query(
-    """WITH t AS (SELECT conv_id AS book_no, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS due, length(text) AS n FROM conversations)
-SELECT 'chapters out of order' AS what, count(DISTINCT book_no) AS n FROM t WHERE turn + 1 <> due HAVING count(*) > 0 UNION ALL SELECT 'short section', count(*) FROM t WHERE n < 500 HAVING count(*) > 0"""
+    """WITH t AS (SELECT 'log' || conv_id % 5 AS corpus_id, conv_id AS book_no, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS due, length(text) AS n FROM conversations),
+c AS (SELECT corpus_id, count(*) AS n, sum(n) AS chars FROM t GROUP BY 1)
+SELECT DISTINCT corpus_id, 'chapters out of order' AS what, 'book ' || book_no AS "where" FROM t WHERE turn + 1 <> due UNION ALL SELECT corpus_id, 'short section', book_no || '-' || turn FROM t WHERE n < 500
+UNION ALL SELECT corpus_id, 'number of sections', CAST(n AS VARCHAR) FROM c WHERE n <> 100 UNION ALL SELECT corpus_id, 'summary', n || ' sections, ' || chars || ' characters' FROM c"""
 )
 def check_sections(spark, sf_dir):
+    """Conversations as books of five corpora: what is wrong with them, where, and their totals."""
     c = table(spark, sf_dir, "conversations")
-    rows = c.select(F.lit("log").alias("corpus_id"), F.concat_ws("-", "conv_id", "turn").alias("doc_id"), F.col("turn").alias("global_index"), F.col("conv_id").alias("book_no"), (F.col("turn") + 1).alias("chapter_no"), F.length("text").alias("n_chars"))
-    return sections.check_sections(rows)[0].groupBy("what").agg(F.count("*").alias("n"))
+    rows = c.select(F.concat(F.lit("log"), F.col("conv_id") % 5).alias("corpus_id"), F.concat_ws("-", "conv_id", "turn").alias("doc_id"), F.col("turn").alias("global_index"), F.col("conv_id").alias("book_no"), (F.col("turn") + 1).alias("chapter_no"), F.length("text").alias("n_chars"))
+    wrong, totals = sections.check_sections(rows, expected=100)
+    return wrong.union(totals.select("corpus_id", F.lit("summary"), F.concat("n_sections", F.lit(" sections, "), "n_chars", F.lit(" characters"))))
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id % 3 <> 0")
@@ -278,11 +285,35 @@ _NORM_QUOTE = lambda c: f"translate(lower(trim(regexp_replace({c}, '\\s+', ' ',
 
 @query(
     f"""WITH q AS (SELECT CASE WHEN doc_id % 3 = 0 THEN doc_id + 1 ELSE doc_id END AS doc_id, doc_id AS tri_pos, substr(text, CAST(greatest(length(text) // 2 - 30, 0) AS INT) + 1, 60) AS quote FROM documents)
-SELECT q.tri_pos, q.doc_id FROM q JOIN documents d ON d.doc_id = q.doc_id WHERE contains({_NORM_QUOTE("d.text")}, {_NORM_QUOTE("q.quote")})"""
+SELECT q.tri_pos, q.doc_id, 2 * d.doc_id AS global_index, 'L' || d.doc_id AS label FROM q JOIN documents d ON d.doc_id = q.doc_id WHERE contains({_NORM_QUOTE("d.text")}, {_NORM_QUOTE("q.quote")})"""
 )
 def verify_quotes(spark, sf_dir):
-    s = table(spark, sf_dir, "documents").select(F.lit("all").alias("corpus_id"), "doc_id", F.col("doc_id").alias("global_index"), F.lit("x").alias("label"), "text")
-    return evidence.verify_quotes(quotes(spark, sf_dir), s)[0].select("tri_pos", "doc_id")
+    return evidence.verify_quotes(quotes(spark, sf_dir), _stamped(spark, sf_dir))[0].select("tri_pos", "doc_id", "global_index", "label")
+
+
+def _stamped(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.lit("all").alias("corpus_id"), "doc_id", (2 * F.col("doc_id")).alias("global_index"), F.concat(F.lit("L"), "doc_id").alias("label"), "text")
+
+
+@query(
+    f"""WITH q AS (SELECT CASE WHEN doc_id % 3 = 0 THEN doc_id + 1 ELSE doc_id END AS doc_id, doc_id AS tri_pos, substr(text, CAST(greatest(length(text) // 2 - 30, 0) AS INT) + 1, 60) AS quote FROM documents),
+k AS (SELECT q.*, contains({_NORM_QUOTE("d.text")}, {_NORM_QUOTE("q.quote")}) AS ok FROM q JOIN documents d ON d.doc_id = q.doc_id),
+t AS (SELECT doc_id, string_agg('T' || tri_pos || '-' || tri_pos % 3 || '-' || md5(quote) || '-' || CASE tri_pos % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' ELSE 'null' END, ',' ORDER BY tri_pos) FILTER (ok) AS triples, count(*) FILTER (NOT ok) AS x FROM k GROUP BY 1),
+e AS (SELECT doc_id, regexp_extract_all(text, '\\p{{Lu}}\\p{{L}}+')[:1 + doc_id % 4] AS w FROM documents)
+SELECT 'p1' AS pass, e.doc_id, 2 * e.doc_id AS global_index, 'L' || e.doc_id AS label, array_to_string(list_transform(w, lambda n: n || ':Character:' || lower(n)), ',') AS entities, coalesce(triples, '') AS triples, CAST(coalesce(x, 0) AS INTEGER) AS dropped_unquoted FROM e LEFT JOIN t USING (doc_id)"""
+)
+def collect_extraction(spark, sf_dir):
+    """A section's entities, triples and drops in one row: names from its text, triples by its quotes."""
+    s = _stamped(spark, sf_dir)
+    kept, gone = evidence.verify_quotes(quotes(spark, sf_dir), s)
+    judged = F.when(F.col("tri_pos") % 3 == 0, True).when(F.col("tri_pos") % 3 == 1, False)
+    tri = kept.select("corpus_id", "doc_id", "tri_pos", F.concat(F.lit("T"), "tri_pos").alias("subject"), (F.col("tri_pos") % 3).cast("string").alias("relation"), F.md5("quote").alias("object"), "quote", judged.alias("disputed"))
+    found = F.slice(F.regexp_extract_all("text", F.lit(r"\p{Lu}\p{L}+"), F.lit(0)), F.lit(1), (1 + F.col("doc_id") % 4).cast("int"))
+    ents = s.select("corpus_id", "doc_id", F.posexplode(found).alias("ent_pos", "name")).select("corpus_id", "doc_id", "ent_pos", "name", F.lit("Character").alias("type"), F.array(F.lower("name")).alias("aliases"))
+    out = evidence.collect_extraction(s.drop("text"), ents, tri, gone, "p1")
+    entity = lambda e: F.concat_ws(":", e["name"], e["type"], F.array_join(e["aliases"], ";"))
+    triple = lambda t: F.concat_ws("-", t["subject"], t["relation"], t["object"], F.coalesce(t["disputed"].cast("string"), F.lit("null")))
+    return out.select("pass", "doc_id", "global_index", "label", F.array_join(F.transform("entities", entity), ",").alias("entities"), F.array_join(F.transform("triples", triple), ",").alias("triples"), "dropped_unquoted")
 
 
 @query(
@@ -416,6 +447,7 @@ def rejected_aliases(spark, sf_dir):
 @query(
     f"""{_LEARNED_SQL}, {I.EVIDENCE_SQL},
 x AS (SELECT 'triples raw' AS measure, count(*) AS value FROM judged UNION ALL SELECT 'triples ' || reason, count(*) FROM judged GROUP BY 1
+ UNION ALL SELECT 'sections', count(DISTINCT corpus_id || doc_id) FROM judged UNION ALL SELECT 'passes', count(DISTINCT pass) FROM judged UNION ALL SELECT 'sections x passes', count(DISTINCT corpus_id || doc_id || pass) FROM judged
  UNION ALL SELECT 'aliases accepted', count(*) FROM accepted UNION ALL SELECT 'aliases rejected', count(*) FROM rejected
  UNION ALL SELECT 'nodes', count(*) FROM nodes UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'nodes ' || type, count(*) FROM nodes GROUP BY 1)
 SELECT measure, CAST(value AS BIGINT) AS value FROM x"""
@@ -425,7 +457,7 @@ def build_report(spark, sf_dir):
     edges = saved(graph.build_edges(graph.fold_evidence(kept)))
     nodes = graph.build_nodes(edges, I.types(spark, sf_dir))
     accepted, rejected = names.learn_aliases(_mentions(spark, sf_dir), rule_tables(spark, sf_dir))
-    return graph.build_report(audit, rejected, accepted, nodes, edges)
+    return graph.build_report(audit, rejected, accepted, nodes, edges, I.triples(spark, sf_dir))
 
 
 @query(
@@ -511,12 +543,13 @@ def _golden(spark, sf_dir) -> DataFrame:
     sup, part, other = F.concat(F.lit("S"), "number"), F.concat(F.lit("P"), "part"), F.concat(F.lit("S"), F.col("number") - 1)
     kind = texts.kind_of("number")
     path = F.when(kind == evaluate.GATE, F.array().cast("array<struct<s:string,rel:string,o:string>>")).otherwise(F.array(step(sup, part), step(part, other)))
-    return q.select("question_id", kind.alias("kind"), (1 + F.col("number") % 3).cast("int").alias("hops"), "question", "read_point", F.lit("x").alias("expected_answer"), path.alias("expected_path"), "number")
+    return q.select("question_id", kind.alias("kind"), (1 + F.col("number") % 3).cast("int").alias("hops"), "question", "read_point", F.concat(F.lit("what the reader of section "), "read_point", F.lit(" may know of "), sup, F.lit(" and "), part, F.lit(" by then")).alias("expected_answer"), path.alias("expected_path"), "number")
 
 
 #: golden; its steps; whether a step is among the triples of a table (named found) and in the graph.
 _GOLDEN_SQL = f"""
-golden AS (SELECT question_id, {texts.KIND} AS kind, 1 + number % 3 AS hops, number, sup, par, 'S' || (number - 1) AS s3, question FROM questions),
+golden AS (SELECT question_id, {texts.KIND} AS kind, 1 + number % 3 AS hops, number, sup, par, 'S' || (number - 1) AS s3, question, read_point, corpus_id,
+  'what the reader of section ' || read_point || ' may know of ' || sup || ' and ' || par || ' by then' AS expected_answer, 'judged by the labels of documents whose number ends in ' || (number % 10) || ', for the question ' || question AS reason FROM questions),
 steps AS (SELECT question_id, 0 AS step, lower(sup) AS s, lower(par) AS o FROM golden WHERE kind <> 'spoiler_gate' UNION ALL SELECT question_id, 1, lower(par), lower(s3) FROM golden WHERE kind <> 'spoiler_gate'),
 tails AS (SELECT DISTINCT question_id, lower(src) AS a, lower(dst) AS b FROM found),
 got AS (SELECT p.question_id, p.step, length(p.s) > 2 AND length(p.o) > 2 AND EXISTS (FROM tails e WHERE e.question_id = p.question_id AND (e.a = p.s AND e.b = p.o OR e.a = p.o AND e.b = p.s)) AS ok FROM steps p),
@@ -530,23 +563,27 @@ def path_recall(spark, sf_dir):
     return evaluate.path_recall(_golden(spark, sf_dir), triples).withColumn("path_recall", F.round("path_recall", 6))
 
 
-_ROWS_SQL = f"""{_RETRIEVE_SQL}, found AS (SELECT question_id, src, dst FROM k), {_GOLDEN_SQL},
+_ROWS_SQL = f"""{_RETRIEVE_SQL}, {_TOLD_SQL}, found AS (SELECT question_id, src, dst FROM k), {_GOLDEN_SQL},
 verdicts AS (SELECT doc_id % 10 AS k, avg(quality) > 0.8 AS correct, avg(toxic) > 0.15 AS leaked FROM labels GROUP BY 1),
 graph AS (SELECT p.question_id, bool_and(length(p.s) > 2 AND length(p.o) > 2 AND EXISTS (FROM edges e WHERE lower(e.src) = p.s AND lower(e.dst) = p.o OR lower(e.src) = p.o AND lower(e.dst) = p.s)) AS in_graph FROM steps p GROUP BY 1),
-rows AS (SELECT g.question_id, g.kind, g.hops, g.question, j.correct, j.leaked, recall.path_recall,
+rows AS (SELECT g.question_id, g.kind, g.hops, g.question, g.read_point, g.expected_answer, g.reason, g.sup, blocks.block, u.n_triples, u.hops AS hops_used, u.allow_hub, u.starts, u.trace, coalesce(sources.labels, '') AS chapters, j.correct, j.leaked, recall.path_recall,
   CASE WHEN j.correct THEN NULL WHEN in_graph IS NULL THEN 'generate' WHEN NOT in_graph THEN 'index' WHEN NOT retrieved THEN 'retrieve' ELSE 'generate' END AS failure_layer
-  FROM golden g LEFT JOIN verdicts j ON j.k = g.number % 10 LEFT JOIN recall USING (question_id) LEFT JOIN graph USING (question_id))"""
+  FROM golden g LEFT JOIN verdicts j ON j.k = g.number % 10 LEFT JOIN recall USING (question_id) LEFT JOIN graph USING (question_id)
+  LEFT JOIN blocks ON blocks.question_id = g.question_id LEFT JOIN summary u ON u.question_id = g.question_id LEFT JOIN sources ON sources.question_id = g.question_id)"""
 
 
 def _rows(spark, sf_dir) -> DataFrame:
     nodes, edges, starts, triples, used = _retrieved(spark, sf_dir)
     golden = saved(_golden(spark, sf_dir))
     labels = table(spark, sf_dir, "labels").groupBy(F.pmod("doc_id", F.lit(10)).alias("k")).agg((F.avg("quality") > 0.8).alias("correct"), (F.avg("toxic") > 0.15).alias("leaked"))
-    judged = golden.join(labels, F.pmod("number", F.lit(10)).cast("long") == F.col("k"), "left").select("question_id", "correct", "leaked")
-    n = triples.groupBy("question_id").agg(F.count("*").cast("int").alias("n_triples"))
-    g = judged.join(n, "question_id", "left").join(used.select("question_id", F.col("hops").alias("hops_used"), F.col("allow_hub").alias("hub_opened")), "question_id", "left")
-    g = g.select("question_id", F.lit("a").alias("answer"), "correct", "leaked", F.lit("r").alias("reason"), "n_triples", "hops_used", "hub_opened", F.array().cast("array<string>").alias("starts"), F.array().cast("array<string>").alias("trace"))
-    b = judged.select("question_id", F.lit("a").alias("answer"), (~F.col("correct")).alias("correct"), "leaked", F.lit("r").alias("reason"), F.array().cast("array<string>").alias("chapters"))
+    judged = golden.join(labels, F.pmod("number", F.lit(10)).cast("long") == F.col("k"), "left").select("question_id", "question", "number", "correct", "leaked")
+    judged = judged.withColumn("reason", F.concat(F.lit("judged by the labels of documents whose number ends in "), F.col("number") % 10, F.lit(", for the question "), "question"))
+    told = _summary(spark, sf_dir, nodes, edges, starts, triples, used).select("question_id", F.col("n_triples").cast("int").alias("n_triples"), F.col("hops").alias("hops_used"), F.col("allow_hub").alias("hub_opened"), "starts", "trace")
+    blocks = retrieve.evidence_block(triples, I.questions(spark, sf_dir)).select("question_id", F.col("block").alias("answer"))
+    labels = retrieve.sources(triples).select("question_id", F.col("labels").alias("chapters"))
+    g = judged.join(told, "question_id").join(blocks, "question_id").select("question_id", "answer", "correct", "leaked", "reason", "n_triples", "hops_used", "hub_opened", "starts", "trace")
+    says = F.concat(F.lit("the chunks say nothing of S"), "number").alias("answer")
+    b = judged.join(labels, "question_id", "left").select("question_id", says, (~F.col("correct")).alias("correct"), "leaked", "reason", F.coalesce("chapters", F.array().cast("array<string>")).alias("chapters"))
     recall = evaluate.path_recall(golden, triples)
     layer = evaluate.failure_layer(golden, triples, edges, judged.select("question_id", "correct"))
     return saved(evaluate.eval_rows(golden, g, b, recall, layer))
@@ -568,7 +605,7 @@ def evaluation_failures(spark, sf_dir):
     return evaluate.failures(_rows(spark, sf_dir))[0].select("failure_layer", "n", F.array_join("ids", ",").alias("ids"))
 
 
-@query(f"{_ROWS_SQL} SELECT question_id, question, 'x' AS expected, 'a' AS answer, 'r' AS reason FROM rows WHERE NOT coalesce(correct, false)")
+@query(f"{_ROWS_SQL} SELECT question_id, question, left(expected_answer, 55) AS expected, left(block, 55) AS answer, left(reason, 70) AS reason FROM rows WHERE NOT coalesce(correct, false)")
 def evaluation_details(spark, sf_dir):
     return evaluate.failures(_rows(spark, sf_dir))[1]
 
@@ -576,3 +613,17 @@ def evaluation_details(spark, sf_dir):
 @query(f"{_ROWS_SQL}, l AS (SELECT count(*) AS n, coalesce(string_agg(question_id, ',' ORDER BY question_id), '') AS ids FROM rows WHERE leaked) SELECT 'graph' AS system, n, ids FROM l UNION ALL SELECT 'basic', n, ids FROM l")
 def evaluation_leaks(spark, sf_dir):
     return evaluate.leaks(_rows(spark, sf_dir)).select("system", "n", F.array_join("ids", ",").alias("ids"))
+
+
+@query(f"""{_ROWS_SQL} SELECT question_id, kind, CAST(hops AS INTEGER) AS hops, question, read_point, expected_answer, md5(block) AS answer_md5, correct, leaked, reason, CAST(n_triples AS INTEGER) AS n_triples, hops_used, allow_hub AS hub_opened, starts, trace,
+  'the chunks say nothing of ' || sup AS basic_answer, NOT correct AS basic_correct, chapters, round(path_recall, 6) AS path_recall, failure_layer FROM rows""")
+def evaluation_rows(spark, sf_dir):
+    """The nested rows of the evaluation as they come back from a file, every field of them."""
+    rows, path = _rows(spark, sf_dir), shared_path(spark)
+    files.write_eval(rows, path)
+    read = spark.read.schema(rows.schema).json(path)
+    joined = lambda c, sep: F.array_join(c, sep)
+    return read.select(
+        "question_id", "kind", "hops", "question", "read_point", "expected_answer", F.md5("graph.answer").alias("answer_md5"), "graph.correct", "graph.leaked", "graph.reason", "graph.n_triples", "graph.hops_used", "graph.hub_opened",
+        joined("graph.starts", ",").alias("starts"), joined("graph.trace", " | ").alias("trace"), F.col("basic.answer").alias("basic_answer"), F.col("basic.correct").alias("basic_correct"), joined("basic.chapters", ",").alias("chapters"), F.round("path_recall", 6).alias("path_recall"), "failure_layer",
+    )
