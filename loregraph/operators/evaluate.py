@@ -22,26 +22,29 @@ def expected_steps(questions: DataFrame, weak: Weak = ()) -> DataFrame:
     return rows.select("question_id", "step", key_tokens(F.col("x.s"), weak).alias("s"), key_tokens(F.col("x.o"), weak).alias("o"))
 
 
-def _ends(triples: DataFrame, weak: Weak, *key: str) -> DataFrame:
-    return triples.select(*key, key_tokens(F.col("src"), weak).alias("a"), key_tokens(F.col("dst"), weak).alias("b")).distinct()
+def _pairs(rows: DataFrame, a: str, b: str, *key: str) -> DataFrame:
+    """(key, t, u): each token of the one end with each of the other, both ways round. Names share a pair if and only if
+    their ends share a token each, so a token that many names have joins nothing by itself."""
+    one = rows.select(*key, F.explode(a).alias("t"), b).select(*key, "t", F.explode(b).alias("u"))
+    return one.select(*key, F.explode(F.array(F.struct("t", "u"), F.struct(F.col("u").alias("t"), F.col("t").alias("u")))).alias("p")).select(*key, "p.t", "p.u").distinct()
 
 
-_EITHER = "(arrays_overlap(s, a) and arrays_overlap(o, b)) or (arrays_overlap(s, b) and arrays_overlap(o, a))"
+def _matched(questions: DataFrame, edges: DataFrame, weak: Weak, *key: str) -> DataFrame:
+    steps = expected_steps(questions, weak)
+    ends = edges.select(*key, key_tokens(F.col("src"), weak).alias("a"), key_tokens(F.col("dst"), weak).alias("b")).distinct()
+    asked = steps.select("question_id", "step", F.explode("s").alias("t"), "o").select("question_id", "step", "t", F.explode("o").alias("u"))
+    hit = asked.join(_pairs(ends, "a", "b", *key), [*key, "t", "u"], "left_semi").select("question_id", "step").distinct()
+    return steps.select("question_id", "step").join(hit.withColumn("matched", F.lit(True)), ["question_id", "step"], "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
 
 
 def match_steps(questions: DataFrame, triples: DataFrame, weak: Weak = ()) -> DataFrame:
     """(question_id, step, matched): whether a triple of the question joins the two ends, in either direction."""
-    met = expected_steps(questions, weak).join(_ends(triples, weak, "question_id"), "question_id", "left")
-    return met.groupBy("question_id", "step").agg(F.coalesce(F.bool_or(F.expr(_EITHER)), F.lit(False)).alias("matched"))
+    return _matched(questions, triples, weak, "question_id")
 
 
 def match_graph(questions: DataFrame, edges: DataFrame, weak: Weak = ()) -> DataFrame:
-    """The same against all edges: steps and edges meet on a token of an end, then the other end is compared."""
-    steps = expected_steps(questions, weak)
-    ends = _ends(edges, weak)
-    sides = ends.select(F.col("a").alias("x"), F.col("b").alias("y")).union(ends.select("b", "a")).select(F.explode("x").alias("t"), "y")
-    hit = steps.select("question_id", "step", "o", F.explode("s").alias("t")).join(sides, "t").where(F.arrays_overlap("o", "y")).select("question_id", "step").distinct()
-    return steps.select("question_id", "step").join(hit.withColumn("matched", F.lit(True)), ["question_id", "step"], "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
+    """The same against all edges."""
+    return _matched(questions, edges, weak)
 
 
 def path_recall(questions: DataFrame, triples: DataFrame, weak: Weak = ()) -> DataFrame:

@@ -2,20 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loregraph.functions.automaton import of_strings
 from loregraph.functions.text import collapse, norm_quote, strip
 
 
+#: Quotes that stand beside a section's text at once; fewer than FEW are looked for one by one.
+QUOTES, FEW = 10_000, 8
+
+
+def _standing(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The quotes that are in the text of their row; many are found in one pass over it."""
+    for table in tables:
+        for corpus, doc, text, quotes in zip(*[table.column(c) for c in ("corpus_id", "_doc", "_hay", "_quotes")]):
+            text, quotes = text.as_py(), quotes.as_py()
+            if len(quotes) < FEW:
+                found = [q for q in quotes if q in text]
+            else:
+                machine = of_strings({q: q for q in quotes if q})
+                found = sorted({q for _, q in machine.iter(text)} if len(machine) else []) + [q for q in quotes if not q]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([corpus.as_py()] * len(found), pa.string()), pa.array([doc.as_py()] * len(found), pa.string()), pa.array(found, pa.string())], names=["corpus_id", "_doc", "_quote"])
+
+
+def _packed(asked: DataFrame, key: list[str], value: str, name: str) -> DataFrame:
+    """The values of a section as arrays of about QUOTES."""
+    counts = asked.groupBy(*key).agg(F.ceil(F.count("*") / QUOTES).alias("_parts"))
+    part = F.pmod(F.xxhash64(value), F.col("_parts")).alias("_part")
+    return asked.join(counts, key).select(*key, value, part).groupBy(*key, "_part").agg(F.collect_list(value).alias(name)).drop("_part")
+
+
 def verify_quotes(candidates: DataFrame, sections: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kept, dropped). kept: the triples whose normalised quote is in the whole section's normalised text, stamped with
-    global_index and label. dropped: (corpus_id, doc_id, dropped_unquoted). An empty quote is kept; a null one is not."""
-    hay = sections.select("corpus_id", "doc_id", "global_index", "label", norm_quote(F.col("text")).alias("_hay"))
+    global_index and label. dropped: (corpus_id, doc_id, dropped_unquoted). An empty quote is kept; a null one is not.
+
+    A text stands beside the quotes of its section once, up to QUOTES of them."""
+    key = ["corpus_id", "doc_id"]
     own = candidates.select(*[c for c in candidates.columns if c not in ("global_index", "label")]).withColumn("_quote", norm_quote(F.col("quote")))
-    met = own.join(hay, ["corpus_id", "doc_id"], "left").withColumn("_ok", F.coalesce(F.col("_hay").contains(F.col("_quote")), F.lit(False)))
-    kept = met.where("_ok").drop("_hay", "_quote", "_ok")
-    return kept, met.groupBy("corpus_id", "doc_id").agg(F.sum(F.when(~F.col("_ok"), 1).otherwise(0)).alias("dropped_unquoted"))
+    asked = own.where("_quote is not null").select("corpus_id", F.col("doc_id").cast("string").alias("_doc"), "_quote").distinct()
+    hay = sections.where("text is not null").select("corpus_id", F.col("doc_id").cast("string").alias("_doc"), norm_quote(F.col("text")).alias("_hay"))
+    met = _packed(asked, ["corpus_id", "_doc"], "_quote", "_quotes").join(hay, ["corpus_id", "_doc"])
+    found = met.select("corpus_id", "_doc", "_hay", "_quotes").mapInArrow(_standing, "corpus_id string, _doc string, _quote string").distinct().withColumn("_ok", F.lit(True))
+    judged = own.withColumn("_doc", F.col("doc_id").cast("string")).join(found, ["corpus_id", "_doc", "_quote"], "left").drop("_doc", "_quote")
+    kept = judged.where("_ok").drop("_ok").join(sections.select(*key, "global_index", "label"), key)
+    return kept, judged.groupBy(*key).agg(F.sum(F.when(F.col("_ok"), 0).otherwise(1)).alias("dropped_unquoted"))
 
 
 def restrict_vocab(df: DataFrame, column: str, vocab: DataFrame) -> DataFrame:
@@ -47,15 +82,20 @@ def extraction_report(extractions: DataFrame) -> DataFrame:
 
 def mine_quotes(patterns: DataFrame, sections: DataFrame, before: int = 0, after: int = 170) -> DataFrame:
     """Per row of patterns(corpus_id, global_index, pattern): the first match in the collapsed section, widened and cut at
-    the ends; quote is null where nothing matches (an error)."""
-    hay = sections.select("corpus_id", "global_index", "doc_id", "label", collapse(F.col("text")).alias("_hay"))
-    rule = F.concat(F.lit("(?is)"), F.col("pattern"))
-    met = patterns.join(hay, ["corpus_id", "global_index"], "left")
-    met = met.withColumn("_at", F.regexp_instr("_hay", rule)).withColumn("_n", F.length(F.regexp_substr("_hay", rule)))
-    start = F.greatest(F.col("_at") - 1 - before, F.lit(0))
-    end = F.least(F.length("_hay"), F.col("_at") - 1 + F.col("_n") + after)
-    quote = F.when(F.col("_at") > 0, strip(F.substring("_hay", start + 1, end - start)))
-    return met.withColumn("quote", quote).drop("_hay", "_at", "_n")
+    the ends; quote is null where nothing matches (an error). A text stands beside the patterns of its section once."""
+    key = ["corpus_id", "global_index"]
+    hay = sections.select(*key, "doc_id", "label", collapse(F.col("text")).alias("_hay"))
+    packed = _packed(patterns.where("pattern is not null").select(*key, "pattern").distinct(), key, "pattern", "_patterns")
+
+    def cut(p: Column) -> Column:
+        rule = F.concat(F.lit("(?is)"), p)
+        at = F.regexp_instr("_hay", rule) - 1
+        start = F.greatest(at - before, F.lit(0))
+        end = F.least(F.length("_hay"), at + F.length(F.regexp_substr("_hay", rule)) + after)
+        return F.struct(p.alias("pattern"), F.when(at >= 0, strip(F.substring("_hay", start + 1, end - start))).alias("quote"))
+
+    found = packed.join(hay, key).select(*key, F.explode(F.transform("_patterns", cut)).alias("f")).select(*key, "f.*")
+    return patterns.join(found, [*key, "pattern"], "left").join(sections.select(*key, "doc_id", "label"), key, "left")
 
 
 def check_evidence_gate(questions: DataFrame) -> DataFrame:

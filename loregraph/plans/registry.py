@@ -627,3 +627,16 @@ def evaluation_rows(spark, sf_dir):
         "question_id", "kind", "hops", "question", "read_point", "expected_answer", F.md5("graph.answer").alias("answer_md5"), "graph.correct", "graph.leaked", "graph.reason", "graph.n_triples", "graph.hops_used", "graph.hub_opened",
         joined("graph.starts", ",").alias("starts"), joined("graph.trace", " | ").alias("trace"), F.col("basic.answer").alias("basic_answer"), F.col("basic.correct").alias("basic_correct"), joined("basic.chapters", ",").alias("chapters"), F.round("path_recall", 6).alias("path_recall"), "failure_layer",
     )
+
+
+@query(f"""WITH {I.EVIDENCE_SQL}, {I.QUESTIONS_SQL}, found AS (SELECT question_id, sup AS src, par AS dst FROM questions), {_GOLDEN_SQL},
+names AS (SELECT id, CASE WHEN length(id) > 2 AND length(id) % 3 < 2 THEN [id] ELSE list_filter([['anna', 'ivan', 'old'][1 + length(id) % 3], id], lambda t: length(t) > 2) END AS t FROM (SELECT s AS id FROM steps UNION SELECT o FROM steps UNION SELECT lower(src) FROM edges UNION SELECT lower(dst) FROM edges) x),
+w AS (SELECT question_id, step, a.t AS s, b.t AS o FROM steps JOIN names a ON a.id = s JOIN names b ON b.id = o), e AS (SELECT DISTINCT a.t AS a, b.t AS b FROM edges JOIN names a ON a.id = lower(src) JOIN names b ON b.id = lower(dst))
+SELECT question_id, step, EXISTS (FROM e WHERE list_has_any(s, a) AND list_has_any(o, b) OR list_has_any(s, b) AND list_has_any(o, a)) AS matched FROM w""")
+def match_graph(spark, sf_dir):
+    """Steps between names of which many share their first word, some of them weak words, against all edges."""
+    first = lambda c: F.element_at(F.array(*map(F.lit, ("Anna", "Ivan", "Old"))), 1 + F.length(c) % 3)
+    named = lambda c: F.concat(first(c), F.lit(" "), c)
+    q = _golden(spark, sf_dir).withColumn("expected_path", F.transform("expected_path", lambda x: F.struct(named(x["s"]).alias("s"), x["rel"].alias("rel"), named(x["o"]).alias("o"))))
+    _, edges = built(spark, sf_dir)
+    return evaluate.match_graph(q, edges.select(named(F.col("src")).alias("src"), named(F.col("dst")).alias("dst")), weak=["anna", "ivan"])

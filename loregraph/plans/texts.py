@@ -115,7 +115,14 @@ def graph_files(spark, sf_dir):
 
 @query(f"WITH {I.EVIDENCE_SQL} SELECT corpus_id || ':' || id AS id, type, CAST(first_revealed_index AS INTEGER) AS first_revealed_index, CAST(degree AS INTEGER) AS degree, CAST(n_chapters AS INTEGER) AS n_chapters, n_chapters >= {I.HUB_SECTIONS} AS is_hub FROM nodes")
 def graph_file_nodes(spark, sf_dir):
-    return _round_trip(spark, sf_dir)[0].select("id", "type", "first_revealed_index", "degree", "n_chapters", "is_hub")
+    """The nodes of the graph as they come back from one GraphML document."""
+    from loregraph.plans.registry import built
+
+    path = shared_path(spark)
+    nodes, edges = built(spark, sf_dir)
+    own = lambda c: F.concat("corpus_id", F.lit(":"), c)
+    files.write_graphml(nodes.withColumn("id", own("id")), edges.withColumns({"src": own("src"), "dst": own("dst")}), path)
+    return files.read_graphml(spark, path)[0].select("id", "type", "first_revealed_index", "degree", "n_chapters", "is_hub")
 
 
 def _round_trip(spark, sf_dir) -> tuple[DataFrame, DataFrame]:

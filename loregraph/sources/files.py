@@ -85,7 +85,7 @@ def read_graphml(spark: SparkSession, path: str, corpus_id: str = "corpus") -> t
 
     def attributes(kind: str):
         names = {r["_attr.name"]: r["_id"] for r in keys if r["_for"] == kind}
-        return lambda name: F.element_at(F.filter("data", lambda d: d["_key"] == names[name]), 1)["_VALUE"] if name in names else F.lit(None).cast("string")
+        return lambda name: F.try_element_at(F.filter("data", lambda d: d["_key"] == names[name]), F.lit(1))["_VALUE"] if name in names else F.lit(None).cast("string")
 
     of = attributes("node")
     nodes = xml("node", f"_id string, data {data}").where("_id is not null")
@@ -126,6 +126,33 @@ def write_graph(nodes: DataFrame, edges: DataFrame, aliases: DataFrame, path: st
         df.write.format("xml").mode("overwrite").option("rootTag", "graph").option("rowTag", tag).save(f"{path}/graphml/{tag}s")
 
 
+def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """One GraphML document in part files: put one after the other in the order of their names they are a valid document, with
+    keys, nodes and edges. Characters that XML cannot hold are left out. `read_graphml` reads the folder as it is."""
+    spark = nodes.sparkSession
+
+    def escaped(c: Column) -> Column:
+        c = F.regexp_replace(c.cast("string"), r"[^\x09\x0A\x0D\x20-\x{D7FF}\x{E000}-\x{FFFD}\x{10000}-\x{10FFFF}]", "")
+        for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\t", "&#9;"), ("\n", "&#10;"), ("\r", "&#13;")):
+            c = F.replace(c, F.lit(a), F.lit(b))
+        return c
+
+    def data(df: DataFrame, kind: str) -> Column:
+        items = []
+        for n, (on, name, _) in enumerate(GRAPH_KEYS):
+            if on == kind and name in df.columns:
+                value = F.to_json(F.transform("evidence", _as_written)) if name == "evidence" else F.col(name).cast("int") if name == "is_hub" else F.col(name)
+                items.append(F.when(F.col(name).isNotNull(), F.concat(F.lit(f'<data key="d{n}">'), escaped(value), F.lit("</data>"))))
+        return F.concat_ws("", *items)
+
+    keys = [f'<key id="d{n}" for="{on}" attr.name="{name}" attr.type="{kind}"/>' for n, (on, name, kind) in enumerate(GRAPH_KEYS)]
+    head = ['<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', *keys, '<graph edgedefault="directed">']
+    frame = spark.createDataFrame([(0, "", "", "", i, x) for i, x in enumerate(head)] + [(3, "", "", "", i, x) for i, x in enumerate(["</graph>", "</graphml>"])], "kind int, a string, b string, c string, at int, value string")
+    n = nodes.select(F.lit(1), F.col("id"), F.lit(""), F.lit(""), F.lit(0), F.concat(F.lit('<node id="'), escaped(F.col("id")), F.lit('">'), data(nodes, "node"), F.lit("</node>")))
+    e = edges.select(F.lit(2), "src", "dst", "relation", F.lit(0), F.concat(F.lit('<edge id="'), escaped(F.col("relation")), F.lit('" source="'), escaped(F.col("src")), F.lit('" target="'), escaped(F.col("dst")), F.lit('">'), data(edges, "edge"), F.lit("</edge>")))
+    frame.union(n).union(e).orderBy("kind", "a", "b", "c", "at").select("value").write.mode("overwrite").text(path)
+
+
 def _as_written(e: Column) -> Column:
     """A piece of evidence under the names of the file."""
     return F.struct(e["doc_id"].alias("doc_id"), e["global_index"].alias("global_index"), e["label"].alias("label_ko"), e["quote"].alias("quote"), e["disputed"].alias("disputed"), e["n_passes"].alias("n_passes"))

@@ -36,3 +36,26 @@ def test_golden_checks(spark):
     q = spark.createDataFrame([("a", "multihop", 2, 5, [(1,), (5,)]), ("b", "spoiler_gate", 1, 5, [(6,)]), ("c", "multihop", 2, 5, [])], "question_id string, kind string, hops int, read_point int, evidence array<struct<global_index:int>>")
     assert [r.question_id for r in E.check_evidence_gate(q).collect()] == ["b"]
     assert {tuple(r) for r in E.question_profile(q).collect()} == {("kind", "multihop", 2), ("kind", "spoiler_gate", 1), ("hops", "2", 2)}
+
+
+def test_many_quotes_of_a_section(spark, monkeypatch):
+    """More quotes than stand beside a text at once; few, many, equal, empty and null ones; sections without text or quotes."""
+    import random
+
+    from loregraph.operators import evidence
+
+    r = random.Random(3)
+    texts = {"d1": "".join(r.choice("ab c\u2019") for _ in range(300)), "d2": "x “Y” z", "d3": None, "d4": ""}
+    quotes = [("d1", "".join(r.choice("ab c'") for _ in range(r.randint(1, 6)))) for _ in range(400)] + [("d1", ""), ("d1", None), ("d2", 'X "y"'), ("d2", "q"), ("d3", "a"), ("d3", ""), ("d4", ""), ("d4", "a"), ("d9", "a"), ("d2", 'X "y"')]
+    sections = spark.createDataFrame([("c", d, i, f"L{i}", t) for i, (d, t) in enumerate(texts.items())], "corpus_id string, doc_id string, global_index int, label string, text string")
+    rows = spark.createDataFrame([("c", d, i, q) for i, (d, q) in enumerate(quotes)], "corpus_id string, doc_id string, tri_pos int, quote string")
+    flat = lambda x: " ".join(x.split()).lower().replace("\u2019", "'").replace("“", '"').replace("”", '"')
+    good = {i for i, (d, q) in enumerate(quotes) if q is not None and texts.get(d) is not None and flat(q) in flat(texts[d])}
+    for most in (10_000, 30):
+        monkeypatch.setattr(evidence, "QUOTES", most)
+        kept, dropped = evidence.verify_quotes(rows, sections)
+        got = kept.collect()
+        assert {x.tri_pos for x in got} == good and len(got) == len(good) > 50
+        assert all((x.global_index, x.label) == (int(x.doc_id[1]) - 1, f"L{int(x.doc_id[1]) - 1}") for x in got)
+        want = {d: sum(1 for i, (e, _) in enumerate(quotes) if e == d and i not in good) for d, _ in quotes}
+        assert {x.doc_id: x.dropped_unquoted for x in dropped.collect()} == want

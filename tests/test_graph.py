@@ -2,6 +2,7 @@ import glob
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from loregraph.operators import gate, graph
 from loregraph.sources import files
@@ -114,3 +115,22 @@ def test_files(spark, tmp_path):
     s = spark.createDataFrame([("c", "ch001", 1, 1, 1, "B", 1, "T", "1 1", 4, "text")], files.SECTION)
     files.write_sections(s, str(tmp_path / "s"))
     assert files.read_sections(spark, str(tmp_path / "s")).first().text == "text"
+
+
+def test_one_document_for_other_readers(spark, tmp_path):
+    """The part files, one after the other, are a document that a plain XML reader takes; awkward names come back as they were."""
+    import xml.etree.ElementTree as ET
+
+    names = ['A & B', 'say "x" <y>', "é 漢\tz", "plain"]
+    edges = graph.build_edges(graph.fold_evidence(frame(spark, *[t("p1", 1 + i, i, names[i], names[(i + 1) % 4]) for i in range(4)])))
+    nodes = graph.build_nodes(edges, spark.createDataFrame([], "corpus_id string, name string, type string")).withColumn("is_hub", F.lit(False))
+    files.write_graphml(nodes.repartition(3), edges.repartition(3), str(tmp_path / "g"))
+    text = "".join(open(p, encoding="utf-8").read() for p in sorted(glob.glob(f"{tmp_path}/g/part-*")))
+    space = "{http://graphml.graphdrawing.org/xmlns}"
+    root = ET.fromstring(text.encode())
+    found = root.find(f"{space}graph")
+    assert root.tag == f"{space}graphml" and len(root.findall(f"{space}key")) == len(files.GRAPH_KEYS)
+    assert {n.get("id") for n in found.findall(f"{space}node")} == set(names)
+    assert {(e.get("source"), e.get("target")) for e in found.findall(f"{space}edge")} == {(names[i], names[(i + 1) % 4]) for i in range(4)}
+    back_nodes, back_edges = files.read_graphml(spark, str(tmp_path / "g"))
+    assert {n.id for n in back_nodes.collect()} == set(names) and {x.evidence[0].quote for x in back_edges.collect()} == {x.evidence[0].quote for x in edges.collect()}
