@@ -14,9 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loregraph.functions.tables import saved
 from loregraph.functions.text import tokens
 
 K1, B, TOP = 1.5, 0.75, 6
+#: Words of a query by which the first chunks are picked.
+LEAD = 3
 #: Query vectors that go to every executor at once (numbers); more are split into blocks.
 SENT_NUMBERS = 4_000_000
 
@@ -34,13 +37,60 @@ def bm25_index(chunks: DataFrame, vocabulary: DataFrame | None = None) -> tuple[
     return postings, df.select("corpus_id", "term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avg_len")
 
 
-def bm25_score(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(corpus_id, query_id, chunk_id, score) of the chunks with a query word; a repeated word counts each time."""
-    asked = queries.select("corpus_id", "query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("corpus_id", "query_id", "term").agg(F.count("*").alias("times"))
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.select("corpus_id", "query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("corpus_id", "query_id", "term").agg(F.count("*").alias("times"))
+
+
+def _weights(chunks: DataFrame, asked: DataFrame, k1: float, b: float) -> DataFrame:
+    """(corpus_id, chunk_id, term, weight): what each word of the queries is worth in each chunk that has it."""
     postings, stats = bm25_index(chunks, asked)
-    met = postings.join(stats, ["corpus_id", "term"]).join(asked, ["corpus_id", "term"])
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n_tokens") / F.col("avg_len")))
-    return met.groupBy("corpus_id", "query_id", "chunk_id").agg(F.sum(weight * F.col("times")).alias("score"))
+    return postings.join(stats, ["corpus_id", "term"]).select("corpus_id", "chunk_id", "term", weight.alias("weight"))
+
+
+def bm25_score(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """(corpus_id, query_id, chunk_id, score) of the chunks with a query word; a repeated word counts each time."""
+    asked = _asked(queries)
+    met = _weights(chunks, asked, k1, b).join(asked, ["corpus_id", "term"])
+    return met.groupBy("corpus_id", "query_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("times")).alias("score"))
+
+
+def bm25_top(chunks: DataFrame, queries: DataFrame, k: int = TOP, k1: float = K1, b: float = B, digits: int = 6) -> tuple[DataFrame, DataFrame]:
+    """(top, work). top: what `topk` gives of all scores, rounded to so many digits. work(corpus_id, query_id, scored, all): postings
+    that were scored for it and that there are.
+
+    A few chunks, the best by the query's LEAD most telling words, are scored first: the score of the k-th is a threshold. Words
+    which together cannot reach it are looked up only for chunks that have one of the others, and of these only for
+    such as can still reach it. What lies after the read point is left out before anything is summed.
+    """
+    key, slack = ["corpus_id", "query_id"], 10.0**-digits * 2
+    asked = _asked(queries)
+    weights = _weights(chunks, asked, k1, b).join(chunks.select("corpus_id", "chunk_id", "global_index"), ["corpus_id", "chunk_id"])
+    weights = saved(weights)
+    peaks = weights.groupBy("corpus_id", "term").agg(F.max("weight").alias("peak"), F.count("*").alias("df"))
+    terms = asked.join(peaks, ["corpus_id", "term"]).join(queries.select(*key, "read_point"), key)
+    by = Window.partitionBy(*key)
+    terms = saved(terms.withColumn("peak", F.col("peak") * F.col("times")).withColumn("place", F.row_number().over(by.orderBy(F.desc("peak"), "term"))))
+
+    def summed(words: DataFrame) -> DataFrame:
+        met = words.join(weights, ["corpus_id", "term"]).where("global_index <= read_point")
+        return met.groupBy(*key, "chunk_id").agg(F.sum(F.col("weight") * F.col("times")).alias("score"), F.count("*").alias("n"))
+
+    def exact(spots: DataFrame) -> DataFrame:
+        met = spots.select(*key, "chunk_id").join(terms.select(*key, "term", "times"), key).join(weights, ["corpus_id", "chunk_id", "term"])
+        return met.groupBy(*key, "chunk_id").agg(F.sum(F.col("weight") * F.col("times")).alias("score"), F.count("*").alias("n"))
+
+    first = summed(terms.where(F.col("place") <= LEAD)).withColumn("r", F.row_number().over(by.orderBy(F.desc("score"), "chunk_id"))).where(F.col("r") <= k)
+    least = saved(exact(first).groupBy(*key).agg(F.when(F.count("*") >= k, F.min("score")).otherwise(0.0).alias("least"), F.sum("n").alias("tried")))
+    so_far = by.orderBy("peak", "term").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = terms.join(least.select(*key, "least"), key, "left").withColumn("needed", F.sum("peak").over(so_far) >= F.coalesce("least", F.lit(0.0)) - slack)
+    ranked = saved(ranked.withColumn("rest", F.sum(F.when(~F.col("needed"), F.col("peak")).otherwise(0.0)).over(by)))
+    some = saved(summed(ranked.where("needed")))
+    hopes = some.join(ranked.groupBy(*key).agg(F.max("rest").alias("rest"), F.coalesce(F.max("least"), F.lit(0.0)).alias("least")), key)
+    scores = saved(exact(hopes.where(F.col("score") + F.col("rest") >= F.col("least") - slack)))
+    work = some.groupBy(*key).agg(F.sum("n").alias("a")).join(scores.groupBy(*key).agg(F.sum("n").alias("b")), key, "left").join(least, key, "left").join(terms.groupBy(*key).agg(F.sum("df").alias("all")), key)
+    work = work.select(*key, (F.col("a") + F.coalesce("b", F.lit(0)) + F.coalesce("tried", F.lit(0))).alias("scored"), "all")
+    return topk(scores.select(*key, "chunk_id", F.round("score", digits).alias("score")), chunks, queries, k), work
 
 
 def cosine(a: Column, b: Column) -> Column:

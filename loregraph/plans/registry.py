@@ -504,8 +504,7 @@ def bm25_score(spark, sf_dir):
 @query(f"WITH {_BM25_SQL} SELECT query_id, chunk_id, CAST(place AS INTEGER) AS place FROM r WHERE place <= 6")
 def bm25_topk(spark, sf_dir):
     chunks, q = _bm25_inputs(spark, sf_dir)
-    scores = saved(rank.bm25_score(chunks, q).withColumn("score", F.round("score", 6)))
-    return rank.topk(scores, chunks, q).select("query_id", "chunk_id", "place")
+    return rank.bm25_top(chunks, q)[0].select("query_id", "chunk_id", "place")
 
 
 @query(
@@ -518,7 +517,7 @@ FROM benchmark i LEFT JOIN b ON b.query_id = i.item_id LEFT JOIN k ON k.query_id
 )
 def bm25_context(spark, sf_dir):
     chunks, q = _bm25_inputs(spark, sf_dir)
-    top = rank.topk(saved(rank.bm25_score(chunks, q).withColumn("score", F.round("score", 6))), chunks, q)
+    top = rank.bm25_top(chunks, q)[0]
     return rank.context_block(top, chunks, q).select("query_id", F.md5("block").alias("block_md5"), F.array_join("labels", ",").alias("labels"))
 
 

@@ -124,6 +124,25 @@ def test_bm25(spark):
     assert blocks[2] == ("Up to section -1 this has not been revealed yet.", []) and blocks[1] == ("(L0) a b b c", ["L0"])
 
 
+def test_bm25_top_scores_a_part_of_the_postings(spark):
+    """The first six of all scores, by thresholds; of many words that all chunks have, few postings are scored."""
+    import random
+
+    r = random.Random(6)
+    common, rare = [f"w{i}" for i in range(12)], [f"r{i}" for i in range(300)]
+    texts = [" ".join(r.choice(common) if r.random() < 0.8 else r.choice(rare) for _ in range(r.randint(0, 60))) for _ in range(500)]
+    chunks = spark.createDataFrame([("c", i, i * 7 % 500, "L", x) for i, x in enumerate(texts)], "corpus_id string, chunk_id int, global_index int, label string, text string")
+    asked = [" ".join(r.sample(rare, 5) + r.sample(common, 6)) for _ in range(12)] + ["w0 w0 w1", "r1", "nix", "", None]
+    queries = spark.createDataFrame([("c", i, r.choice([499, 499, 250, 20, -1]), x) for i, x in enumerate(asked)], "corpus_id string, query_id int, read_point int, text string")
+    top, work = rank.bm25_top(chunks, queries)
+    want = rank.topk(rank.bm25_score(chunks, queries).selectExpr("corpus_id", "query_id", "chunk_id", "round(score, 6) as score"), chunks, queries)
+    key = ["query_id", "chunk_id", "score", "place"]
+    assert {tuple(x) for x in top.select(*key).collect()} == {tuple(x) for x in want.select(*key).collect()}
+    done = {x.query_id: (x.scored, x["all"]) for x in work.collect()}
+    assert sum(a for a, _ in done.values()) < 0.5 * sum(b for _, b in done.values())
+    assert rank.bm25_top(chunks.where("false"), queries)[0].collect() == []
+
+
 def test_cosine(spark):
     import random
 
