@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from loregraph.functions.tables import saved
+
 #: Patterns of a shard, on average; rows of a batch of results.
 SHARD, ROWS = 200_000, 50_000
 
@@ -36,7 +38,7 @@ def kept(name: str, sent: Broadcast, build: Callable[[list], object]) -> object:
 def searched(texts: DataFrame, patterns: DataFrame, build: Callable[[list], object], hits: Callable, out: str, shard: int | None = None) -> DataFrame:
     """Rows of schema `out` from hits(automaton, row of texts), tuples in the order of that schema. The automaton of a shard is
     build(rows of patterns, as tuples)."""
-    patterns = patterns.distinct()
+    patterns = saved(patterns.distinct())
     shards = -(-patterns.count() // (shard or SHARD))
     spark = texts.sparkSession
     schema = spark.createDataFrame([], out).schema

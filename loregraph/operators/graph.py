@@ -72,37 +72,51 @@ def build_nodes(edges: DataFrame, types: DataFrame, default_type: str = "Charact
     return out.join(t, ["corpus_id", "id"], "left").select("corpus_id", "id", F.coalesce("type", F.lit(default_type)).alias("type"), "first_revealed_index", "degree", "n_chapters")
 
 
-#: Words, runs of white space, and other characters one by one.
-_TOKEN = re.compile(r"\w+|[ \t-\r]+|\W")
-#: The symbol of tokens that are in no form; symbols from 2 on are those of the forms' tokens.
-_OTHER = "\x01"
+#: Words, and other characters one by one, among them runs of white space, which are one space before.
+_TOKEN, _SPACES = re.compile(r"\w+|\W"), re.compile(r"[ \t-\r]+")
+#: A token is written as WIDTH letters, each place with letters of its own: the nodes of the automaton stay small, and forms are
+#: found at the beginnings of tokens only. Tokens that are in no form are all written alike.
+WIDTH, LETTERS = 4, 32
+_OTHER = "\x01" * WIDTH
+
+
+class _Symbols(dict):
+    def __missing__(self, token: str) -> str:
+        return _OTHER
 
 
 class _Forms:
-    """An automaton over token numbers: a text is a string of one symbol a token, so forms are found at whole words."""
+    """An automaton over token numbers, so that forms are found at whole words."""
 
     def __init__(self, rows: list[tuple[str, str, str]]):
-        self.symbol: dict[str, str] = {}
+        self.symbol = _Symbols()
         found: dict[str, tuple[int, bool, bool, dict[str, dict[str, list[str]]]]] = {}
         for corpus, key, form in rows:
-            own = [" " if t.isspace() else t for t in _TOKEN.findall(form)]
-            word = "".join(self.symbol.setdefault(t, self._next()) for t in own)
+            own = _TOKEN.findall(_SPACES.sub(" ", form))
+            word = "".join(self._number(t) for t in own)
             value = found.setdefault(word, (len(own), _is_word(own[0]), _is_word(own[-1]), {}))
             value[3].setdefault(corpus, {}).setdefault(form, []).append(key)
         self.machine = automaton.of_strings(found)
 
-    def _next(self) -> str:
-        n = len(self.symbol) + 2
-        return chr(n if n < 0xD800 else n + 0x800)  # surrogates are no symbols
+    def _number(self, token: str) -> str:
+        if token not in self.symbol:
+            n, out = len(self.symbol), ""
+            for place in range(WIDTH):
+                n, digit = divmod(n, LETTERS)
+                out += chr(2 + place * LETTERS + digit)
+            if n:
+                raise ValueError(f"more than {LETTERS**WIDTH} words in the forms of a shard")
+            self.symbol[token] = out
+        return self.symbol[token]
 
     def hits(self, corpus: str, text: str) -> set[tuple[str, str]]:
         """(key, form) of the corpus's forms in a lower-case text."""
         out: set[tuple[str, str]] = set()
         if not len(self.machine):
             return out
-        tokens = [" " if t[0] in " \t\n\x0b\x0c\r" else t for t in _TOKEN.findall(text)]
-        for end, (n, first, last, corpora) in self.machine.iter("".join([self.symbol.get(t, _OTHER) for t in tokens])):
-            own = corpora.get(corpus)
+        tokens = _TOKEN.findall(_SPACES.sub(" ", text))
+        for end, (n, first, last, corpora) in self.machine.iter("".join(map(self.symbol.__getitem__, tokens))):
+            own, end = corpora.get(corpus), end // WIDTH
             # a form that begins or ends beside its words must not stand at a word there
             if own and (first or end < n or not _is_word(tokens[end - n])) and (last or end + 1 >= len(tokens) or not _is_word(tokens[end + 1])):
                 out.update((key, form) for form, keys in own.items() for key in keys)

@@ -18,8 +18,8 @@ from loregraph.functions.tables import saved
 from loregraph.functions.text import tokens
 
 K1, B, TOP = 1.5, 0.75, 6
-#: Words of a query by which the first chunks are picked.
-LEAD = 3
+#: Words of a query by which the first chunks are picked, and how many for each of the k.
+LEAD, PICKED = 8, 8
 #: Query vectors that go to every executor at once (numbers); more are split into blocks.
 SENT_NUMBERS = 4_000_000
 
@@ -80,8 +80,9 @@ def bm25_top(chunks: DataFrame, queries: DataFrame, k: int = TOP, k1: float = K1
         met = spots.select(*key, "chunk_id").join(terms.select(*key, "term", "times"), key).join(weights, ["corpus_id", "chunk_id", "term"])
         return met.groupBy(*key, "chunk_id").agg(F.sum(F.col("weight") * F.col("times")).alias("score"), F.count("*").alias("n"))
 
-    first = summed(terms.where(F.col("place") <= LEAD)).withColumn("r", F.row_number().over(by.orderBy(F.desc("score"), "chunk_id"))).where(F.col("r") <= k)
-    least = saved(exact(first).groupBy(*key).agg(F.when(F.count("*") >= k, F.min("score")).otherwise(0.0).alias("least"), F.sum("n").alias("tried")))
+    first = summed(terms.where(F.col("place") <= LEAD)).withColumn("r", F.row_number().over(by.orderBy(F.desc("score"), "chunk_id"))).where(F.col("r") <= PICKED * k)
+    best = exact(first).withColumn("r", F.row_number().over(by.orderBy(F.desc("score"), "chunk_id")))
+    least = saved(best.groupBy(*key).agg(F.coalesce(F.min(F.when(F.col("r") == k, F.col("score"))), F.lit(0.0)).alias("least"), F.sum("n").alias("tried")))
     so_far = by.orderBy("peak", "term").rowsBetween(Window.unboundedPreceding, 0)
     ranked = terms.join(least.select(*key, "least"), key, "left").withColumn("needed", F.sum("peak").over(so_far) >= F.coalesce("least", F.lit(0.0)) - slack)
     ranked = saved(ranked.withColumn("rest", F.sum(F.when(~F.col("needed"), F.col("peak")).otherwise(0.0)).over(by)))
