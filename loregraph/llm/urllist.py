@@ -5,8 +5,9 @@ is a host, which covers its subdomains, or a host with a path, which covers what
 against the entries active on the day of its fetch; the longest one is reported.
 
 On one day an `add` and a `remove` of a pattern leave it removed. A null pattern, action or day is no entry. A capture with a
-null or odd URL, or a null day, is not blocked. Repeated entries count once, repeated captures give repeated rows. Hosts are
-compared in lower case without port, user and a closing dot. Columns other than those named are not read.
+null or odd URL, or a null day, is not blocked. A day far away, of an entry or a capture, is a day like any other. Repeated entries count once, repeated captures give repeated rows. Hosts are
+compared in lower case without port, user and a closing dot. Empty captures give no rows; with an empty list nothing is blocked. A URL
+of any length is taken whole. Columns other than those named are not read.
 """
 
 from __future__ import annotations
@@ -47,18 +48,13 @@ def patterns_of(url: Column) -> Column:
 def evaluated(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """Per row of captures(id, url, day): id, day, blocked, entry."""
     captures, spans = captures.select("id", "url", "day"), intervals(entries)
-    # Months make the join an equality, so that a pattern with many intervals meets a few of them at a time.
-    last = F.coalesce(F.date_sub("until", 1), F.lit("9999-12-01").cast("date"))
-    seen = captures.select(F.min("day").alias("lo"), F.max("day").alias("hi")).first()
-    if seen.lo is None:
-        return captures.select("id", "day", F.lit(False).alias("blocked"), F.lit(None).cast("string").alias("entry"))
-    lo, hi = F.lit(seen.lo), F.lit(seen.hi)
-    within = spans.where((F.col("since") <= hi) & (last >= lo))
-    month = F.explode(F.sequence(F.trunc(F.greatest("since", lo), "month"), F.trunc(F.least(last, hi), "month"), F.expr("interval 1 month"))).alias("month")
-    active = within.select("pattern", "since", "until", month)
     asked = saved(captures.select("id", "url", "day", F.explode_outer(patterns_of(F.col("url"))).alias("pattern")).select("id", "url", "day", "pattern"))
-    keys = asked.where("pattern is not null and day is not null").select("pattern", "day").distinct().withColumn("month", F.trunc("day", "month"))
-    hits = saved(keys.join(active, ["pattern", "month"]).where("day >= since and (until is null or day < until)").select("pattern", "day").distinct())
+    keys = asked.where("pattern is not null and day is not null").select("pattern", "day").distinct()
+    # A pattern has a row a day at most, from captures and from the list: the last entry up to a day is the one that counts.
+    rows = keys.withColumn("span", F.lit(None).cast("struct<since:date,until:date>")).union(spans.select("pattern", F.col("since").alias("day"), F.struct("since", "until").alias("span")))
+    so_far = Window.partitionBy("pattern").orderBy("day").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    met = rows.withColumn("at", F.last("span", ignorenulls=True).over(so_far)).where("span is null and at is not null and (at.until is null or day < at.until)")
+    hits = saved(met.select("pattern", "day"))
     best = asked.join(hits, ["pattern", "day"]).groupBy("url", "day").agg(F.max(F.struct(F.length("pattern").alias("n"), "pattern")).alias("best"))
     best = saved(best.select(F.col("url").alias("_url"), F.col("day").alias("_day"), "best.pattern"))
     met = captures.join(best, (captures["url"] == best["_url"]) & (captures["day"] == best["_day"]), "left")

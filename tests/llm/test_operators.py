@@ -514,6 +514,20 @@ def test_url_list(spark):
     assert evaluated(c.where("false"), e).count() == 0 and not any(x.blocked for x in evaluated(c, e.where("false")).collect())
 
 
+def test_url_list_with_days_far_away(spark):
+    """Open entries meet captures of the year 1 and 9999 as others, and no day in between takes any row."""
+    import datetime as dt
+
+    from loregraph.llm.urllist import evaluated
+
+    far, near, old = dt.date(9999, 12, 31), dt.date(2024, 5, 5), dt.date(1, 1, 1)
+    entries = spark.range(2000).selectExpr("concat('h', id, '.com') as pattern", "'add' as action", "date'2024-01-01' as day").union(spark.sql("select 'h3.com', 'remove', date'9999-12-31'")).union(spark.sql("select 'h4.com', 'add', date'0001-01-01'"))
+    captures = spark.createDataFrame([(i, f"http://h{h}.com/a", d) for i, (h, d) in enumerate([(1, far), (1, old), (2, near), (3, far), (3, near), (4, old), (9999, far)])], "id long, url string, day date")
+    got = evaluated(captures, entries)
+    assert {x.id: x.entry for x in got.collect()} == {0: "h1.com", 1: None, 2: "h2.com", 3: None, 4: "h3.com", 5: "h4.com", 6: None}
+    assert "Generate sequence" not in got._jdf.queryExecution().toString()
+
+
 # 2
 
 
