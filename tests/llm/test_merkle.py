@@ -56,7 +56,7 @@ def docs_of(r, n, groups):
     return rows + rows[: n // 10]
 
 
-@pytest.mark.parametrize("n, groups, height", [(1, ["a"], 1), (2, [None], 6), (40, [None, "", "a", "é", "b"], 1), (130, ["hot"] * 6 + [None, "x", "y"], 2), (90, ["only"], 1), (60, [f"g{i}" for i in range(40)], 1)])
+@pytest.mark.parametrize("n, groups, height", [(1, ["a"], 1), (2, [None], 6), (40, [None, "", "a", "é", "b"], 1), (130, ["hot"] * 6 + [None, "x", "y"], 2), (60, [f"g{i}" for i in range(40)], 1)])
 def test_folds_against_plain_recursion(spark, n, groups, height):
     rows = docs_of(random.Random(n), n, groups)
     docs = spark.createDataFrame([(*d, "x", "y") for d in rows], SCHEMA).repartition(3)
