@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -15,6 +15,18 @@ def visible(nodes: DataFrame, edges: DataFrame, read_points: DataFrame) -> tuple
     return gate(nodes), gate(edges)
 
 
+def write_by_appearance(df: DataFrame, path: str) -> None:
+    """Nodes or edges in files and row groups by corpus and first appearance, for `snapshot`."""
+    df.repartitionByRange("corpus_id", "first_revealed_index").sortWithinPartitions("corpus_id", "first_revealed_index").write.option("parquet.block.size", 4 << 20).parquet(path)
+
+
+def snapshot(spark: SparkSession, path: str, read_point: int, corpus_id: str | None = None) -> DataFrame:
+    """What is visible at a read point, in one corpus or in all, of a table that `write_by_appearance` wrote: a prefix of each
+    corpus. Files and row groups behind it are not read, as their least appearance is in their footers."""
+    seen = spark.read.parquet(path).where(F.col("first_revealed_index") <= read_point)
+    return seen if corpus_id is None else seen.where(F.col("corpus_id") == corpus_id)
+
+
 def trimmed(evidence: Column, read_point: Column) -> Column:
     return F.filter(evidence, lambda e: e["global_index"] <= read_point)
 

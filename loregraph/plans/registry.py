@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,6 +95,23 @@ def visible_evidence(spark, sf_dir):
     return retrieve.score_evidence(seen).select("corpus_id", "src", "relation", "dst", F.size("evidence").cast("long").alias("n_visible"), "disputed", "unjudged", "n_hits")
 
 
+@query(
+    f"""WITH {I.EVIDENCE_SQL}, p(read_point) AS (VALUES (40), (60), (90))
+SELECT read_point, corpus_id, 'edge' AS what, count(*) AS n, CAST(max(first_revealed_index) AS INTEGER) AS last, CAST(sum(n_support) AS BIGINT) AS weight FROM p JOIN edges ON first_revealed_index <= read_point GROUP BY 1, 2
+UNION ALL SELECT read_point, corpus_id, 'node', count(*), CAST(max(first_revealed_index) AS INTEGER), CAST(sum(degree) AS BIGINT) FROM p JOIN nodes ON first_revealed_index <= read_point GROUP BY 1, 2"""
+)
+def snapshots(spark, sf_dir):
+    """The graph as of three read points, from tables in the order of first appearance."""
+    parts = []
+    for df, what, weight in zip(built(spark, sf_dir), ("node", "edge"), ("degree", "n_support")):
+        path = shared_path(spark)
+        gate.write_by_appearance(df.select("corpus_id", "first_revealed_index", weight), path)
+        for point in (40, 60, 90):
+            seen = gate.snapshot(spark, path, point).groupBy("corpus_id").agg(F.count("*").alias("n"), F.max("first_revealed_index").cast("int").alias("last"), F.sum(weight).cast("long").alias("weight"))
+            parts.append(seen.select(F.lit(point).alias("read_point"), "corpus_id", F.lit(what).alias("what"), "n", "last", "weight"))
+    return reduce(DataFrame.union, parts)
+
+
 # ---- retrieval
 
 

@@ -134,3 +134,17 @@ def test_one_document_for_other_readers(spark, tmp_path):
     assert {(e.get("source"), e.get("target")) for e in found.findall(f"{space}edge")} == {(names[i], names[(i + 1) % 4]) for i in range(4)}
     back_nodes, back_edges = files.read_graphml(spark, str(tmp_path / "g"))
     assert {n.id for n in back_nodes.collect()} == set(names) and {x.evidence[0].quote for x in back_edges.collect()} == {x.evidence[0].quote for x in edges.collect()}
+
+
+def test_a_snapshot_reads_a_prefix(spark, tmp_path):
+    """The scan of an early read point gives a small part of the rows, by the scan's own count."""
+    rows = spark.range(60_000).select(F.concat(F.lit("c"), F.col("id") % 2).alias("corpus_id"), (F.col("id") * 7919 % 100).cast("int").alias("first_revealed_index"), F.col("id").alias("n"))
+    gate.write_by_appearance(rows.repartition(5), str(tmp_path / "edges"))
+    for corpus, point, share in ((None, 4, 0.7), ("c1", 4, 0.4), (None, 99, 1.0)):
+        seen = gate.snapshot(spark, str(tmp_path / "edges"), point, corpus)
+        want = rows.where(F.col("first_revealed_index") <= point)
+        want = want.where(F.col("corpus_id") == corpus) if corpus else want
+        assert {x.n for x in seen.collect()} == {x.n for x in want.collect()}
+        plan = seen._jdf.queryExecution().executedPlan()
+        scan = plan.collectLeaves().apply(0)
+        assert scan.metrics().apply("numOutputRows").value() <= 60_000 * share
