@@ -170,9 +170,10 @@ class Search:
         """(corpus_id, word, bit, node, depth, rank, steps) of the distinct rows(corpus_id, word, bit, node, depth): of each search's
         shortest ways to the node the one that comes first, as places in the order of discovery and as texts."""
         key = [*_BIT, "node"]
-        wanted = {self.hop: saved(rows.select(*key, "depth").distinct())}
-        parents = {}
-        for d in range(self.hop, 0, -1):
+        asked = saved(rows.select(*key, "depth").distinct())
+        deepest = asked.agg(F.max("depth")).first()[0] or 0
+        wanted, parents = {deepest: asked}, {}
+        for d in range(deepest, 0, -1):
             own = wanted[d].where(F.col("depth") == d).select(*key)
             gone = self._gone().where(F.col("hop") == d)
             back = gone.select("corpus_id", "word", F.col("other").alias("node"), F.col("node").alias("parent"), "side", "ord", "src", "relation", "dst", "bits")
@@ -183,7 +184,7 @@ class Search:
             wanted[d - 1] = saved(wanted[d].where(F.col("depth") < d).union(more).distinct())
         told = wanted[0].where("depth = 0").select(*key, F.array().cast(_RANK).alias("rank"), F.array().cast("array<string>").alias("steps"))
         out = [told.withColumn("depth", F.lit(0))]
-        for d in range(1, self.hop + 1):
+        for d in range(1, deepest + 1):
             before = told.withColumnRenamed("node", "parent")
             way = parents[d].join(before, [*_BIT, "parent"]).select(*key, F.concat("rank", F.array(F.struct("x.side", "x.ord")).cast(_RANK)).alias("rank"), F.concat("steps", F.array("x.step")).alias("steps"))
             told = way.groupBy(*key).agg(F.min(F.struct("rank", "steps")).alias("y")).select(*key, "y.rank", "y.steps")
