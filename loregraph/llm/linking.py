@@ -94,15 +94,23 @@ def _stray_pairs(rest: DataFrame, over: int, under: int) -> DataFrame:
     return met.select(F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b"))
 
 
-def _met(pairs: DataFrame, meetings: int) -> DataFrame:
-    """The distinct pairs(a, b) that come so many times."""
-    return pairs.distinct() if meetings < 2 else pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= meetings).select("a", "b")
+Verify = Callable[[DataFrame], DataFrame]
 
 
-Verify = Callable[[DataFrame], DataFrame]
+def _joined(roots: DataFrame | None, pairs: DataFrame, verify: Verify) -> DataFrame:
+    """The components after the links among the pairs(a, b), which are apart."""
+    found = saved(verify(pairs), few=True)
+    if roots is None:
+        return components(found)
+    a, b = (roots.select(F.col("id").alias(x), F.col("root").alias(f"_{x}")) for x in "ab")
+    # links between components, not between their members
+    met = found.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).distinct()
+    tops = components(met)
+    moved = roots.join(tops.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left").select("id", F.coalesce("top", "root").alias("root"))
+    return saved(moved.union(tops.join(roots, "id", "left_anti").select("id", "root")), few=True)
 
 
-def link(postings: DataFrame, verify: Verify, over: int = 4, under: int = 5, prepare: Callable[[DataFrame], None] | None = None, crowded: list[Callable[[DataFrame], DataFrame]] | None = None, known: DataFrame | None = None, central: bool = False, meetings: int = 1) -> DataFrame:
+def link(postings: DataFrame, verify: Verify, over: int = 4, under: int = 5, prepare: Callable[[DataFrame], None] | None = None, crowded: list[Callable[[DataFrame], DataFrame]] | None = None, known: DataFrame | None = None, central: bool = False) -> DataFrame:
     """The components of the sets, (id, root) for those that have a partner, saved.
 
     postings(token, id, size, rem): the lists; rows may repeat. verify gets pairs(a, b) without repeats and returns those of
@@ -110,7 +118,7 @@ def link(postings: DataFrame, verify: Verify, over: int = 4, under: int = 5, pre
     company. crowded[0](ids) gives other, finer lists (`prefix_lists`) in which sets of crowded lists meet their partners,
     crowded[1] those for what is crowded there, and so on; in the last ones all strays are compared.
     known(id, root): components from before. central: the pivot of a list is the set that has the fewest elements before it, as
-    it can link with the most others; else the smallest id, which takes no sort. meetings: only pairs that meet on so many lists are compared.
+    it can link with the most others; else the smallest id, which takes no sort.
     """
     ends = [F.min("id").alias("pivot"), F.min("id").alias("first"), F.max("id").alias("last")]
     if central:
@@ -121,25 +129,13 @@ def link(postings: DataFrame, verify: Verify, over: int = 4, under: int = 5, pre
         prepare(saved(shared.select("id").distinct(), few=True))
     own = shared.where("id = pivot").select("token", F.col("size").alias("_size"), F.col("rem").alias("_rem"))
     star = shared.where("id <> pivot").join(own, "token").where(may_link(F.col("size"), F.col("_size"), F.col("rem"), F.col("_rem"), over, under))
-    star = saved(_apart(_met(star.select(F.col("pivot").alias("a"), F.col("id").alias("b")), meetings), known), few=True)
-
-    def joined(roots: DataFrame | None, pairs: DataFrame) -> DataFrame | None:
-        """The components after the links among the pairs(a, b), which are apart."""
-        found = saved(verify(pairs), few=True)
-        if roots is None:
-            return components(found)
-        a, b = (roots.select(F.col("id").alias(x), F.col("root").alias(f"_{x}")) for x in "ab")
-        # links between components, not between their members
-        met = found.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).distinct()
-        tops = components(met)
-        moved = roots.join(tops.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left").select("id", F.coalesce("top", "root").alias("root"))
-        return saved(moved.union(tops.join(roots, "id", "left_anti").select("id", "root")), few=True)
+    star = saved(_apart(star.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), known), few=True)
 
     roots, width = known, 1
     while not star.isEmpty():
         order = Window.partitionBy("b").orderBy("a")
         ranked = saved(star.withColumn("at", F.row_number().over(order)), few=True)
-        roots = joined(roots, saved(ranked.where(F.col("at") <= width).select("a", "b"), few=True))
+        roots = _joined(roots, saved(ranked.where(F.col("at") <= width).select("a", "b"), few=True), verify)
         dropped(star)
         star = saved(_apart(ranked.where(F.col("at") > width).select("a", "b"), roots), few=True)
         width *= 4
@@ -151,12 +147,71 @@ def link(postings: DataFrame, verify: Verify, over: int = 4, under: int = 5, pre
     more = placed.where("id <> pivot").groupBy("token").agg(F.max("stray").alias("any"), F.count("*").alias("n")).where("any and n > 1").select("token", "n")
     rest = saved(placed.where("id <> pivot").join(more, "token").drop("pivot"))
     small = rest.where(F.col("n") < CROWDED) if crowded else rest
-    pairs = saved(_apart(_met(_stray_pairs(small, over, under), meetings), roots), few=True)
+    pairs = saved(_apart(_stray_pairs(small, over, under).distinct(), roots), few=True)
     if not pairs.isEmpty():
-        roots = joined(roots, pairs)
+        roots = _joined(roots, pairs, verify)
     if crowded:
         ids = saved(rest.where(F.col("n") >= CROWDED).select("id", "size").distinct(), few=True)
         if not ids.isEmpty():
-            roots = link(crowded[0](ids), verify, over, under, crowded=crowded[1:], known=roots, central=True, meetings=meetings)
+            roots = link(crowded[0](ids), verify, over, under, crowded=crowded[1:], known=roots, central=True)
     dropped(shared, rest, star)
     return roots
+
+
+def _slots_met(pairs: DataFrame, meetings: int) -> DataFrame:
+    """The distinct pairs(a, b) that meet in so many of their slots."""
+    return pairs.distinct().groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= meetings).select("a", "b")
+
+
+def _with_roots(rows: DataFrame, roots: DataFrame | None, column: str, root: str) -> DataFrame:
+    """rows with the component of the ids of a column."""
+    if roots is None:
+        return rows.withColumn(root, F.col(column))
+    named = roots.select(F.col("id").alias(column), F.col("root").alias("_named"))
+    return rows.join(named, column, "left").withColumn(root, F.coalesce("_named", column)).drop("_named")
+
+
+def link_met(postings: DataFrame, verify: Verify, meetings: int, finer: list[Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """The components of the sets, (id, root) for those that have a partner, saved, by pairs that share `meetings` slots or more.
+
+    postings(token, slot, id): the lists; at first each slot is a list. A pair's slots are counted once over all lists, whether
+    few or many sets are on them. verify gets pairs(a, b) without repeats and returns those that link.
+
+    Pivots first, as in `link`; a pair may meet at different pivots, so that this only finds some of the pairs. Two sets of
+    different components are not both in their list's pivot's, so in each list they share one of them is a stray: a join of
+    the strays with all others of their lists (pivots too) sees every slot of such a pair, and the count is whole.
+
+    finer[0](rows), of rows(slot, id) of crowded lists with strays, gives longer lists(token, slot, id) for these, where two sets
+    of a slot may meet more than once; finer[1] those for what is crowded there still. In the last ones all strays are compared.
+    """
+    lists = saved(postings.select("token", "slot", "id").distinct())
+    roots, tried = None, None
+    for step in [*finer, None]:
+        heads = lists.groupBy("token").agg(F.min("id").alias("pivot"), F.max("id").alias("last"), F.count("*").alias("n")).where("pivot <> last").drop("last")
+        met = saved(lists.join(heads, "token"))
+        star = _slots_met(met.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"), "slot"), meetings)
+        star = _apart(star if tried is None else star.join(tried, ["a", "b"], "left_anti"), roots)
+        star, width = saved(star, few=True), 1
+        while not star.isEmpty():
+            ranked = saved(star.withColumn("at", F.row_number().over(Window.partitionBy("b").orderBy("a"))), few=True)
+            now = saved(ranked.where(F.col("at") <= width).select("a", "b"), few=True)
+            roots, tried = _joined(roots, now, verify), now if tried is None else tried.union(now)
+            dropped(star)
+            star = saved(_apart(ranked.where(F.col("at") > width).select("a", "b"), roots), few=True)
+            width *= 4
+        placed = _with_roots(_with_roots(met, roots, "id", "root"), roots, "pivot", "_p").withColumn("stray", F.col("root") != F.col("_p"))
+        open_lists = placed.groupBy("token").agg(F.max("stray").alias("any")).where("any").select("token")
+        rest = saved(placed.join(open_lists, "token").select("token", "slot", "id", "n", "root", "stray"))
+        dropped(met, lists)
+        if step is None or rest.where(F.col("n") >= CROWDED).isEmpty():
+            break
+        crowded = rest.where(F.col("n") >= CROWDED).select("slot", "id").distinct()
+        lists = saved(rest.where(F.col("n") < CROWDED).select("token", "slot", "id").union(step(crowded).select("token", "slot", "id")).distinct())
+        dropped(rest)
+    strays = rest.where("stray").select("token", F.col("id").alias("_id"), F.col("root").alias("_root"))
+    both = strays.join(rest, "token").where((F.col("root") != F.col("_root")) & (~F.col("stray") | (F.col("_id") < F.col("id"))))
+    pairs = _slots_met(both.select(F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b"), "slot"), meetings)
+    pairs = saved(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), few=True)
+    if roots is None or not pairs.isEmpty():
+        roots = _joined(roots, pairs, verify)
+    return roots
