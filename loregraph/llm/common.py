@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -12,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loregraph.functions.tables import shared_path
+
 #: An array is summed in segments of so many cells, so that no task holds more than one segment of it at a time.
 SEGMENT = 1 << 14
 
@@ -20,17 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. A local session without one (tests) gets one under /tmp; a cluster must name one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = f"/tmp/loregraph-{uuid.uuid4().hex[:12]}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 @contextmanager
 def setting(spark: SparkSession, name: str, value: str):
     """A setting of the session that holds inside the block."""
@@ -64,7 +54,7 @@ def saved(df: DataFrame, few: bool = False) -> DataFrame:
     that is small against the input; they go to a few files for each core of the cluster, however many partitions they
     come from. The shuffle files of the step go when it has ended."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loregraph/{uuid.uuid4().hex}"
+    path = shared_path(spark)
     with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
         (df.coalesce(max(8, 4 * spark.sparkContext.defaultParallelism)) if few else df).write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -20,6 +20,8 @@ from loregraph.llm.common import free_names, saved, uniform
 
 #: Documents of a chunk, on average; weights of the sources in order, repeating; most copies of a document.
 FAN_IN, WEIGHTS, MOST = 48, (1, 2, 3), 3
+#: Rows that are alike are counted out in blocks of so many.
+BLOCK = 4096
 
 
 def word_count(text: Column) -> Column:
@@ -117,7 +119,11 @@ def _own_copies(place: Column) -> Column:
 
 def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 4) -> DataFrame:
     """Per row of docs: doc_id, size, source_size, target, taken, source, copies."""
-    rows = mix_units(docs, weights, most, seed).withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
+    units = mix_units(docs, weights, most, seed)
+    few = units.where(F.col("times") <= BLOCK).withColumn("block", F.lit(0).cast("long"))
+    many = units.where(F.col("times") > BLOCK).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / BLOCK))))
+    first = F.col("block") * BLOCK
+    rows = few.union(many.repartition("source", "doc_id", "size", "block")).withColumn("place", F.explode(F.sequence(first, F.least(first + BLOCK, F.col("times")) - 1)))
     rows = rows.withColumn("copies", _own_copies(F.col("place")))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
@@ -125,14 +131,24 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 4) -> DataFrame:
     """The rows of docs that the mix takes, in all their columns, and in a last one, mix_copies, how many times each."""
     own = docs.columns
-    s, d, n, times, copies, place, out = free_names(own, "_source", "_doc", "_size", "_times", "_copies", "_place", "mix_copies")
+    s, d, n, times, copies, at, block, out = free_names(own, "_source", "_doc", "_size", "_times", "_copies", "_at", "_block", "mix_copies")
+    k = free_names([*own, s, d, n, times, copies, at, block], *[f"_k{i}" for i in range(6)])
+    (place,) = free_names([*own, s, d, n, times, copies, at, block, *k], "_place")
     units = mix_units(docs.select("doc_id", "source", "text"), weights, most, seed).where("copies > 0").select("source", "doc_id", "size", "times", "copies")
     units = saved(units.toDF(s, d, n, times, copies))
     keys = F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & F.col("source").cast("string").eqNullSafe(F.col(s)) & (word_count(F.col("text").cast("string")) == F.col(n))
     once = docs.join(units.where(F.col(times) == 1), keys).select(*own, F.col(copies).alias(out))
     if units.where(F.col(times) > 1).isEmpty():
         return once
-    by = F.row_number().over(Window.partitionBy(s, d, n).orderBy(d)) - 1
-    often = docs.join(units.where(F.col(times) > 1), keys).withColumn(place, by)
+    # alike rows are dealt to blocks by a number that is written with them; a row's place is its place in its block after
+    # the rows of the blocks before
+    often = saved(docs.join(units.where(F.col(times) > 1), keys).withColumn(at, F.monotonically_increasing_id()))
+    often = often.withColumn(block, F.pmod(F.xxhash64(at), F.ceil(F.col(times) / BLOCK)))
+    sizes = often.groupBy(s, d, n, block).agg(F.count("*").alias(k[4])).toDF(*k[:5])
+    before = Window.partitionBy(*k[:3]).orderBy(k[3]).rowsBetween(Window.unboundedPreceding, -1)
+    skips = sizes.withColumn(k[5], F.coalesce(F.sum(k[4]).over(before), F.lit(0)))
+    same = F.col(s).eqNullSafe(F.col(k[0])) & F.col(d).eqNullSafe(F.col(k[1])) & (F.col(n) == F.col(k[2])) & (F.col(block) == F.col(k[3]))
+    numbered = often.withColumn(place, F.row_number().over(Window.partitionBy(s, d, n, block).orderBy(at)) - 1)
+    placed = numbered.join(skips, same).withColumn(place, F.col(place) + F.col(k[5]))
     share = F.floor(F.col(copies) / F.col(times)) + F.when(F.col(place) < F.col(copies) % F.col(times), 1).otherwise(0)
-    return once.union(often.select(*own, share.alias(out)).where(F.col(out) > 0))
+    return once.union(placed.select(*own, share.alias(out)).where(F.col(out) > 0))
