@@ -136,6 +136,32 @@ def test_one_document_for_other_readers(spark, tmp_path):
     assert {n.id for n in back_nodes.collect()} == set(names) and {x.evidence[0].quote for x in back_edges.collect()} == {x.evidence[0].quote for x in edges.collect()}
 
 
+def test_a_graph_in_many_part_files(spark, tmp_path):
+    """Nodes and edges of every part file come back, whether the parts are one document or each one is well-formed, and from a
+    document whose elements take several lines."""
+    nodes = spark.range(500).select(F.concat(F.lit(" n & "), "id").alias("id"), F.lit("Place").alias("type"), F.col("id").cast("int").alias("degree"), (F.col("id") % 2 == 0).alias("is_hub"))
+    none = F.lit(None).cast(files.EVIDENCE.replace("label_ko", "label"))
+    edges = nodes.select(F.col("id").alias("src"), F.lit("R>").alias("relation"), F.col("id").alias("dst"), F.col("degree").cast("bigint").alias("n_support"), none.alias("evidence"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files.write_graphml(nodes, edges, str(tmp_path / "one"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files.write_graph(nodes.repartition(3), edges.repartition(3), nodes.select("id"), str(tmp_path / "many"))
+    assert len(glob.glob(f"{tmp_path}/one/part-*")) > 2
+    for path in (f"{tmp_path}/one", f"{tmp_path}/many/graphml"):
+        n, e = files.read_graphml(spark, path)
+        assert sorted((x.id, x.type, x.degree, x.is_hub) for x in n.collect()) == sorted(tuple(x) for x in nodes.collect())
+        assert sorted((x.src, x.relation, x.dst, x.n_support) for x in e.collect()) == sorted(tuple(x)[:4] for x in edges.collect())
+    (tmp_path / "plain.graphml").write_text('''<?xml version="1.0"?>
+<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><key id="d0" for="node" attr.name="type" attr.type="string"/>
+<graph edgedefault="directed"><node id="a">
+  <data key="d0">Place</data></node><node id="b"/>
+<edge source="a" target="b" id="R"/></graph></graphml>''')
+    n, e = files.read_graphml(spark, str(tmp_path / "plain.graphml"))
+    assert {(x.id, x.type) for x in n.collect()} == {("a", "Place"), ("b", None)} and [(x.src, x.dst) for x in e.collect()] == [("a", "b")]
+
+
 def test_a_snapshot_reads_a_prefix(spark, tmp_path):
     """The scan of an early read point gives a small part of the rows, by the scan's own count."""
     rows = spark.range(60_000).select(F.concat(F.lit("c"), F.col("id") % 2).alias("corpus_id"), (F.col("id") * 7919 % 100).cast("int").alias("first_revealed_index"), F.col("id").alias("n"))
