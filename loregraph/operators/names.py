@@ -125,10 +125,11 @@ def is_display(alias: Column, descriptive: list[str]) -> Column:
 
 
 def with_labels(df: DataFrame, node_labels: DataFrame, rel_labels: DataFrame) -> DataFrame:
-    """df(subject, relation, object) with labels, by default the names themselves, and a display line."""
+    """df(subject, relation, object) with labels, by default the names themselves, and a display line. rel_labels has a row a
+    relation and is sent to all tasks, as in `validate_triples`."""
     for column, labels in (("subject", node_labels), ("relation", rel_labels), ("object", node_labels)):
         own = labels.select(F.col("id").alias(column), F.col("label").alias(f"{column}_label"))
-        df = df.join(own, column, "left").withColumn(f"{column}_label", F.coalesce(f"{column}_label", column))
+        df = df.join(F.broadcast(own) if column == "relation" else own, column, "left").withColumn(f"{column}_label", F.coalesce(f"{column}_label", column))
     return df.withColumn("line", F.format_string("%s ─[%s]→ %s", "subject_label", "relation_label", "object_label"))
 
 

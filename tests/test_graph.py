@@ -1,5 +1,6 @@
 import glob
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -136,6 +137,21 @@ def test_one_document_for_other_readers(spark, tmp_path):
     assert {n.id for n in back_nodes.collect()} == set(names) and {x.evidence[0].quote for x in back_edges.collect()} == {x.evidence[0].quote for x in edges.collect()}
 
 
+def test_triples_are_not_dealt_out_by_relation(spark):
+    """No shuffle by the relation alone, of which there are few."""
+    from loregraph.operators import names
+
+    rows = frame(spark, t("p1", 1, 0, "A", "B"), t("p1", 4, 0, "A", "C"))
+    types, spec = spark.createDataFrame([], "corpus_id string, name string, type string"), spark.createDataFrame([("R", "x")], "relation string, to_type string")
+    labels = spark.createDataFrame([("R", "x")], "id string, label string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for df in (*graph.validate_triples(rows, types, spec), names.with_labels(rows.select("subject", "relation", "object"), labels, labels)):
+            assert not re.search(r"hashpartitioning\(relation#\d+,", df._jdf.queryExecution().executedPlan().toString())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_a_graph_in_many_part_files(spark, tmp_path):
     """Nodes and edges of every part file come back, whether the parts are one document or each one is well-formed, and from a
     document whose elements take several lines."""
