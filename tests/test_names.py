@@ -103,3 +103,13 @@ def test_first_seen_and_labels(spark):
     t = spark.createDataFrame([("A", "R", "B")], "subject string, relation string, object string")
     lab = lambda *x: spark.createDataFrame(x, "id string, label string")
     assert N.with_labels(t, lab(("A", "α")), lab(("R", "ρ"))).first().line == "α ─[ρ]→ B"
+
+
+def test_each_form_is_looked_for_in_each_corpus(spark, tmp_path):
+    """A name that one source's documents give is found in those of the others."""
+    from loregraph.plans import registry
+
+    rows = [(0, "Barnaby met nobody", "a"), (1, "then barnaby left with Cassandra", "b"), (2, "no one", "c")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(x.corpus_id, x.form) for x in registry.text_search(spark, str(tmp_path)).collect()}
+    assert got == {("a", "barnaby"), ("b", "barnaby"), ("b", "cassandra")}
