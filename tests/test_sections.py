@@ -159,3 +159,19 @@ def test_chunks_of_a_very_long_text(spark):
     assert (got.n, got.c, got.s) == (4000, 8_000_000, 7_998_000)
     got = S.chunk_overlap(one, 3000, 500).agg(F.count("*").alias("n"), F.max("start").alias("s"), F.min(F.length("text")).alias("m")).first()
     assert (got.n, got.s, got.m) == (3200, 7_997_500, 2_499) and time.time() - began < 60
+
+
+def test_lines_of_a_file_cut_among_tasks(spark, tmp_path):
+    """Line numbers go on over the blocks of a file, with line breaks of any kind."""
+    from loregraph.sources import files
+
+    want = [f"line {i}" * (i % 7) for i in range(3000)]
+    (tmp_path / "a.txt").write_bytes("".join(x + ("\n", "\r\n", "\r")[i % 3] if x else x + "\n" for i, x in enumerate(want)).replace("\r\n\n", "\r\n \n").encode())
+    text = (tmp_path / "a.txt").read_bytes().decode()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        read = files.read_lines(spark, str(tmp_path))
+        got = sorted((x.line_no, x.line) for x in read.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == list(enumerate(re.split("\r\n|\r|\n", text)[:-1]))
