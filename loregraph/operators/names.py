@@ -114,7 +114,9 @@ def alias_first_seen(aliases: DataFrame, nodes: DataFrame, sections: DataFrame,
     kind. display: no descriptive word and three words at most."""
     people = nodes.where(F.col("type") == kind).select("corpus_id", F.col("id").alias("canon"))
     forms = people.join(aliases.select("canon", "key"), "canon").select("corpus_id", F.col("canon").alias("key"), F.col("key").alias("form"))
-    seen = find_forms(forms, sections, collapsed=False).groupBy("corpus_id", F.col("key").alias("canon"), F.col("form").alias("alias")).agg(F.min("global_index").alias("first_index"))
+    forms = forms.withColumn("form", F.lower("form")).distinct()  # each is looked for once, however many names have it
+    first = find_forms(forms.select("corpus_id", F.col("form").alias("key"), "form").distinct(), sections, collapsed=False).groupBy("corpus_id", "form").agg(F.min("global_index").alias("first_index"))
+    seen = forms.join(first, ["corpus_id", "form"]).select("corpus_id", F.col("key").alias("canon"), F.col("form").alias("alias"), "first_index")
     return seen.withColumn("display", is_display(F.col("alias"), descriptive))
 
 

@@ -190,3 +190,16 @@ def test_a_snapshot_reads_a_prefix(spark, tmp_path):
         plan = seen._jdf.queryExecution().executedPlan()
         scan = plan.collectLeaves().apply(0)
         assert scan.metrics().apply("numOutputRows").value() <= 60_000 * share
+
+
+def test_spread_of_shared_forms(spark, monkeypatch):
+    """A form that many names have is looked for once; sections with several forms of a name count once."""
+    ids = [f"with{c}" for c in "abcdefgh"]
+    s = spark.createDataFrame([("c", n, n, f"with some {ids[n % 8]} and {ids[n % 3]}" if n % 2 else f"{ids[n % 8]} alone") for n in range(24)], "corpus_id string, doc_id int, global_index int, text string")
+    forms = spark.createDataFrame([("c", i, f) for i in ids for f in (i, "with", "alone", "none")], "corpus_id string, key string, form string")
+    asked, find = [], graph.find_forms
+    monkeypatch.setattr(graph, "find_forms", lambda f, *a, **b: (asked.append(f.count()), find(f, *a, **b))[1])
+    got = {r.id: r.n_text_chapters for r in graph.spread_of(forms.where("form <> 'alone' or key = 'witha'"), s).collect()}
+    texts = [r.text.split() for r in s.collect()]
+    assert got == {i: sum(1 for t in texts if {i, "with", *(["alone"] if i == "witha" else [])} & set(t)) for i in ids}
+    assert asked == [11]
