@@ -22,6 +22,8 @@ K1, B, TOP = 1.5, 0.75, 6
 LEAD, PICKED = 8, 8
 #: Query vectors that go to every executor at once (numbers); more are split into blocks.
 SENT_NUMBERS = 4_000_000
+#: Words of queries that go to every executor at once (rows); more are joined by a shuffle.
+SENT_WORDS = 500_000
 
 
 def bm25_index(chunks: DataFrame, vocabulary: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -31,28 +33,41 @@ def bm25_index(chunks: DataFrame, vocabulary: DataFrame | None = None) -> tuple[
     totals = cut.groupBy("corpus_id").agg(F.count("*").alias("n"), F.avg("n_tokens").alias("avg_len"))
     rows = cut.select("corpus_id", "chunk_id", "n_tokens", F.explode("t").alias("term"))
     if vocabulary is not None:
-        rows = rows.join(vocabulary.select("term").distinct(), "term", "left_semi")
+        rows = rows.join(_sent(vocabulary.select("term").distinct(), vocabulary), "term", "left_semi")
     postings = rows.groupBy("corpus_id", "chunk_id", "n_tokens", "term").agg(F.count("*").alias("tf"))
     df = postings.groupBy("corpus_id", "term").agg(F.count("*").alias("df")).join(totals, "corpus_id")
     return postings, df.select("corpus_id", "term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avg_len")
 
 
+def _sent(df: DataFrame, sized: DataFrame) -> DataFrame:
+    """df, sent to all executors if `sized` has few rows."""
+    return F.broadcast(df) if sized.limit(SENT_WORDS + 1).count() <= SENT_WORDS else df
+
+
 def _asked(queries: DataFrame) -> DataFrame:
     return queries.select("corpus_id", "query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("corpus_id", "query_id", "term").agg(F.count("*").alias("times"))
 
 
+def _weight(k1: float, b: float) -> Column:
+    return F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n_tokens") / F.col("avg_len")))
+
+
 def _weights(chunks: DataFrame, asked: DataFrame, k1: float, b: float) -> DataFrame:
     """(corpus_id, chunk_id, term, weight): what each word of the queries is worth in each chunk that has it."""
     postings, stats = bm25_index(chunks, asked)
-    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n_tokens") / F.col("avg_len")))
-    return postings.join(stats, ["corpus_id", "term"]).select("corpus_id", "chunk_id", "term", weight.alias("weight"))
+    return postings.join(stats, ["corpus_id", "term"]).select("corpus_id", "chunk_id", "term", _weight(k1, b).alias("weight"))
 
 
 def bm25_score(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(corpus_id, query_id, chunk_id, score) of the chunks with a query word; a repeated word counts each time."""
-    asked = _asked(queries)
-    met = _weights(chunks, asked, k1, b).join(asked, ["corpus_id", "term"])
-    return met.groupBy("corpus_id", "query_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("times")).alias("score"))
+    asked = saved(_asked(queries))
+    # Texts are dealt out by chunk, once; what follows meets small tables and stays where it is, so that a row a word, query and chunk,
+    # of which there are far more than results, is never dealt out.
+    postings, stats = bm25_index(chunks.repartition("corpus_id", "chunk_id"), asked)
+    words = saved(asked.join(stats, ["corpus_id", "term"]))
+    met = postings.join(_sent(words, words), ["corpus_id", "term"])
+    weight = _weight(k1, b) * F.col("times")
+    return met.groupBy("corpus_id", "query_id", "chunk_id").agg(F.sum(weight).alias("score"))
 
 
 def bm25_top(chunks: DataFrame, queries: DataFrame, k: int = TOP, k1: float = K1, b: float = B, digits: int = 6) -> tuple[DataFrame, DataFrame]:
