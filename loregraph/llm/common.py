@@ -49,14 +49,16 @@ def recorded():
             _open[-1].extend(mine)
 
 
-def saved(df: DataFrame, few: bool = False) -> DataFrame:
+def saved(df: DataFrame, few: bool = False, by: str | None = None) -> DataFrame:
     """df as a table written to the shared folder: cuts the lineage, survives the loss of executors. few: rows of a step
     that is small against the input; they go to a few files for each core of the cluster, however many partitions they
-    come from. The shuffle files of the step go when it has ended."""
+    come from. by: the last column, of few values; where one of them is asked for, only its files are read. The shuffle files of the
+    step go when it has ended."""
     spark = df.sparkSession
     path = shared_path(spark)
     with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
-        (df.coalesce(max(8, 4 * spark.sparkContext.defaultParallelism)) if few else df).write.option("compression", "zstd").parquet(path)
+        rows = df.coalesce(max(8, 4 * spark.sparkContext.defaultParallelism)) if few else df
+        rows.write.option("compression", "zstd").parquet(path, partitionBy=by)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_at = path
     if _open:

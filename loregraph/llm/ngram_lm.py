@@ -7,7 +7,8 @@ n-grams of ORDER words and fewer. Counts are over all documents.
 The sum is taken apart: each word adds the logarithm of its backoff to the lowest order, and each n-gram of the tables that a
 document holds adds a correction, its own score less what its suffix would have got. So the tables (hash, count), joined with
 themselves by prefix and suffix, become tables of corrections, and these are joined with the documents' exploded n-grams and
-summed per document. All is done in ROUNDS, each over one range of the n-grams' hashes, so that no step moves or stores all
+summed per document. Tables and n-grams meet in partitions of the hashes, to which they go as runs of numbers, not as a row an
+n-gram; sums go to the partition of the document in the same way. All is done in ROUNDS, each over one range of the n-grams' hashes, so that no step moves or stores all
 exploded n-grams at once. N-grams that are more than 1 in HEAVY are too many rows for one key: their corrections (at most
 HEAVY an order) are sent to all executors. A filter of fixed width keeps most n-grams that are in no table from being moved.
 
@@ -35,6 +36,8 @@ CHUNK, BLOCK, CELL_BITS = 1 << 20, 1 << 20, 20
 PART_CHARS = 12_000_000
 #: Rows that go to Python at once: a bound on the memory of a worker.
 ROWS = "2000"
+#: What a run holds: corrections of the tables, n-grams of documents, scores of documents.
+TABLE, NGRAMS, OWN = 0, 1, 2
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = [np.uint64(pow(k, -1, 1 << 64)) for k in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -72,6 +75,24 @@ def _within(h: np.ndarray, k: int, rounds: int) -> np.ndarray:
     return (h >> np.uint64(32)) * np.uint64(rounds) >> np.uint64(32) == np.uint64(k)
 
 
+def _dealt(part: np.ndarray, *columns: np.ndarray) -> list[list]:
+    """The parts that occur, and of each column the bytes of its values in each of them, in their order."""
+    by = np.argsort(part, kind="stable")
+    cut = np.append(np.flatnonzero(np.append(True, np.diff(part[by]) != 0)), len(by)) if len(by) else np.zeros(1, int)
+    ranges = list(zip(cut[:-1], cut[1:]))
+    return [[int(part[by[a]]) for a, _ in ranges], *([x[a:b].tobytes() for a, b in ranges] for x in (c[by] for c in columns))]
+
+
+def _part_of(h: np.ndarray, parts: int) -> np.ndarray:
+    """The partition of a hash: by its lower half, as ranges are by the upper one."""
+    return ((h & np.uint64(0xFFFFFFFF)) * np.uint64(parts) >> np.uint64(32)).astype(np.uint16 if parts <= 1 << 16 else np.int32)
+
+
+def _parts(docs: DataFrame, order: int, rounds: int) -> int:
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    return max(32, -(-chars * order // (rounds * PART_CHARS)))
+
+
 def counts(docs: DataFrame, order: int, cutoff: int, rounds: int = ROUNDS) -> DataFrame:
     """(n, h, suffix, prefix, c): the n-grams with c >= cutoff, words with c > 1, and a row with n = 0, c the number of words.
 
@@ -79,8 +100,7 @@ def counts(docs: DataFrame, order: int, cutoff: int, rounds: int = ROUNDS) -> Da
     packed = pa.schema([("part", pa.int32()), ("n", pa.int32()), ("h", pa.binary()), ("suffix", pa.binary()), ("c", pa.binary())])
     out = pa.schema([("h", pa.int64()), ("suffix", pa.int64()), ("prefix", pa.int64()), ("n", pa.int32()), ("c", pa.int64())])
     text = docs.select(F.col("text").cast("string").alias("text"))
-    chars = text.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(32, -(-chars * order // (rounds * PART_CHARS)))
+    parts = _parts(text, order, rounds)
 
     def seen(k: int):
         def run(tables):
@@ -93,11 +113,8 @@ def counts(docs: DataFrame, order: int, cutoff: int, rounds: int = ROUNDS) -> Da
                 h, first, c = np.unique(h, return_index=True, return_counts=True)
                 s, c = s[first], c.astype(np.uint32)
                 part = ((mix(h) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
-                by = np.argsort(part, kind="stable")
-                cut = np.append(np.flatnonzero(np.append(True, np.diff(part[by]) != 0)), len(by)) if len(by) else np.zeros(1, int)
-                h, s, c, part = h[by], s[by], c[by], part[by]
-                ranges = list(zip(cut[:-1], cut[1:]))
-                return batches(packed, [[int(part[a]) for a, _ in ranges], [n] * len(ranges), *([x[a:b].tobytes() for a, b in ranges] for x in (h, s, c))])
+                at, h, s, c = _dealt(part, h, s, c)
+                return batches(packed, [at, [n] * len(at), h, s, c])
 
             for batch in tables:
                 for _, data, bounds in chunks(batch.column("text"), CHUNK):
@@ -170,6 +187,12 @@ def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return bits[((h >> np.uint64(6)) & np.uint64((1 << CELL_BITS) - 1)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1) > 0
 
 
+def _summed(key: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys and the sum of x for each."""
+    own, at = np.unique(key, return_inverse=True)
+    return own, np.bincount(at, weights=x, minlength=len(own))
+
+
 def scores(docs: DataFrame, alpha: float = ALPHA, cutoff: int = CUTOFF, order: int = ORDER, heavy: int = HEAVY, rounds: int = ROUNDS) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, n_words, log_score, mean_score (log_score / n_words)."""
     slim = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -184,10 +207,13 @@ def scores(docs: DataFrame, alpha: float = ALPHA, cutoff: int = CUTOFF, order: i
 def _per_document(slim: DataFrame, alpha: float, cutoff: int, order: int, heavy: int, rounds: int) -> DataFrame:
     """(key, log_score), saved."""
     spark = slim.sparkSession
-    found = counts(slim, order, cutoff, rounds)
+    with recorded() as counted:
+        found = counts(slim, order, cutoff, rounds)
     total = int(found.where("n = 0").agg(F.sum("c")).first()[0] or 0)
     with recorded() as levels:
-        weights = saved(corrections(found, order, alpha, total).withColumn("range", F.expr(f"cast(shiftrightunsigned(shiftrightunsigned(h, 32) * {rounds}, 32) as int)")))
+        weights = corrections(found, order, alpha, total).withColumn("range", F.expr(f"cast(shiftrightunsigned(shiftrightunsigned(h, 32) * {rounds}, 32) as int)"))
+        dropped(*counted)
+        weights = saved(weights, by="range")
     dropped(*[t for t in levels if t is not weights])
     many = weights.where(F.col("c") * heavy >= max(total, 1)).select("h", "delta").toArrow()
     sent_h = many.column("h").to_numpy().view(np.uint64)
@@ -195,11 +221,37 @@ def _per_document(slim: DataFrame, alpha: float, cutoff: int, order: int, heavy:
     sent = spark.sparkContext.broadcast((sent_h[at], many.column("delta").to_numpy()[at]))
     light = weights.where(F.col("c") * heavy < max(total, 1))
     log_alpha, log_n = float(np.log(alpha)), float(np.log(max(total, 1)))
-    schema = pa.schema([("h", pa.int64()), ("key", pa.int64()), ("x", pa.float64()), ("own", pa.bool_())])
+    parts = _parts(slim, order, rounds)
+    runs = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("h", pa.binary()), ("key", pa.binary()), ("x", pa.binary())])
+    part_sums = pa.schema([("part", pa.int32()), ("key", pa.binary()), ("x", pa.binary())])
+
+    def corrected(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def rows():
+            h, delta = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            at, h, delta = _dealt(_part_of(h, parts), h, delta)
+            return batches(runs, [at, [TABLE] * len(at), h, [b""] * len(at), delta])
+
+        for batch in tables:
+            held.append((batch.column("h").to_numpy().view(np.uint64), batch.column("delta").to_numpy()))
+            if sum(len(x[0]) for x in held) >= BLOCK:
+                yield rows()
+        if held:
+            yield rows()
 
     def exploded(k: int, bits):
         def run(tables):
             known, delta = sent.value
+            held: list[tuple] = []
+
+            def rows():
+                h, key, times = (np.concatenate(x) for x in zip(*held))
+                held.clear()
+                at, h, key, times = _dealt(_part_of(h, parts), h, key, times)
+                return batches(runs, [at, [NGRAMS] * len(at), h, key, times])
+
             for batch in tables:
                 ids = batch.column("key").to_numpy()
                 for at, data, bounds in chunks(batch.column("text"), CHUNK):
@@ -227,22 +279,55 @@ def _per_document(slim: DataFrame, alpha: float, cutoff: int, order: int, heavy:
                         rows_doc.append(doc[wanted])
                     h, doc = np.concatenate(rows_h), np.concatenate(rows_doc)
                     _, first, times = np.unique(mix(h + doc.astype(np.uint64) * _STEP), return_index=True, return_counts=True)
-                    yield batches(schema, [h[first].view(np.int64), ids[at + doc[first]], times.astype(np.float64), np.zeros(len(first), bool)])
-                    full = np.flatnonzero(size)
-                    yield batches(schema, [ids[at + full], ids[at + full], score[full], np.ones(len(full), bool)])
+                    by = np.argsort(doc[first].astype(np.uint16 if docs <= 1 << 16 else np.int64), kind="stable")  # a document's n-grams stay together
+                    first = first[by]
+                    held.append((h[first], ids[at + doc[first]], times[by].astype(np.uint32)))
+                    if sum(len(x[0]) for x in held) >= BLOCK:
+                        yield rows()
+                    # each text with words has a score, if only that of the first round
+                    full = np.flatnonzero(size) if k == 0 else np.flatnonzero(score)
+                    if len(full):
+                        yield batches(runs, [[int(ids[at + full[0]] % parts)], [OWN], [b""], [ids[at + full].tobytes()], [score[full].tobytes()]])
+            if held:
+                yield rows()
 
         return run
 
+    def met(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sums per document of what its n-grams in this partition add."""
+        held: dict[int, list[tuple]] = {TABLE: [], NGRAMS: [], OWN: []}
+        for batch in tables:
+            for kind, *row in zip(batch.column("kind").to_pylist(), *(batch.column(c) for c in ("h", "key", "x"))):
+                held[kind].append(tuple(np.frombuffer(v.as_buffer(), t) for v, t in zip(row, (np.uint64, np.int64, np.uint32 if kind == NGRAMS else np.float64))))
+        keys, adds = [x[1] for x in held[OWN]], [x[2] for x in held[OWN]]
+        if held[TABLE] and held[NGRAMS]:
+            table_h, delta = (np.concatenate([x[i] for x in held[TABLE]]) for i in (0, 2))
+            by = np.argsort(table_h)
+            table_h, delta = table_h[by], delta[by]
+            h, key, times = (np.concatenate(x) for x in zip(*held[NGRAMS]))
+            place = np.minimum(np.searchsorted(table_h, h), len(table_h) - 1)
+            hit = table_h[place] == h
+            keys.append(key[hit])
+            adds.append(delta[place[hit]] * times[hit])
+        if keys:
+            key, x = _summed(np.concatenate(keys), np.concatenate(adds))
+            yield batches(part_sums, _dealt(_part_of(mix(key.view(np.uint64)), parts), key, x))
+
+    def totals(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(np.frombuffer(k.as_buffer(), np.int64), np.frombuffer(x.as_buffer(), np.float64)) for batch in tables for k, x in zip(batch.column("key"), batch.column("x"))]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in _summed(*(np.concatenate(c) for c in zip(*rows)))], names=["key", "score"])
+
     sums = []
     for k in range(rounds):
         table = light.where(F.col("range") == k).select("h", "delta")
         bits = spark.sparkContext.broadcast(_filter_of(table.select("h")))
-        rows = slim.select("key", "text").mapInArrow(exploded(k, bits), "h long, key long, x double, own boolean")
-        value = F.when(F.col("own"), F.col("x")).otherwise(F.col("x") * F.coalesce("delta", F.lit(0.0)))
-        sums.append(saved(rows.join(table.hint("shuffle_hash"), "h", "left").groupBy("key").agg(F.sum(value).alias("score")), few=True))
+        kinds = "part int, kind int, h binary, key binary, x binary"
+        rows = slim.select("key", "text").mapInArrow(exploded(k, bits), kinds).unionByName(table.mapInArrow(corrected, kinds))
+        part = rows.groupBy("part").applyInArrow(met, "part int, key binary, x binary")
+        sums.append(saved(part.groupBy("part").applyInArrow(totals, "key long, score double"), few=True))
         bits.unpersist()
-    parts = sums[0]
+    scored = sums[0]
     for s in sums[1:]:
-        parts = parts.unionByName(s)
+        scored = scored.unionByName(s)
     alike = slim.groupBy("key").agg(F.count("*").alias("alike"))
-    return saved(parts.groupBy("key").agg(F.sum("score").alias("score")).join(alike, "key").select("key", (F.col("score") / F.col("alike")).alias("log_score")), few=True)
+    return saved(scored.groupBy("key").agg(F.sum("score").alias("score")).join(alike, "key").select("key", (F.col("score") / F.col("alike")).alias("log_score")), few=True)

@@ -428,6 +428,22 @@ def test_stupid_backoff_of_nulls_and_repeats(spark):
     assert len({g[2] for g in got if g[1] == 6}) == 1
 
 
+def test_stupid_backoff_deals_out_runs_of_ngrams(spark, docs, monkeypatch):
+    """Few and many partitions and runs give the same scores, and no step has a row an n-gram beside its tables."""
+    from loregraph.llm import ngram_lm
+
+    plain = {r.doc_id: r.log_score for r in ngram_lm.scores(docs, heavy=100_000, rounds=2).collect()}
+    plans, saved = [], ngram_lm.saved
+    monkeypatch.setattr(ngram_lm, "saved", lambda df, **k: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or saved(df, **k))
+    monkeypatch.setattr(ngram_lm, "PART_CHARS", 500)
+    monkeypatch.setattr(ngram_lm, "BLOCK", 64)
+    got = {r.doc_id: r.log_score for r in ngram_lm.scores(docs, heavy=100_000, rounds=2).collect()}
+    assert got.keys() == plain.keys()
+    assert all(got[i] is None if x is None else abs(got[i] - x) < 1e-6 * max(1, abs(x)) for i, x in plain.items())
+    dealt = [p for p in plans if "MapInArrow exploded" in p or "MapInArrow run(" in p]
+    assert len(dealt) == 4 and not any("Join" in p for p in dealt)
+
+
 def test_hashes_give_their_prefix_back():
     from loregraph.llm.ngram_lm import ngrams, prefixes
     from loregraph.llm.wordhash import numbers
