@@ -165,9 +165,14 @@ def corrections(found: DataFrame, order: int, alpha: float, total: int) -> DataF
         less = out[-1]
         before = less.select(F.col("h").alias("prefix"), F.col("c").alias("before")).hint("shuffle_hash")
         lower = less.select(F.col("h").alias("suffix"), F.col("score").alias("lower")).hint("shuffle_hash")
-        met = own(n).select("h", "n", "c", "prefix", "suffix").join(before, "prefix", "left").drop("prefix").join(lower, "suffix", "left")
-        score = F.log("c") - F.log(F.coalesce("before", F.lit(1)))
-        out.append(saved(met.select("h", "n", "c", (score - float(np.log(alpha)) - F.coalesce("lower", F.lit(base))).alias("delta"), score.alias("score"))))
+        # in two halves of the prefixes, so that no step stores all of them twice in its shuffles
+        halves = []
+        for half in (0, 1):
+            mine = lambda c: F.col(c).bitwiseAND(F.lit(1)) == half  # noqa: B023, E731
+            met = own(n).where(mine("prefix")).select("h", "n", "c", "prefix", "suffix").join(before.where(mine("prefix")).hint("shuffle_hash"), "prefix", "left").drop("prefix").join(lower, "suffix", "left")
+            score = F.log("c") - F.log(F.coalesce("before", F.lit(1)))
+            halves.append(saved(met.select("h", "n", "c", (score - float(np.log(alpha)) - F.coalesce("lower", F.lit(base))).alias("delta"), score.alias("score"))))
+        out.append(halves[0].unionByName(halves[1]))
     level = out[0]
     for x in out[1:]:
         level = level.unionByName(x)
