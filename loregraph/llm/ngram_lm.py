@@ -51,19 +51,22 @@ def unmixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
 
 
-def ngrams(hashes: np.ndarray, text: np.ndarray, order: int):
-    """For n = 1 to order: n, each n-gram's hash, that of its suffix of n-1 words (0 for words), its text.
+def ngrams(hashes: np.ndarray, text: np.ndarray, order: int, k: int = 0, rounds: int = 1):
+    """For n = 1 to order: n, each n-gram's hash, that of its suffix of n-1 words (0 for words), its text; of n-grams in the
+    k-th range alone.
 
     The hash is made of those of prefix and suffix so that `prefixes` gets the prefix back from hash and suffix."""
-    g, ok = mix(hashes + np.uint64(1)), np.ones(len(hashes), bool)
-    yield 1, g, np.zeros(len(g), np.uint64), text
-    for n in range(2, order + 1):
-        if len(g) < 2:
-            return
-        prefix, suffix = g[:-1], g[1:]
-        g = mix(prefix + suffix * _STEP + np.uint64(n))
-        ok = text[: len(g)] == text[n - 1 :]
-        yield n, g[ok], suffix[ok], text[: len(g)][ok]
+    g, suffix = mix(hashes + np.uint64(1)), np.zeros(len(hashes), np.uint64)
+    for n in range(1, order + 1):
+        if n > 1:
+            if len(g) < 2:
+                return
+            prefix, suffix = g[:-1], g[1:]
+            g = mix(prefix + suffix * _STEP + np.uint64(n))
+        ok = _within(g, k, rounds)
+        ok &= text[: len(g)] == text[n - 1 :]
+        at = np.flatnonzero(ok)
+        yield n, g[at], suffix[at], text[at]
 
 
 def prefixes(h: np.ndarray, suffix: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -72,15 +75,35 @@ def prefixes(h: np.ndarray, suffix: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def _within(h: np.ndarray, k: int, rounds: int) -> np.ndarray:
     """Which hashes are in the k-th range."""
-    return (h >> np.uint64(32)) * np.uint64(rounds) >> np.uint64(32) == np.uint64(k)
+    low, high = (-(-(x << 32) // rounds) << 32 for x in (k, k + 1))
+    return h - np.uint64(low) <= np.uint64(high - low - 1)
+
+
+def _order(h: np.ndarray) -> np.ndarray:
+    """An order in which numbers ascend: their leading bits are sorted with their places as one number, which takes half the time of
+    `argsort`; what only the other bits tell apart is put right then."""
+    bits = np.uint64(max(len(h), 1).bit_length())
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    at = h & ~low
+    at |= np.arange(len(h), dtype=np.uint64)
+    at.sort()
+    at &= low
+    by = at.view(np.int64)
+    found = h[by]
+    return by[np.argsort(found, kind="stable")] if (found[1:] < found[:-1]).any() else by
+
+
+def _runs(part: np.ndarray, *columns: np.ndarray) -> list[list]:
+    """Of ascending parts those that occur, and of each column the bytes of its values in each of them."""
+    cut = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part)) if len(part) else np.zeros(1, int)
+    ranges = list(zip(cut[:-1], cut[1:]))
+    return [[int(part[a]) for a, _ in ranges], *([x[a:b].tobytes() for a, b in ranges] for x in columns)]
 
 
 def _dealt(part: np.ndarray, *columns: np.ndarray) -> list[list]:
     """The parts that occur, and of each column the bytes of its values in each of them, in their order."""
     by = np.argsort(part, kind="stable")
-    cut = np.append(np.flatnonzero(np.append(True, np.diff(part[by]) != 0)), len(by)) if len(by) else np.zeros(1, int)
-    ranges = list(zip(cut[:-1], cut[1:]))
-    return [[int(part[by[a]]) for a, _ in ranges], *([x[a:b].tobytes() for a, b in ranges] for x in (c[by] for c in columns))]
+    return _runs(part[by], *(c[by] for c in columns))
 
 
 def _part_of(h: np.ndarray, parts: int) -> np.ndarray:
@@ -110,19 +133,21 @@ def counts(docs: DataFrame, order: int, cutoff: int, rounds: int = ROUNDS) -> Da
             def rows(n: int):
                 h, s = (np.concatenate(x) for x in zip(*held[n - 1]))
                 held[n - 1].clear()
-                h, first, c = np.unique(h, return_index=True, return_counts=True)
-                s, c = s[first], c.astype(np.uint32)
-                part = ((mix(h) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
-                at, h, s, c = _dealt(part, h, s, c)
+                by = _order(h)
+                h = h[by]
+                first = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
+                h, s, c = h[first], s[by[first]], np.diff(np.append(first, len(h))).astype(np.uint32)
+                # parts ascend with the hashes of a range
+                place = (h >> np.uint64(32)) * np.uint64(rounds) & np.uint64(0xFFFFFFFF)
+                at, h, s, c = _runs(place * np.uint64(parts) >> np.uint64(32), h, s, c)
                 return batches(packed, [at, [n] * len(at), h, s, c])
 
             for batch in tables:
                 for _, data, bounds in chunks(batch.column("text"), CHUNK):
                     w, text, _, _ = words(data, bounds)
                     total += len(w)
-                    for n, h, s, _ in ngrams(w, text, order):
-                        own = _within(h, k, rounds)
-                        held[n - 1].append((h[own], s[own]))
+                    for n, h, s, _ in ngrams(w, text, order, k, rounds):
+                        held[n - 1].append((h, s))
                         if sum(len(x[0]) for x in held[n - 1]) >= BLOCK:
                             yield rows(n)
             for n in range(1, order + 1):
@@ -137,7 +162,7 @@ def counts(docs: DataFrame, order: int, cutoff: int, rounds: int = ROUNDS) -> Da
         n = key[1].as_py()
         held = [tuple(np.frombuffer(b"".join(v.as_buffer() for v in batch.column(c)), t) for c, t in (("h", np.uint64), ("suffix", np.uint64), ("c", np.uint32))) for batch in tables]
         h, s, c = (np.concatenate(x) for x in zip(*held))
-        by = np.argsort(h, kind="stable")
+        by = _order(h)
         h, s, c = h[by], s[by], c[by].astype(np.int64)
         at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         h, s, c = h[at], s[at], np.add.reduceat(c, at)
@@ -194,8 +219,28 @@ def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 def _summed(key: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys and the sum of x for each."""
-    own, at = np.unique(key, return_inverse=True)
-    return own, np.bincount(at, weights=x, minlength=len(own))
+    if not len(key):
+        return key, x
+    by = _order(key.view(np.uint64))
+    key, x = key[by], x[by]
+    at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return key[at], np.add.reduceat(x, at)
+
+
+def _by_document(part: np.ndarray, doc: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """An order by part and document, in which most n-grams of a document that are equal are neighbours: all that go into one number."""
+    bits = [int(x.max()).bit_length() if len(x) else 0 for x in (part, doc)] + [len(h).bit_length()]
+    left = 64 - sum(bits)
+    if left < 0:
+        return np.lexsort((doc, part))
+    key = part.astype(np.uint64) << np.uint64(bits[1])
+    key |= doc.astype(np.uint64)
+    if left:
+        # bits that neither the range nor the part have a say in
+        key = key << np.uint64(left) | mix(h) >> np.uint64(64 - left)
+    key = key << np.uint64(bits[2]) | np.arange(len(h), dtype=np.uint64)
+    key.sort()
+    return (key & np.uint64((1 << bits[2]) - 1)).view(np.int64)
 
 
 def scores(docs: DataFrame, alpha: float = ALPHA, cutoff: int = CUTOFF, order: int = ORDER, heavy: int = HEAVY, rounds: int = ROUNDS) -> DataFrame:
@@ -250,11 +295,19 @@ def _per_document(slim: DataFrame, alpha: float, cutoff: int, order: int, heavy:
         def run(tables):
             known, delta = sent.value
             held: list[tuple] = []
+            keys: list[np.ndarray] = []
 
             def rows():
-                h, key, times = (np.concatenate(x) for x in zip(*held))
+                h, doc = (np.concatenate(x) for x in zip(*held))
+                key = np.concatenate(keys)
                 held.clear()
-                at, h, key, times = _dealt(_part_of(h, parts), h, key, times)
+                keys.clear()
+                part = _part_of(h, parts)
+                by = _by_document(part, doc, h)
+                h, doc, part = h[by], doc[by], part[by]
+                first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))[: len(h)])
+                times = np.diff(np.append(first, len(h))).astype(np.uint32)
+                at, h, key, times = _runs(part[first], h[first], key[doc[first]], times)
                 return batches(runs, [at, [NGRAMS] * len(at), h, key, times])
 
             for batch in tables:
@@ -268,25 +321,19 @@ def _per_document(slim: DataFrame, alpha: float, cutoff: int, order: int, heavy:
                     size = np.bincount(text, minlength=docs)
                     if k == 0:
                         score -= size * log_n
-                    rows_h, rows_doc = [], []
-                    for n, h, _, doc in ngrams(w, text, order):
+                    before = sum(len(x) for x in keys)
+                    for n, h, _, doc in ngrams(w, text, order, k, rounds):
                         if k == 0 and n > 1:
                             score += log_alpha * np.maximum(size - (n - 1), 0)
-                        own = _within(h, k, rounds)
-                        h, doc = h[own], doc[own]
+                        wanted = np.flatnonzero(_passes(bits.value, h))
+                        h, doc = h[wanted], doc[wanted]
                         if len(known):
                             place = np.minimum(np.searchsorted(known, h), len(known) - 1)
                             hit = known[place] == h
                             score += np.bincount(doc[hit], weights=delta[place[hit]], minlength=docs)
                             h, doc = h[~hit], doc[~hit]
-                        wanted = _passes(bits.value, h)
-                        rows_h.append(h[wanted])
-                        rows_doc.append(doc[wanted])
-                    h, doc = np.concatenate(rows_h), np.concatenate(rows_doc)
-                    _, first, times = np.unique(mix(h + doc.astype(np.uint64) * _STEP), return_index=True, return_counts=True)
-                    by = np.argsort(doc[first].astype(np.uint16 if docs <= 1 << 16 else np.int64), kind="stable")  # a document's n-grams stay together
-                    first = first[by]
-                    held.append((h[first], ids[at + doc[first]], times[by].astype(np.uint32)))
+                        held.append((h, doc + before))
+                    keys.append(ids[at : at + docs].copy())
                     if sum(len(x[0]) for x in held) >= BLOCK:
                         yield rows()
                     # each text with words has a score, if only that of the first round
@@ -312,8 +359,11 @@ def _per_document(slim: DataFrame, alpha: float, cutoff: int, order: int, heavy:
             h, key, times = (np.concatenate(x) for x in zip(*held[NGRAMS]))
             place = np.minimum(np.searchsorted(table_h, h), len(table_h) - 1)
             hit = table_h[place] == h
-            keys.append(key[hit])
-            adds.append(delta[place[hit]] * times[hit])
+            key, add = key[hit], delta[place[hit]] * times[hit]
+            if len(key):  # a document's n-grams stand together
+                at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+                keys.append(key[at])
+                adds.append(np.add.reduceat(add, at))
         if keys:
             key, x = _summed(np.concatenate(keys), np.concatenate(adds))
             yield batches(part_sums, _dealt(_part_of(mix(key.view(np.uint64)), parts), key, x))
@@ -325,7 +375,7 @@ def _per_document(slim: DataFrame, alpha: float, cutoff: int, order: int, heavy:
     sums = []
     for k in range(rounds):
         table = light.where(F.col("range") == k).select("h", "delta")
-        bits = spark.sparkContext.broadcast(_filter_of(table.select("h")))
+        bits = spark.sparkContext.broadcast(_filter_of(weights.where(F.col("range") == k).select("h")))
         kinds = "part int, kind int, h binary, key binary, x binary"
         rows = slim.select("key", "text").mapInArrow(exploded(k, bits), kinds).unionByName(table.mapInArrow(corrected, kinds))
         part = rows.groupBy("part").applyInArrow(met, "part int, key binary, x binary")

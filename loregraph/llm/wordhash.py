@@ -27,8 +27,6 @@ def numbers(seed: int, n: int) -> np.ndarray:
     return mix((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed << 20)) * np.uint64(0x9E3779B97F4A7C15))
 
 
-_BREAK = np.zeros(256, bool)
-_BREAK[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 _BYTE = numbers(1, 256)[_LOWER]
@@ -53,20 +51,22 @@ def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     if not n:
         none = np.zeros(0, np.int64)
         return none.astype(np.uint64), none, none, none
-    inside = ~_BREAK[data]
+    inside = data - np.uint8(9) > 4
+    inside &= data != 32
     full = bounds[1:] > bounds[:-1]
-    before = np.empty(n, bool)
-    before[0], before[1:] = False, inside[:-1]
-    before[bounds[:-1][full]] = False
-    after = np.empty(n, bool)
-    after[-1], after[:-1] = False, inside[1:]
-    after[bounds[1:][full] - 1] = False
-    start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+    first, last = bounds[:-1][full], bounds[1:][full] - 1
+    begins, ends = inside.copy(), inside.copy()
+    np.greater(inside[1:], inside[:-1], out=begins[1:])
+    np.greater(inside[:-1], inside[1:], out=ends[:-1])
+    begins[first], ends[last] = inside[first], inside[last]
+    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _power(_BASE, n)[:n], out=total[1:])
+    values = _BYTE.take(data.astype(np.intp))
+    values *= _power(_BASE, n)[:n]
+    np.cumsum(values, out=total[1:])
     hashes = (total[end] - total[start]) * _power(pow(_BASE, -1, 1 << 64), n)[start]
     hashes = mix(hashes + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return hashes, np.searchsorted(bounds, start, "right") - 1, start, end
+    return hashes, np.repeat(np.arange(len(bounds) - 1), np.diff(np.searchsorted(start, bounds))), start, end
 
 
 def grams(hashes: np.ndarray, text: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

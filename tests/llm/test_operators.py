@@ -456,6 +456,47 @@ def test_hashes_give_their_prefix_back():
         assert len(h) == 50 - 5 * (n - 1)
 
 
+def test_ngrams_of_a_range_are_those_that_lie_in_it():
+    from loregraph.llm.ngram_lm import ngrams
+    from loregraph.llm.wordhash import numbers
+
+    w, text = numbers(5, 400), np.repeat(np.arange(8), 50)
+    whole, parts = list(ngrams(w, text, 3)), [list(ngrams(w, text, 3, k, 3)) for k in range(3)]
+    for n, h, s, t in whole:
+        place = [int(x >> 32) * 3 >> 32 for x in h.tolist()]
+        for k in range(3):
+            own = np.array([p == k for p in place])
+            assert parts[k][n - 1][0] == n and all(np.array_equal(a, b[own]) for a, b in zip(parts[k][n - 1][1:], (h, s, t)))
+
+
+def test_ngrams_are_ordered_by_packed_numbers():
+    """Also those that only their last bits tell apart, equal ones, and numbers too wide to be packed."""
+    from loregraph.llm.ngram_lm import _by_document, _order
+
+    r = np.random.default_rng(3)
+    for h in (r.integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2), r.integers(0, 3000, 5000).astype(np.uint64), np.zeros(0, np.uint64), np.full(3, (1 << 64) - 1, np.uint64)):
+        by = _order(h)
+        assert sorted(by.tolist()) == list(range(len(h))) and np.array_equal(h[by], np.sort(h))
+    h, doc = r.integers(0, 50, 4000).astype(np.uint64), r.integers(0, 30, 4000)
+    for part, doc in ((r.integers(0, 9, 4000), doc), (r.integers(0, 1 << 30, 4000), doc << 40), (np.zeros(4000, int), np.zeros(4000, int))):
+        by = _by_document(part, doc, h)
+        met = list(zip(part[by].tolist(), doc[by].tolist()))
+        assert sorted(by.tolist()) == list(range(4000)) and met == sorted(met)
+    assert (np.diff(h[by].astype(int)) != 0).sum() == 49
+
+
+def test_words_at_the_ends_of_texts_and_of_white_space():
+    from loregraph.llm.wordhash import words
+
+    texts = ["", "a b", "c", " \t", "\x08 d\x0e\x1f\x0b\x0c\re ", "\u00a0f", "", "g\n"]
+    data = [t.encode() for t in texts]
+    bounds = np.cumsum([0, *map(len, data)])
+    h, text, start, end = words(np.frombuffer(b"".join(data), np.uint8), bounds)
+    want = [(i, w) for i, t in enumerate(data) for w in re.findall(rb"[^\x20\x09-\x0d]+", t)]
+    assert [(int(i), b"".join(data)[a:b]) for i, a, b in zip(text, start, end)] == want
+    assert len(set(h.tolist())) == len({w for _, w in want})
+
+
 # 7
 
 
