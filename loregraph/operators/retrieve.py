@@ -82,14 +82,19 @@ def rank_triples(df: DataFrame, k: int = MAX_TRIPLES, ties: tuple[str, ...] = ("
     return df.withColumn("place", F.row_number().over(by)).where(F.col("place") <= k)
 
 
-def widened(questions: DataFrame, starts: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int = MAX_HOPS, fallback_hops: int = FALLBACK_HOPS, enough: int = ENOUGH) -> tuple[Search, DataFrame]:
+def widened(questions: DataFrame, starts: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int = MAX_HOPS, fallback_hops: int = FALLBACK_HOPS, enough: int = ENOUGH, first: int | None = None) -> tuple[Search, DataFrame]:
     """(search, used) by stages: as asked; with fewer than `enough` triples with hubs open; then with more hops. Each stage goes on
-    from where the one before it stopped. used(corpus_id, question_id, stage, hops, allow_hub): the last stage of each question."""
+    from where the one before it stopped. used(corpus_id, question_id, stage, hops, allow_hub): the last stage of each question.
+    first: no more is wanted of the search than `ranked(first)`, so questions whose first triples are known after one hop stop there."""
     key = ["corpus_id", "question_id"]
     search, left, used = Search(starts, nodes, edges), None, []
     stages = [(max_hops, False), (max_hops, True)] + ([(fallback_hops, True)] if fallback_hops > max_hops else [])
+    rest = None
+    if first is not None and max_hops == 2:
+        search.widen(1, False)
+        rest = saved(search.searches.select(*key).distinct().join(search.settle(max(first, enough)), key, "left_anti"))
     for n, (hops, hub) in enumerate(stages, 1):
-        search.widen(hops, hub, left)
+        search.widen(hops, hub, rest if left is None else left)
         mark = lambda df: df.select(*key, F.lit(n).alias("stage"), F.lit(hops).alias("hops"), F.lit(hub).alias("allow_hub"))  # noqa: B023, E731
         if n == len(stages):
             asked = questions.select(*key).distinct()

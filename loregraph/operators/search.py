@@ -69,7 +69,7 @@ class Search:
         self.opened: list[DataFrame] = []
         self.gone: list[DataFrame] = []
         text = lambda c: self.searches["start"].alias(c)
-        self.met = self.searches.where("false").select(*_QUESTION, "read_point", text("src"), text("relation"), text("dst"), "start_ord", F.lit(0).alias("hop"), "word", "bit")
+        self.met = self.searches.where("false").select(*_QUESTION, "read_point", text("src"), text("relation"), text("dst"), "start_ord", F.lit(0).alias("hop"), "word", "bit", F.lit(0).alias("side"))
         self.counted = 0
 
     def _adjacency(self, nodes: DataFrame, split: int) -> tuple[DataFrame, DataFrame]:
@@ -141,19 +141,38 @@ class Search:
         return reduce(DataFrame.union, self.gone) if self.gone else none
 
     def found(self) -> DataFrame:
-        """(corpus_id, question_id, read_point, src, relation, dst, start_ord, hop, word, bit): each edge once a question, by
-        the first start in their order that meets it, with the hop of its first sight."""
+        """(corpus_id, question_id, read_point, src, relation, dst, start_ord, hop, word, bit, side): each edge once a question, by
+        the first start in their order that meets it, with the hop of its first sight, and the least side from which it is met there."""
         if self.counted < len(self.gone):
-            rows = reduce(DataFrame.union, self.gone[self.counted :]).select("corpus_id", "word", "hop", "src", "relation", "dst", F.explode(_bits()).alias("bit"))
+            rows = reduce(DataFrame.union, self.gone[self.counted :]).select("corpus_id", "word", "hop", "side", "src", "relation", "dst", F.explode(_bits()).alias("bit"))
             who = self.searches.select(*_BIT, "question_id", "read_point", "start_ord")
-            rows = rows.join(who, _BIT).select(*_QUESTION, "read_point", "src", "relation", "dst", F.struct("start_ord", "hop", "word", "bit").alias("x"))
+            rows = rows.join(who, _BIT).select(*_QUESTION, "read_point", "src", "relation", "dst", F.struct("start_ord", "hop", "word", "bit", "side").alias("x"))
             if self.counted:
-                rows = rows.union(self.met.select(*_QUESTION, "read_point", "src", "relation", "dst", F.struct("start_ord", "hop", "word", "bit")))
+                rows = rows.union(self.met.select(*_QUESTION, "read_point", "src", "relation", "dst", F.struct("start_ord", "hop", "word", "bit", "side")))
             met = rows.groupBy(*_QUESTION, "read_point", "src", "relation", "dst").agg(F.min("x").alias("x"))
             self.met = saved(met.select(*_QUESTION, "read_point", "src", "relation", "dst", "x.*"))
             self.counted = len(self.gone)
         return self.met
 
+    def settle(self, k: int) -> DataFrame:
+        """(corpus_id, question_id) of those questions whose first k triples by `ranked` are known after one hop, if two are asked for
+        with hubs closed: those that k edges are near to. From here on they have their near edges alone, without those that come
+        later than k; they must not be widened, and their paths are not whole.
+
+        An edge that a start has next to it is not near if a start before it in the order comes to it at the second hop, over a
+        node of one step that is no hub."""
+        met = self.found()
+        enough = met.groupBy(*_QUESTION).agg(F.count("*").alias("n")).where(F.col("n") >= k).select(*_QUESTION)
+        own = [*_QUESTION, "read_point"]
+        later = met.join(enough, _QUESTION, "left_semi").select(*own, "src", "relation", "dst", "start_ord", F.explode(F.array("src", "dst")).alias("node"))
+        before = self.searches.select(*own, F.col("start_ord").alias("_before"), "word", "bit")
+        later = later.join(before, own).where("_before < start_ord").join(self.wide.where("is_hub").select("corpus_id", "node"), ["corpus_id", "node"], "left_anti")
+        late = later.join(self.reach.where("depth = 1").select(*_SPOT, "bits"), _SPOT).where(_has_bit("bits")).select(*own, "src", "relation", "dst").distinct()
+        near = met.join(enough, _QUESTION, "left_semi").join(saved(late), [*own, "src", "relation", "dst"], "left_anti")
+        done = saved(near.groupBy(*_QUESTION).agg(F.count("*").alias("n")).where(F.col("n") >= k).select(*_QUESTION))
+        self.met = saved(near.join(done, _QUESTION, "left_semi").union(met.join(done, _QUESTION, "left_anti").select(*near.columns)).select(*met.columns))
+        return done
+
     def reached(self) -> DataFrame:
         """(corpus_id, question_id, start, target, hops, word, bit): the nodes that each start reaches, itself left out."""
         depths = [F.coalesce(F.bit_or(F.when(F.col("depth") == d, F.col("bits"))), F.lit(0)) for d in range(self.hop + 1)]
@@ -215,14 +234,16 @@ class Search:
 
     def ranked(self, k: int) -> DataFrame:
         """The first k triples of each question, with place: near ones, then those found often, then those with much evidence,
-        then in the order of discovery, which is worked out only for rows that may be among the k."""
-        strength = self.edges.select(*_EDGE, F.col("evidence.global_index").alias("at"), F.col("evidence.n_passes").alias("passes"))
+        then in the order of discovery, which is worked out only for rows that may be among the k. Next to a start it is that of the edges."""
+        run = F.struct(F.col("ord.pass").alias("pass"), F.col("ord.doc_id").alias("doc_id"), F.col("ord.tri_pos").alias("tri_pos"))
+        strength = self.edges.select(*_EDGE, run.alias("_run"), F.col("evidence.global_index").alias("at"), F.col("evidence.n_passes").alias("passes"))
         n = F.size(F.filter("at", lambda g: g <= F.col("read_point")))
         rows = self.found().join(strength, _EDGE).withColumn("n_evidence", n)
         rows = rows.withColumn("n_hits", F.array_max(F.slice("passes", 1, F.col("n_evidence")))).drop("at", "passes")
         order = ["hop", F.desc("n_hits"), F.desc("n_evidence"), "start_ord"]
         by = Window.partitionBy(*_QUESTION)
-        near = saved(rows.withColumn("_r", F.rank().over(by.orderBy(*order))).where(F.col("_r") <= k).drop("_r"))
+        beside = F.when(F.col("hop") == 1, F.struct("side", "_run"))
+        near = saved(rows.withColumn("_r", F.rank().over(by.orderBy(*order, beside))).where(F.col("_r") <= k).drop("_r", "_run", "side"))
         kept = self.in_order(near).withColumn("place", F.row_number().over(by.orderBy(*order, "found"))).where(F.col("place") <= k)
         out = self.told(kept.drop("n_hits", "n_evidence"))
         return out.select(*_QUESTION, "read_point", "src", "relation", "dst", "hop", "first_revealed_index", "found", "evidence", "disputed", "unjudged", "n_hits", "place")

@@ -114,3 +114,22 @@ def test_nothing_to_search(world):
     for search in (Search(starts.where("false"), nodes, table), Search(starts, nodes.where("false"), table.where("false"))):
         search.widen(2, False)
         assert search.triples().collect() == [] and search.paths().collect() == [] and search.ranked(3).collect() == []
+
+
+def test_questions_with_enough_near_edges_stop_there(world):
+    """Their first triples are those of the whole search, also where a start comes over two steps to what is next to another."""
+    edges, table, nodes, starts, rows = world
+    questions = starts.select("corpus_id", "question_id").distinct()
+    whole, used = retrieve.widened(questions, starts, nodes, table)
+    part, used_then = retrieve.widened(questions, starts, nodes, table, first=3)
+    assert {tuple(x) for x in used_then.collect()} == {tuple(x) for x in used.collect()}
+    key = ["question_id", "src", "relation", "dst", "hop", "place", "n_hits", "found"]
+    want = {str(x) for x in retrieve.rank_triples(whole.triples(), 3).select(*key).collect()}
+    assert {str(x) for x in part.ranked(3).select(*key).collect()} == want
+    seen = lambda s: sum(x.bits.bit_count() if x.bits >= 0 else (x.bits & (1 << 64) - 1).bit_count() for x in s.opened[1].collect())
+    assert seen(part) < 0.5 * seen(whole)
+    near, found = {}, expected(edges, rows, 2, False)[0]
+    for _, q, point, start, k in rows:
+        for e, (hop, _) in plain(edges, start, point, 1, False)[0].items():
+            near.setdefault(q, set()).add(e)
+    assert sum(found[q, e][1] == 2 for q in near if len(near[q]) >= 3 for e in near[q]) > 0
