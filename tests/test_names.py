@@ -113,3 +113,18 @@ def test_each_form_is_looked_for_in_each_corpus(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {(x.corpus_id, x.form) for x in registry.text_search(spark, str(tmp_path)).collect()}
     assert got == {("a", "barnaby"), ("b", "barnaby"), ("b", "cassandra")}
+
+
+def test_runs_that_are_no_form_stay_where_they_are(spark):
+    """Every form passes the filter, few other runs do, and what is found is what the texts hold."""
+    import numpy as np
+
+    from loregraph.operators import graph
+
+    forms = spark.createDataFrame([("c", f"k{i}", f"name é{i}" if i % 2 else f"word{i}") for i in range(3000)], "corpus_id string, key string, form string")
+    filled = graph._filled(forms.withColumnRenamed("form", "_run"))
+    held = lambda runs: (filled[(at := graph._cells(runs)) >> 3] >> (at & 7) & 1).sum()
+    assert filled.dtype == np.uint8 and held([r.form for r in forms.collect()]) == 3000
+    assert held([f"other{i} word" for i in range(10_000)]) < 20
+    s = spark.createDataFrame([("c", n, n, f"A word{2 * n}, the Name  É{2 * n + 1} and word{2 * n + 1}") for n in range(40)], "corpus_id string, doc_id int, global_index int, text string")
+    assert {(r.form, r.doc_id) for r in graph.find_forms(forms, s).collect()} == {x for n in range(40) for x in ((f"word{2 * n}", n), (f"name é{2 * n + 1}", n))}
